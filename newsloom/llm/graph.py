@@ -1,0 +1,29 @@
+"""Connected components of an edge list in Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from newsloom.llm.shared import cut
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of the edges (a, b): root is the smallest node of its component.
+
+    Each round takes the smallest label among a node's neighbours, then the label of that label,
+    so the number of rounds follows the logarithm of a component's width. Every round ends in a
+    written table; the driver sees one count. Labels of hub nodes are partially aggregated.
+    """
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    for _ in range(most_rounds):
+        labels = cut(labels, "labels")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        new = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
+        jump = labels.select(F.col("node").alias("at"), F.col("root").alias("then"))
+        new = cut(new.join(jump, new.root == jump["at"], "left").select("node", "old", F.least("root", F.coalesce("then", "root")).alias("root")), "labels")
+        labels = new.select("node", "root")
+        if new.where("old <> root").limit(1).count() == 0:
+            return labels
+    raise RuntimeError("components did not settle")

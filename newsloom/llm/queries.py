@@ -27,6 +27,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.recompression import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.jaccard import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
