@@ -144,6 +144,17 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict, int] | str:
     return out, end + 4
 
 
+def member(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
+    """What the gzip member at `at` holds, and its length, 0 if the data end within it."""
+    inflate, parts, fed = zlib.decompressobj(31), [], at
+    view = memoryview(data)
+    while not inflate.eof and fed < len(data):
+        piece = view[fed : fed + step]
+        parts.append(inflate.decompress(piece))
+        fed += len(piece)
+    return b"".join(parts), fed - at - len(inflate.unused_data) if inflate.eof else 0
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in file order, and a row of kind 'gap' for each quarantined byte range."""
     gz = data[:2] == b"\x1f\x8b" or data.find(b"\x1f\x8b\x08") >= 0 and not data.startswith(b"WARC/")
@@ -155,11 +166,9 @@ def salvage(data: bytes) -> Iterator[dict]:
     while at < len(data):
         found, size, problem = None, 0, ""
         if gz:
-            inflate = zlib.decompressobj(31)
             try:
-                raw = inflate.decompress(data[at:] if at else data)
-                size = len(data) - at - len(inflate.unused_data)
-                problem = "" if inflate.eof else "member is cut off"
+                raw, size = member(data, at)
+                problem = "" if size else "member is cut off"
             except zlib.error as e:
                 problem = str(e)
             if not problem:
