@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from newsloom.llm.shared import table
 
 
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.vptree import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op2_compression_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.compression_lang import predict
+
+    return predict(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.mixing import mix
 
@@ -33,6 +45,20 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.rules import predict
+
+    return predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from newsloom.llm.arrow_tokens import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.jaccard import join
 
