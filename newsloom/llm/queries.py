@@ -27,6 +27,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.boilerplate import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.winnowing import decontaminate
 
