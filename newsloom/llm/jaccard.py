@@ -15,8 +15,9 @@ sets are one node; the join runs over nodes.
    members - |x & m| + |x & z| - |x| <= |m & z| <= min(|x & m|, |x & z|) + min(|m - x|, |z - x|) -
    accepts or drops the pair without looking at its sets, and pairs that are connected through a
    leader already are not formed. Groups of thousands of near copies so cost a pass, not a square.
-5. What is left is counted per pair over all lists, bounded by the last common position, and
-   verified on the sets.
+5. What is left is counted per pair over all lists, bounded by the last common position and by
+   parity bitmaps (two sets differ in at least as many shingles as their bitmaps differ in bits),
+   and verified on the sets. Long lists carry a small bitmap of each node for that.
 
 Node keys and shingles are 64-bit hashes. Null or word-less texts have an empty set and are
 linked with nothing. Repeated rows are members of the same node. Rows with a null doc_id take part
@@ -38,7 +39,7 @@ from newsloom.llm.shared import bloom, cut, in_bloom
 
 #: Words of a shingle, threshold as a fraction, bound of the list of common shingles, and their least count.
 K, NUM, DEN, MOST_COMMON, COMMON = 5, 80, 100, 1 << 18, 8
-BLOCK = 64
+BLOCK, LONG, SMALL_BITS, MOST_BITS = 64, 8, 1024, 1 << 15
 
 
 def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,23 +72,53 @@ def node_key(own: np.ndarray) -> int:
         return int(tk.mix(np.array([tk.mix(own.copy()).sum(dtype=np.uint64) + np.uint64(own.size)], np.uint64)).view(np.int64)[0])
 
 
+def parity(own: np.ndarray, bits: int) -> bytes:
+    """Bit i: whether an odd number of shingles fall on i."""
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def parity_bits(n: int) -> int:
+    """Four bits a shingle, in a power of two up to MOST_BITS."""
+    return min(MOST_BITS, 1 << max(6, (4 * n - 1).bit_length()))
+
+
+def difference(a: bytes, b: bytes) -> int:
+    """Shingles in which two sets differ at least; the larger bitmap is folded to the size of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while x.size > y.size:
+        x = x[: x.size // 2] ^ x[x.size // 2 :]
+    while y.size > x.size:
+        y = y[: y.size // 2] ^ y[y.size // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+SUMMARY = "doc_id bigint, n bigint, node bigint, common boolean, bits binary, small binary"
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, node) of each row, and (null, count, shingle) of shingles that sets of a batch share."""
+    """(doc_id, n, node, bitmaps) of each row, and (null, count, shingle) of shingles that sets of a batch share.
+
+    The bitmaps stand in the first row of each node in a batch.
+    """
+    names = [x.split()[0] for x in SUMMARY.split(", ")]
     for batch in batches:
+        bits: list[bytes | None] = [None] * batch.num_rows
+        small: list[bytes | None] = [None] * batch.num_rows
         n, node, all_sets, seen = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], set()
         for r, own in shingle_sets(batch):
             n[r], node[r] = own.size, node_key(own)
             if node[r] not in seen:
                 seen.add(node[r])
                 all_sets.append(own)
+                bits[r], small[r] = parity(own, parity_bits(own.size)), parity(own, SMALL_BITS)
         ids = batch.column("doc_id")
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), pa.array(np.zeros(n.size, bool))], names=["doc_id", "n", "node", "common"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), pa.array(np.zeros(n.size, bool)), pa.array(bits, pa.binary()), pa.array(small, pa.binary())], names=names)
         if all_sets:
             every = np.sort(np.concatenate(all_sets))
             first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
             count = np.diff(np.r_[first, every.size])
             keep = count >= 3
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep]), pa.array(every[first][keep].view(np.int64)), pa.array(np.ones(int(keep.sum()), bool))], names=["doc_id", "n", "node", "common"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep]), pa.array(every[first][keep].view(np.int64)), pa.array(np.ones(int(keep.sum()), bool)), pa.nulls(int(keep.sum()), pa.binary()), pa.nulls(int(keep.sum()), pa.binary())], names=names)
 
 
 def _postings(common) -> object:
@@ -118,6 +149,7 @@ def _postings(common) -> object:
 
 
 LIST = "shingle bigint, node bigint, n int, pos int, rare int"
+SHARED = LIST + ", k int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -147,7 +179,9 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         same = s[1:] == s[:-1]
         keep = np.r_[same, False] | np.r_[False, same]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("shingle", "node", "n", "pos", "rare")], names=["shingle", "node", "n", "pos", "rare"])
+            first = np.flatnonzero(np.r_[True, ~same])
+            k = np.repeat(np.diff(np.r_[first, s.size]), np.diff(np.r_[first, s.size])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[x][keep]) for x in ("shingle", "node", "n", "pos", "rare")), pa.array(k[keep])], names=["shingle", "node", "n", "pos", "rare", "k"])
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -226,14 +260,26 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out)], names=["a", "b", "na", "nb", "overlap"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of the pairs, computed on the sets of the nodes named."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their bitmaps leave possible."""
+    for batch in batches:
+        apart = [difference(x.as_py(), y.as_py()) for x, y in zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)]
+        na, nb = batch.column("na").to_numpy().astype(np.int64), batch.column("nb").to_numpy().astype(np.int64)
+        keep = pa.array((na + nb - np.array(apart, np.int64)) // 2 >= need(na, nb))
+        yield batch.select(["a", "b", "na", "nb"]).filter(keep)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, na, nb, overlap) of the pairs that bitmaps leave possible, computed on the sets."""
     spark = docs.sparkSession
+    bits = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
+    both = pairs.select("a", "b", "na", "nb").join(bits, "a").join(bits.toDF("b", "bits_b"), "b")
+    pairs = cut(both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_near, "a bigint, b bigint, na int, nb int"), "near")
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     bitmap = spark.sparkContext.broadcast(bloom(named, "node"))
     sets = docs.select("text").mapInArrow(_sets(bitmap), "node bigint, own binary")
-    sets = cut(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own")), "sets")
-    with_b = pairs.select("a", "b", "na", "nb").join(sets.select(F.col("node").alias("b"), F.col("own").alias("set_b")), "b")
+    sets = cut(sets.join(named, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("own").alias("set_a")), "a")
     return both.select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, overlap int")
 
@@ -245,29 +291,64 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for c in _runs(batches):
         s = c["shingle"]
-        cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[first, s.size])
+        length = np.repeat(size, size)
         out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if (c["label"][lo:hi] == c["label"][lo]).all():
+        # short lists all at once, by distance within the list
+        for d in range(1, LONG):
+            a = np.flatnonzero((s[d:] == s[:-d]) & (length[d:] < LONG))
+            out += _pairs(c, a, a + d)
+        if out:
+            yield _pair_batch(out)
+        for lo, k in zip(first[size >= LONG], size[size >= LONG], strict=True):
+            part = {x: v[lo : lo + k] for x, v in c.items()}
+            if (part["label"] == part["label"][0]).all():
                 continue
-            for found in _list_pairs({k: v[lo:hi] for k, v in c.items()}):
+            out, held = [], 0
+            for found in _long_pairs(part):
                 out.append(found)
                 held += found[0].size
                 if held > 200_000:
                     yield _pair_batch(out)
                     out, held = [], 0
-        if out:
-            yield _pair_batch(out)
+            if out:
+                yield _pair_batch(out)
 
 
 def _pair_batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "na", "nb", "pa", "pb"])
 
 
-def _list_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, maps: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+    """What is left of the entry pairs (a, b) of one list each: none or one tuple of columns."""
+    ok = c["label"][a] != c["label"][b]
+    a, b = a[ok], b[ok]
+    n, pos = c["n"], c["pos"]
+    na, nb, pa_, pb_ = (x.astype(np.int64) for x in (n[a], n[b], pos[a], pos[b]))
+    want = need(na, nb)
+    ok = (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM) & (np.minimum(pa_, pb_) + np.minimum(na - pa_, nb - pb_) >= want)
+    if maps is not None:
+        i = np.flatnonzero(ok)
+        apart = np.bitwise_count(maps[a[i]] ^ maps[b[i]]).sum(axis=1)
+        ok[i] = (na[i] + nb[i] - apart) // 2 >= want[i]
+    # what a common leader's overlaps say
+    led = (c["leader"][a] == c["leader"][b]) & (c["overlap"][a] >= 0) & (c["overlap"][b] >= 0)
+    va, vb = c["overlap"][a].astype(np.int64), c["overlap"][b].astype(np.int64)
+    sure = led & (va + vb - c["leader_n"][a] >= want)
+    ok &= ~led | (np.minimum(va, vb) + np.minimum(na - va, nb - vb) >= want)
+    if not ok.any():
+        return []
+    swap = c["node"][a] > c["node"][b]
+    a, b, sure = np.where(swap, b, a)[ok], np.where(swap, a, b)[ok], sure[ok]
+    return [(c["node"][a], c["node"][b], n[a], n[b], pos[a], np.where(sure, -1, pos[b]).astype(np.int32))]
+
+
+def _long_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of a long list, by blocks of neighbours in size and position."""
     order = np.lexsort((c["pos"], c["n"]))
     c = {k: v[order] for k, v in c.items()}
+    maps = np.frombuffer(b"".join(c["small"]), np.uint64).reshape(order.size, SMALL_BITS // 64)
     n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
     starts = np.arange(0, n.size, BLOCK)
     most_n, least_n = n[np.minimum(starts + BLOCK, n.size) - 1], n[starts]
@@ -278,59 +359,47 @@ def _list_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
                 break
             # positions too far apart leave too little room for a common part
             apart = max(least_p[x] - most_p[y], least_p[y] - most_p[x], 0)
-            if most_n[x] - apart < need(least_n[x], least_n[y]) and most_n[y] - apart < need(least_n[x], least_n[y]):
+            if max(most_n[x], most_n[y]) - apart < need(least_n[x], least_n[y]):
                 continue
             i, j = np.arange(lo, min(lo + BLOCK, n.size)), np.arange(starts[y], min(starts[y] + BLOCK, n.size))
             a, b = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
-            ok = (a < b) & (c["label"][a] != c["label"][b])
-            a, b = a[ok], b[ok]
-            want = need(n[a], n[b])
-            ok = (n[a] * DEN >= n[b] * NUM) & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= want)
-            a, b, want = a[ok], b[ok], want[ok]
-            # what a common leader's overlaps say
-            led = (c["leader"][a] == c["leader"][b]) & (c["overlap"][a] >= 0) & (c["overlap"][b] >= 0)
-            va, vb = c["overlap"][a].astype(np.int64), c["overlap"][b].astype(np.int64)
-            upper = np.minimum(va, vb) + np.minimum(n[a] - va, n[b] - vb)
-            sure = led & (va + vb - c["leader_n"][a] >= want)
-            ok = ~led | (upper >= want)
-            swap = c["node"][a] > c["node"][b]
-            a, b = np.where(swap, b, a)[ok], np.where(swap, a, b)[ok]
-            if a.size:
-                yield c["node"][a], c["node"][b], c["n"][a], c["n"][b], c["pos"][a], np.where(sure[ok], -1, c["pos"][b]).astype(np.int32)
+            yield from _pairs(c, a[a < b], b[a < b], maps)
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every row, and (a, b) edges between nodes whose closure is that of all links."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    both = cut(docs.mapInArrow(_summaries, "doc_id bigint, n bigint, node bigint, common boolean"), "summaries")
-    summary = both.where("not common").drop("common")
+    both = cut(docs.mapInArrow(_summaries, SUMMARY), "summaries")
+    summary = both.where("not common").select("doc_id", "n", "node")
+    nodes = both.where("bits is not null").select("node", "bits", "small").dropDuplicates(["node"])
     common = both.where("common").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "node").limit(MOST_COMMON).select("node").toArrow()
     known = spark.sparkContext.broadcast(np.sort(common.column("node").to_numpy().view(np.uint64)))
     postings = docs.select("text").mapInArrow(_postings(known), LIST)
-    lists = cut(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_shared_lists, LIST), "lists")
+    lists = cut(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_shared_lists, SHARED), "lists")
 
     def by_shingle(rows: DataFrame) -> DataFrame:
         return rows.repartition("shingle").sortWithinPartitions("shingle")
 
     led = counted(by_shingle(lists).mapInArrow(_leaders, PAIR)).where("bound >= need")
     best = led.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("bound", "a")).alias("x"))
-    star = cut(verified(cut(best.select("x.a", "b", "x.na", "x.nb"), "star-pairs"), docs), "star")
+    star = cut(verified(cut(best.select("x.a", "b", "x.na", "x.nb"), "star-pairs"), docs, nodes), "star")
     good = f"overlap * {NUM + DEN} >= (na + nb) * {NUM}"
     # label: a leader's own leader where it has one, else the leader, else the node
     led_by = star.where(good).select(F.col("b").alias("node"), F.col("a").alias("up"))
     labels = led_by.join(led_by.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("label"))
     tops = led_by.select(F.col("up").alias("node")).distinct().join(led_by, "node", "left_anti").select("node", F.col("node").alias("label"))
     known_of = star.select(F.col("b").alias("node"), F.col("a").alias("leader"), F.col("na").alias("leader_n"), "overlap")
-    told = lists.join(labels.union(tops), "node", "left").join(known_of, "node", "left").select(
-        "shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"))
+    long = lists.where(f"k >= {LONG}").select("node").distinct().join(nodes.select("node", "small"), "node")
+    told = lists.join(labels.union(tops), "node", "left").join(known_of, "node", "left").join(long, "node", "left").select(
+        "shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"), F.when(F.col("k") >= LONG, F.col("small")).alias("small"))
     rest = by_shingle(told).mapInArrow(_rest, PAIR)
     rest = rest.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.count("*").alias("c"), F.min("pb").alias("sure"))
     rest = cut(rest.where(f"sure < 0 or {BOUND} >= {NEED}"), "rest")
     edges = star.where(good).select("a", "b").union(rest.where("sure < 0").select("a", "b"))
     unsure = rest.where("sure >= 0")
     if unsure.limit(1).count():
-        edges = edges.union(verified(unsure, docs).where(good).select("a", "b"))
+        edges = edges.union(verified(unsure, docs, nodes).where(good).select("a", "b"))
     return summary, edges
 
 
