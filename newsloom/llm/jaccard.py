@@ -412,3 +412,20 @@ def join(docs: DataFrame) -> DataFrame:
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
     out = named.join(first, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of one document of each group: the smallest doc_id.
+
+    Of repeated rows one stays. Rows with a null doc_id cannot be named for removal; one of each
+    distinct text stays.
+    """
+    members = cut(join(docs), "groups")
+    dropped = members.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    again = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    if not again.limit(1).count():
+        return kept
+    single = kept.join(again, F.expr("doc_id <=> again"), "left_anti")
+    several = kept.join(again, F.expr("doc_id <=> again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several)
