@@ -31,25 +31,37 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.shared import cut, shared_dir
 
-LENGTH, BATCH_ROWS, ROLL, END_ID, KNOWN_WORDS = 2048, 256, 8 << 20, 1, 600_000
+LENGTH, BATCH_ROWS, ROLL, END_ID, KNOWN_WORDS = 2048, 256, 8 << 20, 1, 500_000
 FILES = "file string, n_ids bigint"
 DOCS = "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"
 #: a character that is one token of its own between words, to tell the words of a batch apart
 _BREAK = "\x01"
+#: punctuation that is cut off the end of a word
+_TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 _coders: dict[str, Coder] = {}
 
 
 class Coder:
-    """ids of words as bytes, for one tokenizer file."""
+    """ids of words as bytes, for one tokenizer file whose text is lower-cased and split at white space.
+
+    A word of letters is one piece that ends in one end-of-word token, so a batch of such words is
+    encoded as one text and cut at those tokens. A word of letters with punctuation behind it has
+    the ids of both parts. All other words are told apart by a separator token.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: words met lately, and those of the generation before
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.stop = self.ids([_BREAK])[0]
 
     @classmethod
@@ -62,43 +74,81 @@ class Coder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if b"\x01" not in w]
-        if len(self.stop) == 1:
-            stop = self.stop[0]
-            for i in range(0, len(plain), 2000):
-                part = plain[i : i + 2000]
-                ids = np.array(self.ids([f" {_BREAK} ".join(w.decode() for w in part)])[0], self.dtype)
-                at = np.flatnonzero(ids == stop)
-                if at.size != len(part) - 1:
-                    self._one_by_one(part)
-                    continue
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                for w, a, b in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), ids.size], strict=True):
-                    self.known[w] = raw[a * size : b * size]
-            words = words.difference(plain)
-        self._one_by_one(list(words))
-
-    def _one_by_one(self, words: list[bytes]) -> None:
-        for w, ids in zip(words, self.ids([w.decode() for w in words]) if words else [], strict=True):
+        known, older = self.known, self.older
+        letters, compound, other = set(), [], []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+                continue
+            stem = w.rstrip(_TAIL)
+            if not stem.decode().isalpha():
+                other.append(w)
+                continue
+            if stem != w:
+                compound.append((w, stem, w[len(stem) :]))
+                tail = compound[-1][2]
+                if tail not in known:
+                    other.append(tail)
+            if stem not in known:
+                letters.add(stem)
+        self._letters([w for w in letters if not self._from_older(w)])
+        self._other(list(dict.fromkeys(other)))
+        for w, stem, tail in compound:
+            known[w] = known[stem] + known[tail]
+
+    def _from_older(self, w: bytes) -> bool:
+        if (ids := self.older.get(w)) is not None:
+            self.known[w] = ids
+        return ids is not None
+
+    def _cut(self, words: list[bytes], ids: np.ndarray, first: list[int], last: list[int]) -> None:
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        for w, a, b in zip(words, first, last, strict=True):
+            self.known[w] = raw[a * size : b * size]
+
+    def _letters(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            ids = np.array(self.ids([b" ".join(part).decode()])[0], self.dtype)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if at.size == len(part):
+                self._cut(part, ids, [0, *at[:-1].tolist()], at.tolist())
+            else:
+                self._other(part)
+
+    def _other(self, words: list[bytes]) -> None:
+        plain = [w for w in words if b"\x01" not in w] if len(self.stop) == 1 else []
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self.ids([f" {_BREAK} ".join(w.decode() for w in part)])[0], self.dtype)
+            at = np.flatnonzero(ids == self.stop[0])
+            if at.size == len(part) - 1:
+                self._cut(part, ids, [0, *(at + 1).tolist()], [*at.tolist(), ids.size])
+        rest = [w for w in words if w not in self.known]
+        for w, ids in zip(rest, self.ids([w.decode() for w in rest]) if rest else [], strict=True):
             self.known[w] = np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """ids of each text as bytes, about a megabyte of text at a time."""
         i = 0
         while i < len(texts):
-            split, size = [], 0
+            words, at, size = [], [0], 0
             while i < len(texts) and size < 1 << 20:
-                split.append(texts[i].split())
+                # special tokens are matched before lower-casing
+                words += (texts[i] if b"<|" in texts[i] else texts[i].lower()).split()
+                at.append(len(words))
                 size += len(texts[i])
                 i += 1
-            words = set().union(*split)
-            missing = words - self.known.keys()
-            if len(self.known) + len(missing) > KNOWN_WORDS:
-                self.known.clear()
-                missing = words
-            self.learn(missing)
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+            if len(self.known) > KNOWN_WORDS:
+                self.known, self.older = {}, self.known
+            found = list(map(self.known.get, words))
+            gaps = [j for j, ids in enumerate(found) if ids is None]
+            if gaps:
+                self.learn({words[j] for j in gaps})
+                for j in gaps:
+                    found[j] = self.known[words[j]]
+            for a, b in zip(at, at[1:], strict=False):
+                yield b"".join(found[a:b])
 
 
 def sequences(ids: np.ndarray, docs: list[tuple], length: int) -> pa.RecordBatch:
