@@ -49,7 +49,8 @@ def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    winners = p.groupBy("digest").agg(F.max("page_id").alias("target"), F.octet_length(F.first("html")).alias("size"), F.count("*").alias("n"))
+    sizes = p.select("page_id", "digest", F.octet_length("html").alias("size"))
+    winners = sizes.groupBy("digest").agg(F.max("page_id").alias("target"), F.max("size").alias("size"), F.count("*").alias("n"))
     copied = winners.where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", "target")
     out = p.join(copied, "digest", "left")
     return out.select("page_id", "url", "html", "digest", F.when(F.col("target") > F.col("page_id"), F.col("target")).alias("target"))
