@@ -1,0 +1,44 @@
+"""Outside popularity signals and causal chains."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from newsloom.functions.scores import causal_confidence
+from newsloom.functions.text import tokens
+
+
+def match(events: DataFrame, signals: DataFrame, words: int = 3) -> DataFrame:
+    """The best signal per event and source: exact URL 1.0, else `words` shared title words 0.7.
+
+    URL and word matches are equi-joins on inverted lists instead of comparing all pairs; the best
+    has the largest confidence * (score + 100), ties to the smaller signal id.
+    """
+    by_url = events.join(signals, "url_key").select("event_id", "source", "signal_id", "score", F.lit(1.0).alias("confidence"))
+    e = events.select("event_id", F.explode(tokens(F.col("title"))).alias("t"))
+    s = signals.select("signal_id", "source", "score", F.explode(tokens(F.col("title"))).alias("t"))
+    by_words = e.join(s, "t").groupBy("event_id", "source", "signal_id").agg(F.count("*").alias("shared"), F.first("score").alias("score")).where(F.col("shared") >= words).select("event_id", "source", "signal_id", "score", F.lit(0.7).alias("confidence"))
+    best = Window.partitionBy("event_id", "source").orderBy((F.col("confidence") * (F.col("score") + 100)).desc(), "signal_id")
+    return by_url.unionByName(by_words).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+
+def match_stats(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("source").agg(F.count("*").alias("matches"), F.round(F.avg("confidence"), 3).alias("confidence"))
+
+
+def breaking(signals: DataFrame, pushed: DataFrame, noise: str, event: str, least: dict[str, int], most: int = 5) -> DataFrame:
+    """Signals that are no noise, name an event, reach their source's threshold and were not pushed: the first `most`."""
+    bar = F.lit(None).cast("int")
+    for source, points in least.items():
+        bar = F.when(F.col("source") == source, points).otherwise(bar)
+    hot = signals.where(~F.col("title").rlike(noise) & F.col("title").rlike(event) & (F.col("points") >= bar))
+    return hot.join(pushed.select("sig_id").distinct(), "sig_id", "left_anti").orderBy(F.desc("points"), "sig_id").limit(most)
+
+
+def causal(articles: DataFrame, triggers: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, chain_id, assets, confidence): chains that an article's events trigger, with the assets both name."""
+    hit = articles.select("id", "level", F.col("assets").alias("named"), F.explode("events").alias("event")).join(triggers, "event").select("id", "level", "named", "chain_id", "hit_rate").dropDuplicates(["id", "chain_id"])
+    reached = edges.groupBy("chain_id").agg(F.collect_set("to").alias("reached"))
+    out = hit.join(reached, "chain_id").withColumn("assets", F.size(F.array_intersect("named", "reached")))
+    return out.select("id", "chain_id", F.col("assets").cast("bigint"), causal_confidence(F.col("hit_rate"), F.col("assets"), F.col("level")).alias("confidence"))
