@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 
 def moving_average(events: DataFrame) -> DataFrame:
-    """(name, avg, failures, runs): 0.7 old + 0.3 new, rounded to two places at each success with a time.
+    """(name, avg_time, failures, runs): 0.7 old + 0.3 new, rounded half to even to two places at each success with a time.
 
-    A fold over each source's runs in order, inside one expression; the array holds one source's
-    runs, which retention bounds.
+    A fold over each source's runs in order, inside one expression, in whole hundredths, so the
+    rounding at each step is exact. The array holds one source's runs, which retention bounds.
     """
-    run = F.struct("at", "seq", "ok", "took")
-    start = F.struct(F.lit(0.0).alias("avg"), F.lit(0).alias("failures"))
+    run = F.struct("at", "seq", "ok", F.round(F.col("took") * 100).cast("bigint").alias("took"))
+    start = F.struct(F.lit(0).cast("bigint").alias("avg"), F.lit(0).alias("failures"))
 
     def step(acc, r):
-        both = (acc["avg"] > 0) & (r["took"] > 0)
-        new = F.when(both, F.bround(0.7 * acc["avg"] + 0.3 * r["took"], 2)).when(r["took"] > 0, r["took"]).otherwise(acc["avg"])
+        tenths = 7 * acc["avg"] + 3 * r["took"]
+        whole, rest = F.floor(tenths / 10), tenths % 10
+        mean = whole + F.when((rest > 5) | ((rest == 5) & (whole % 2 == 1)), 1).otherwise(0)
+        new = F.when(r["took"] <= 0, acc["avg"]).when(acc["avg"] > 0, mean).otherwise(r["took"])
         return F.struct(F.when(r["ok"], new).otherwise(acc["avg"]).alias("avg"), F.when(r["ok"], 0).otherwise(acc["failures"] + 1).alias("failures"))
 
     runs = events.groupBy("name").agg(F.array_sort(F.collect_list(run)).alias("runs"))
     out = runs.withColumn("s", F.aggregate("runs", start, step))
-    return out.select("name", F.col("s.avg").alias("avg_time"), F.col("s.failures").alias("failures"), F.size("runs").cast("bigint").alias("runs"))
+    return out.select("name", (F.col("s.avg") / 100).alias("avg_time"), F.col("s.failures").alias("failures"), F.size("runs").cast("bigint").alias("runs"))
 
 
 def failure_runs(events: DataFrame, least: int = 1) -> DataFrame:

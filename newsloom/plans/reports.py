@@ -184,10 +184,11 @@ def late_reactivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.not_rendered(i, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).select("user_id", "n")
 
 
-@query("W06, R07", f"""WITH RECURSIVE {HEALTH}, o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY "at", seq) AS n FROM h),
-f AS (SELECT name, 0::BIGINT AS n, 0.0::DOUBLE AS avg, 0 AS failures FROM (SELECT DISTINCT name FROM h)
-  UNION ALL SELECT o.name, o.n, CASE WHEN NOT ok THEN avg WHEN avg > 0 AND took > 0 THEN round_even(0.7 * avg + 0.3 * took, 2) WHEN took > 0 THEN took ELSE avg END, CASE WHEN ok THEN 0 ELSE failures + 1 END FROM f JOIN o ON o.name = f.name AND o.n = f.n + 1)
-SELECT name, max_by(avg, n) AS avg_time, max_by(failures, n) AS failures, max(n) AS runs FROM f GROUP BY name""")
+@query("W06, R07", f"""WITH RECURSIVE {HEALTH}, o AS (SELECT name, ok, round(took * 100)::BIGINT AS c, row_number() OVER (PARTITION BY name ORDER BY "at", seq) AS n FROM h),
+f AS (SELECT name, 0::BIGINT AS n, 0::BIGINT AS avg, 0 AS failures FROM (SELECT DISTINCT name FROM h)
+  UNION ALL SELECT o.name, o.n, CASE WHEN NOT ok OR c <= 0 THEN avg WHEN avg > 0 THEN (7 * avg + 3 * c) // 10 + CASE WHEN (7 * avg + 3 * c) % 10 > 5 OR ((7 * avg + 3 * c) % 10 = 5 AND (7 * avg + 3 * c) // 10 % 2 = 1) THEN 1 ELSE 0 END ELSE c END,
+    CASE WHEN ok THEN 0 ELSE failures + 1 END FROM f JOIN o ON o.name = f.name AND o.n = f.n + 1)
+SELECT name, max_by(avg, n) / 100 AS avg_time, max_by(failures, n) AS failures, max(n) AS runs FROM f GROUP BY name""")
 def health_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.moving_average(source_runs(spark, sf_dir))
 

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.plans.registry import query
+from newsloom.plans import reports  # noqa: F401  (its queries are referred to)
+from newsloom.plans.registry import QUERIES, query
 from newsloom.sources.tables import shared_dir, table
 from newsloom.streaming import jobs
 
@@ -38,7 +39,7 @@ def stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"))
 
 
-@query("R06, R07, W06")
+@query("R06, R07, W06", QUERIES["health_ema"].sql)
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _stream(spark, sf_dir).select(F.col("user_id").alias("name"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("took"))
     rows = jobs.run_available(jobs.health(runs), _folder(spark, "health"), "update")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HEALTH_OUT = "name bigint, avg_time double, failures bigint, runs bigint"
-HEALTH_STATE = "avg double, failures bigint, runs bigint"
+HEALTH_STATE = "avg bigint, failures bigint, runs bigint"
 
 
 def exact_dedup(items: DataFrame, stamp: str, keys: list[str], hours: int = 72) -> DataFrame:
@@ -29,15 +29,17 @@ def session_counts(items: DataFrame, stamp: str, key: str, gap: str = "30 minute
 
 
 def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    avg, failures, runs = state.get if state.exists else (0.0, 0, 0)
+    avg, failures, runs = state.get if state.exists else (0, 0, 0)
     rows = pd.concat(list(parts)).sort_values(["at", "seq"], kind="stable")
     for ok, took in zip(rows.ok, rows.took, strict=True):
         runs += 1
         failures = 0 if ok else failures + 1
-        if ok and took > 0:
-            avg = round(0.7 * avg + 0.3 * took, 2) if avg > 0 else took
-    state.update((float(avg), int(failures), int(runs)))
-    yield pd.DataFrame({"name": [key[0]], "avg_time": [avg], "failures": [failures], "runs": [runs]})
+        cents = round(took * 100)
+        if ok and cents > 0:
+            whole, rest = divmod(7 * avg + 3 * cents, 10)
+            avg = whole + (rest > 5 or rest == 5 and whole % 2 == 1) if avg > 0 else cents
+    state.update((int(avg), int(failures), int(runs)))
+    yield pd.DataFrame({"name": [key[0]], "avg_time": [avg / 100], "failures": [failures], "runs": [runs]})
 
 
 def health(runs: DataFrame) -> DataFrame:
