@@ -51,7 +51,8 @@ def anchors(h: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray
     start, name = np.arange(n, dtype=np.int64), h
     edge = np.zeros(n, bool)
     edge[at[:-1][at[:-1] < n]] = True
-    lo, hi = np.where(edge, -FAR, start), np.where(edge, FAR, start)
+    # before the first round every border is one wherever the words stand; a row's ends are certain in no later round
+    lo, hi, last = start.copy(), start.copy(), np.int64(n)
     up, down = tk.powers(tk._Q, n + 1)
     for k in range(1, ROUNDS + 1):
         if start.size < 3:
@@ -61,7 +62,7 @@ def anchors(h: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray
         gone[1:] = ((name[1:] == name[:-1]) | (~right[:-1] & right[1:])) & ~edge[1:]
         meet = np.zeros(start.size, np.uint64)
         meet[1:] = tk.mix(name[:-1] * np.uint64(0xA24BAED4963EE407) + name[1:] + np.uint64(k))
-        wide_lo, wide_hi = np.r_[-FAR, lo[:-1]], np.r_[hi[1:], FAR]
+        wide_lo, wide_hi, last = np.r_[-FAR, lo[:-1]], np.r_[hi[1:], last], FAR
         keep = np.flatnonzero(~gone)
         total = np.zeros(start.size + 1, np.uint64)
         np.cumsum(name * up[: start.size], out=total[1:])
