@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.shared import cut
 
-K, FACTOR, SHARD, BLOCK, LEAF = 10, 5.0, 8192, 2048, 96
+K, SHARD, BLOCK, LEAF = 10, 8192, 2048, 96
+#: Factors that tune() tries, the recall that it asks for within one shard, and its number of queries.
+FACTORS, RECALL, TUNING = (12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5, 1.0), 0.97, 64
 
 
 def usable(v: Column) -> Column:
@@ -160,7 +162,7 @@ def _answers(k: int, factor: float) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                tree = Tree(np.frombuffer(r["points"]).reshape(r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1), np.frombuffer(r["nodes"]).reshape(-1, 9))
+                tree = _tree(r)
                 who = np.frombuffer(r["who"], np.int64)
                 dist, place = tree.search(np.frombuffer(r["queries"]).reshape(len(who), r["dim"]), k + 1, factor)
                 # every id of the points found, but the query's own
@@ -175,8 +177,33 @@ def _answers(k: int, factor: float) -> object:
     return run
 
 
-def search(trees: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each usable query (vec_id, embedding)."""
+def tune(trees: DataFrame, k: int = K, recall: float = RECALL, queries: int = TUNING) -> float:
+    """The largest of FACTORS that finds `recall` of the true neighbours of a few points of the largest shard.
+
+    One shard reaches the driver, whose size is bounded. What shards miss far from a query is
+    replaced by nearer points of others, so the merged recall is higher.
+    """
+    r = trees.orderBy(F.desc("n"), "dim", "shard").limit(1).toArrow().to_pylist()
+    if not r:
+        return 1.0
+    tree = _tree(r[0])
+    at = np.unique(np.linspace(0, len(tree.points) - 1, queries).astype(int))
+    truth = tree.search(tree.points[at], k + 1, 1.0)[1]
+    for factor in FACTORS:
+        found = tree.search(tree.points[at], k + 1, factor)[1]
+        hit = sum(np.isin(t[t >= 0], f).sum() for t, f in zip(truth, found, strict=True))
+        if hit >= recall * (truth >= 0).sum():
+            return factor
+    return 1.0
+
+
+def _tree(r: dict) -> Tree:
+    return Tree(np.frombuffer(r["points"]).reshape(r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1), np.frombuffer(r["nodes"]).reshape(-1, 9))
+
+
+def search(trees: DataFrame, queries: DataFrame, k: int = K, factor: float | None = None, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each usable query (vec_id, embedding); factor None is tuned."""
+    factor = tune(trees, k) if factor is None else factor
     q = queries.select("vec_id", "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).dropDuplicates().withColumn("dim", F.size("embedding"))
     q = cut(q, "queries")
     blocks = q.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
@@ -194,6 +221,6 @@ def search(trees: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(vectors: DataFrame, every: int = 100, k: int = K, factor: float = FACTOR) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 100, k: int = K, factor: float | None = None) -> DataFrame:
     """The k nearest found of each row whose vec_id is divisible by `every`, among all other rows."""
     return search(index(vectors, k), vectors.where(F.col("vec_id") % every == 0), k, factor)
