@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from newsloom.llm import arrow_tokens, compression_lang, jaccard, mixing, winnowing
 from newsloom.llm.shared import cut, table
 
+#: The workers that encode also run the other stages; their table of words is kept smaller here.
+KNOWN_WORDS = 120_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected."""
@@ -32,7 +35,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, read back from the token files."""
     import public_tokenizers
 
-    return arrow_tokens.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return arrow_tokens.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=KNOWN_WORDS)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("tokens", tokens)]

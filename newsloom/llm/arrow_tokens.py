@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.shared import cut, shared_dir
 
-LENGTH, BATCH_ROWS, ROLL, END_ID, KNOWN_WORDS = 2048, 256, 8 << 20, 1, 500_000
+LENGTH, BATCH_ROWS, ROLL, END_ID, KNOWN_WORDS = 2048, 256, 4 << 20, 1, 400_000
 FILES = "file string, n_ids bigint"
 DOCS = "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"
 #: a character that is one token of its own between words, to tell the words of a batch apart
@@ -55,6 +56,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self._without_front(path)
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -62,8 +64,25 @@ class Coder:
         #: words met lately, and those of the generation before
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.limit = KNOWN_WORDS
         self.stop = self.ids([_BREAK])[0]
 
+    @staticmethod
+    def _without_front(path: str) -> object | None:
+        """The same model for text that is normal, lower case and split already; None where its front end does more."""
+        import json
+
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        steps = [x["type"] for x in (whole.get("normalizer") or {}).get("normalizers", [])]
+        parts = (whole.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+            return None
+        whole["normalizer"], parts[0] = None, {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(whole))
+
     @classmethod
     def of(cls, path: str) -> Coder:
         if path not in _coders:
@@ -73,6 +92,10 @@ class Coder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def task_done(self) -> None:
+        """Between tasks a worker keeps one generation of words."""
+        self.older = {}
+
     def learn(self, words: set[bytes]) -> None:
         known, older = self.known, self.older
         letters, compound, other = set(), [], []
@@ -91,7 +114,10 @@ class Coder:
                     other.append(tail)
             if stem not in known:
                 letters.add(stem)
-        self._letters([w for w in letters if not self._from_older(w)])
+        new = [w for w in letters if not self._from_older(w)]
+        # ASCII words are in lower case here; others apart, since one of them can need the full front end
+        self._letters([w for w in new if w.isascii()])
+        self._letters([w for w in new if not w.isascii()], 200)
         self._other(list(dict.fromkeys(other)))
         for w, stem, tail in compound:
             known[w] = known[stem] + known[tail]
@@ -106,10 +132,14 @@ class Coder:
         for w, a, b in zip(words, first, last, strict=True):
             self.known[w] = raw[a * size : b * size]
 
-    def _letters(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4000):
-            part = words[i : i + 4000]
-            ids = np.array(self.ids([b" ".join(part).decode()])[0], self.dtype)
+    def _letters(self, words: list[bytes], most: int = 4000) -> None:
+        for i in range(0, len(words), most):
+            part = words[i : i + most]
+            text = b" ".join(part).decode()
+            if self.plain is not None and text == text.lower() and is_normalized("NFC", text):
+                ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            else:
+                ids = np.array(self.ids([text])[0], self.dtype)
             at = np.flatnonzero(self.ends[ids]) + 1
             if at.size == len(part):
                 self._cut(part, ids, [0, *at[:-1].tolist()], at.tolist())
@@ -128,18 +158,19 @@ class Coder:
         for w, ids in zip(rest, self.ids([w.decode() for w in rest]) if rest else [], strict=True):
             self.known[w] = np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """ids of each text as bytes, about a megabyte of text at a time."""
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """ids of each text as bytes, about a megabyte of text at a time; null is the empty text."""
         i = 0
         while i < len(texts):
             words, at, size = [], [0], 0
             while i < len(texts) and size < 1 << 20:
+                text = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
                 # special tokens are matched before lower-casing
-                words += (texts[i] if b"<|" in texts[i] else texts[i].lower()).split()
+                words += (text if b"<|" in text else text.lower()).split()
                 at.append(len(words))
-                size += len(texts[i])
+                size += len(text)
                 i += 1
-            if len(self.known) > KNOWN_WORDS:
+            if len(self.known) > self.limit:
                 self.known, self.older = {}, self.known
             found = list(map(self.known.get, words))
             gaps = [j for j, ids in enumerate(found) if ids is None]
@@ -164,7 +195,7 @@ def sequences(ids: np.ndarray, docs: list[tuple], length: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), length), pa.FixedSizeListArray.from_arrays(pa.array(np.arange(padded.size) < ids.size), length), held], names=["ids", "mask", "docs"])
 
 
-def _writer(folder: str, path: str, length: int, roll: int, end_id: int) -> object:
+def _writer(folder: str, path: str, length: int, roll: int, end_id: int, known_words: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as fs
         from pyspark import TaskContext
@@ -172,6 +203,7 @@ def _writer(folder: str, path: str, length: int, roll: int, end_id: int) -> obje
         ctx = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         coder = Coder.of(path)
+        coder.limit = known_words
         end = np.array([end_id], coder.dtype).tobytes()
         held, docs, size, files = [], [], 0, 0
 
@@ -188,8 +220,7 @@ def _writer(folder: str, path: str, length: int, roll: int, end_id: int) -> obje
             return row
 
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")), strict=True):
                 held += (ids, end)
                 n = len(ids) // coder.dtype.itemsize + 1
                 docs.append((doc_id, size, n))
@@ -198,18 +229,23 @@ def _writer(folder: str, path: str, length: int, roll: int, end_id: int) -> obje
                     yield flush()
         if docs:
             yield flush()
+        coder.task_done()
 
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, roll: int = ROLL, end_id: int = END_ID) -> DataFrame:
-    """Write all documents below folder; (file, n_ids) of the files, as a table."""
+def write(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, roll: int = ROLL, end_id: int = END_ID, known_words: int = KNOWN_WORDS) -> DataFrame:
+    """Write all documents below folder; (file, n_ids) of the files, as a table.
+
+    known_words bounds a generation of the table of words in each Python worker (some 150 bytes a
+    word, two generations); a smaller one costs time where words come back.
+    """
     import pyarrow.fs as fs
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     ordered = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), "th").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
-    return cut(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, length, roll, end_id), FILES), "token-files")
+    return cut(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, length, roll, end_id, known_words), FILES), "token-files")
 
 
 def open_file(source: str | pa.Buffer) -> pa.ipc.RecordBatchFileReader:
@@ -247,11 +283,11 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     return found.join(offsets, "file").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, known_words: int = KNOWN_WORDS) -> DataFrame:
     """Tokenize, write and read back all documents."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    files = write(docs, folder, tokenizer, end_id=end_id)
+    files = write(docs, folder, tokenizer, end_id=end_id, known_words=known_words)
     if not files.limit(1).count():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return read(spark, folder, files)
