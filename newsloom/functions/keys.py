@@ -28,7 +28,7 @@ def cache_url(url: Column) -> Column:
     bare = F.lower(F.regexp_replace(F.trim(url), "/+$", ""))
     bare = F.regexp_replace(F.regexp_replace(bare, r"^https?://(www\.)?", ""), r"#.*$", "")
     bare = F.regexp_replace(bare, r"([?&])(utm_[^=&]*|ref|fbclid|gclid|source|mc_[^=&]*)=[^&]*", r"$1")
-    return _digest(F.regexp_replace(F.regexp_replace(bare, r"&+", "&"), r"[?&]+$", ""))
+    return _digest(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"&+", "&"), r"\?&", "?"), r"[?&]+$", ""))
 
 
 def signal_url(url: Column) -> Column:

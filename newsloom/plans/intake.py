@@ -137,7 +137,7 @@ _U = "regexp_replace(trim(url), '/+$', '')"
 
 @query("P04, §1.4", f"""SELECT page_id, substr(sha256(lower({_U})), 1, 32) AS article_key,
  substr(sha256(lower(regexp_replace(regexp_replace({_U}, '^https?://(www\\.)?', ''), '[?#].*$', ''))), 1, 32) AS dedup_key,
- substr(sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_U}), '^https?://(www\\.)?', ''), '#.*$', ''), '([?&])(utm_[^=&]*|ref|fbclid|gclid|source|mc_[^=&]*)=[^&]*', '\\1', 'g'), '&+', '&', 'g'), '[?&]+$', '')), 1, 32) AS cache_key,
+ substr(sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_U}), '^https?://(www\\.)?', ''), '#.*$', ''), '([?&])(utm_[^=&]*|ref|fbclid|gclid|source|mc_[^=&]*)=[^&]*', '\\1', 'g'), '&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+$', '')), 1, 32) AS cache_key,
  lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) || lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')) AS signal_key FROM pages""")
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")

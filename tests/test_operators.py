@@ -1,0 +1,245 @@
+"""Operators on small fixtures: order-dependent folds, state, feeds, text functions, streams."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom import schemas
+from newsloom.functions import keys, scores, text
+from newsloom.operators import dedup, entities, events, filters, graph, health, ranking, signals, store
+from newsloom.sources import feeds
+from newsloom.streaming import jobs
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("https://www.x.com/a?b=1", "http://x.com/a", True), ("http://x.com/a/", "http://x.com/a", True), ("http://x.com/a", "http://x.com/b", False)])
+def test_dedup_url(spark, a, b, same):
+    assert (one(spark, keys.dedup_url(F.col("u")), u=a) == one(spark, keys.dedup_url(F.col("u")), u=b)) is same
+
+
+def test_keys(spark):
+    assert one(spark, keys.dedup_url(F.col("u")), u="") == ""
+    assert one(spark, keys.title_key(F.col("t")), t="A b\tC") == one(spark, keys.title_key(F.col("t")), t="abc")
+    assert one(spark, keys.cache_url(F.col("u")), u="http://a.b/c?utm_x=1&d=2#e") == one(spark, keys.cache_url(F.col("u")), u="https://www.a.b/c?d=2")
+    assert one(spark, keys.signal_url(F.col("u")), u="https://WWW.A.com:80/Path/?q") == "www.a.com/path"
+    assert one(spark, keys.signature_key(F.col("s")), s="launch: OpenAI launch gpt") == "gpt launch openai"
+    assert one(spark, keys.signature_key(F.col("s")), s="a b c d e") is None
+
+
+@pytest.mark.parametrize(("given", "want"), [("<p>Hello</p>", "Hello"), ("A &amp; B", "A & B"), (" a\n\n<br/>b &#8217; ", "a b")])
+def test_strip_html(spark, given, want):
+    assert one(spark, text.strip_html(F.col("h")), h=given) == want
+
+
+@pytest.mark.parametrize(("given", "hours"), [("3 days ago", 72), ("4w ago", 672), ("2 months ago", 1440), ("1 year ago", 8760), ("5 minutes ago", 5 / 60), ("", None), ("soon", None), ("3 days", None)])
+def test_relative_age(spark, given, hours):
+    got = one(spark, text.relative_age_hours(F.col("t")), t=given)
+    assert got == (None if hours is None else pytest.approx(hours))
+
+
+@pytest.mark.parametrize("given", ["Mon, 05 Jan 2026 10:00:00 +0000", "2026-01-05T10:00:00Z", "Mon, 05 Jan 2026 10:00:00 GMT", "2026-01-05 10:00:00"])
+def test_parse_date(spark, given):
+    assert one(spark, text.parse_date(F.col("t")), t=given) == dt.datetime(2026, 1, 5, 10)
+    assert one(spark, text.parse_date(F.col("t")), t="garbage") is None
+
+
+def test_truncate(spark):
+    cut = lambda t, n: one(spark, text.truncate_at_sentence(F.col("t"), n, "…"), t=t)
+    assert cut("short", 10) == "short"
+    assert cut("One. Two three four", 10) == "One.…"
+    assert cut("x" * 200, 50) == "x" * 49 + "…"
+
+
+def test_synonyms_and_scripts(spark):
+    assert one(spark, text.fold_synonyms(F.col("t"), [["发布", "推出", "首发"]]), t="首发 新品 推出") == "发布 新品 发布"
+    assert one(spark, text.mostly_cjk(F.col("t")), t="人工智能 ok") is True
+    assert one(spark, text.mostly_cjk(F.col("t")), t="mostly latin 人") is False
+
+
+def test_freshness_and_boost(spark):
+    fresh = [one(spark, F.round(scores.freshness(F.col("h")), 4), h=float(h)) for h in (0, 12, 18, 24, 48, 1000)]
+    assert fresh == [1.0, 1.0, 0.8, 0.6, 0.2921, 0.05]
+    rows = spark.createDataFrame([(1200, True, None, None), (600, False, None, None), (None, False, 600, 6000), (None, False, None, None)], "hn int, reddit boolean, hf int, github int")
+    assert [r.x for r in rows.select(scores.signal_boost(*(F.col(c) for c in rows.columns)).alias("x")).collect()] == [5, 4, 4, 0]
+
+
+def test_causal_confidence(spark):
+    rows = spark.createDataFrame([(0.65, 0, "high"), (0.5, 3, "low"), (0.9, 9, None), (1.0, 9, "high")], "h double, n int, l string")
+    assert [r.x for r in rows.select(scores.causal_confidence(F.col("h"), F.col("n"), F.col("l")).alias("x")).collect()] == [0.575, 0.55, 0.8, 1.0]
+
+
+def test_rate_limit_is_a_fold(spark):
+    rows = [(i, ["a"] if i % 2 else ["a", "b"], i == 9, 1) for i in range(12)] + [(20, None, False, 1), (21, ["a"], False, 2)]
+    df = spark.createDataFrame(rows, "id int, entities array<string>, protected boolean, day int")
+    seen, want = {}, []
+    for i, e, p, d in sorted(rows):
+        ok = p or all(seen.get((d, x), 0) < 3 for x in e or [])
+        for x in (e or []) if ok else []:
+            seen[d, x] = seen.get((d, x), 0) + 1
+        want += [i] * ok
+    assert sorted(r.id for r in filters.entity_rate_limit(df, 3, "id").collect()) == want
+
+
+def test_quota(spark):
+    for sizes in ((0, 300, 300), (200, 100, 100), (40, 10, 500)):
+        rows = [(t * 1000 + k, t) for t, n in enumerate(sizes) for k in range(n)] + [(9999, 7)]
+        got = filters.tiered_quota(spark.createDataFrame(rows, "id int, tier int"), 250, 60, [F.col("id")]).groupBy("tier").count().collect()
+        n0, k1 = sizes[0], min(sizes[1], max(60, (250 - sizes[0]) // 2))
+        want = {0: n0, 1: k1, 2: min(sizes[2], 250 - n0 - k1)}
+        assert {r.tier: r["count"] for r in got} == {t: n for t, n in want.items() if n > 0}
+
+
+def test_shift_suppression(spark):
+    t = dt.datetime(2026, 1, 1, 6)
+    h = dt.timedelta(hours=1)
+    rows = [(1, None, None), (2, t - h, None), (3, t + h, None), (4, t + h, t + 2 * h), (5, t + h, t), (6, t, None)]
+    df = spark.createDataFrame(rows, "id int, rendered_at timestamp, last_updated_at timestamp")
+    assert sorted(r.id for r in filters.not_rendered(df, F.lit(t)).collect()) == [1, 2, 4]
+
+
+def test_substantial(spark):
+    rows = [(1, "x" * 20, 0, ["d" * 10, "e" * 10], "", "", ""), (2, "x" * 20, 0, ["d" * 10], "bg", "", ""), (3, "x" * 20, 1, None, "bg", "", ""), (4, "x" * 20, 1, [], "", "", ""), (5, "x", 1, [], "bg", "", "")]
+    df = spark.createDataFrame(rows, "id int, summary string, level int, key_details array<string>, background string, deep_analysis string, detailed_content string")
+    assert sorted(r.id for r in filters.substantial(df).collect()) == [1, 3]
+
+
+def test_store(spark):
+    old = spark.createDataFrame([("a", "t", None, "collected"), ("b", "t", "s", "analyzed")], "id string, title string, summary string, status string")
+    new = spark.createDataFrame([("a", None, "n"), ("b", "x", "x"), ("c", "y", None)], "id string, title string, summary string")
+    got = {r.id: tuple(r)[1:] for r in store.upsert(old, new, "id", ["title", "summary"]).collect()}
+    assert got == {"a": ("t", "n", "collected", False), "b": ("t", "s", "analyzed", False), "c": ("y", None, "collected", True)}
+    again = store.insert_ignore(new.select("id"), new.select("id"), ["id"])
+    assert again.count() == 0
+    assert [tuple(r) for r in store.partial_update(old, new, "id", ["title"]).orderBy("id").select("id", "title").collect()] == [("a", "t"), ("b", "x")]
+
+
+def test_archive_crosses_the_year(spark, tmp_path):
+    rows = spark.createDataFrame([("k1", "2026-01"), ("k2", "2026-01")], "key string, month string")
+    store.append_archive(spark.createDataFrame([("k1", "2025-12"), ("k2", "2025-10")], "key string, month string"), f"{tmp_path}/a", "month")
+    archive = spark.read.schema("key string, month string").parquet(f"{tmp_path}/a")
+    fresh = store.archive_new(rows, archive, "key", "month", ["2026-01", "2025-12"])
+    assert [r.key for r in fresh.collect()] == ["k2"]
+
+
+def test_status_never_falls(spark):
+    ev = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (2, "b", 2), (3, "a", 0), (4, "a", 2)], "event_id int, source_name string, source_tier int")
+    new = events.status(ev)
+    assert {r.event_id: r.level for r in new.collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    old = spark.createDataFrame([(1, 3), (2, 0), (9, 2)], "event_id int, level int")
+    assert {r.event_id: r.level for r in events.upgraded(old, new).collect()} == {1: 3, 2: 2, 3: 3, 4: 1, 9: 2}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (200, 200)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_minhash_finds_reworded_titles(spark):
+    titles = [(1, "openai releases the new gpt model for everyone today in europe"), (2, "openai releases the new gpt model for everyone today in asia"), (3, "something else entirely happened far away from here")]
+    df = spark.createDataFrame(titles, "id int, title string")
+    pairs = dedup.candidates(dedup.bands(dedup.signatures(df, "id", "title", 64), "id", 2), "id")
+    assert [(r.later, r.earlier) for r in dedup.best_earlier(df, pairs, "id", "title", 0.6).collect()] == [(2, 1)]
+    same = spark.createDataFrame([(1, 2)], "earlier int, later int")
+    more = df.union(spark.createDataFrame([(k, f"filler words number{k}") for k in range(10, 30)], "id int, title string"))
+    assert dedup.tfidf_cosine(more, same, "id", "title").first().cosine > 0.4
+    assert dedup.tfidf_cosine(df, same, "id", "title").first().cosine == 0  # every shared term has idf ln(3/3)
+
+
+def test_minhash_matches_the_formula(spark):
+    import hashlib
+
+    got = {(r.id, r.i): r.h for r in dedup.signatures(spark.createDataFrame([(1, "alpha beta gamma")], "id int, t string"), "id", "t", 8).collect()}
+    for i, (a, b) in enumerate(dedup.coefficients(8)):
+        want = min(((a * int(hashlib.md5(w.encode()).hexdigest()[:16], 16) + b) % text.PRIME) & 0xFFFFFFFF for w in ("alpha", "beta", "gamma"))
+        assert got[1, i] == want
+
+
+def test_images_and_guard(spark):
+    rows = [(i, "http://x/c.png", [f"http://x/{i}.png"]) for i in range(3)] + [(3, "http://x/logo.png", None), (4, "http://x/u.png", None)]
+    df = spark.createDataFrame(rows, "id int, image string, alternates array<string>")
+    assert {r.id: r.image_used for r in ranking.images(df, "logo").collect()} == {0: "http://x/0.png", 1: "http://x/1.png", 2: "http://x/2.png", 3: "", 4: "http://x/u.png"}
+    items = spark.createDataFrame([(k,) for k in "abcd"], "k string")
+    assert ranking.storyline_guard(items, items.where("k in ('a', 'b')"), "k").count() == 2
+    assert ranking.storyline_guard(items, items.where("k <> 'd'"), "k").count() == 4
+    assert ranking.storyline_guard(items, items.limit(0), "k").count() == 4
+
+
+def test_breaking_and_matching(spark):
+    s = spark.createDataFrame([(1, "hn", "X launches Y", 400), (2, "hn", "why X launches Y", 900), (3, "hn", "X launches Z", 100), (4, "hf", "X launches W", 2500), (5, "hn", "X launches V", 800)], "sig_id int, source string, title string, points int")
+    pushed = spark.createDataFrame([(5,)], "sig_id int")
+    got = signals.breaking(s, pushed, "(?i)^why", "(?i)launch", {"hn": 300, "hf": 2000})
+    assert [r.sig_id for r in got.collect()] == [4, 1]
+    e = spark.createDataFrame([(1, "u1", "alpha beta gamma delta"), (2, "u9", "nothing shared")], "event_id int, url_key string, title string")
+    g = spark.createDataFrame([(10, "hn", "u1", "other", 5), (11, "hn", "u2", "alpha beta gamma", 900)], "signal_id int, source string, url_key string, title string, score int")
+    assert [(r.event_id, r.signal_id, r.confidence) for r in signals.match(e, g).collect()] == [(1, 11, 0.7)]
+
+
+def test_health(spark):
+    at = dt.datetime(2026, 1, 1)
+    runs = [("a", at, k, ok, took) for k, (ok, took) in enumerate([(True, 1.0), (True, 2.05), (False, 9.0), (False, 9.0), (True, 0.0), (False, 1.0)])]
+    df = spark.createDataFrame(runs, "name string, at timestamp, seq int, ok boolean, took double")
+    assert tuple(health.moving_average(df).first()) == ("a", 1.32, 1, 6)
+    assert sorted(r.length for r in health.failure_runs(df).collect()) == [1, 2]
+    v = spark.createDataFrame([("g", "correct"), ("g", "partially"), ("g", "wrong"), ("h", "unverifiable")], "group string, verdict string")
+    assert {r.group: r.accuracy for r in health.scorecard(v).collect()} == {"g": 50.0, "h": None}
+
+
+def test_entities(spark):
+    registry = [{"id": "x", "tier": 0, "primary": ["s1"], "backup": [], "keywords": ["alpha"]}, {"id": "y", "tier": 1, "primary": [], "backup": [], "keywords": ["beta"]}]
+    df = spark.createDataFrame([(1, "Alpha BETA", "", "s9"), (2, None, None, "s1"), (3, "beta", "", "s2"), (4, "none", "", None)], "id int, title string, summary string, source_name string")
+    got = {r.id: (r.entities, r.protected) for r in entities.tag(df, registry).collect()}
+    assert got == {1: (["x", "y"], True), 2: (["x"], True), 3: (["y"], False), 4: ([], False)}
+
+
+RSS = '<?xml version="1.0"?><rss version="2.0" xmlns:media="http://x"><channel><title>c</title><item><title>One &amp; two</title><link>http://a/1?x=1&y=2</link><description><![CDATA[<p>Hello <b>x</b> &amp; y</p>]]></description><pubDate>Mon, 05 Jan 2026 10:00:00 +0000</pubDate><media:content url="http://i/1.png"/></item><item><title>Two</title><link>http://a/2</link></item></channel></rss>'
+ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link href="http://b/1" rel="alternate"/><summary>s</summary><updated>2026-01-05T10:00:00Z</updated></entry></feed>'
+
+
+def test_feeds(spark, tmp_path):
+    rows = [("r", RSS), ("a", ATOM), ("bad", "not xml"), ("empty", ""), ("none", None), ("broken", "<rss><channel><item><title>x")]
+    got = feeds.items(spark.createDataFrame(rows, "source_name string, xml string")).orderBy("source_name", "pos").collect()
+    assert [(r.source_name, r.title, r.link) for r in got] == [("a", "A", "http://b/1"), ("r", "One & two", "http://a/1?x=1&y=2"), ("r", "Two", "http://a/2")]
+    assert got[1].summary == "Hello x & y" and got[2].published is None and got[1].published == dt.datetime(2026, 1, 5, 10)
+    (tmp_path / "x.xml").write_text(RSS)
+    assert feeds.items(feeds.raw_files(spark, str(tmp_path))).count() == 2
+    (tmp_path / "l.log").write_text("2026-01-05 10:00:00 [ERROR] mod: failed once\nnoise\n2026-01-05 10:00:01 [ERROR] mod: failed once\n")
+    assert health.error_rollup(feeds.log_lines(spark, f"{tmp_path}/l.log")).first().n == 2
+    (tmp_path / "h.jsonl").write_text('{"run_id": "1", "kept": 3}\nbroken\n')
+    assert feeds.json_lines(spark, f"{tmp_path}/h.jsonl", schemas.RUN_HEALTH).where("kept = 3").count() == 1
+
+
+def test_recent(spark):
+    now = dt.datetime(2026, 1, 10)
+    day = dt.timedelta(days=1)
+    rows = [("a", 0, now), ("a", 1, now - 9 * day), ("a", 2, None), ("b", 0, now - 9 * day), ("b", 1, now - 8 * day)] + [("c", k, None) for k in range(6)] + [("d", k, now) for k in range(9)]
+    got = feeds.recent(spark.createDataFrame(rows, "source_name string, pos int, published timestamp"), F.lit(now), 24, 5).groupBy("source_name").count().collect()
+    assert {r.source_name: r["count"] for r in got} == {"a": 2, "b": 2, "c": 3, "d": 5}
+
+
+def test_conform(spark):
+    df = schemas.conform(spark.createDataFrame([("r", 1)], "run_id string, extra int"), schemas.RUN_HEALTH)
+    assert df.columns[:3] == ["run_id", "shift", "duration_sec"] and df.first().run_id == "r"
+
+
+def test_stream_state_over_batches(spark, tmp_path):
+    at = dt.datetime(2026, 1, 1)
+    schema = "name bigint, at timestamp, seq bigint, ok boolean, took double"
+    for k, part in enumerate([[(1, at, 1, True, 1.0)], [(1, at, 2, True, 2.05), (1, at, 3, False, 1.0)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = jobs.run_available(jobs.health(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out{k}", "update")
+        last = rows.orderBy(F.desc("runs")).first()
+    assert (last.avg_time, last.failures, last.runs) == (1.32, 1, 3)
+
+
+def test_upsert_sink_is_idempotent(spark, tmp_path):
+    write = jobs.upsert_sink(f"{tmp_path}/t", "k", "v")
+    first, second = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("b", 1)], [("a", 2)]))
+    write(first, 0)
+    write(second, 1)
+    write(second, 1)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=1").select("k", "v").collect()) == [("a", 2), ("b", 1)]
