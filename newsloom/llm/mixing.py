@@ -103,19 +103,25 @@ def training_order(docs: DataFrame, schedules: dict[str, list[tuple[float, float
     """A row of docs for each copy that the mix takes, range-sorted by training position.
 
     The last copy of a source's target holds only the words that are taken, joined by one space. schedules maps a
-    source to its knots and orders its words in time; sources without one are flat.
+    source to its knots and orders its words in time; sources without one are flat. The text moves
+    once to its place in its source and once to its place in the training order.
     """
     columns = docs.columns
-    p = plan(docs.select(F.struct(*columns).alias("mx_in"), "doc_id", "source", "text"))
+    others = [c for c in columns if c not in ("doc_id", "source", "text")]
+    packed = F.struct(*others) if others else F.lit(None).cast("string")
+    p = plan(docs.select(packed.alias("mx_others"), "doc_id", "source", "text"))
     copies = F.expr("case when mx_taken > 0 then sequence(0, cast(ceil(mx_taken / mx_size) - 1 as int)) else array() end")
-    out = p.select("*", F.explode(copies).alias("mx_copy"))
+    out = p.select("mx_others", "doc_id", "source", "text", "mx_size", "mx_taken", "mx_source_size", "mx_start", "mx_target", F.explode(copies).alias("mx_copy"))
     gone = F.col("mx_copy") * F.col("mx_source_size") + F.col("mx_start")
     position = when_taken(gone, F.col("mx_target"))
     for name, knots in (schedules or {}).items():
         position = F.when(F.col("source") == name, when_taken(gone, F.col("mx_target"), knots)).otherwise(position)
     left = F.col("mx_taken") - F.col("mx_copy") * F.col("mx_size")
-    cut_text = F.when(left >= F.col("mx_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.lit(1), F.greatest(left, F.lit(0)).cast("int")), " "))
-    out = out.withColumn("mx_at", position).withColumn("mx_text", cut_text)
+    out = out.select("mx_others", "doc_id", "source", "text", "mx_copy", F.when(left < F.col("mx_size"), left).alias("mx_left"), position.alias("mx_at"))
     out = out.repartitionByRange("mx_at", "doc_id", "mx_copy").sortWithinPartitions("mx_at", "doc_id", "mx_copy")
-    named = {"text": F.col("mx_text"), "n_chars": F.when(left >= F.col("mx_size"), F.col("mx_in.n_chars")).otherwise(F.length("mx_text")) if "n_chars" in columns else None}
-    return out.select(*((named[c] if named.get(c) is not None else F.col(f"mx_in.`{c}`")).alias(c) for c in columns))
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("mx_left").cast("int")), " ")
+    text = F.when(F.col("mx_left").isNull(), F.col("text")).otherwise(some)
+    named = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": text}
+    if "n_chars" in others:
+        named["n_chars"] = F.when(F.col("mx_left").isNull(), F.col("mx_others.n_chars")).otherwise(F.length(text))
+    return out.select(*((named[c] if c in named else F.col(f"mx_others.`{c}`")).alias(c) for c in columns))
