@@ -72,6 +72,20 @@ def idf(items: DataFrame, key: str, text: str) -> DataFrame:
     return document_frequency(items, key, text).join(F.broadcast(n)).select("term", "df", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
 
 
+def earlier_frequency(items: DataFrame, key: str, text: str, width: int = 100_000) -> DataFrame:
+    """(key, term, earlier): how many items of a smaller key hold the term.
+
+    Counted in two levels, within ranges of `width` keys and over the ranges' totals, so a term
+    that most items hold is not one task's work.
+    """
+    t = items.select(key, F.explode(tokens(F.col(text))).alias("term")).withColumn("part", F.floor(F.col(key) / width))
+    within = Window.partitionBy("term", "part").orderBy(key)
+    before = Window.partitionBy("term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = t.groupBy("term", "part").agg(F.count("*").alias("n")).select("term", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    counted = t.withColumn("place", F.row_number().over(within) - 1)
+    return counted.join(totals, ["term", "part"]).select(key, "term", (F.col("place") + F.col("before")).cast("bigint").alias("earlier"))
+
+
 def tfidf_cosine(items: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """(earlier, later, cosine) of the given pairs with global document frequencies."""
     words = items.select(key, F.explode(all_tokens(F.col(text))).alias("term"))
