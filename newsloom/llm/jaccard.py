@@ -423,9 +423,10 @@ def representatives(docs: DataFrame) -> DataFrame:
     members = cut(join(docs), "groups")
     dropped = members.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    again = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    again = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not again.limit(1).count():
         return kept
-    single = kept.join(again, F.expr("doc_id <=> again"), "left_anti")
-    several = kept.join(again, F.expr("doc_id <=> again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    same = F.expr("k.doc_id <=> a.doc_id")
+    single = kept.alias("k").join(again.alias("a"), same, "left_anti")
+    several = kept.alias("k").join(again.alias("a"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(several)
