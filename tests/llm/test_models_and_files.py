@@ -108,7 +108,7 @@ def test_boilerplate(spark):
 def test_suffix_array_marks_what_pages_share():
     draw = random.Random(2)
     for _ in range(40):
-        pages = [[draw.randrange(3) for _ in range(draw.randrange(0, 25))] for _ in range(draw.randrange(1, 6))]
+        pages = [[draw.randrange(3) for _ in range(draw.randrange(0, 25))] for _ in range(draw.randrange(1, 16))]
         want = []
         for i, p in enumerate(pages):
             flag = [False] * len(p)
@@ -248,3 +248,21 @@ def test_pipeline(spark, tmp_path, rows, docs):
     assert abs(sum(size.values()) - sum(whole.values())) <= 12
     assert Counter(r[0] for r in came["tokens"]) == Counter(r[0] for r in came["mixture"])
     assert Counter(map(tuple, corpus_pipeline.run(spark, f"{tmp_path}/d").collect())) == Counter(came["tokens"])
+
+
+def test_extra_columns_with_names_of_ours(spark, docs, none):
+    """Stages and queries with columns that are named like the operators' own, and on empty tables."""
+    from newsloom.llm import jaccard, mixing, recompression, winnowing
+
+    names = ["mx_at", "mx_size", "mx_others", "w_in", "w_text", "w_hits", "li_in", "li_text", "again", "node", "root", "th", "marks", "m_doc", "start", "n", "dim", "shard", "host", "digest", "target", "size"]
+    more = docs.where("doc_id < 60 or doc_id > 79").select("*", *(F.lit(1).alias(c) for c in names))
+    bench = spark.createDataFrame([(1, "the the the the the the the the the the the the the the", 2)], "item_id bigint, text string, w_in int")
+    for out in (compression_lang.accepted(more), jaccard.representatives(more), winnowing.clean(more, bench), mixing.training_order(more)):
+        assert out.columns == more.columns and out.count() > 0
+    for out in (mixing.mix(more), recompression.deduplicate(more), jaccard.join(more), winnowing.decontaminate(more, bench), compression_lang.predict(more)):
+        assert out.count() == more.count()
+    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").select("*", *(F.lit(1).alias(c) for c in names))
+    assert boilerplate.extract(pages).count() == warc.round_trip(pages).count() == len(PAGES)
+    empty = none.limit(0)
+    for out in (compression_lang.accepted(empty), jaccard.representatives(empty), winnowing.clean(empty, bench), mixing.training_order(empty)):
+        assert out.columns == docs.columns and out.count() == 0
