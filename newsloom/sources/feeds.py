@@ -70,13 +70,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def signals(hn: DataFrame, reddit: DataFrame, hub: DataFrame, github: DataFrame) -> DataFrame:
-    """One list of the four signal sources with each source's own score."""
+    """One list of the four signal sources with each source's own score; repeats by address or name count once."""
     integer = lambda e: F.floor(e).cast("int")
     return (
         hn.where("points >= 50").select(F.lit("hn").alias("source"), "title", "url", (F.col("points") + integer(F.col("comments") / 2)).alias("signal_score"))
-        .unionByName(reddit.dropDuplicates(["url"]).select(F.lit("reddit").alias("source"), "title", "url", F.lit(100).alias("signal_score")))
+        .unionByName(reddit.groupBy("url").agg(F.min("title").alias("title")).select(F.lit("reddit").alias("source"), "title", "url", F.lit(100).alias("signal_score")))
         .unionByName(hub.where("likes >= 5").select(F.lit("hf").alias("source"), "title", "url", (F.col("likes") * 10 + integer(F.col("downloads") / 1000)).alias("signal_score")))
-        .unionByName(github.dropDuplicates(["title"]).select(F.lit("github").alias("source"), "title", "url", (integer(F.col("stars") / 100) * 10 + integer(F.col("forks") / 50)).alias("signal_score")))
+        .unionByName(github.groupBy("title").agg(F.max(F.struct("stars", "forks", "url")).alias("x")).select(F.lit("github").alias("source"), "title", "x.url", (integer(F.col("x.stars") / 100) * 10 + integer(F.col("x.forks") / 50)).alias("signal_score")))
     )
 
 
