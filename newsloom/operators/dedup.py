@@ -25,17 +25,20 @@ def coefficients(n: int = HASHES) -> list[tuple[int, int]]:
 
 
 def signatures(items: DataFrame, key: str, text: str, n: int = HASHES) -> DataFrame:
-    """(key, i, h): the smallest of each hash over an item's tokens, without a UDF.
+    """(key, i, h): the smallest of each hash over an item's tokens, without a UDF and without a shuffle.
 
     x is the first 64 bits of a token's md5, h = (a x + b) mod (2^61 - 1), its low 32 bits are kept.
-    The products need 125 bits, so b x + a is taken in two exact halves of x. Only tokens' hashes
-    travel: one row per item and hash after the partial minimum.
+    x is reduced first, so the product has 37 digits at most and decimal arithmetic is exact. Items
+    without a token have no rows.
     """
-    spark = items.sparkSession
-    pairs = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(coefficients(n))], "i int, a string, b string").select("i", F.col("a").cast("decimal(20,0)").alias("a"), F.col("b").cast("decimal(20,0)").alias("b"))
-    x = items.select(key, F.explode(tokens(F.col(text))).alias("t")).select(key, F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)").alias("x"))
-    h = F.expr(f"cast(((cast(a * (x % cast({PRIME} as decimal(20,0))) as decimal(38,0)) % cast({PRIME} as decimal(20,0))) + b) % cast({PRIME} as decimal(20,0)) % 4294967296 as bigint)")
-    return x.join(F.broadcast(pairs)).select(key, "i", h.alias("h")).groupBy(key, "i").agg(F.min("h").alias("h"))
+    prime = F.lit(PRIME).cast("decimal(19,0)")
+    x = F.transform(tokens(F.col(text)), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)") % prime).cast("decimal(19,0)"))
+    rows = items.select(key, x.alias("_x")).where(F.size("_x") > 0)
+
+    def least(a: int, b: int):
+        return F.array_min(F.transform("_x", lambda v: ((((F.lit(a).cast("decimal(19,0)") * v).cast("decimal(38,0)") % prime + F.lit(b).cast("decimal(19,0)")) % prime) % F.lit(1 << 32).cast("decimal(19,0)")).cast("bigint")))
+
+    return rows.select(key, F.posexplode(F.array(*(least(a, b) for a, b in coefficients(n)))).alias("i", "h"))
 
 
 def bands(signature: DataFrame, key: str, rows: int) -> DataFrame:
@@ -68,8 +71,8 @@ def document_frequency(items: DataFrame, key: str, text: str) -> DataFrame:
 
 def idf(items: DataFrame, key: str, text: str) -> DataFrame:
     """(term, df, idf) with idf = ln(N / (1 + df)), which may be negative."""
-    n = items.agg(F.count("*").alias("n"))
-    return document_frequency(items, key, text).join(F.broadcast(n)).select("term", "df", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
+    n = items.count()
+    return document_frequency(items, key, text).select("term", "df", F.log(F.lit(n) / (1 + F.col("df"))).alias("idf"))
 
 
 def earlier_frequency(items: DataFrame, key: str, text: str, width: int = 100_000) -> DataFrame:

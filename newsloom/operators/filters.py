@@ -39,16 +39,14 @@ def per_source_cap(items: DataFrame, cap: int, order: list[Column], protected: C
 def tiered_quota(items: DataFrame, budget: int, floor: int, order: list[Column]) -> DataFrame:
     """All of tier 0, then max(floor, half of the rest) of tier 1, then tier 2 up to the budget.
 
-    Only one row of counts decides the limits; the rank within a tier is limited before it is
-    shuffled whole.
+    One row of counts decides the limits; the rank within a tier is limited before the shuffle.
     """
-    counts = items.agg(F.count_if(F.col("tier") == 0).alias("n0"), F.count_if(F.col("tier") == 1).alias("n1"))
-    allowed1 = F.greatest(F.lit(floor), F.floor((budget - F.col("n0")) / 2))
-    counts = counts.select("n0", F.least("n1", allowed1).alias("k1"))
+    n0, n1 = items.agg(F.count_if(F.col("tier") == 0), F.count_if(F.col("tier") == 1)).first()
+    k1 = min(n1, max(floor, (budget - n0) // 2))
     place = F.row_number().over(Window.partitionBy("tier").orderBy(*order))
-    ranked = items.withColumn("_place", place).where(F.col("tier").isin(0, 1, 2) & ((F.col("tier") == 0) | (F.col("_place") <= max(budget, floor))))
-    limit = F.when(F.col("tier") == 1, F.col("k1")).when(F.col("tier") == 2, budget - F.col("n0") - F.col("k1"))
-    return ranked.join(F.broadcast(counts)).where((F.col("tier") == 0) | (F.col("_place") <= limit)).drop("_place", "n0", "k1")
+    rest = items.where(F.col("tier").isin(1, 2)).withColumn("_place", place)
+    rest = rest.where(F.col("_place") <= F.when(F.col("tier") == 1, k1).otherwise(budget - n0 - k1))
+    return items.where("tier = 0").unionByName(rest.drop("_place"))
 
 
 def entity_rate_limit(items: DataFrame, cap: int, order: str, group: str = "day") -> DataFrame:

@@ -41,5 +41,5 @@ def images(items: DataFrame, noise: str, generic: int = 3) -> DataFrame:
 def storyline_guard(items: DataFrame, recurring: DataFrame, key: str) -> DataFrame:
     """Without recurring items, unless more than half would go; then all stay."""
     marked = items.join(recurring.select(key).distinct().withColumn("_old", F.lit(True)), key, "left")
-    share = marked.agg(F.count_if("_old").alias("old"), F.count("*").alias("n")).select((F.col("old") * 2 > F.col("n")).alias("_many"))
-    return marked.join(F.broadcast(share)).where(F.col("_many") | F.col("_old").isNull()).drop("_many", "_old")
+    old, n = marked.agg(F.count_if("_old"), F.count("*")).first()
+    return items if old * 2 > n else marked.where(F.col("_old").isNull()).drop("_old")
