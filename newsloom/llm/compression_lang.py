@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import crc_mod
+from newsloom.llm.shared import crc_mod, cut, small
 
 #: Documents and bytes of a language's sample, zstandard level, bytes of a segment, least relative margin.
 SAMPLE_DOCS, DICT_BYTES, LEVEL, SEGMENT, MARGIN = 400, 128 << 10, 6, 1024, 0.005
@@ -72,9 +72,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int =
     rows = labelled.where("text is not null and lang is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
+    chosen = cut(rows.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs), "language-sample")
     share = dict_bytes // max(1, sample_docs)
-    texts = rows.join(F.broadcast(chosen.select("lang", "doc_id", "place").distinct()), ["lang", "doc_id"]).select("lang", "place", F.substring("text", 1, 4 * share).alias("text"))
+    texts = rows.join(small(chosen.select("lang", "doc_id", "place").distinct()), ["lang", "doc_id"]).select("lang", "place", F.substring("text", 1, 4 * share).alias("text"))
     held: dict[str, list[bytes]] = {}
     for r in texts.orderBy("lang", "place", "text").toLocalIterator():
         held.setdefault(r.lang, []).append(letters(r.text).encode()[:share])

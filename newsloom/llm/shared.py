@@ -34,6 +34,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import cut
+from newsloom.llm.shared import cut, small
 
 K, SHARD, BLOCK, LEAF = 10, 8192, 2048, 96
 #: Factors that tune() tries, the recall that it asks for within one shard, and its number of queries.
@@ -147,7 +147,7 @@ def index(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     points = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     points = cut(points.withColumn("dim", F.size("embedding")), "points")
     shards = points.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = points.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
+    dealt = points.join(small(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
 
     def build(part: pa.Table) -> pa.Table:
         points, ids = _pack(part.sort_by([("ids_first", "ascending")]), k + 1)
@@ -208,13 +208,13 @@ def search(trees: DataFrame, queries: DataFrame, k: int = K, factor: float | Non
     q = cut(q, "queries")
     blocks = q.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
     shards = trees.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
-    dealt = q.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int"))
+    dealt = q.join(small(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int"))
 
     def pack(part: pa.Table) -> pa.Table:
         return pa.table({"dim": part.column("dim").slice(0, 1), "who": pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([np.array(part.column("embedding").to_pylist(), np.float64).tobytes()], pa.binary())})
 
     packed = dealt.select("dim", "block", "vec_id", "embedding").groupBy("dim", "block").applyInArrow(pack, "dim int, who binary, queries binary")
-    sent = packed.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    sent = packed.join(small(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     found = sent.join(trees, ["dim", "shard"]).mapInArrow(_answers(k, factor), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
