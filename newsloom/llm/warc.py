@@ -108,7 +108,8 @@ def write(planned: DataFrame, folder: str, compress: bool = True, roll: int = RO
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    done = planned.mapInPandas(_writer(folder, compress, roll), FILES).agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
+    # a fixed order in each partition gives a repeated task the same files
+    done = planned.sortWithinPartitions("page_id", "digest", "url").mapInPandas(_writer(folder, compress, roll), FILES).agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
     return done[0], done[1]
 
 
