@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.shared import cut
+
 #: Parts into which the md5 order of each source is cut for running sums, in hex digits.
 BUCKET_DIGITS, MAX_EPOCHS = 2, 3
 
@@ -33,13 +35,14 @@ def n_words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with mx_size, its place mx_order in its source, and mx_bucket."""
+    """docs with mx_size, mx_key (its source, never null), its place mx_order in its source, and mx_bucket."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.withColumn("mx_size", n_words(F.col(text))).withColumn("mx_order", order).withColumn("mx_bucket", F.substring("mx_order", 1, BUCKET_DIGITS))
+    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
+    return docs.withColumn("mx_size", n_words(F.col(text))).withColumn("mx_key", key).withColumn("mx_order", order).withColumn("mx_bucket", F.substring("mx_order", 1, BUCKET_DIGITS))
 
 
 def source_targets(totals: DataFrame, cycle: int = 3, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, mx_source_size, mx_target from one row (source, mx_source_size) per source.
+    """mx_key, source, mx_source_size, mx_target from one row (mx_key, source, mx_source_size) per source.
 
     Weights are 1, 2, ... cycle, repeating, over the sources by code point, null last.
     """
@@ -53,20 +56,21 @@ def source_targets(totals: DataFrame, cycle: int = 3, max_epochs: int = MAX_EPOC
     # the first source that is not full at the level left for it sets the level of all
     fits = F.when(F.col("mx_level") <= F.col("mx_full") / F.col("mx_weight"), F.col("mx_level"))
     w = w.withColumn("mx_water", F.max(fits).over(everything))
-    return w.select("source", "mx_source_size", F.least(F.coalesce(F.col("mx_water") * F.col("mx_weight"), F.col("mx_full")), F.col("mx_full")).alias("mx_target"))
+    return w.select("mx_key", "source", "mx_source_size", F.least(F.coalesce(F.col("mx_water") * F.col("mx_weight"), F.col("mx_full")), F.col("mx_full")).alias("mx_target"))
 
 
 def plan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with mx_size, mx_source_size, mx_target, mx_start (words of its source before it), mx_taken."""
     rows = sized(docs, text)
-    buckets = rows.groupBy("source", "mx_bucket").agg(F.sum("mx_size").alias("mx_words"))
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("mx_words").alias("mx_source_size")))
-    earlier = Window.partitionBy("source").orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.withColumn("mx_before", F.coalesce(F.sum("mx_words").over(earlier), F.lit(0))).drop("mx_words")
-    places = offsets.alias("o").join(targets.alias("t"), F.expr("o.source <=> t.source"), "left").select(F.col("o.source").alias("mx_of"), F.col("o.mx_bucket").alias("mx_b"), "mx_before", "mx_source_size", "mx_target")
-    inner = Window.partitionBy("source", "mx_bucket").orderBy("mx_order", "mx_size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = cut(rows.groupBy("mx_key", "source", "mx_bucket").agg(F.sum("mx_size").alias("mx_words")), "buckets")
+    targets = source_targets(buckets.groupBy("mx_key", "source").agg(F.sum("mx_words").alias("mx_source_size")))
+    earlier = Window.partitionBy("mx_key").orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select("mx_key", "mx_bucket", F.coalesce(F.sum("mx_words").over(earlier), F.lit(0)).alias("mx_before"))
+    places = offsets.join(targets.drop("source"), "mx_key")
+    inner = Window.partitionBy("mx_key", "mx_bucket").orderBy("mx_order", "mx_size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("mx_inner", F.coalesce(F.sum("mx_size").over(inner), F.lit(0)))
-    out = rows.join(places, F.expr("source <=> mx_of and mx_bucket = mx_b"), "left")
+    # the rows stand by key and bucket already, so this join moves only the bucket totals
+    out = rows.join(places, ["mx_key", "mx_bucket"])
     start = F.col("mx_before") + F.col("mx_inner")
     turns = F.when(F.col("mx_source_size") > 0, F.floor(F.col("mx_target") / F.col("mx_source_size"))).otherwise(0)
     last = F.floor(F.col("mx_target") - turns * F.col("mx_source_size"))
