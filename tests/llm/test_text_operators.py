@@ -176,6 +176,26 @@ def test_jaccard_large_group(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()) == Counter(groups(made))
 
 
+def test_jaccard_large_sets(spark):
+    """Long texts: near copies, copies just below the threshold, and texts that share only some passages."""
+    import random
+
+    draw = random.Random(8)
+    shared = [" ".join(f"c{draw.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    made = []
+    for i in range(24):
+        own = [f"v{i // 3}-{k}" for k in range(3000)]
+        for p in draw.sample(range(3000), (i % 3) * 34):
+            own[p] = f"z{i}-{p}"
+        for s in draw.sample(shared, 12):
+            own.insert(draw.randrange(3000), s)
+        made.append((i, " ".join(own), "en", "s", 1))
+    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = Counter(groups(made))
+    assert len({c for _, _, c in want}) > 1
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()) == want
+
+
 def test_representatives(docs, rows):
     kept = jaccard.representatives(docs)
     assert kept.columns == docs.columns
