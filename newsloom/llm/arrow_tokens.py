@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import cut, shared_dir
+from newsloom.llm.shared import cut, lean, shared_dir, small_batches
 
 LENGTH, BATCH_ROWS, ROLL, END_ID, KNOWN_WORDS = 2048, 256, 4 << 20, 1, 400_000
 FILES = "file string, n_ids bigint"
@@ -196,6 +196,7 @@ def sequences(ids: np.ndarray, docs: list[tuple], length: int) -> pa.RecordBatch
 
 
 def _writer(folder: str, path: str, length: int, roll: int, end_id: int, known_words: int) -> object:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as fs
         from pyspark import TaskContext
@@ -244,6 +245,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, ro
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
+    small_batches(docs.sparkSession)
     ordered = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), "th").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
     return cut(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, length, roll, end_id, known_words), FILES), "token-files")
 
@@ -259,6 +261,7 @@ def sequence(reader: pa.ipc.RecordBatchFileReader, i: int, batch_rows: int = BAT
     return batch.column("ids")[row].values.to_numpy(), batch.column("mask")[row].values.to_numpy(zero_copy_only=False)
 
 
+@lean
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):

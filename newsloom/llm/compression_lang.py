@@ -18,10 +18,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import crc_mod, cut, small
+from newsloom.llm.shared import crc_mod, cut, lean, small, small_batches
 
 #: Documents and bytes of a language's sample, zstandard level, bytes of a segment, least relative margin.
 SAMPLE_DOCS, DICT_BYTES, LEVEL, SEGMENT, MARGIN = 400, 128 << 10, 6, 1024, 0.005
@@ -82,10 +83,11 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int =
 
 
 def _classify(model, margin: float) -> object:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            found = [m.classify(t.as_py()) for t in batch.column("li_text")]
+            found = [m.classify(t.as_py()) for t in pc.struct_field(batch.column("li_in"), "text")]
             add = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < margin for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column("li_in"), *add], names=["li_in", "li_lang", "li_margin", "li_rejected"])
 
@@ -94,7 +96,8 @@ def _classify(model, margin: float) -> object:
 
 def identify(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
     """li_in (a struct of all columns of docs), li_lang, li_margin, li_rejected of every row; no shuffle."""
-    packed = docs.select(F.struct(*docs.columns).alias("li_in"), F.col("text").alias("li_text"))
+    small_batches(docs.sparkSession)
+    packed = docs.select(F.struct(*docs.columns).alias("li_in"))
     schema = f"li_in {packed.schema['li_in'].dataType.simpleString()}, li_lang string, li_margin double, li_rejected boolean"
     return packed.mapInArrow(_classify(docs.sparkSession.sparkContext.broadcast(model), margin), schema)
 

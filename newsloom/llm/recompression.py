@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import tokens as tk
-from newsloom.llm.shared import bloom, cut, in_bloom
+from newsloom.llm.shared import bloom, cut, in_bloom, lean
 
 SPAN, ROUNDS, CHUNK = 35, 7, 2 << 20
 FAR = np.int64(1 << 40)
@@ -98,6 +98,7 @@ def _parsed(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield lo, at, row, *anchors(h, at)
 
 
+@lean
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for *_, key, _ in _parsed(batch):
@@ -113,6 +114,7 @@ def _windows(repeated) -> object:
     """A row for each run of windows whose anchor may be repeated: known has a bit for each window that
     its chunk holds twice; windows (hashes) is sent unless earlier runs of the chunk sent them all."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = repeated.value
         for batch in batches:
@@ -145,6 +147,7 @@ def _windows(repeated) -> object:
     return run
 
 
+@lean
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks from rows sorted by key: windows that another run has too, and those known before."""
     rest: pa.Table | None = None
@@ -198,6 +201,7 @@ OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256
 
 
 def _kept(texts: bool) -> object:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sha, kept = [], [], [], []

@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import tokens as tk
-from newsloom.llm.shared import cut
+from newsloom.llm.shared import cut, lean, small_batches
 
 #: Words of a window, of a fingerprinted gram, and the largest slice of test texts broadcast at once.
 SPAN, K, SLICE_CHARS = 13, 5, 32 << 20
@@ -105,12 +106,13 @@ class Bench:
 def _scan(bench) -> object:
     """mapInArrow function: adds one slice's findings to w_words, w_hits, w_items and w_marks (hit words as bits)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bench.value
         keys = {own: np.unique(p[0]) for own, p in b.prints.items()}
         for batch in batches:
             n_words, hits, items, marks = [], batch.column("w_hits").to_pylist(), batch.column("w_items").to_pylist(), batch.column("w_marks").to_pylist()
-            for lo, hi, data, off in tk.chunks(batch.column("w_text")):
+            for lo, hi, data, off in tk.chunks(pc.struct_field(batch.column("w_in"), "text")):
                 data = tk.LOWER[data]
                 s, e, row = tk.spans(data, off, tk.ALNUM)
                 h = tk.word_hashes(data, s, e)
@@ -155,8 +157,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, most: int = SLICE_CHARS) -> Data
     One pass over the documents per slice of the benchmark and no shuffle. Passes beyond the first
     start from a written table, so one slice at a time is in a worker's memory.
     """
-    out = docs.select(F.struct(*docs.columns).alias("w_in"), F.col("text").alias("w_text"), F.lit(0).cast("bigint").alias("w_words"), F.lit(0).cast("bigint").alias("w_hits"), F.array().cast("array<string>").alias("w_items"), F.lit(None).cast("binary").alias("w_marks"))
+    out = docs.select(F.struct(*docs.columns).alias("w_in"), F.lit(0).cast("bigint").alias("w_words"), F.lit(0).cast("bigint").alias("w_hits"), F.array().cast("array<string>").alias("w_items"), F.lit(None).cast("binary").alias("w_marks"))
     schema = out.schema
+    small_batches(docs.sparkSession)
     for i, held in enumerate(slices(benchmark, most)):
         bench = docs.sparkSession.sparkContext.broadcast(Bench(held))
         out = (cut(out, "winnow") if i else out).mapInArrow(_scan(bench), schema)
