@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct k-word shingles (of all
 has fewer). Two sets link at Jaccard similarity `num / den` (80/100) or more. Documents with equal
 sets are one node; the join runs over nodes.
 
-1. One order of shingles for all: rare ones by hash, then those that many documents of a batch
+1. One order of shingles for all: rare ones by hash, then those that many documents
    share. Any order gives the same links; this one keeps common passages out of prefixes.
 2. Prefix filter: sets that link have a shingle in common within their first n - ceil(t n) + 1.
    Prefixes become index lists (shingle -> node, size, position), by one shuffle.
@@ -17,7 +17,9 @@ sets are one node; the join runs over nodes.
    leader already are not formed. Groups of thousands of near copies so cost a pass, not a square.
 5. What is left is counted per pair over all lists, bounded by the last common position and by
    parity bitmaps (two sets differ in at least as many shingles as their bitmaps differ in bits),
-   and verified on the sets. Long lists carry a small bitmap of each node for that.
+   and verified on the sets. List entries carry a small bitmap of their node for that, and the number
+   of its prefix shingles that any other prefix has, so pairs that share a few shingles by chance are
+   not formed at all. In large sets, which would fill it, the bitmap is of those prefix shingles.
 
 Node keys and shingles are 64-bit hashes. Null or word-less texts have an empty set and are
 linked with nothing. Repeated rows are members of the same node. Rows with a null doc_id take part
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import tokens as tk
 from newsloom.llm.graph import components
-from newsloom.llm.shared import bloom, cut, in_bloom
+from newsloom.llm.shared import bloom, cut, in_bloom, lean, small_batches
 
 #: Words of a shingle, threshold as a fraction, bound of the list of common shingles, and their least count.
 K, NUM, DEN, MOST_COMMON, COMMON = 5, 80, 100, 1 << 18, 8
-BLOCK, LONG, SMALL_BITS, MOST_BITS = 64, 8, 1024, 1 << 15
+BLOCK, LONG, SMALL_BITS, MOST_BITS, LARGE = 64, 8, 1024, 1 << 15, 2000
+#: Shingles that a worker holds at once.
+HELD = 1 << 21
 
 
 def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,44 +99,60 @@ def difference(a: bytes, b: bytes) -> int:
 SUMMARY = "doc_id bigint, n bigint, node bigint, common boolean, bits binary, small binary"
 
 
+@lean
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, node, bitmaps) of each row, and (null, count, shingle) of shingles that sets of a batch share.
 
-    The bitmaps stand in the first row of each node in a batch.
+    The bitmaps stand in the first row of each node in a task.
     """
     names = [x.split()[0] for x in SUMMARY.split(", ")]
+    some, held, seen = [], 0, set()
     for batch in batches:
         bits: list[bytes | None] = [None] * batch.num_rows
         small: list[bytes | None] = [None] * batch.num_rows
-        n, node, all_sets, seen = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], set()
+        n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for r, own in shingle_sets(batch):
             n[r], node[r] = own.size, node_key(own)
             if node[r] not in seen:
                 seen.add(node[r])
-                all_sets.append(own)
+                some.append(own)
+                held += own.size
+                if held > HELD:
+                    yield _shared(some, names)
+                    some, held = [], 0
                 bits[r], small[r] = parity(own, parity_bits(own.size)), parity(own, SMALL_BITS)
         ids = batch.column("doc_id")
         yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), pa.array(np.zeros(n.size, bool)), pa.array(bits, pa.binary()), pa.array(small, pa.binary())], names=names)
-        if all_sets:
-            every = np.sort(np.concatenate(all_sets))
-            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-            count = np.diff(np.r_[first, every.size])
-            keep = count >= 3
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep]), pa.array(every[first][keep].view(np.int64)), pa.array(np.ones(int(keep.sum()), bool)), pa.nulls(int(keep.sum()), pa.binary()), pa.nulls(int(keep.sum()), pa.binary())], names=names)
+    if some:
+        yield _shared(some, names)
+
+
+def _shared(sets: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """Rows of the shingles that three of the sets or more have."""
+    every = np.sort(np.concatenate(sets))
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    count = np.diff(np.r_[first, every.size])
+    keep = count >= 3
+    n = int(keep.sum())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(count[keep]), pa.array(every[first][keep].view(np.int64)), pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
 
 
 def _postings(common) -> object:
     """First shingles of each set in the global order: (shingle, node, n, pos, rare)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
         for batch in batches:
-            seen, cols = set(), []
+            seen, cols, held = set(), [], 0
             for _, own in shingle_sets(batch):
                 node = node_key(own)
                 if node in seen:
                     continue
                 seen.add(node)
+                if held > HELD // 4:
+                    yield _entries(cols)
+                    cols, held = [], 0
                 if known.size:
                     i = np.minimum(np.searchsorted(known, own), known.size - 1)
                     late = known[i] == own
@@ -141,34 +161,39 @@ def _postings(common) -> object:
                 else:
                     rare = own.size
                 p = prefix(own.size)
+                held += p
                 cols.append((own[:p].view(np.int64), np.full(p, node), np.full(p, own.size, np.int32), np.arange(p, dtype=np.int32), np.full(p, rare, np.int32)))
             if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["shingle", "node", "n", "pos", "rare"])
+                yield _entries(cols)
 
     return run
 
 
+def _entries(cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["shingle", "node", "n", "pos", "rare"])
+
+
 LIST = "shingle bigint, node bigint, n int, pos int, rare int"
-SHARED = LIST + ", k int"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of whole shingles, from batches sorted by shingle, about a batch at a time."""
+def _runs(batches: Iterator[pa.RecordBatch], key: str = "shingle") -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole groups of a key, from batches sorted by it, about a batch at a time."""
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
         cols = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(batch.schema, batch.columns, strict=True)}
         if rest is not None:
             cols = {k: np.concatenate([rest[k], v]) for k, v in cols.items()}
-        if not len(cols["shingle"]):
+        if not len(cols[key]):
             continue
-        at = int(np.searchsorted(cols["shingle"], cols["shingle"][-1]))
+        at = int(np.searchsorted(cols[key], cols[key][-1]))
         if at:
             yield {k: v[:at] for k, v in cols.items()}
         rest = {k: v[at:] for k, v in cols.items()}
-    if rest is not None and len(rest["shingle"]):
+    if rest is not None and len(rest[key]):
         yield rest
 
 
+@lean
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """List entries of shingles that two nodes or more have in their prefixes."""
     for c in _runs(batches):
@@ -179,9 +204,17 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         same = s[1:] == s[:-1]
         keep = np.r_[same, False] | np.r_[False, same]
         if keep.any():
-            first = np.flatnonzero(np.r_[True, ~same])
-            k = np.repeat(np.diff(np.r_[first, s.size]), np.diff(np.r_[first, s.size])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[x][keep]) for x in ("shingle", "node", "n", "pos", "rare")), pa.array(k[keep])], names=["shingle", "node", "n", "pos", "rare", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in ("shingle", "node", "n", "pos", "rare")], names=["shingle", "node", "n", "pos", "rare"])
+
+
+@lean
+def _node_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, m, prefix_map) from list entries sorted by node: the number of entries, and their parity if the set is large."""
+    for c in _runs(batches, "node"):
+        first = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
+        m = np.diff(np.r_[first, c["node"].size])
+        maps = [parity(c["shingle"][i : i + k].view(np.uint64), SMALL_BITS) if c["n"][i] > LARGE else None for i, k in zip(first, m, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c["node"][first]), pa.array(m.astype(np.int32)), pa.array(maps, pa.binary())], names=["node", "m", "prefix_map"])
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -189,6 +222,7 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
+@lean
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(leader, node, leader size, node size, both positions) for each list, size class and the next larger class."""
     for c in _runs(batches):
@@ -230,6 +264,7 @@ def counted(pairs: DataFrame) -> DataFrame:
 def _sets(wanted) -> object:
     """(node, set) of the nodes in a bitmap, once a batch."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = wanted.value
         for batch in batches:
@@ -245,6 +280,7 @@ def _sets(wanted) -> object:
     return run
 
 
+@lean
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.zeros(batch.num_rows, np.int32)
@@ -260,6 +296,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out)], names=["a", "b", "na", "nb", "overlap"])
 
 
+@lean
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their bitmaps leave possible."""
     for batch in batches:
@@ -284,43 +321,64 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, overlap int")
 
 
+@lean
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each list that no leader connects, after index and answer skipping.
 
-    Rows: (a, b, na, nb, pa, pb) with a < b; pb = -1 marks a pair that its leader's answers accept.
+    Rows: (a, b, na, nb, pa, pb, c, sure) with a < b, summed over the lists of a task: the last common
+    positions, the number of lists, and whether a leader's answers accept the pair.
     """
+    out: list[tuple[np.ndarray, ...]] = []
+    held = 0
     for c in _runs(batches):
         s = c["shingle"]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         size = np.diff(np.r_[first, s.size])
         length = np.repeat(size, size)
-        out: list[tuple[np.ndarray, ...]] = []
+        c["maps"] = np.frombuffer(b"".join(c.pop("small")), np.uint64).reshape(s.size, SMALL_BITS // 64)
+        found = []
         # short lists all at once, by distance within the list
         for d in range(1, LONG):
             a = np.flatnonzero((s[d:] == s[:-d]) & (length[d:] < LONG))
-            out += _pairs(c, a, a + d)
-        if out:
-            yield _pair_batch(out)
+            found += _pairs(c, a, a + d)
         for lo, k in zip(first[size >= LONG], size[size >= LONG], strict=True):
             part = {x: v[lo : lo + k] for x, v in c.items()}
             if (part["label"] == part["label"][0]).all():
                 continue
-            out, held = [], 0
-            for found in _long_pairs(part):
-                out.append(found)
-                held += found[0].size
-                if held > 200_000:
-                    yield _pair_batch(out)
-                    out, held = [], 0
-            if out:
-                yield _pair_batch(out)
+            for pairs in _long_pairs(part):
+                found.append(pairs)
+                if sum(x[0].size for x in found) > HELD // 8:
+                    found = [_summed(found)]
+        out += found
+        held += sum(x[0].size for x in found)
+        if held > HELD // 8:
+            out = [_summed(out)]
+            held = out[0][0].size
+            if held > HELD // 16:
+                yield _pair_batch(out[0])
+                out, held = [], 0
+    if out:
+        yield _pair_batch(_summed(out))
+
+
+SUMMED = "a bigint, b bigint, na int, nb int, pa int, pb int, c int, sure boolean"
+
+
+def _summed(out: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row per pair."""
+    a, b, na, nb, pa_, pb_, c, sure = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    most = lambda x: np.maximum.reduceat(x[order], first)
+    return a[first], b[first], na[order][first], nb[order][first], most(pa_), most(pb_), np.add.reduceat(c[order], first).astype(np.int32), np.logical_or.reduceat(sure[order], first)
 
 
-def _pair_batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "na", "nb", "pa", "pb"])
+def _pair_batch(row: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["a", "b", "na", "nb", "pa", "pb", "c", "sure"])
 
 
-def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, maps: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """What is left of the entry pairs (a, b) of one list each: none or one tuple of columns."""
     ok = c["label"][a] != c["label"][b]
     a, b = a[ok], b[ok]
@@ -328,10 +386,15 @@ def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, maps: np.ndar
     na, nb, pa_, pb_ = (x.astype(np.int64) for x in (n[a], n[b], pos[a], pos[b]))
     want = need(na, nb)
     ok = (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM) & (np.minimum(pa_, pb_) + np.minimum(na - pa_, nb - pb_) >= want)
-    if maps is not None:
-        i = np.flatnonzero(ok)
-        apart = np.bitwise_count(maps[a[i]] ^ maps[b[i]]).sum(axis=1)
-        ok[i] = (na[i] + nb[i] - apart) // 2 >= want[i]
+    i = np.flatnonzero(ok)
+    apart = np.bitwise_count(c["maps"][a[i]] ^ c["maps"][b[i]]).sum(axis=1)
+    m, k = c["m"][a[i]].astype(np.int64), c["m"][b[i]].astype(np.int64)
+    both_large, both_small = np.minimum(na[i], nb[i]) > LARGE, np.maximum(na[i], nb[i]) <= LARGE
+    # common prefix shingles at most; of the set whose prefix ends first all others may be common
+    common = np.minimum(m, k)
+    common = np.where(both_large, np.minimum(common, (m + k - apart) // 2), common)
+    beyond = np.maximum(-(-na[i] * NUM // DEN), -(-nb[i] * NUM // DEN)) - 1
+    ok[i] = (common + beyond >= want[i]) & (~both_small | ((na[i] + nb[i] - apart) // 2 >= want[i]))
     # what a common leader's overlaps say
     led = (c["leader"][a] == c["leader"][b]) & (c["overlap"][a] >= 0) & (c["overlap"][b] >= 0)
     va, vb = c["overlap"][a].astype(np.int64), c["overlap"][b].astype(np.int64)
@@ -341,14 +404,13 @@ def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, maps: np.ndar
         return []
     swap = c["node"][a] > c["node"][b]
     a, b, sure = np.where(swap, b, a)[ok], np.where(swap, a, b)[ok], sure[ok]
-    return [(c["node"][a], c["node"][b], n[a], n[b], pos[a], np.where(sure, -1, pos[b]).astype(np.int32))]
+    return [(c["node"][a], c["node"][b], n[a], n[b], pos[a], pos[b], np.ones(a.size, np.int32), sure)]
 
 
 def _long_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of a long list, by blocks of neighbours in size and position."""
     order = np.lexsort((c["pos"], c["n"]))
     c = {k: v[order] for k, v in c.items()}
-    maps = np.frombuffer(b"".join(c["small"]), np.uint64).reshape(order.size, SMALL_BITS // 64)
     n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
     starts = np.arange(0, n.size, BLOCK)
     most_n, least_n = n[np.minimum(starts + BLOCK, n.size) - 1], n[starts]
@@ -363,12 +425,13 @@ def _long_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
                 continue
             i, j = np.arange(lo, min(lo + BLOCK, n.size)), np.arange(starts[y], min(starts[y] + BLOCK, n.size))
             a, b = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
-            yield from _pairs(c, a[a < b], b[a < b], maps)
+            yield from _pairs(c, a[a < b], b[a < b])
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, and (a, b) edges between nodes whose closure is that of all links."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, (node, root) by leaders' links, and (node, root2) of such roots by all others."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     both = cut(docs.mapInArrow(_summaries, SUMMARY), "summaries")
     summary = both.where("not common").select("doc_id", "n", "node")
@@ -376,7 +439,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common = both.where("common").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "node").limit(MOST_COMMON).select("node").toArrow()
     known = spark.sparkContext.broadcast(np.sort(common.column("node").to_numpy().view(np.uint64)))
     postings = docs.select("text").mapInArrow(_postings(known), LIST)
-    lists = cut(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_shared_lists, SHARED), "lists")
+    lists = cut(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_shared_lists, LIST), "lists")
 
     def by_shingle(rows: DataFrame) -> DataFrame:
         return rows.repartition("shingle").sortWithinPartitions("shingle")
@@ -385,30 +448,29 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = led.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("bound", "a")).alias("x"))
     star = cut(verified(cut(best.select("x.a", "b", "x.na", "x.nb"), "star-pairs"), docs, nodes), "star")
     good = f"overlap * {NUM + DEN} >= (na + nb) * {NUM}"
-    # label: a leader's own leader where it has one, else the leader, else the node
-    led_by = star.where(good).select(F.col("b").alias("node"), F.col("a").alias("up"))
-    labels = led_by.join(led_by.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("label"))
-    tops = led_by.select(F.col("up").alias("node")).distinct().join(led_by, "node", "left_anti").select("node", F.col("node").alias("label"))
+    # what leaders' links connect needs no further pair
+    roots = components(star.where(good).select("a", "b"))
     known_of = star.select(F.col("b").alias("node"), F.col("a").alias("leader"), F.col("na").alias("leader_n"), "overlap")
-    long = lists.where(f"k >= {LONG}").select("node").distinct().join(nodes.select("node", "small"), "node")
-    told = lists.join(labels.union(tops), "node", "left").join(known_of, "node", "left").join(long, "node", "left").select(
-        "shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"), F.when(F.col("k") >= LONG, F.col("small")).alias("small"))
-    rest = by_shingle(told).mapInArrow(_rest, PAIR)
-    rest = rest.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.count("*").alias("c"), F.min("pb").alias("sure"))
-    rest = cut(rest.where(f"sure < 0 or {BOUND} >= {NEED}"), "rest")
-    edges = star.where(good).select("a", "b").union(rest.where("sure < 0").select("a", "b"))
-    unsure = rest.where("sure >= 0")
+    stats = lists.select("shingle", "node", "n").repartition("node").sortWithinPartitions("node").mapInArrow(_node_stats, "node bigint, m int, prefix_map binary")
+    told = lists.join(stats, "node").join(nodes.select("node", "small"), "node").join(roots, "node", "left").join(known_of, "node", "left").select(
+        "shingle", "node", "n", "pos", F.coalesce("root", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"), "m", F.coalesce("prefix_map", "small").alias("small"))
+    rest = by_shingle(told).mapInArrow(_rest, SUMMED)
+    rest = rest.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("c").alias("c"), F.bool_or("sure").alias("sure"))
+    rest = cut(rest.where(f"sure or {BOUND} >= {NEED}"), "rest")
+    edges = rest.where("sure").select("a", "b")
+    unsure = rest.where("not sure")
     if unsure.limit(1).count():
         edges = edges.union(verified(unsure, docs, nodes).where(good).select("a", "b"))
-    return summary, edges
+    for side in ("a", "b"):
+        edges = edges.join(roots.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    return summary, roots, components(edges).toDF("root", "root2")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    summary, edges = links(docs)
-    roots = components(edges)
-    named = summary.join(roots, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
-    named = cut(named, "members")
+    summary, roots, more = grouped(docs)
+    named = summary.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(more, "root", "left")
+    named = cut(named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root2", "root")).alias("root")), "members")
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
     out = named.join(first, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
