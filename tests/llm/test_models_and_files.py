@@ -105,6 +105,30 @@ def test_boilerplate(spark):
     assert boilerplate.extract(df.limit(0)).count() == 0
 
 
+def test_boilerplate_within_articles():
+    draw = random.Random(4)
+    line = "read all of our terms before you copy this page"
+    story = [f"s{draw.randrange(10**6)}" for _ in range(60)]
+    pages = [[" ".join(f"w{draw.randrange(10**6)}" for _ in range(40)), line] for _ in range(8)]
+    for i in range(8):  # near copies of one article
+        pages.append([" ".join([*story[:i], f"x{i}", *story[i + 1 :]])])
+    verdicts = boilerplate.judge(pages, [[boilerplate.MAIN] * len(p) for p in pages])
+    assert [[k != boilerplate.OUT for k, _ in v] for v in verdicts] == [[True, False]] * 8 + [[True]] * 8
+
+
+def test_a_name_hides_no_wrapper():
+    def kept(page):
+        found = boilerplate.blocks(page)
+        return [t for t, k in found if k == max((k for _, k in found), default=0) != boilerplate.OUT]
+
+    assert kept("<div class='has-sidebar'><nav>a</nav><article><p>one two</p></article><div class=sidebar>three</div></div>") == ["one two"]
+    assert kept("<div class='has-sidebar'><h1>T</h1><p>one two three four</p><div class=sidebar>three</div></div>") == ["T", "one two three four"]
+    assert kept("<article><div class='post-header'><h1>Head</h1></div><p>body</p><div class='share'>send</div></article>") == ["Head", "body"]
+    assert kept("<p>story</p><div class=comments><article>first!</article><article>second!</article></div>") == ["story"]
+    assert kept("<article><p>a</p><div class=ad>buy this</div></article><div class=ad>one</div>") == ["a"]
+    assert kept("<div class=ad>only</div>") == []
+
+
 def test_suffix_array_marks_what_pages_share():
     draw = random.Random(2)
     for _ in range(40):
