@@ -8,22 +8,44 @@ from pyspark.sql import functions as F
 from newsloom.llm.shared import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node of its component.
 
-    Each round takes the smallest label among a node's neighbours, then the label of that label,
-    so the number of rounds follows the logarithm of a component's width. Every round ends in a
-    written table; the driver sees one count. Labels of hub nodes are partially aggregated.
+    Each round every node points at its smallest neighbour. The cycles of such pointers have two
+    nodes, one of them the smallest of its tree; it becomes the root. Each tree is contracted to
+    its root and edges are renamed, so a round leaves at most half of the nodes of unfinished
+    components, whatever their shape, and rounds need no cap. Every step ends in a written table;
+    the driver sees counts. Smallest neighbours of hub nodes are partially aggregated.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    for _ in range(most_rounds):
-        labels = cut(labels, "labels")
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        new = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        jump = labels.select(F.col("node").alias("at"), F.col("root").alias("then"))
-        new = cut(new.join(jump, new.root == jump["at"], "left").select("node", "old", F.least("root", F.coalesce("then", "root")).alias("root")), "labels")
+    edges = cut(_distinct(edges), "edges")
+    levels = []
+    while not levels or edges.limit(1).count():
+        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        levels.append(_roots(cut(near, "near")))
+        for side in ("a", "b"):
+            edges = edges.join(levels[-1].withColumnRenamed("node", side), side).withColumn(side, F.col("root")).drop("root")
+        edges = cut(_distinct(edges), "edges")
+    labels = levels.pop()
+    while levels:
+        labels = levels.pop().join(labels.toDF("root", "top"), "root", "left")
+        labels = cut(labels.select("node", F.coalesce("top", "root").alias("root")), "labels")
+    return labels
+
+
+def _distinct(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _roots(near: DataFrame) -> DataFrame:
+    """(node, root) from the smallest neighbours (node, root): pointers doubled until they end at roots."""
+    then = F.when(F.col("then") == F.col("node"), F.least("node", "root")).otherwise(F.col("root"))
+    labels = cut(_next(near).select("node", then.alias("root")), "labels")
+    while True:
+        new = cut(_next(labels).select("node", F.col("root").alias("old"), F.col("then").alias("root")), "labels")
         labels = new.select("node", "root")
         if new.where("old <> root").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def _next(labels: DataFrame) -> DataFrame:
+    return labels.join(labels.select(F.col("node").alias("root"), F.col("root").alias("then")), "root")

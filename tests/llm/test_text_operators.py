@@ -1,13 +1,14 @@
 """Decontamination, substring dedup, Jaccard join and mixing against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import jaccard, mixing, recompression, winnowing
+from newsloom.llm import graph, jaccard, mixing, recompression, winnowing
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -248,3 +249,10 @@ def test_positions_follow_the_schedule(spark):
         t = r.t
         area = (2 * t * t if t <= 0.5 else 0.5 + 2 * (t - 0.5)) / 1.5 * 150
         assert area == pytest.approx(r.w, abs=1e-6)
+
+
+def test_components_of_a_shuffled_chain(spark):
+    names = random.Random(3).sample(range(10**6), 2000)
+    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(-1, -2), (-3, -2), (5, 5)], "a bigint, b bigint")
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == {**dict.fromkeys(names, min(names)), -1: -3, -2: -3, -3: -3}

@@ -1,6 +1,7 @@
 """Operators on small fixtures: order-dependent folds, state, feeds, text functions, streams."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,13 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    names = random.Random(3).sample(range(10**6), 2000)
+    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(-1, -2), (-3, -2), (5, 5)], "a bigint, b bigint")
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == {**dict.fromkeys(names, min(names)), -1: -3, -2: -3, -3: -3}
+
+
 def test_minhash_finds_reworded_titles(spark):
     titles = [(1, "openai releases the new gpt model for everyone today in europe"), (2, "openai releases the new gpt model for everyone today in asia"), (3, "something else entirely happened far away from here")]
     df = spark.createDataFrame(titles, "id int, title string")
