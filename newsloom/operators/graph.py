@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.sources.tables import cut
+from newsloom.sources.tables import cut, free
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,16 +20,22 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(_distinct(edges), "edges")
     levels = []
     while not levels or edges.limit(1).count():
-        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        levels.append(_roots(cut(near, "near")))
+        near = cut(edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "near")
+        levels.append(_roots(near))
+        renamed = edges
         for side in ("a", "b"):
-            edges = edges.join(levels[-1].withColumnRenamed("node", side), side).withColumn(side, F.col("root")).drop("root")
-        edges = cut(_distinct(edges), "edges")
+            renamed = renamed.join(levels[-1].select(F.col("node").alias(side), "root"), side).withColumn(side, F.col("root")).drop("root")
+        renamed = cut(_distinct(renamed), "edges")
+        free(near, edges)
+        edges = renamed
+    free(edges)
     labels = levels.pop()
     while levels:
-        labels = levels.pop().join(labels.toDF("root", "top"), "root", "left")
-        labels = cut(labels.select("node", F.coalesce("top", "root").alias("root")), "labels")
-    return labels
+        level, above = levels.pop(), labels
+        joined = level.join(above.select("root", "node").toDF("top", "root"), "root", "left")
+        labels = cut(joined.select("node", F.coalesce("top", "root").alias("root")), "labels")
+        free(level, above)
+    return labels.select("node", "root")
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -37,15 +43,16 @@ def _distinct(edges: DataFrame) -> DataFrame:
 
 
 def _roots(near: DataFrame) -> DataFrame:
-    """(node, root) from the smallest neighbours (node, root): pointers doubled until they end at roots."""
-    then = F.when(F.col("then") == F.col("node"), F.least("node", "root")).otherwise(F.col("root"))
-    labels = cut(_next(near).select("node", then.alias("root")), "labels")
-    while True:
-        new = cut(_next(labels).select("node", F.col("root").alias("old"), F.col("then").alias("root")), "labels")
-        labels = new.select("node", "root")
-        if new.where("old <> root").limit(1).count() == 0:
-            return labels
+    """(node, root, moved) from the smallest neighbours (node, root): pointers doubled until none moves."""
+    first = F.when(F.col("then") == F.col("node"), F.least("node", "root")).otherwise(F.col("root"))
+    labels = cut(_next(near).select("node", first.alias("root"), F.lit(True).alias("moved")), "labels")
+    while labels.where("moved").limit(1).count():
+        doubled = cut(_next(labels).select("node", F.col("then").alias("root"), (F.col("root") != F.col("then")).alias("moved")), "labels")
+        free(labels)
+        labels = doubled
+    return labels
 
 
 def _next(labels: DataFrame) -> DataFrame:
-    return labels.join(labels.select(F.col("node").alias("root"), F.col("root").alias("then")), "root")
+    """(node, root, then): each node's pointer and where that points."""
+    return labels.select("node", "root").join(labels.select(F.col("node").alias("root"), F.col("root").alias("then")), "root")
