@@ -4,22 +4,27 @@ A document's set holds the 64-bit hashes of its distinct k-word shingles (of all
 has fewer). Two sets link at Jaccard similarity `num / den` (80/100) or more. Documents with equal
 sets are one node; the join runs over nodes.
 
-1. One order of shingles for all: rare ones by hash, then those that many documents
-   share. Any order gives the same links; this one keeps common passages out of prefixes.
+1. One order of shingles for all: rare ones by hash, then those that many documents share. How many
+   share a shingle is counted over all sets, in the first part of each set's hash order, from which
+   prefixes are taken. Any order gives the same links; this one keeps common passages out of prefixes.
 2. Prefix filter: sets that link have a shingle in common within their first n - ceil(t n) + 1.
    Prefixes become index lists (shingle -> node, size, position), by one shuffle.
 3. Index skipping: a list is cut into blocks by size and position; a block pair is skipped when
    its sizes or positions rule out the overlap that a link needs.
-4. Answer skipping: in each list and size class the most central node is the leader, and the
-   leaders' overlaps with their members are computed first. What a leader's answer tells about two
-   members - |x & m| + |x & z| - |x| <= |m & z| <= min(|x & m|, |x & z|) + min(|m - x|, |z - x|) -
-   accepts or drops the pair without looking at its sets, and pairs that are connected through a
-   leader already are not formed. Groups of thousands of near copies so cost a pass, not a square.
+4. Answer skipping: short lists give their pairs at once. In each size class of a long list the most
+   central node is the leader; a node's best candidate, leader or partner, is verified first. What a
+   leader's answer tells about two members - |x & m| + |x & z| - |x| <= |m & z| <= min(|x & m|,
+   |x & z|) + min(|m - x|, |z - x|) - accepts or drops the pair without looking at its sets, and
+   pairs that are connected already are not formed. Groups of thousands of near copies so cost a
+   pass, not a square.
 5. What is left is counted per pair over all lists, bounded by the last common position and by
    parity bitmaps (two sets differ in at least as many shingles as their bitmaps differ in bits),
-   and verified on the sets. List entries carry a small bitmap of their node for that, and the number
-   of its prefix shingles that any other prefix has, so pairs that share a few shingles by chance are
-   not formed at all. In large sets, which would fill it, the bitmap is of those prefix shingles.
+   and verified on the sets. Long lists are dealt by their smallest node, so the lists of one group
+   of documents meet in one task and give a pair once, however many shingles it shares; the lists of
+   a node that begins very many are dealt on by shingle. List entries carry a small bitmap of their
+   node, and the number of its prefix shingles that any other prefix has, so pairs that share a few
+   shingles by chance are not formed at all. In large sets, which would fill it, the bitmap is of
+   those prefix shingles.
 
 Node keys and shingles are 64-bit hashes. Null or word-less texts have an empty set and are
 linked with nothing. Repeated rows are members of the same node. Rows with a null doc_id take part
@@ -32,18 +37,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import tokens as tk
-from newsloom.llm.graph import components
-from newsloom.llm.shared import bloom, cut, in_bloom, lean, small_batches
+from newsloom.llm.shared import bloom, cut, free, in_bloom, lean, small, small_batches
+from newsloom.operators.graph import components
 
-#: Words of a shingle, threshold as a fraction, bound of the list of common shingles, and their least count.
-K, NUM, DEN, MOST_COMMON, COMMON = 5, 80, 100, 1 << 18, 8
+#: Words of a shingle, threshold as a fraction, bound of the broadcast list of common shingles (16 MB), and their least count.
+K, NUM, DEN, MOST_COMMON, COMMON = 5, 80, 100, 1 << 21, 8
 BLOCK, LONG, SMALL_BITS, MOST_BITS, LARGE = 64, 8, 1024, 1 << 15, 2000
-#: Shingles that a worker holds at once.
-HELD = 1 << 21
+#: Shingles that a worker holds at once, and entries of long lists that begin with one node and are dealt to one task.
+HELD, DEALT = 1 << 21, 1 << 20
+#: Low bytes of a shingle by which it is counted, and copies of a component's row that meet its members.
+COUNTED, COPIES = 6, 16
 
 
 def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,45 +104,93 @@ def difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-SUMMARY = "doc_id bigint, n bigint, node bigint, common boolean, bits binary, small binary"
+SUMMARY = "doc_id bigint, n bigint, node bigint, bits binary, small binary, bucket int, low binary"
+KEPT = "doc_id bigint, n bigint, node bigint, bits binary, small binary, common bigint, count bigint"
 
 
-@lean
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, node, bitmaps) of each row, and (null, count, shingle) of shingles that sets of a batch share.
+def low(own: np.ndarray) -> np.ndarray:
+    return own & np.uint64((1 << 8 * COUNTED) - 1)
+
+
+def _summaries(buckets: int) -> object:
+    """(doc_id, n, node, bitmaps) of each row, and (bucket, low) with the low bytes of the sets' first shingles.
 
-    The bitmaps stand in the first row of each node in a task.
+    The bitmaps stand in the first row of each node in a task, and its shingles are counted there. A
+    shingle is repeated as often as sets of a chunk have it, but no more often than makes it common.
     """
-    names = [x.split()[0] for x in SUMMARY.split(", ")]
-    some, held, seen = [], 0, set()
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SUMMARY.split(", ")]
+        some, held, seen, at = [], 0, set(), 0
+
+        def firsts() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(some))
+            keep = np.r_[np.ones(min(COMMON, every.size), bool), every[COMMON:] != every[:-COMMON]]
+            every = every[keep]
+            bucket = (every % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, raw = bucket[order], np.ascontiguousarray(every[order].view(np.uint8).reshape(-1, 8)[:, :COUNTED]).tobytes()
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            stop = np.r_[first[1:], bucket.size]
+            n = first.size
+            lows = [raw[COUNTED * a : COUNTED * b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(bucket[first]), pa.array(lows, pa.binary())], names=names)
+
+        for batch in batches:
+            bits: list[bytes | None] = [None] * batch.num_rows
+            little: list[bytes | None] = [None] * batch.num_rows
+            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for r, own in shingle_sets(batch):
+                n[r], node[r] = own.size, node_key(own)
+                if node[r] not in seen:
+                    seen.add(node[r])
+                    some.append(low(own[: 2 * prefix(own.size)]))
+                    held += some[-1].size
+                    if held > HELD // 2:
+                        yield firsts()
+                        some, held = [], 0
+                    bits[r], little[r] = parity(own, parity_bits(own.size)), parity(own, SMALL_BITS)
+            spread = pa.array(((at + np.arange(n.size)) % buckets).astype(np.int32))
+            at += n.size
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), pa.array(bits, pa.binary()), pa.array(little, pa.binary()), spread, pa.nulls(n.size, pa.binary())], names=names)
+        if some:
+            yield firsts()
+
+    return run
+
+
+@lean
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are, and (common, count) of the shingles of a bucket that COMMON sets or more have."""
+    names = [x.split()[0] for x in KEPT.split(", ")]
+    held: list[bytes] = []
+    last = None
+
+    def counted_() -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, COUNTED)
+        every = np.zeros((len(raw), 8), np.uint8)
+        every[:, :COUNTED] = raw
+        every = np.sort(every.view(np.uint64).ravel())
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        count = np.diff(np.r_[first, every.size])
+        keep = count >= COMMON
+        k = int(keep.sum())
+        return pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(every[first][keep].view(np.int64)), pa.array(count[keep])], names=names)
+
     for batch in batches:
-        bits: list[bytes | None] = [None] * batch.num_rows
-        small: list[bytes | None] = [None] * batch.num_rows
-        n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        for r, own in shingle_sets(batch):
-            n[r], node[r] = own.size, node_key(own)
-            if node[r] not in seen:
-                seen.add(node[r])
-                some.append(own)
-                held += own.size
-                if held > HELD:
-                    yield _shared(some, names)
-                    some, held = [], 0
-                bits[r], small[r] = parity(own, parity_bits(own.size)), parity(own, SMALL_BITS)
-        ids = batch.column("doc_id")
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), pa.array(np.zeros(n.size, bool)), pa.array(bits, pa.binary()), pa.array(small, pa.binary())], names=names)
-    if some:
-        yield _shared(some, names)
-
-
-def _shared(sets: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """Rows of the shingles that three of the sets or more have."""
-    every = np.sort(np.concatenate(sets))
-    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-    count = np.diff(np.r_[first, every.size])
-    keep = count >= 3
-    n = int(keep.sum())
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(count[keep]), pa.array(every[first][keep].view(np.int64)), pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+        doc = pc.is_null(batch.column("low"))
+        rows = batch.filter(doc)
+        yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int64())], names=names)
+        rest = batch.filter(pc.invert(doc))
+        for bucket, blob in zip(rest.column("bucket").to_pylist(), rest.column("low").to_pylist(), strict=True):
+            if held and bucket != last:
+                yield counted_()
+                held = []
+            held.append(blob)
+            last = bucket
+    if held:
+        yield counted_()
 
 
 def _postings(common) -> object:
@@ -154,8 +210,8 @@ def _postings(common) -> object:
                     yield _entries(cols)
                     cols, held = [], 0
                 if known.size:
-                    i = np.minimum(np.searchsorted(known, own), known.size - 1)
-                    late = known[i] == own
+                    by = low(own)
+                    late = known[np.minimum(np.searchsorted(known, by), known.size - 1)] == by
                     own = np.concatenate([own[~late], own[late]])
                     rare = own.size - int(late.sum())
                 else:
@@ -173,11 +229,12 @@ def _entries(cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["shingle", "node", "n", "pos", "rare"])
 
 
-LIST = "shingle bigint, node bigint, n int, pos int, rare int"
+POSTING = "shingle bigint, node bigint, n int, pos int, rare int"
+LIST = POSTING + ", size int, first bigint"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str = "shingle") -> Iterator[dict[str, np.ndarray]]:
-    """Columns of whole groups of a key, from batches sorted by it, about a batch at a time."""
+    """Columns of whole groups of a key, from batches in which its equal values stand together, about a batch at a time."""
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
         cols = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(batch.schema, batch.columns, strict=True)}
@@ -185,7 +242,8 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str = "shingle") -> Iterator[d
             cols = {k: np.concatenate([rest[k], v]) for k, v in cols.items()}
         if not len(cols[key]):
             continue
-        at = int(np.searchsorted(cols[key], cols[key][-1]))
+        other = np.flatnonzero(cols[key] != cols[key][-1])
+        at = int(other[-1]) + 1 if other.size else 0
         if at:
             yield {k: v[:at] for k, v in cols.items()}
         rest = {k: v[at:] for k, v in cols.items()}
@@ -195,16 +253,20 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str = "shingle") -> Iterator[d
 
 @lean
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """List entries of shingles that two nodes or more have in their prefixes."""
+    """List entries of shingles that two nodes or more have in their prefixes, with the list's size and smallest node."""
     for c in _runs(batches):
         s = c["shingle"]
         new = np.r_[True, (s[1:] != s[:-1]) | (c["node"][1:] != c["node"][:-1])]
         c = {k: v[new] for k, v in c.items()}
         s = c["shingle"]
-        same = s[1:] == s[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
+        begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[begin, s.size])
+        c["size"] = np.repeat(size, size).astype(np.int32)
+        c["first"] = np.repeat(np.minimum.reduceat(c["node"], begin), size)
+        keep = c["size"] > 1
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in ("shingle", "node", "n", "pos", "rare")], names=["shingle", "node", "n", "pos", "rare"])
+            names = [x.split()[0] for x in LIST.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in names], names=names)
 
 
 @lean
@@ -222,43 +284,55 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
+def _possible(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb_: np.ndarray) -> np.ndarray:
+    """Whether sizes and positions of a common shingle allow a link."""
+    na, nb, pa_, pb_ = (x.astype(np.int64) for x in (na, nb, pa_, pb_))
+    return (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM) & (np.minimum(pa_, pb_) + np.minimum(na - pa_, nb - pb_) >= need(na, nb))
+
+
 @lean
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, node, leader size, node size, both positions) for each list, size class and the next larger class."""
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of short lists (short), and of each size class of a long list those with its leader and the leader below."""
+    out: list[tuple[np.ndarray, ...]] = []
     for c in _runs(batches):
-        s, kind = c["shingle"], size_class(c["n"].astype(float))
+        s, kind, brief = c["shingle"], size_class(c["n"].astype(float)), c["size"] < LONG
         order = np.lexsort((c["node"], c["rare"] / c["n"], kind, s))
-        s, kind, c = s[order], kind[order], {k: v[order] for k, v in c.items()}
+        s, kind, brief, c = s[order], kind[order], brief[order], {k: v[order] for k, v in c.items()}
         first = np.r_[True, (s[1:] != s[:-1]) | (kind[1:] != kind[:-1])]
         at = np.flatnonzero(first)
         group = np.cumsum(first) - 1
-        lead = at[group]
-        pairs = [(lead, np.arange(s.size))]
-        # the leader of the class below, where it exists in the same list
-        below = at[np.maximum(group - 1, 0)]
-        pairs.append((below, np.arange(s.size)))
-        out = []
+        # the leader of the own class, and that of the class below where it exists in the same list
+        pairs = [(at[group], np.arange(s.size)), (at[np.maximum(group - 1, 0)], np.arange(s.size))]
+        found = []
         for i, (a, b) in enumerate(pairs):
-            ok = (a != b) & (s[a] == s[b]) & (kind[b] - kind[a] <= 1)
-            if i:
-                ok &= kind[b] - kind[a] == 1
-            small, large = np.minimum(c["n"][a], c["n"][b]).astype(np.int64), np.maximum(c["n"][a], c["n"][b]).astype(np.int64)
-            ok &= small * DEN >= large * NUM
-            out.append((a[ok], b[ok]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        if a.size:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["node"][a], c["node"][b], c["n"][a], c["n"][b], c["pos"][a], c["pos"][b])], names=["a", "b", "na", "nb", "pa", "pb"])
-
-
-PAIR = "a bigint, b bigint, na int, nb int, pa int, pb int"
+            ok = ~brief & (a != b) & (s[a] == s[b]) & (kind[b] - kind[a] == i)
+            found.append((a[ok], b[ok]))
+        for d in range(1, LONG):
+            a = np.flatnonzero((s[d:] == s[:-d]) & brief[d:])
+            found.append((a, a + d))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        ok = _possible(c["n"][a], c["n"][b], c["pos"][a], c["pos"][b])
+        a, b = a[ok], b[ok]
+        swap = c["node"][a] > c["node"][b]
+        a, b, short = np.where(swap, b, a), np.where(swap, a, b), brief[b]
+        out.append((c["node"][a], c["node"][b], c["n"][a], c["n"][b], c["pos"][a], c["pos"][b], np.ones(a.size, np.int32), short))
+        if sum(x[0].size for x in out) > HELD // 8:
+            yield _pair_batch(_summed(out, True), "short")
+            out = []
+    if out:
+        yield _pair_batch(_summed(out, True), "short")
+
+
+FIRST = "a bigint, b bigint, na int, nb int, pa int, pb int, c int, short boolean"
 #: size of the overlap that a pair's common prefix shingles and last common positions still allow
 BOUND = "c + least(na - pa - 1, nb - pb - 1)"
 NEED = f"ceil((na + nb) * {NUM} / {NUM + DEN})"
 
 
-def counted(pairs: DataFrame) -> DataFrame:
-    """One row per pair: c common prefix shingles, and the last common positions."""
-    return pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.count("*").alias("c")).withColumn("bound", F.expr(BOUND)).withColumn("need", F.expr(NEED))
+def counted(pairs: DataFrame, flag: str) -> DataFrame:
+    """One row per pair that its count allows: c common prefix shingles, the last common positions, and whether any row has the flag."""
+    each = [F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("c").alias("c"), F.bool_or(flag).alias(flag)]
+    return pairs.groupBy("a", "b").agg(*each).withColumn("bound", F.expr(BOUND))
 
 
 def _sets(wanted) -> object:
@@ -323,7 +397,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @lean
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each list that no leader connects, after index and answer skipping.
+    """Pairs of long lists that are not connected yet, after index and answer skipping.
 
     Rows: (a, b, na, nb, pa, pb, c, sure) with a < b, summed over the lists of a task: the last common
     positions, the number of lists, and whether a leader's answers accept the pair.
@@ -334,14 +408,9 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = c["shingle"]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         size = np.diff(np.r_[first, s.size])
-        length = np.repeat(size, size)
         c["maps"] = np.frombuffer(b"".join(c.pop("small")), np.uint64).reshape(s.size, SMALL_BITS // 64)
         found = []
-        # short lists all at once, by distance within the list
-        for d in range(1, LONG):
-            a = np.flatnonzero((s[d:] == s[:-d]) & (length[d:] < LONG))
-            found += _pairs(c, a, a + d)
-        for lo, k in zip(first[size >= LONG], size[size >= LONG], strict=True):
+        for lo, k in zip(first, size, strict=True):
             part = {x: v[lo : lo + k] for x, v in c.items()}
             if (part["label"] == part["label"][0]).all():
                 continue
@@ -364,18 +433,21 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SUMMED = "a bigint, b bigint, na int, nb int, pa int, pb int, c int, sure boolean"
 
 
-def _summed(out: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """One row per pair."""
+def _summed(out: list[tuple[np.ndarray, ...]], apart: bool = False) -> tuple[np.ndarray, ...]:
+    """One row per pair, or per pair and flag."""
     a, b, na, nb, pa_, pb_, c, sure = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((b, a))
+    order = np.lexsort((sure, b, a))
     a, b = a[order], b[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    other = sure[order][1:] != sure[order][:-1] if apart else False
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | other]) if a.size else np.zeros(0, np.int64)
+    if not a.size:
+        return a, b, na, nb, pa_, pb_, c, sure
     most = lambda x: np.maximum.reduceat(x[order], first)
     return a[first], b[first], na[order][first], nb[order][first], most(pa_), most(pb_), np.add.reduceat(c[order], first).astype(np.int32), np.logical_or.reduceat(sure[order], first)
 
 
-def _pair_batch(row: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["a", "b", "na", "nb", "pa", "pb", "c", "sure"])
+def _pair_batch(row: tuple[np.ndarray, ...], flag: str = "sure") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["a", "b", "na", "nb", "pa", "pb", "c", flag])
 
 
 def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, ...]]:
@@ -383,9 +455,9 @@ def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple
     ok = c["label"][a] != c["label"][b]
     a, b = a[ok], b[ok]
     n, pos = c["n"], c["pos"]
-    na, nb, pa_, pb_ = (x.astype(np.int64) for x in (n[a], n[b], pos[a], pos[b]))
+    na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
     want = need(na, nb)
-    ok = (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM) & (np.minimum(pa_, pb_) + np.minimum(na - pa_, nb - pb_) >= want)
+    ok = _possible(na, nb, pos[a], pos[b])
     i = np.flatnonzero(ok)
     apart = np.bitwise_count(c["maps"][a[i]] ^ c["maps"][b[i]]).sum(axis=1)
     m, k = c["m"][a[i]].astype(np.int64), c["m"][b[i]].astype(np.int64)
@@ -429,66 +501,104 @@ def _long_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, (node, root) by leaders' links, and (node, root2) of such roots by all others."""
+    """(doc_id, n, node) of every row, (node, root) by the first links, and (node, root2) of such roots by all others."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    both = cut(docs.mapInArrow(_summaries, SUMMARY), "summaries")
-    summary = both.where("not common").select("doc_id", "n", "node")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = cut(docs.mapInArrow(_summaries(buckets), SUMMARY).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_common, KEPT), "summaries")
+    summary = both.where("common is null").select("doc_id", "n", "node")
     nodes = both.where("bits is not null").select("node", "bits", "small").dropDuplicates(["node"])
-    common = both.where("common").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "node").limit(MOST_COMMON).select("node").toArrow()
-    known = spark.sparkContext.broadcast(np.sort(common.column("node").to_numpy().view(np.uint64)))
-    postings = docs.select("text").mapInArrow(_postings(known), LIST)
+    common = both.where("common is not null").orderBy(F.desc("count"), "common").limit(MOST_COMMON).select("common").toArrow()
+    known = spark.sparkContext.broadcast(np.sort(common.column("common").to_numpy().view(np.uint64)))
+    postings = docs.select("text").mapInArrow(_postings(known), POSTING)
     lists = cut(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_shared_lists, LIST), "lists")
-
-    def by_shingle(rows: DataFrame) -> DataFrame:
-        return rows.repartition("shingle").sortWithinPartitions("shingle")
-
-    led = counted(by_shingle(lists).mapInArrow(_leaders, PAIR)).where("bound >= need")
-    best = led.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("bound", "a")).alias("x"))
-    star = cut(verified(cut(best.select("x.a", "b", "x.na", "x.nb"), "star-pairs"), docs, nodes), "star")
     good = f"overlap * {NUM + DEN} >= (na + nb) * {NUM}"
-    # what leaders' links connect needs no further pair
+
+    first = cut(lists.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_first_pairs, FIRST), "first-pairs")
+    led = counted(first, "short").where(f"bound >= {NEED}")
+    # each node's best candidate; the side that is central stands in "a" for long lists as for short ones
+    ends = led.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("na").alias("nx"), F.col("nb").alias("ny"), "bound")
+    ends = ends.union(led.select("b", "a", "nb", "na", "bound"))
+    best = ends.groupBy("y").agg(F.max_by(F.struct("x", "nx", "ny"), F.struct("bound", "x")).alias("z"))
+    stars = cut(best.select(F.col("z.x").alias("a"), F.col("y").alias("b"), F.col("z.nx").alias("na"), F.col("z.ny").alias("nb")), "star-pairs")
+    star = cut(verified(stars, docs, nodes), "star")
+    # what these links connect needs no further pair
     roots = components(star.where(good).select("a", "b"))
+
     known_of = star.select(F.col("b").alias("node"), F.col("a").alias("leader"), F.col("na").alias("leader_n"), "overlap")
     stats = lists.select("shingle", "node", "n").repartition("node").sortWithinPartitions("node").mapInArrow(_node_stats, "node bigint, m int, prefix_map binary")
-    told = lists.join(stats, "node").join(nodes.select("node", "small"), "node").join(roots, "node", "left").join(known_of, "node", "left").select(
-        "shingle", "node", "n", "pos", F.coalesce("root", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"), "m", F.coalesce("prefix_map", "small").alias("small"))
-    rest = by_shingle(told).mapInArrow(_rest, SUMMED)
-    rest = rest.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("c").alias("c"), F.bool_or("sure").alias("sure"))
-    rest = cut(rest.where(f"sure or {BOUND} >= {NEED}"), "rest")
-    edges = rest.where("sure").select("a", "b")
+    long = lists.where(f"size >= {LONG}").drop("size", "rare")
+    deals = long.groupBy("first").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("deals")).where("deals > 1")
+    told = long.join(stats, "node").join(nodes.select("node", "small"), "node").join(roots, "node", "left").join(known_of, "node", "left").join(small(deals), "first", "left").select(
+        "shingle", "node", "n", "pos", F.coalesce("root", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"), "m", F.coalesce("prefix_map", "small").alias("small"),
+        F.xxhash64("first", F.pmod("shingle", F.coalesce("deals", F.lit(1)))).alias("deal"))
+    rest = told.repartition("deal").sortWithinPartitions("deal", "shingle").drop("deal").mapInArrow(_rest, SUMMED)
+    rest = counted(rest.union(first.where("short").withColumn("short", F.lit(False))), "sure").where(f"sure or bound >= {NEED}")
+    for side in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").join(tried, ["a", "b"], "left_anti")
+    rest = cut(rest.select("a", "b", "na", "nb", "sure", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")), "rest")
+    free(first, lists, stars, star)
+    edges = rest.where("sure").select("root_a", "root_b")
     unsure = rest.where("not sure")
     if unsure.limit(1).count():
-        edges = edges.union(verified(unsure, docs, nodes).where(good).select("a", "b"))
-    for side in ("a", "b"):
-        edges = edges.join(roots.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-    return summary, roots, components(edges).toDF("root", "root2")
+        links = verified(unsure, docs, nodes).where(good).select("a", "b").join(rest, ["a", "b"])
+        edges = edges.union(links.select("root_a", "root_b"))
+    return summary, roots, components(edges.toDF("a", "b")).toDF("root", "root2")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, node, root): each row's set and the name of its component, null for empty sets; a table."""
     summary, roots, more = grouped(docs)
     named = summary.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(more, "root", "left")
-    named = cut(named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root2", "root")).alias("root")), "members")
-    first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
-    out = named.join(first, "root", "left")
+    return cut(named.select("doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("root2", "root")).alias("root")), "members")
+
+
+def _meet(members: DataFrame, least: DataFrame) -> DataFrame:
+    """members with the columns of least, one row per root: a hot root's members meet copies of its row in several tasks."""
+    spread = least.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    turn = F.pmod(F.xxhash64("doc_id", "node"), F.lit(COPIES)).cast("int")
+    return members.withColumn("turn", turn).join(spread, ["root", "turn"], "left").drop("turn")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    members = labelled(docs)
+    several = members.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    out = _meet(members, several.select("root", "first"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of one document of each group: the smallest doc_id.
+@lean
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the key of its set, 0 where it is empty."""
+    for batch in batches:
+        node = np.zeros(batch.num_rows, np.int64)
+        for r, own in shingle_sets(pa.RecordBatch.from_arrays([batch.column("j_text")], names=["text"])):
+            node[r] = node_key(own)
+        yield pa.RecordBatch.from_arrays([batch.column("j_in"), batch.column("j_text"), pa.array(node)], names=["j_in", "j_text", "j_node"])
+
+
+def representatives(docs: DataFrame, most_broadcast: int = 1 << 20) -> DataFrame:
+    """The rows of docs, all columns, of one document of each group: the smallest doc_id, a null one last.
 
-    Of repeated rows one stays. Rows with a null doc_id cannot be named for removal; one of each
-    distinct text stays.
+    Rows without a set stay. Of repeated rows one stays. Where a doc_id stands on several rows or is
+    null, rows are told apart by their sets, so a text that only shares its doc_id with a copy stays.
     """
-    members = cut(join(docs), "groups")
-    dropped = members.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    again = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    members = labelled(docs)
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    least = members.where("root is not null").groupBy("root").agg(F.min(key).alias("least"), F.count("*").alias("size")).where("size > 1")
+    met = _meet(members, least.select("root", "least")).where(F.col("least").isNotNull() & (key != F.col("least")))
+    gone = cut(met.select(F.col("doc_id").alias("j_doc"), F.col("node").alias("j_gone")).distinct(), "gone")
+    again = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("j_again"))
+    ids = gone.select("j_doc").where("j_doc is not null").distinct()
     if not again.limit(1).count():
-        return kept
-    same = F.expr("k.doc_id <=> a.doc_id")
-    single = kept.alias("k").join(again.alias("a"), same, "left_anti")
-    several = kept.alias("k").join(again.alias("a"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several)
+        return docs.join(small(ids, most_broadcast), F.col("doc_id") == F.col("j_doc"), "left_anti")
+    several = F.expr("doc_id <=> j_again")
+    single = docs.join(small(again, most_broadcast), several, "left_anti").join(small(ids, most_broadcast), F.col("doc_id") == F.col("j_doc"), "left_anti")
+    rest = docs.join(small(again, most_broadcast), several, "left_semi").select(F.struct(*docs.columns).alias("j_in"), F.col("text").alias("j_text"))
+    rest = rest.mapInArrow(_nodes, f"j_in {rest.schema['j_in'].dataType.simpleString()}, j_text string, j_node bigint")
+    rest = rest.withColumn("j_id", F.col("j_in.doc_id")).dropDuplicates(["j_id", "j_node"]).join(gone, F.expr("j_id <=> j_doc and j_node = j_gone"), "left_anti")
+    return single.unionByName(rest.select("j_in.*"))

@@ -1,9 +1,7 @@
-"""Helpers that the corpus operators share: tables, cuts of lineage, bounded Bloom bitmaps."""
+"""Helpers that the corpus operators share: Arrow batches, bounded Bloom bitmaps; tables are the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -12,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from newsloom.operators.entities import small
+from newsloom.sources.tables import cut, free, shared_dir, table
 
+__all__ = ["bloom", "crc_mod", "cut", "free", "in_bloom", "lean", "shared_dir", "small", "small_batches", "table"]
 
 #: Rows of an Arrow batch: ten thousand long documents, Spark's default, are tens of megabytes on either side.
 BATCH_ROWS = 2000
@@ -37,33 +37,6 @@ def lean(run: Callable) -> Callable:
     return call
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="newsloom-"))
-    return _own_dir[0]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import graph, jaccard, mixing, recompression, winnowing
+from newsloom.llm import jaccard, mixing, recompression, winnowing
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -251,8 +251,20 @@ def test_positions_follow_the_schedule(spark):
         assert area == pytest.approx(r.w, abs=1e-6)
 
 
-def test_components_of_a_shuffled_chain(spark):
-    names = random.Random(3).sample(range(10**6), 2000)
-    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(-1, -2), (-3, -2), (5, 5)], "a bigint, b bigint")
-    got = {r.node: r.root for r in graph.components(edges).collect()}
-    assert got == {**dict.fromkeys(names, min(names)), -1: -3, -2: -3, -3: -3}
+def test_jaccard_revision_chain(spark):
+    """Each document is the one before, shifted by a few words: only neighbours link, in random id order."""
+    draw = random.Random(3)
+    stream = [f"c{draw.randrange(10**6)}" for _ in range(400 + 8 * 150)]
+    ids = draw.sample(range(10**6), 150)
+    rows = [(ids[i], " ".join(stream[8 * i : 8 * i + 400])) for i in range(150)]
+    rows += [(10**6 + i, " ".join(f"u{draw.randrange(10**6)}" for _ in range(50))) for i in range(5)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {got[i] for i in ids} == {min(ids)}
+    assert all(got[10**6 + i] == 10**6 + i for i in range(5))
+
+
+def test_representatives_tell_repeated_ids_apart(spark):
+    copy, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, copy), (2, copy), (2, other), (2, other), (3, None), (3, None), (None, copy), (None, "x y"), (4, "x y")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(False, 1, copy), (False, 2, other), (False, 3, ""), (False, 4, "x y")]
