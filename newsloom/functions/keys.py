@@ -50,5 +50,34 @@ def signature_key(signature: Column) -> Column:
     return F.when((F.length(signature) >= 6) & (F.size(tokens) >= 2), F.concat_ws(" ", tokens))
 
 
+#: fixed values: verbs of a signature by kind of action, and names by the entity they mean
+VERBS = {
+    "publish": "release launch announce unveil introduce reveal ship roll-out rollout debut preview demo publish upload",
+    "acquisition": "acquire buy purchase merge takeover",
+    "funding": "fund fundraise raise invest close secure",
+    "partnership": "partner collaborate team-up team",
+    "opensource": "open-source open",
+    "hiring": "hire appoint join leave depart fire resign",
+    "legal": "sue settle fine ban",
+    "strategy": "pivot restructure",
+}
+ENTITIES = {
+    "openai": "open-ai", "google": "google-deepmind deepmind alphabet", "meta": "meta-ai facebook fair", "microsoft": "msft", "amazon": "aws", "mistral": "mistral-ai", "huggingface": "hugging-face hf",
+    "xai": "x-ai", "deepseek": "deep-seek", "bytedance": "字节 字节跳动", "alibaba": "阿里 阿里巴巴", "baidu": "百度", "tencent": "腾讯", "moonshot": "月之暗面", "zhipu": "智谱",
+}
+
+
+def _among(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for name, words in table.items() for w in words.split() for x in (w, name)])
+
+
+def entity_action_key(signature: Column) -> Column:
+    """'entity|action' of a signature: its first word and the first known verb among the next four; null without one."""
+    words = F.regexp_extract_all(F.lower(F.trim(signature)), F.lit(r"[\p{L}\p{N}_-]+"), 0)
+    entity = F.coalesce(F.try_element_at(_among(ENTITIES), F.get(words, F.lit(0))), F.get(words, F.lit(0)))
+    actions = F.filter(F.transform(F.slice(words, 2, 4), lambda w: F.try_element_at(_among(VERBS), w)), lambda a: a.isNotNull())
+    return F.when(F.size(actions) > 0, F.concat_ws("|", entity, F.get(actions, F.lit(0))))
+
+
 def judgment_key(date: Column, shift: Column, title: Column) -> Column:
     return F.concat_ws("|", F.coalesce(date, F.lit("")), F.coalesce(shift, F.lit("")), F.coalesce(title, F.lit("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +10,40 @@ from pyspark.sql import functions as F
 PRIME, SEED, HASHES = (1 << 61) - 1, 42, 64
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-case words of two characters or more."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda t: F.length(t) > 1))
+#: Chinese characters, as far as words are split at them
+CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
 
 
-def all_tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda t: F.length(t) > 1)
+def normal_form(text: Column) -> Column:
+    """NFKC; ASCII text is in it already and does not leave the JVM."""
+    ascii_only = text.rlike(r"^[\x00-\x7F]*$")
+    return F.coalesce(F.when(ascii_only, text), F.pandas_udf(_nfkc, "string")(F.when(~ascii_only, text)))
+
+
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC")
+
+
+def all_tokens(text: Column, synonyms: list[list[str]] | None = None) -> Column:
+    """Words of two characters or more in order; a word with Chinese characters gives each of these and each pair of neighbours."""
+    plain = normal_form(F.trim(F.lower(text)))
+    words = F.regexp_extract_all(fold_synonyms(plain, synonyms or []), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+    def split(w: Column) -> Column:
+        c = F.regexp_extract_all(w, F.lit(f"({CJK})"), 1)
+        pairs = F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.size(c)), lambda x, y: F.concat(x, y))
+        return F.when(F.size(c) > 0, F.concat(c, pairs)).when(F.length(w) > 1, F.array(w)).otherwise(F.array().cast("array<string>"))
+
+    return F.when(plain.rlike(CJK), F.flatten(F.transform(words, split))).otherwise(F.filter(words, lambda w: F.length(w) > 1))
+
+
+def tokens(text: Column, synonyms: list[list[str]] | None = None) -> Column:
+    """Distinct tokens of all_tokens()."""
+    return F.array_distinct(all_tokens(text, synonyms))
 
 
 def mostly_cjk(text: Column, share: float = 0.3) -> Column:
-    return F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]")) > share * F.length(text)
+    return F.regexp_count(text, F.lit(CJK)) > share * F.length(text)
 
 
 def fold_synonyms(text: Column, groups: list[list[str]]) -> Column:
@@ -64,6 +88,21 @@ def relative_age_hours(text: Column) -> Column:
     return F.when(F.lower(text).contains("ago"), n * F.try_element_at(each, unit))
 
 
+#: fixed values: words that say nothing in a title
+STOP_WORDS = (
+    "a an the is are was were be been being in on at to for of with by from about and or but not no as this that these those "
+    "it its they them their we you i he she how what when where why who which has have will would can could should may might do does "
+    "new now just more most one two some all any show ask hn reddit d p r 的 了 在 是 我 有 和 就 不 人 都 今 日 昨 明 年 月 天 时"
+).split()
+
+
+def keywords(text: Column) -> Column:
+    """Distinct lower-case ASCII words of two characters or more that are no stop words, and runs of two Chinese characters or more."""
+    words = F.filter(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9-]*"), 0), F.lower), lambda w: F.length(w) >= 2)
+    runs = F.regexp_extract_all(text, F.lit(r"[\x{4E00}-\x{9FFF}]{2,}"), 0)
+    return F.array_except(F.array_distinct(F.concat(words, runs)), F.lit(STOP_WORDS))
+
+
 def truncate_at_sentence(text: Column, limit: int, note: str) -> Column:
     """Unchanged within the limit; else cut behind the last sentence end that leaves room for the note."""
     head = F.substring(text, 1, limit - len(note))

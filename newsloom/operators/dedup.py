@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import HASHES, PRIME, SEED, all_tokens, tokens
 
+#: the value of each hash in the signature of a text without a token
+NO_TOKEN = 0xFFFFFFFF
+
 
 def exact(items: DataFrame, key: str, order: list) -> DataFrame:
     """The first item of each key; rank filters are limited before the shuffle."""
@@ -24,43 +31,104 @@ def coefficients(n: int = HASHES) -> list[tuple[int, int]]:
     return [(draw.randint(1, PRIME - 1), draw.randint(0, PRIME - 1)) for _ in range(n)]
 
 
+def _times(a: int, x: np.ndarray) -> np.ndarray:
+    """a * x modulo 2^61 - 1 in 64-bit steps, for a and x below it."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, x1, x0 = np.uint64(a >> 31), np.uint64(a & ((1 << 31) - 1)), x >> half, x & low
+    mid = a1 * x0 + a0 * x1
+    total = np.uint64(2) * (a1 * x1) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half)
+    return (total % np.uint64(PRIME) + (a0 * x0) % np.uint64(PRIME)) % np.uint64(PRIME)
+
+
+def _least(n: int) -> Callable:
+    family = coefficients(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1)
+            flat = held.flatten().dictionary_encode()
+            # each distinct token of a batch is hashed once
+            x = np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big") % PRIME for t in flat.dictionary.to_pylist()], np.uint64)
+            size = np.diff(np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]) if len(held) else np.zeros(0, np.int32)
+            token, some = flat.indices.to_numpy(zero_copy_only=False), size > 0
+            first = (np.cumsum(size) - size)[some]
+            out = np.full((n, len(held)), NO_TOKEN, np.int64)
+            for row, (a, b) in zip(out, family, strict=True):
+                h = ((_times(a, x) + np.uint64(b)) % np.uint64(PRIME)) & np.uint64(NO_TOKEN)
+                if first.size:
+                    row[some] = np.minimum.reduceat(h[token], first).astype(np.int64)
+            offsets = np.arange(0, (len(held) + 1) * n, n, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.T.ravel()))], names=[batch.schema.names[0], "signature"])
+
+    return run
+
+
 def signatures(items: DataFrame, key: str, text: str, n: int = HASHES) -> DataFrame:
-    """(key, i, h): the smallest of each hash over an item's tokens, without a UDF and without a shuffle.
+    """(key, signature): the smallest of each hash over an item's tokens, in the item's row.
 
     x is the first 64 bits of a token's md5, h = (a x + b) mod (2^61 - 1), its low 32 bits are kept.
-    x is reduced first, so the product has 37 digits at most and decimal arithmetic is exact. Items
-    without a token have no rows.
+    The signature of an item without a token is NO_TOKEN throughout.
     """
-    prime = F.lit(PRIME).cast("decimal(19,0)")
-    x = F.transform(tokens(F.col(text)), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)") % prime).cast("decimal(19,0)"))
-    rows = items.select(key, x.alias("_x")).where(F.size("_x") > 0)
+    rows = items.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    return rows.mapInArrow(_least(n), f"{key} {rows.schema[key].dataType.simpleString()}, signature array<bigint>")
 
-    def least(a: int, b: int):
-        return F.array_min(F.transform("_x", lambda v: ((((F.lit(a).cast("decimal(19,0)") * v).cast("decimal(38,0)") % prime + F.lit(b).cast("decimal(19,0)")) % prime) % F.lit(1 << 32).cast("decimal(19,0)")).cast("bigint")))
 
-    return rows.select(key, F.posexplode(F.array(*(least(a, b) for a, b in coefficients(n)))).alias("i", "h"))
-
-
-def bands(signature: DataFrame, key: str, rows: int) -> DataFrame:
-    """(key, band, bucket) of each item from (key, i, h)."""
-    return signature.groupBy(key, F.expr(f"i div {rows}").alias("band")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("v")).select(key, "band", F.xxhash64(F.transform("v", lambda s: s["h"])).alias("bucket"))
+def bands(signed: DataFrame, key: str, rows: int = 2) -> DataFrame:
+    """(key, band, bucket) of each item from its signature; items without a token are in no bucket."""
+    n = F.size("signature") / rows
+    each = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.xxhash64(F.slice("signature", i * rows + 1, F.lit(rows))))
+    return signed.where(F.get("signature", F.lit(0)) != NO_TOKEN).select(key, F.posexplode(each).alias("band", "bucket"))
 
 
 def candidates(banded: DataFrame, key: str) -> DataFrame:
-    """(earlier, later): each item with the first item of each of its buckets.
+    """(earlier, later) of all members that share a bucket, each pair once.
 
-    A bucket gives one pair per member, not all pairs, so one crowded bucket stays linear.
+    For signatures of distinct texts at a threshold that few unrelated pairs reach; similar() gives
+    the pairs of a threshold without buckets, however crowded.
     """
-    first = banded.groupBy("band", "bucket").agg(F.min(key).alias("earlier"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return banded.join(first, ["band", "bucket"]).where(F.col("earlier") < F.col(key)).select("earlier", F.col(key).alias("later")).distinct()
+    a, b = banded.select("band", "bucket", F.col(key).alias("earlier")), banded.select("band", "bucket", F.col(key).alias("later"))
+    return a.join(b, ["band", "bucket"]).where("earlier < later").select("earlier", "later").distinct()
+
 
+def agreement(pairs: DataFrame, signed: DataFrame, key: str) -> DataFrame:
+    """pairs with agreement: the share of equal hashes in both signatures."""
+    a, b = signed.select(F.col(key).alias("earlier"), F.col("signature").alias("_a")), signed.select(F.col(key).alias("later"), F.col("signature").alias("_b"))
+    same = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda x: x)) / F.size("_a")
+    return pairs.join(a, "earlier").join(b, "later").withColumn("agreement", same).drop("_a", "_b")
 
-def best_earlier(items: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(later, earlier, similarity): the most similar earlier candidate at the threshold, ties to the earlier."""
-    side = items.select(key, tokens(F.col(text)).alias("t"))
-    both = pairs.join(side.select(F.col(key).alias("later"), F.col("t").alias("a")), "later").join(side.select(F.col(key).alias("earlier"), F.col("t").alias("b")), "earlier")
-    sim = F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b")))
-    scored = both.select("later", "earlier", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+
+def similar(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(earlier, later, similarity) of all pairs whose token sets have a Jaccard similarity of `least` or more.
+
+    Items of equal sets are one node, represented by the smallest key. Nodes meet in a prefix join:
+    with the rare tokens first, sets that reach the threshold share one of their first
+    n - ceil(least n) + 1 tokens, so common tokens bring no pairs. An item that is not its node's
+    first has one row, with the first; a node's pairs are given between first members.
+    """
+    sets = items.select(key, F.array_sort(tokens(F.col(text))).alias("t")).where(F.size("t") > 0)
+    named = sets.withColumn("node", F.xxhash64("t"))
+    nodes = named.groupBy("node").agg(F.min(key).alias("first"), F.min_by("t", key).alias("t"))
+    each = nodes.select("first", F.size("t").alias("n"), F.explode("t").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # tokens of one node link nothing, but count in the order
+    ordered = each.join(common, "token", "left").groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("by"))
+    length = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
+    prefix = ordered.select("first", "n", F.posexplode(F.slice("by", F.lit(1), length)).alias("pos", "x")).where("x.df > 1").select("first", "n", "pos", "x.token")
+    a, b = prefix.toDF("a", "na", "pa", "token"), prefix.toDF("b", "nb", "pb", "token")
+    need = least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    pairs = a.join(b, "token").where(fits).select("a", "b").distinct()
+    side = nodes.select("first", "t")
+    both = pairs.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    scored = both.select(F.col("a").alias("earlier"), F.col("b").alias("later"), (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    same = named.join(nodes.select("node", "first"), "node").where(F.col(key) != F.col("first")).select(F.col("first").alias("earlier"), F.col(key).alias("later"), F.lit(1.0).alias("similarity"))
+    return scored.unionByName(same)
+
+
+def best_earlier(pairs: DataFrame, threshold: Column | float) -> DataFrame:
+    """(later, earlier, similarity): the most similar earlier item that reaches the pair's threshold, ties to the earlier."""
+    scored = pairs.where(F.col("similarity") >= threshold)
     return scored.groupBy("later").agg(F.max_by(F.struct("earlier", "similarity"), F.struct("similarity", -F.col("earlier"))).alias("x")).select("later", "x.earlier", "x.similarity")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.keys import signature_key
+from newsloom.functions.keys import entity_action_key, signature_key
 from newsloom.operators.graph import components
 
 #: fixed values: the status lattice and the order of evidence roles
@@ -41,10 +41,12 @@ def canonical(evidence: DataFrame) -> DataFrame:
 
 
 def status(evidence: DataFrame) -> DataFrame:
-    """Target status by distinct sources and tiers: official, confirmed (two sources, or one of tier 1 or less with another), else reported."""
-    agg = evidence.groupBy("event_id").agg(F.count_distinct("source_name").alias("sources"), F.bool_or(F.col("source_tier") == 0).alias("any0"), F.bool_or(F.col("source_tier") <= 1).alias("any1"))
-    level = F.when(F.col("any0"), 3).when((F.col("sources") >= 3) | (F.col("any1") & (F.col("sources") >= 2)), 2).otherwise(1)
-    return agg.select("event_id", "sources", level.alias("level"))
+    """Target status by distinct named sources, tiers and roles: official by tier or role, confirmed by three sources with
+    one of tier 1 or less, reported by two; a single source changes nothing, so its event has no row."""
+    agg = evidence.groupBy("event_id").agg(
+        F.count_distinct(F.nullif("source_name", F.lit(""))).alias("sources"), F.bool_or((F.col("source_tier") == 0) | (F.col("role") == "official")).alias("official"), F.bool_or(F.col("source_tier") <= 1).alias("any1"))
+    level = F.when(F.col("official"), 3).when((F.col("sources") >= 3) & F.col("any1"), 2).when(F.col("sources") >= 2, 1)
+    return agg.select("event_id", "sources", level.alias("level")).where("level is not null")
 
 
 def upgraded(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,13 +76,26 @@ def same_event_merge(items: DataFrame) -> DataFrame:
     return items.groupBy(group.alias("g")).agg(F.max_by("item_id", merit).alias("item_id"), F.count("*").alias("merged")).drop("g")
 
 
+def _keyed(rows: DataFrame, name: str) -> DataFrame:
+    """(name, rank, k): the signature key (0) and the entity-action key (1) of each row that has them."""
+    keys = F.array(F.struct(F.lit(0).alias("rank"), signature_key(F.col("signature")).alias("k")), F.struct(F.lit(1).alias("rank"), entity_action_key(F.col("signature")).alias("k")))
+    return rows.select(name, F.explode(keys).alias("x")).select(name, "x.rank", "x.k").where("k is not null and k <> ''")
+
+
 def cluster(articles: DataFrame, similar: DataFrame) -> DataFrame:
     """(id, event) by equal signature keys, equal entity-action keys and similar pairs (earlier, later).
 
     Members of a key point at its first member, a star per key, so keys of any size stay linear.
     """
-    keyed = articles.select("id", F.explode(F.array(signature_key(F.col("signature")), F.col("action_key"))).alias("k")).where("k is not null and k <> ''")
-    first = keyed.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = keyed.join(first, "k").where("id <> a").select("a", F.col("id").alias("b"))
+    keyed = _keyed(articles, "id")
+    first = keyed.groupBy("rank", "k").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = keyed.join(first, ["rank", "k"]).where("id <> a").select("a", F.col("id").alias("b"))
     roots = components(stars.union(similar.select("earlier", "later")))
     return articles.join(roots, articles["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("event"))
+
+
+def known_events(articles: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, event_id): articles whose key an existing event (event_id, seq, signature) has; signature keys come first, then the first event."""
+    owner = _keyed(existing.select(F.struct("seq", "event_id").alias("e"), "signature"), "e").groupBy("rank", "k").agg(F.min("e").alias("e"))
+    hits = _keyed(articles, "id").join(owner, ["rank", "k"])
+    return hits.groupBy("id").agg(F.min_by("e", "rank").alias("e")).select("id", "e.event_id")

@@ -23,10 +23,12 @@ def roundup_free(items: DataFrame, lead: str, keyword: str) -> DataFrame:
     return items.where(~(title.rlike(lead) | title.rlike(keyword)))
 
 
-def keyword_prefilter(items: DataFrame, pattern: str, always: Column) -> DataFrame:
-    """Passes what is always wanted and what names a keyword in title or summary; the cheap test comes first."""
-    text = F.lower(F.concat_ws(" ", "title", "summary"))
-    return items.where(always | text.rlike(pattern))
+def keyword_prefilter(items: DataFrame, english: str, chinese: str, trusted: list[str], head: int = 300) -> DataFrame:
+    """Passes tier 1 and better, sources of the subject only, trusted media, protected items, and what names a keyword of
+    either language in the title or the summary's first `head` characters; the cheap tests come first."""
+    text = F.lower(F.concat_ws(" ", "title", F.substring("summary", 1, head)))
+    always = (F.coalesce("tier", F.lit(2)) <= 1) | F.coalesce("ai_only", F.lit(False)) | F.col("source_name").isin(trusted) | F.coalesce("protected", F.lit(False))
+    return items.where(F.coalesce(always, F.lit(False)) | text.rlike(english) | text.rlike(chinese))
 
 
 def per_source_cap(items: DataFrame, cap: int, order: list[Column], protected: Column | None = None) -> DataFrame:
@@ -36,24 +38,25 @@ def per_source_cap(items: DataFrame, cap: int, order: list[Column], protected: C
     return items.withColumn("_place", place).where(keep if protected is None else keep | protected).drop("_place")
 
 
-def tiered_quota(items: DataFrame, budget: int, floor: int, order: list[Column]) -> DataFrame:
-    """All of tier 0, then max(floor, half of the rest) of tier 1, then tier 2 up to the budget.
+def tiered_quota(items: DataFrame, budget: int, floor: int, order: list[Column], cap: int = 8, cap0: int = 15) -> DataFrame:
+    """Items of tier 0 (cap0 a source), then max(floor, half of the rest) of tier 1, then tier 2 up to the budget.
 
-    One row of counts decides the limits; the rank within a tier is limited before the shuffle.
+    Each source gives tiers 1 and 2 `cap` items at most; protected items are exempt from these caps. Each
+    cut is a limit on a total order, so that no tier is sorted in one task.
     """
-    n0, n1 = items.agg(F.count_if(F.col("tier") == 0), F.count_if(F.col("tier") == 1)).first()
+    t0, t1, t2 = (per_source_cap(items.where(F.col("tier") == tier), n, order, F.col("protected")) for tier, n in ((0, cap0), (1, cap), (2, cap)))
+    n0, n1 = t0.count(), t1.count()
     k1 = min(n1, max(floor, (budget - n0) // 2))
-    place = F.row_number().over(Window.partitionBy("tier").orderBy(*order))
-    rest = items.where(F.col("tier").isin(1, 2)).withColumn("_place", place)
-    rest = rest.where(F.col("_place") <= F.when(F.col("tier") == 1, k1).otherwise(budget - n0 - k1))
-    return items.where("tier = 0").unionByName(rest.drop("_place"))
+    return t0.unionByName(t1.orderBy(*order).limit(k1)).unionByName(t2.orderBy(*order).limit(max(0, budget - n0 - k1)))
 
 
 def entity_rate_limit(items: DataFrame, cap: int, order: str, group: str = "day") -> DataFrame:
     """Accept an item if each of its entities has been accepted fewer than `cap` times before in its group.
 
-    Protected items are always accepted and counted. This is a fold over the order of arrival; it
-    runs per group (a day of one batch), so the work is bounded by a group.
+    Protected items are always accepted and counted. Items without an entity are accepted and never
+    leave their partition, and once `cap` protected items name an entity, later items with it are
+    rejected before the fold. The rest is a fold over the order of arrival, which is unique in a group
+    (a day of one batch).
     """
     import pandas as pd
 
@@ -61,7 +64,7 @@ def entity_rate_limit(items: DataFrame, cap: int, order: str, group: str = "day"
         seen: dict[str, int] = {}
         keep = []
         for entities, protected in zip(part.entities, part.protected, strict=True):
-            names = [] if entities is None else list(entities)
+            names = list(entities)
             ok = bool(protected) or all(seen.get(e, 0) < cap for e in names)
             if ok:
                 for e in names:
@@ -69,7 +72,15 @@ def entity_rate_limit(items: DataFrame, cap: int, order: str, group: str = "day"
             keep.append(ok)
         return part[keep]
 
-    return items.groupBy(group).applyInPandas(lambda part: fold(part.sort_values(order, kind="stable")), items.schema)
+    free = F.coalesce(F.size("entities") <= 0, F.lit(True)) | F.col("entities").isNull()
+    bound = items.where(~free)
+    guards = bound.where("protected").select(group, order, F.explode("entities").alias("_e"))
+    nth = F.row_number().over(Window.partitionBy(group, "_e").orderBy(order))
+    full = guards.withColumn("_n", nth).where(F.col("_n") == cap).groupBy(group, "_e").agg(F.min(order).alias("_at"))
+    late = bound.where("not protected").select(group, order, F.explode("entities").alias("_e")).join(full, [group, "_e"]).where(F.col(order) > F.col("_at")).select(group, order).distinct()
+    open_ = bound.where("not protected").join(late, [group, order], "left_anti").unionByName(bound.where("protected"))
+    folded = open_.select(*items.columns).groupBy(group).applyInPandas(lambda part: fold(part.sort_values(order, kind="stable")), items.schema)
+    return items.where(free).unionByName(folded)
 
 
 def shift_window(items: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -83,11 +94,15 @@ def not_rendered(items: DataFrame, start: Column) -> DataFrame:
     return items.where(~F.coalesce((rendered >= start) & ~F.coalesce(F.col("last_updated_at") > rendered, F.lit(False)), F.lit(False)))
 
 
-def substantial(items: DataFrame) -> DataFrame:
+def substance() -> Column:
     """Summary of 20 characters, and by analysis level: two key details, or any of the longer fields."""
     details = F.size(F.filter(F.coalesce("key_details", F.array()), lambda d: F.length(d) >= 10))
     deep = (F.length("background") > 0) | (F.length("deep_analysis") > 0) | (F.length("detailed_content") >= 100) | (details >= 2)
-    return items.where((F.length("summary") >= 20) & F.when(F.col("level") == 0, details >= 2).otherwise(F.coalesce(deep, F.lit(False))))
+    return F.coalesce((F.length("summary") >= 20) & F.when(F.col("level") == 0, details >= 2).otherwise(F.coalesce(deep, F.lit(False))), F.lit(False))
+
+
+def substantial(items: DataFrame) -> DataFrame:
+    return items.where(substance())
 
 
 def config_problems(sources: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries: importing the modules fills the registry."""
 
-from newsloom.plans import details, extras, intake, reports, streams  # noqa: F401
+from newsloom.plans import briefing, details, extras, intake, reports, streams  # noqa: F401
 from newsloom.plans.registry import QUERIES
 
 

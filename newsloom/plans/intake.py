@@ -12,7 +12,7 @@ from newsloom.plans.views import ARTICLES, AS_OF, ENTITIES, TAGGED, articles, re
 from newsloom.sources.tables import table
 
 LEAD, DIGEST = "^(the|la|der) (and|que|die)", "(weekly|digest|license)"
-KEYWORDS = "(tionhe|ungen|cióncon|eaude)"
+KEYWORDS, CHINESE = "(tionhe|ungen|cióncon|eaude)", "(模型|芯片|ñosque)"
 STRONG, MEDIUM, VERB = "(ingtion|keitver|aciónmente|menteau)", "(tion|keit|mente|eaux)", "(erhe|lichver|ndoci|ouaux)"
 CATEGORIES = [("models", "ation"), ("chips", "keit"), ("policy", "mente"), ("business", "eaux"), ("tools", "ing"), ("research", "ung")]
 TYPES = [("paper", "arxiv|abstract"), ("opinion", "think|opinion"), ("community", "forum|reddit"), ("video", "video|watch")]
@@ -29,9 +29,11 @@ def roundup_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.roundup_free(articles(spark, sf_dir), f"(?i){LEAD}", f"(?i){DIGEST}").select("id")
 
 
-@query("F01, F04", f"WITH {ARTICLES} SELECT id, tier FROM a WHERE tier <= 1 OR regexp_matches(lower(concat_ws(' ', title, summary)), '{KEYWORDS}')")
+@query("F04", f"""WITH {TAGGED}, x AS (SELECT *, lower(concat_ws(' ', title, substr(summary, 1, 300))) AS t FROM g)
+SELECT id, tier FROM x WHERE tier <= 1 OR coalesce(id % 13 = 0, FALSE) OR coalesce(source_name IN ('src2', 'src9'), FALSE) OR coalesce(list_contains(entities, 'shipping'), FALSE) OR regexp_matches(t, '{KEYWORDS}') OR regexp_matches(t, '{CHINESE}')""")
 def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.keyword_prefilter(articles(spark, sf_dir), KEYWORDS, F.col("tier") <= 1).select("id", "tier")
+    i = entities.tag(articles(spark, sf_dir), ENTITIES).withColumn("ai_only", F.col("id") % 13 == 0)
+    return filters.keyword_prefilter(i, KEYWORDS, CHINESE, ["src2", "src9"]).select("id", "tier")
 
 
 @query("W01", f"""WITH {ARTICLES}, r AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY collected_at DESC, id) AS n FROM a)
@@ -40,12 +42,13 @@ def per_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.per_source_cap(articles(spark, sf_dir), 8, [F.desc("collected_at"), F.col("id")], F.col("tier") == 0).select("id", "source_name")
 
 
-@query("W02", f"""WITH {ARTICLES}, c AS (SELECT count(*) FILTER (tier = 0) AS n0, count(*) FILTER (tier = 1) AS n1 FROM a),
-k AS (SELECT n0, least(n1, greatest(60, floor((700 - n0) / 2))) AS k1 FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY importance DESC, id) AS n FROM a)
-SELECT id, tier FROM r, k WHERE tier = 0 OR (tier = 1 AND n <= k1) OR (tier = 2 AND n <= 700 - n0 - k1)""")
+@query("W02", f"""WITH {TAGGED}, s AS (SELECT *, list_contains(entities, 'shipping') AS protected, row_number() OVER (PARTITION BY source_name, tier ORDER BY importance DESC, id) AS k FROM g),
+q AS (SELECT * FROM s WHERE k <= CASE tier WHEN 0 THEN 15 ELSE 8 END OR protected), c AS (SELECT count(*) FILTER (tier = 0) AS n0, count(*) FILTER (tier = 1) AS n1 FROM q),
+k AS (SELECT n0, least(n1, greatest(60, floor((250 - n0) / 2))) AS k1 FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY importance DESC, id) AS n FROM q)
+SELECT id, tier FROM r, k WHERE tier = 0 OR (tier = 1 AND n <= k1) OR (tier = 2 AND n <= 250 - n0 - k1)""")
 def tiered_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.tiered_quota(articles(spark, sf_dir), 700, 60, [F.desc("importance"), F.col("id")]).select("id", "tier")
+    return filters.tiered_quota(entities.tag(articles(spark, sf_dir), ENTITIES), 250, 60, [F.desc("importance"), F.col("id")]).select("id", "tier")
 
 
 @query("W03, P17")
@@ -153,46 +156,89 @@ def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.idf(articles(spark, sf_dir), "id", "summary").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-_COEF = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(dedup.coefficients(16)))
-_TITLE_TOK = r"list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+'), lambda t: len(t) > 1))"
+def _hashes_sql(n: int) -> str:
+    """c: the coefficients of n hashes."""
+    return "c(i, a, b) AS (VALUES " + ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(dedup.coefficients(n))) + ")"
 
 
-@query("P05", f"""WITH {ARTICLES}, t AS (SELECT id, ('0x' || substr(md5(unnest({_TITLE_TOK})), 1, 16))::HUGEINT AS x FROM a), c(i, a, b) AS (VALUES {_COEF})
-SELECT id, i::INT AS i, min(((c.a * (x % {text.PRIME}::HUGEINT)) % {text.PRIME}::HUGEINT + c.b) % {text.PRIME}::HUGEINT % 4294967296::HUGEINT)::BIGINT AS h FROM t, c GROUP BY id, i""")
+_MIN_SQL = f"min(((c.a * (x % {text.PRIME}::HUGEINT)) % {text.PRIME}::HUGEINT + c.b) % {text.PRIME}::HUGEINT % 4294967296::HUGEINT)::BIGINT"
+_WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), lambda t: len(t) > 1)"
+_TITLE_TOK = f"list_distinct({_WORDS.format('title')})"
+
+
+@query("P05", f"""WITH {ARTICLES}, t AS (SELECT id, ('0x' || substr(md5(unnest({_TITLE_TOK})), 1, 16))::HUGEINT AS x FROM a), {_hashes_sql(16)}, h AS (SELECT id, i::INT AS i, {_MIN_SQL} AS h FROM t, c GROUP BY id, i)
+SELECT a.id, c.i::INT AS i, coalesce(h.h, 4294967295) AS h FROM a CROSS JOIN c LEFT JOIN h ON h.id = a.id AND h.i = c.i""")
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.signatures(articles(spark, sf_dir), "id", "title", 16)
+    return dedup.signatures(articles(spark, sf_dir), "id", "title", 16).select("id", F.posexplode("signature").alias("i", "h"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Articles of distinct titles and (earlier, later) candidates from 16 bands of 4 hashes."""
-    first = dedup.exact(articles(spark, sf_dir).withColumn("key", keys.title_key(F.col("title"))), "key", [F.col("id")])
-    return first, dedup.candidates(dedup.bands(dedup.signatures(first, "id", "title", 64), "id", 4), "id")
+@query("P06, P07, J07", f"""WITH t AS (SELECT item_id AS id, ('0x' || substr(md5(unnest(list_distinct({_WORDS.format("text")}))), 1, 16))::HUGEINT AS x FROM benchmark), {_hashes_sql(64)}, h AS (SELECT id, i, {_MIN_SQL} AS h FROM t, c GROUP BY id, i),
+b AS (SELECT id, i // 2 AS band, list(h ORDER BY i) AS bucket FROM h GROUP BY id, band), p AS (SELECT DISTINCT x.id AS earlier, y.id AS later FROM b x JOIN b y USING (band, bucket) WHERE x.id < y.id)
+SELECT earlier, later, round(count(*) FILTER (x.h = y.h) / 64, 6) AS agreement FROM p JOIN h x ON x.id = earlier JOIN h y ON y.id = later AND y.i = x.i GROUP BY earlier, later""")
+def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that share one of 32 bands of two hashes, and how many of 64 hashes agree."""
+    signed = dedup.signatures(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id"), "id", "text")
+    pairs = dedup.candidates(dedup.bands(signed, "id"), "id")
+    return dedup.agreement(pairs, signed, "id").select("earlier", "later", F.round("agreement", 6).alias("agreement"))
 
 
-_SIG64 = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(dedup.coefficients(64)))
-_PAIRS = f"""{ARTICLES}, k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(coalesce(title, '')), '[ \t\n\r\f\x0b]+', '', 'g') ORDER BY id) AS copy FROM a),
-o AS (SELECT id, {_TITLE_TOK} AS t FROM k WHERE copy = 1), x AS (SELECT id, ('0x' || substr(md5(unnest(t)), 1, 16))::HUGEINT AS x FROM o), c(i, a, b) AS (VALUES {_SIG64}),
-h AS (SELECT id, i, min(((c.a * (x % {text.PRIME}::HUGEINT)) % {text.PRIME}::HUGEINT + c.b) % {text.PRIME}::HUGEINT % 4294967296::HUGEINT)::BIGINT AS h FROM x, c GROUP BY id, i),
-bands AS (SELECT id, i // 4 AS band, list(h ORDER BY i) AS bucket FROM h GROUP BY id, band),
-f AS (SELECT band, bucket, min(id) AS earlier FROM bands GROUP BY band, bucket HAVING count(*) > 1),
-pairs AS (SELECT DISTINCT f.earlier, b.id AS later FROM bands b JOIN f USING (band, bucket) WHERE f.earlier < b.id)"""
-_BEST = """j AS (SELECT later, earlier, len(list_intersect(l.t, e.t))::DOUBLE / greatest(1, len(list_distinct(l.t || e.t))) AS similarity FROM pairs JOIN o l ON l.id = later JOIN o e ON e.id = earlier)"""
+#: similarity of titles, of titles in Chinese characters, and what a shared entity leaves of it
+ALIKE, ALIKE_CJK, SHARED = 0.6, 0.5, 0.7
 
 
-@query("C01, P06, P07, J07, J08, A24", f"""WITH {_PAIRS}, {_BEST}, r AS (SELECT *, row_number() OVER (PARTITION BY later ORDER BY similarity DESC, earlier) AS n FROM j WHERE similarity >= 0.6)
-SELECT later, earlier, round(similarity, 6) AS similarity FROM r WHERE n = 1""")
-def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, pairs = _pairs(spark, sf_dir)
-    return dedup.best_earlier(first, pairs, "id", "title", 0.6).select("later", "earlier", F.round("similarity", 6).alias("similarity"))
+def distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first article of each title."""
+    return dedup.exact(articles(spark, sf_dir).withColumn("key", keys.title_key(F.col("title"))), "key", [F.col("id")])
+
+
+def threshold(pairs: DataFrame, items: DataFrame) -> tuple[DataFrame, object]:
+    """pairs with the later title's language, and the threshold that goes by it."""
+    cjk = items.select(F.col("id").alias("later"), text.mostly_cjk(F.col("title")).alias("cjk"))
+    return pairs.join(cjk, "later"), F.when(F.col("cjk"), ALIKE_CJK).otherwise(ALIKE)
 
 
-@query("P10", f"""WITH {_PAIRS}, w AS (SELECT id, unnest(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda t: len(t) > 1)) AS term FROM k WHERE copy = 1),
-n AS (SELECT count(*) AS n FROM k WHERE copy = 1), tf AS (SELECT id, term, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS len FROM w GROUP BY id, term),
-df AS (SELECT term, ln(any_value(n) / (1 + count(*))) AS idf FROM tf, n GROUP BY term), v AS (SELECT id, term, c / len * idf AS w FROM tf JOIN df USING (term)),
-m AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id), d AS (SELECT earlier, later, sum(x.w * y.w) AS dot FROM pairs JOIN v x ON x.id = earlier JOIN v y ON y.id = later AND y.term = x.term GROUP BY earlier, later)
-SELECT p.earlier, p.later, round(CASE WHEN x.norm * y.norm > 0 THEN coalesce(dot, 0.0) / (x.norm * y.norm) ELSE 0.0 END, 6) AS cosine FROM pairs p LEFT JOIN d USING (earlier, later) LEFT JOIN m x ON x.id = p.earlier LEFT JOIN m y ON y.id = p.later""")
+def nearest_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Articles of distinct titles, and the best earlier one of each that has one."""
+    first = distinct_titles(spark, sf_dir)
+    return first, dedup.best_earlier(*threshold(dedup.similar(first, "id", "title", ALIKE_CJK), first))
+
+
+_CJK_SQL = r"(len(regexp_extract_all(title, '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]')) > 0.3 * len(title))"
+PAIRS = f"""{ARTICLES}, k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(coalesce(title, '')), '[ \t\n\r\f\x0b]+', '', 'g') ORDER BY id) AS copy FROM a),
+o AS (SELECT id, title, lang, source_name, {_TITLE_TOK} AS t FROM k WHERE copy = 1), x AS (SELECT id, unnest(t) AS term FROM o),
+n AS (SELECT x.id AS earlier, y.id AS later, count(*) AS c FROM x JOIN x AS y ON x.term = y.term AND x.id < y.id GROUP BY ALL),
+j AS (SELECT earlier, later, c / (len(e.t) + len(l.t) - c) AS similarity, CASE WHEN {_CJK_SQL.replace("title", "l.title")} THEN {ALIKE_CJK} ELSE {ALIKE} END AS bar, e.lang = l.lang AS shared FROM n JOIN o e ON e.id = earlier JOIN o l ON l.id = later)"""
+BEST = f"{PAIRS}, best AS (SELECT later, earlier, similarity FROM (SELECT *, row_number() OVER (PARTITION BY later ORDER BY similarity DESC, earlier) AS n FROM j WHERE similarity >= bar) WHERE n = 1)"
+
+
+@query("J08", f"WITH {BEST} SELECT later, earlier, round(similarity, 6) AS similarity FROM best")
+def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of titles are searched, by a join of token prefixes; the SQL compares every pair."""
+    return nearest_titles(spark, sf_dir)[1].select("later", "earlier", F.round("similarity", 6).alias("similarity"))
+
+
+@query("C01, A24", f"""WITH RECURSIVE {BEST}, two AS (SELECT earlier AS x, later AS y FROM best UNION SELECT later, earlier FROM best), reach AS (SELECT id, id AS root FROM o UNION SELECT two.y, root FROM reach JOIN two ON reach.id = two.x WHERE root < two.y),
+m AS (SELECT id, min(root) AS root FROM reach GROUP BY id), s AS (SELECT m.root, o.id, count(*) OVER (PARTITION BY m.root) AS size, row_number() OVER (PARTITION BY m.root ORDER BY (CASE source_name WHEN 'src1' THEN 4 WHEN 'src3' THEN 3 ELSE 2 END) * 3 + CASE WHEN lang = 'en' THEN 2 ELSE 0 END + least(len(title), 100) / 100 DESC, o.id) AS n FROM m JOIN o USING (id))
+SELECT id, size FROM s WHERE n = 1""")
+def two_layer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact titles once, then of each chain of near titles the best report."""
+    from newsloom.operators.briefing import pick_best
+    from newsloom.operators.graph import components
+
+    first, best = nearest_titles(spark, sf_dir)
+    roots = components(best.select(F.col("earlier").alias("a"), F.col("later").alias("b")))
+    body = F.when(F.col("lang") == "en", F.col("summary")).otherwise("")
+    members = first.join(roots, first["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("cluster"), "id", F.col("id").alias("pos"), "source_name", "title", body.alias("full_text"))
+    return pick_best(members, F.when(F.col("source_name") == "src1", 4).when(F.col("source_name") == "src3", 3).otherwise(2)).select("id", "size")
+
+
+@query("P10", f"""WITH {BEST}, w AS (SELECT id, unnest({_WORDS.format("title")}) AS term FROM k WHERE copy = 1),
+nn AS (SELECT count(*) AS n FROM k WHERE copy = 1), tf AS (SELECT id, term, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS len FROM w GROUP BY id, term),
+df AS (SELECT term, ln(any_value(n) / (1 + count(*))) AS idf FROM tf, nn GROUP BY term), v AS (SELECT id, term, c / len * idf AS w FROM tf JOIN df USING (term)),
+m AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id), d AS (SELECT earlier, later, sum(x.w * y.w) AS dot FROM best JOIN v x ON x.id = earlier JOIN v y ON y.id = later AND y.term = x.term GROUP BY earlier, later)
+SELECT p.earlier, p.later, round(CASE WHEN x.norm * y.norm > 0 THEN coalesce(dot, 0.0) / (x.norm * y.norm) ELSE 0.0 END, 6) AS cosine FROM best p LEFT JOIN d USING (earlier, later) LEFT JOIN m x ON x.id = p.earlier LEFT JOIN m y ON y.id = p.later""")
 def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, pairs = _pairs(spark, sf_dir)
+    first, pairs = nearest_titles(spark, sf_dir)
     return dedup.tfidf_cosine(first, pairs, "id", "title").select("earlier", "later", F.round("cosine", 6).alias("cosine"))
 
 

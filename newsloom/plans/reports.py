@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions import keys, scores
+from newsloom.functions import keys, scores, text
 from newsloom.operators import dedup, events, filters, health, ranking, signals, store
-from newsloom.plans.intake import _BEST, _PAIRS, _pairs
+from newsloom.plans.intake import ALIKE_CJK, PAIRS, SHARED, distinct_titles, threshold
 from newsloom.plans.registry import query
 from newsloom.plans.views import ARTICLES, AS_OF, EVIDENCE, HEALTH, articles, evidence, source_runs
 from newsloom.sources.tables import table
@@ -38,7 +38,7 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("importance") >= 4).alias("important"), F.count_if("ai_relevant").alias("relevant"), F.count_distinct("source_name").alias("sources"))
 
 
-@query("A09", f"""WITH {ARTICLES} SELECT lang, tier, count(*) AS n, round(avg(importance), 6) AS mean_importance FROM a GROUP BY lang, tier""")
+@query("A01", f"""WITH {ARTICLES} SELECT lang, tier, count(*) AS n, round(avg(importance), 6) AS mean_importance FROM a GROUP BY lang, tier""")
 def language_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).groupBy("lang", "tier").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("mean_importance"))
 
@@ -63,22 +63,22 @@ def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.select("event_id", F.size("chain").cast("bigint").alias("n"), F.array_join(F.transform("chain", lambda c: F.concat_ws(":", c["role"], c["article_id"])), ",").alias("chain"))
 
 
-@query("A23, P35", f"""WITH {EVIDENCE}, k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY -10 * source_tier DESC, has_analysis DESC, has_body DESC, importance DESC, title_len DESC, pos) AS n FROM e)
+@query("A23", f"""WITH {EVIDENCE}, k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY -10 * source_tier DESC, has_analysis DESC, has_body DESC, importance DESC, title_len DESC, pos) AS n FROM e)
 SELECT event_id, article_id AS canonical_article_id FROM k WHERE n = 1""")
 def canonical_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.canonical(evidence(spark, sf_dir))
 
 
-@query("A22, K06, P36", f"""WITH {EVIDENCE}, g AS (SELECT event_id, count(DISTINCT source_name) AS sources, bool_or(source_tier = 0) AS any0, bool_or(source_tier <= 1) AS any1 FROM e GROUP BY event_id),
-l AS (SELECT event_id, CASE WHEN any0 THEN 3 WHEN sources >= 3 OR (any1 AND sources >= 2) THEN 2 ELSE 1 END AS level FROM g),
+@query("A22, K06", f"""WITH {_ROLES}, g AS (SELECT event_id, count(DISTINCT source_name) AS sources, bool_or(source_tier = 0 OR role = 'official') AS official, bool_or(source_tier <= 1) AS any1 FROM r GROUP BY event_id),
+l AS (SELECT event_id, CASE WHEN official THEN 3 WHEN sources >= 3 AND any1 THEN 2 WHEN sources >= 2 THEN 1 END AS level FROM g),
 o AS (SELECT o_orderkey AS event_id, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS level FROM orders)
-SELECT event_id, greatest(o.level, l.level)::INT AS level FROM o FULL JOIN l USING (event_id)""")
+SELECT event_id, greatest(o.level, l.level)::INT AS level FROM o FULL JOIN (SELECT * FROM l WHERE level IS NOT NULL) l USING (event_id)""")
 def status_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("level"))
-    return events.upgraded(old, events.status(evidence(spark, sf_dir)))
+    return events.upgraded(old, events.status(_roles(spark, sf_dir)))
 
 
-@query("A03, A07", f"WITH {EVIDENCE} SELECT event_id, count(DISTINCT source_name) AS sources, count(*) AS reports FROM e GROUP BY event_id HAVING count(DISTINCT source_name) >= 2")
+@query("A03", f"WITH {EVIDENCE} SELECT event_id, count(DISTINCT source_name) AS sources, count(*) AS reports FROM e GROUP BY event_id HAVING count(DISTINCT source_name) >= 2")
 def multi_source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.multi_source(evidence(spark, sf_dir))
 
@@ -234,34 +234,96 @@ def breaking_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.breaking(_signals(spark, sf_dir), pushed, NOISE, EVENT, {"hn": 300, "hf": 2000, "reddit": 100}).select("sig_id", "source", "points")
 
 
-@query("J10, C07, A20, P38", r"""WITH p AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) || lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')) AS url_key FROM pages),
-e AS (SELECT page_id AS event_id, url_key, list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[\p{L}\p{N}_]+'), lambda t: len(t) > 1)) AS t FROM p),
-s AS (SELECT page_id AS signal_id, url_key, len(html)::INT AS score, list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[\p{L}\p{N}_]+'), lambda t: len(t) > 1)) AS t FROM p WHERE url_key <> ''),
-et AS (SELECT event_id, unnest(t) AS t FROM e), st AS (SELECT signal_id, score, unnest(t) AS t FROM s),
-m AS (SELECT event_id, signal_id, score, 1.0 AS confidence FROM e JOIN s USING (url_key) UNION ALL SELECT event_id, signal_id, any_value(score), 0.7 FROM et JOIN st USING (t) GROUP BY event_id, signal_id HAVING count(*) >= 6),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY confidence::DOUBLE * (score + 100) DESC, signal_id) AS n FROM m)
-SELECT event_id, 'hn' AS source, signal_id, score, confidence::DOUBLE AS confidence FROM r WHERE n = 1""".replace("\\\\", "\\"))
+_STOP = ", ".join(repr(w) for w in text.STOP_WORDS)
+_KEY = r"list_distinct(list_filter(list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z0-9-]*'), lambda x: lower(x)), lambda x: len(x) >= 2 AND x NOT IN (STOP)))".replace("STOP", _STOP)
+#: words that count as brands in the driver's invented languages
+_BRANDS = ["sst", "und", "que", "les", "anor"]
+_MATCH = f"""{ARTICLES}, e AS (SELECT id AS event_id, importance, title, summary, 'x.y/' || id % 97 AS url_key, ['x.y/' || id % 89, 'z/' || source_name] AS evidence_keys, [coalesce(source_name, ''), 'Und'] AS tags FROM a WHERE id % 5 = 0),
+s0 AS (SELECT id AS signal_id, CASE id % 4 WHEN 0 THEN 'hn' WHEN 1 THEN 'reddit' WHEN 2 THEN 'hf' ELSE 'github' END AS source, CASE WHEN id % 9 = 0 THEN source_name || ' repo' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN 'x.y/' || id % 101 ELSE '' END AS url_key, len(summary)::INT AS score FROM a WHERE id % 5 <> 0),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, signal_id) AS n FROM s0) WHERE n <= 50),
+ew AS (SELECT event_id, unnest(CASE WHEN len({_KEY.format("title")}) > 0 THEN {_KEY.format("title")} ELSE {_KEY.format("summary")} END) AS t FROM e), sw AS (SELECT signal_id, unnest({_KEY.format("title")}) AS t FROM s),
+et AS (SELECT event_id, unnest(list_distinct(list_transform(tags, lambda x: lower(x)))) AS t FROM e),
+p AS (SELECT event_id, signal_id, 0 AS place FROM e JOIN s ON e.url_key = s.url_key WHERE s.url_key <> '' UNION ALL SELECT event_id, signal_id, 1 FROM (SELECT event_id, unnest(evidence_keys) AS k FROM e) JOIN s ON k = s.url_key WHERE s.url_key <> ''
+ UNION ALL SELECT event_id, signal_id, CASE WHEN n >= 3 THEN 2 ELSE 3 END FROM (SELECT event_id, signal_id, count(*) AS n, bool_or(t IN ({", ".join(map(repr, _BRANDS))})) AS brand FROM ew JOIN sw USING (t) GROUP BY 1, 2) WHERE n >= 3 OR (n >= 2 AND brand)
+ UNION ALL SELECT event_id, signal_id, 4 FROM et JOIN sw USING (t) UNION ALL SELECT event_id, signal_id, 5 FROM et JOIN s ON contains(lower(s.title), et.t)),
+f AS (SELECT event_id, signal_id, min(place) AS place FROM p GROUP BY 1, 2), c AS (SELECT event_id, source, signal_id, score, CASE place WHEN 0 THEN 'url_exact' WHEN 1 THEN 'url_evidence' WHEN 2 THEN 'title_keywords' WHEN 3 THEN 'title_brand' WHEN 4 THEN 'entity_match' ELSE 'entity_in_title' END AS rule, CASE place WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.7 WHEN 3 THEN 0.6 ELSE 0.5 END::DOUBLE AS confidence FROM f JOIN s USING (signal_id)),
+m AS (SELECT event_id, source, signal_id, score, rule, confidence FROM (SELECT *, row_number() OVER (PARTITION BY event_id, source ORDER BY confidence * (score + 100) DESC, signal_id) AS n FROM c) WHERE n = 1)"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A fifth of the articles as events, and the fifty hottest of the others per service as signals, matched."""
+    a, n = articles(spark, sf_dir), F.col("id")
+    e = a.where("id % 5 = 0").select(
+        n.alias("event_id"), "importance", "title", "summary", F.concat(F.lit("x.y/"), n % 97).alias("url_key"), F.array(F.concat(F.lit("x.y/"), n % 89), F.concat(F.lit("z/"), "source_name")).alias("evidence_keys"), F.array(F.coalesce("source_name", F.lit("")), F.lit("Und")).alias("entity_tags"))
+    s = a.where("id % 5 <> 0").select(
+        n.alias("signal_id"), F.element_at(F.array(*map(F.lit, ("hn", "reddit", "hf", "github"))), (n % 4 + 1).cast("int")).alias("source"), F.when(n % 9 == 0, F.concat("source_name", F.lit(" repo"))).otherwise(F.col("title")).alias("title"),
+        F.when(n % 2 == 0, F.concat(F.lit("x.y/"), n % 101)).otherwise("").alias("url_key"), F.length("summary").alias("score"))
+    hot = ranking.first_per_group(s, "source", [F.desc("score"), F.col("signal_id")], 50)
+    return e, signals.match(e, hot, brands=_BRANDS)
+
+
+@query("J10, P38", f"WITH {_MATCH} SELECT * FROM m")
 def signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as signals of events named by the same address key."""
-    p = table(spark, sf_dir, "pages").withColumn("url_key", keys.signal_url(F.col("url")))
-    e = p.select(F.col("page_id").alias("event_id"), "url_key", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    s = p.select(F.col("page_id").alias("signal_id"), F.lit("hn").alias("source"), "url_key", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.length("html").alias("score"))
-    return signals.match(e, s.where("url_key <> ''"), 6)
+    return _matched(spark, sf_dir)[1]
 
 
-_CHAINS = [("c1", "error", 0.65, ["oil", "gas"]), ("c1", "signup", 0.65, ["oil", "gas"]), ("c2", "purchase", 0.5, ["gold"]), ("c3", "click", 0.8, ["chips", "oil", "gold"])]
+@query("A20", f"WITH {_MATCH} SELECT source, count(*) AS matches, round(avg(confidence), 6) AS confidence FROM m GROUP BY source")
+def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.match_stats(_matched(spark, sf_dir)[1])
 
 
-@query("J11, J12, J13, C06, P43", """WITH t(chain_id, event, hit) AS (VALUES ('c1', 'error', 0.65), ('c1', 'signup', 0.65), ('c2', 'purchase', 0.5), ('c3', 'click', 0.8)),
+@query("C07, P42", f"""WITH {_MATCH}, v AS (SELECT event_id, max(score) FILTER (source = 'hn') AS hn, bool_or(source = 'reddit') AS reddit, max(score) FILTER (source = 'hf') AS hf, max(score) FILTER (source = 'github') AS github FROM m GROUP BY 1),
+t AS (SELECT *, greatest(CASE WHEN hn >= 1000 THEN 5 WHEN hn >= 500 THEN 4 WHEN hn >= 200 THEN 3 ELSE 0 END, CASE WHEN reddit THEN 3 ELSE 0 END, CASE WHEN hf >= 2000 THEN 4 WHEN hf >= 500 THEN 3 ELSE 0 END, CASE WHEN github >= 50000 THEN 4 WHEN github >= 5000 THEN 3 ELSE 0 END) AS top, (hn IS NOT NULL)::INT + reddit::INT + (hf IS NOT NULL)::INT + (github IS NOT NULL)::INT AS seen FROM v)
+SELECT event_id, importance, greatest(importance, least(5, top + CASE WHEN seen >= 2 AND top > 0 THEN 1 ELSE 0 END))::INT AS effective_importance FROM t JOIN e USING (event_id)""")
+def signal_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose importance their signals raise."""
+    return signals.boosted(*_matched(spark, sf_dir))
+
+
+_CHAINS = [("c1", "error", 0.65, ["oil", "gas"]), ("c1", "signup", 0.65, ["oil", "gas"]), ("c2", "purchase", 0.5, ["gold"]), ("c3", "click", 0.8, ["chips", "oil", "gold"]), ("c2", "click", 0.5, ["gold"])]
+
+
+_CAUSAL = """t(chain_id, event, hit) AS (VALUES ('c1', 'error', 0.65), ('c1', 'signup', 0.65), ('c2', 'purchase', 0.5), ('c3', 'click', 0.8), ('c2', 'click', 0.5)),
 r(chain_id, reached) AS (VALUES ('c1', ['oil', 'gas']), ('c2', ['gold']), ('c3', ['chips', 'oil', 'gold'])),
 k AS (SELECT event_id AS id, chain_id, hit, len(list_intersect(['oil', CASE WHEN user_id % 2 = 0 THEN 'gold' ELSE 'tin' END], reached)) AS assets, CASE WHEN value > 20 THEN 'high' WHEN value > 5 THEN 'low' ELSE 'none' END AS level
- FROM events JOIN t ON event_type = event JOIN r USING (chain_id))
-SELECT id, chain_id, assets::BIGINT AS assets, least(1.0, round_even((0.5 * hit + least(0.1 * assets, 0.25) + CASE level WHEN 'high' THEN 0.25 WHEN 'low' THEN 0.05 ELSE 0.10 END)::DOUBLE, 3))::DOUBLE AS confidence FROM k""")
-def causal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+ FROM events JOIN t ON event_type = event JOIN r USING (chain_id)),
+m AS (SELECT id, chain_id, hit, assets::BIGINT AS assets, least(1.0, round_even((0.5 * hit + least(0.1 * assets, 0.25) + CASE level WHEN 'high' THEN 0.25 WHEN 'low' THEN 0.05 ELSE 0.10 END)::DOUBLE, 3))::DOUBLE AS confidence FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, chain_id) AS place FROM m)"""
+_DIRECTION = {"oil": "up", "gas": "variable", "gold": "down", "chips": "side"}
+
+
+def _causal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matches, chains and each chain's impacts."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array("event_type").alias("events"), F.array(F.lit("oil"), F.when(F.col("user_id") % 2 == 0, "gold").otherwise("tin")).alias("assets"), F.when(F.col("value") > 20, "high").when(F.col("value") > 5, "low").otherwise("none").alias("level"))
     triggers = spark.createDataFrame([(c, t, h) for c, t, h, _ in _CHAINS], "chain_id string, event string, hit_rate double")
-    edges = spark.createDataFrame([(c, to) for c, _, _, reached in _CHAINS for to in reached], "chain_id string, to string")
-    return signals.causal(e, triggers, edges)
+    edges = spark.createDataFrame([(c, i, to, _DIRECTION[to]) for c, reached in {c: r for c, _, _, r in _CHAINS}.items() for i, to in enumerate(reached)], "chain_id string, pos int, to string, direction string")
+    chains = spark.createDataFrame([("c1", "energy", 0.65, "f" * 70), ("c2", "metal", 0.5, ""), ("c3", "supply", 0.8, "short")], "chain_id string, name string, hit_rate double, finding string")
+    labels = spark.createDataFrame([("oil", "Crude oil"), ("gold", "Gold")], "asset string, label string")
+    return signals.causal(e, triggers, edges), chains, signals.impacts(edges, labels)
+
+
+@query("J11, J13, C06, P43", f"WITH {_CAUSAL} SELECT id, chain_id, assets, confidence FROM m")
+def causal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _causal(spark, sf_dir)[0]
+
+
+@query("T11", f"WITH {_CAUSAL} SELECT id, chain_id, place::INT AS place FROM o")
+def causal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.chain_order(_causal(spark, sf_dir)[0]).select("id", "chain_id", "place")
+
+
+@query("P44", f"""WITH {_CAUSAL}, x(chain_id, name, parts, finding) AS (VALUES ('c1', 'energy', 'Crude oil↑, gas↕', repeat('f', 70)), ('c2', 'metal', 'Gold↓', ''), ('c3', 'supply', 'chips?, Crude oil↑, Gold↓', 'short'))
+SELECT id, string_agg('[' || name || '] (历史命中率' || round_even(hit * 100, 0)::INT || '%)' || chr(10) || '  影响: ' || parts || ' | 综合置信度: ' || CASE WHEN confidence >= 0.7 THEN '高' WHEN confidence >= 0.5 THEN '中' ELSE '低' END || CASE WHEN finding <> '' THEN chr(10) || '  参考: ' || substr(finding, 1, 60) || '...' ELSE '' END, chr(10) ORDER BY place) AS summary
+FROM o JOIN x USING (chain_id) WHERE place <= 2 GROUP BY id""")
+def causal_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.impact_summary(*_causal(spark, sf_dir))
+
+
+@query("J12, P44", f"""WITH {_CAUSAL}, x(chain_id, asset, asset_label, direction) AS (VALUES ('c1', 'oil', 'Crude oil', 'up'), ('c1', 'gas', 'gas', 'variable'), ('c2', 'gold', 'Gold', 'down'), ('c3', 'chips', 'chips', 'side'), ('c3', 'oil', 'Crude oil', 'up'), ('c3', 'gold', 'Gold', 'down'))
+SELECT id, chain_id, confidence, asset, asset_label, direction FROM o JOIN x USING (chain_id) WHERE place <= 3""")
+def causal_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches, _, impacts = _causal(spark, sf_dir)
+    return signals.impact_list(matches, impacts)
 
 
 @query("K01, K04", """WITH o AS (SELECT doc_id AS id, source AS title, lang AS summary, CASE WHEN lang = 'en' THEN 'analyzed' ELSE 'collected' END AS status FROM documents),
@@ -349,7 +411,7 @@ def config_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.config_problems(s)
 
 
-@query("A18, A17, A30", """SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS last_day, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS sources, round(sum(value), 2) AS total FROM events""")
+@query("A18", """SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS last_day, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS sources, round(sum(value), 2) AS total FROM events""")
 def state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.agg(F.count_if(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")).alias("last_day"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_distinct("user_id").alias("sources"), F.round(F.sum("value"), 2).alias("total"))
@@ -363,17 +425,41 @@ def entity_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("scale", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 4)).orderBy(F.desc("n"), "entity").limit(12)
 
 
-@query("C02, C03, J19", f"""WITH RECURSIVE {_PAIRS}, {_BEST},
-r AS (SELECT *, row_number() OVER (PARTITION BY later ORDER BY similarity DESC, earlier) AS n FROM j WHERE similarity >= 0.4),
-sk AS (SELECT id, title, list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' +'), lambda t: len(t) > 1))) AS t FROM a),
-key AS (SELECT id, array_to_string(t, ' ') AS key FROM sk WHERE len(title) >= 6 AND len(t) >= 2),
-edge AS (SELECT min(id) OVER (PARTITION BY key) AS x, id AS y FROM key UNION SELECT earlier, later FROM r WHERE n = 1),
+_SIGNED = """g AS (SELECT id, title, lang, CASE id % 40 WHEN 0 THEN 'OpenAI launch ' || coalesce(lang, 'x') WHEN 1 THEN 'open-ai will unveil ' || id WHEN 2 THEN 'Zeta hires ' || id WHEN 3 THEN 'zeta to join ' || id ELSE coalesce(title, '') END AS signature FROM a)"""
+_KEYS = r"""sk AS (SELECT id, signature, list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(signature), '[^\p{L}\p{N}_]+', ' ', 'g')), ' +'), lambda t: len(t) > 1))) AS t, regexp_extract_all(lower(trim(signature, ' ')), '[\p{L}\p{N}_-]+') AS w FROM g),
+key AS (SELECT id, 0 AS rank, array_to_string(t, ' ') AS key FROM sk WHERE len(signature) >= 6 AND len(t) >= 2
+ UNION ALL SELECT id, 1, concat_ws('|', CASE WHEN w[1] IN ('openai', 'open-ai') THEN 'openai' ELSE w[1] END, v) FROM (SELECT id, w, list_filter(list_transform(w[2:5], lambda x: CASE WHEN x IN (VERB_LIST) THEN map(MAP_KEYS, MAP_VALUES)[x] END), lambda x: x IS NOT NULL)[1] AS v FROM sk) WHERE v IS NOT NULL)"""
+_VERB = [(w, kind) for kind, words in keys.VERBS.items() for w in words.split()]
+_KEYS = _KEYS.replace("VERB_LIST", ", ".join(repr(w) for w, _ in _VERB)).replace("MAP_KEYS", repr([w for w, _ in _VERB])).replace("MAP_VALUES", repr([k for _, k in _VERB]))
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a signature: some by invented phrases, others by their title."""
+    n, tail = F.col("id") % 40, F.col("id").cast("string")
+    s = F.when(n == 0, F.concat(F.lit("OpenAI launch "), F.coalesce("lang", F.lit("x")))).when(n == 1, F.concat(F.lit("open-ai will unveil "), tail)).when(n == 2, F.concat(F.lit("Zeta hires "), tail)).when(n == 3, F.concat(F.lit("zeta to join "), tail))
+    return articles(spark, sf_dir).select("id", s.otherwise(F.coalesce("title", F.lit(""))).alias("signature"))
+
+
+@query("C02, C03, J19", f"""WITH RECURSIVE {PAIRS}, {_SIGNED}, {_KEYS},
+near AS (SELECT earlier, later FROM (SELECT *, row_number() OVER (PARTITION BY later ORDER BY similarity DESC, earlier) AS n FROM j WHERE similarity >= bar * CASE WHEN coalesce(shared, FALSE) THEN {SHARED} ELSE 1.0 END) WHERE n = 1),
+edge AS (SELECT min(id) OVER (PARTITION BY rank, key) AS x, id AS y FROM key UNION SELECT earlier, later FROM near),
 two AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge),
 reach AS (SELECT id, id AS root FROM a UNION SELECT two.y, root FROM reach JOIN two ON reach.id = two.x WHERE root < two.y)
 SELECT id, min(root) AS event FROM reach GROUP BY id""")
 def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles grouped by equal signature keys and by similar titles."""
-    first, pairs = _pairs(spark, sf_dir)
-    similar = dedup.best_earlier(first, pairs, "id", "title", 0.4)
-    a = articles(spark, sf_dir).select("id", F.col("title").alias("signature"), F.lit(None).cast("string").alias("action_key"))
-    return events.cluster(a, similar)
+    """Articles grouped by equal signature keys, by entity and action, and by similar titles; a shared entity lowers the threshold."""
+    first = distinct_titles(spark, sf_dir)
+    pairs, bar = threshold(dedup.similar(first, "id", "title", ALIKE_CJK * SHARED), first)
+    lang = first.select("id", "lang")
+    pairs = pairs.join(lang.toDF("later", "_l"), "later").join(lang.toDF("earlier", "_e"), "earlier")
+    best = dedup.best_earlier(pairs, bar * F.when(F.col("_l") == F.col("_e"), SHARED).otherwise(1.0))
+    return events.cluster(_signed(spark, sf_dir), best)
+
+
+@query("J19, K05", f"""WITH {ARTICLES}, {_SIGNED}, {_KEYS}, old AS (SELECT rank, key, min(id) AS event_id FROM key WHERE id < 100 GROUP BY 1, 2), h AS (SELECT k.id, event_id, row_number() OVER (PARTITION BY k.id ORDER BY k.rank) AS n FROM key k JOIN old USING (rank, key) WHERE k.id >= 100)
+SELECT id, 'e' || event_id AS event_id FROM h WHERE n = 1""")
+def joined_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that belong to events of earlier runs, and so get their key set."""
+    a = _signed(spark, sf_dir)
+    old = a.where("id < 100").select(F.concat(F.lit("e"), "id").alias("event_id"), F.col("id").alias("seq"), "signature")
+    return events.known_events(a.where("id >= 100"), old)

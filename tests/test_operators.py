@@ -86,12 +86,16 @@ def test_rate_limit_is_a_fold(spark):
 
 
 def test_quota(spark):
+    kind = "id int, tier int, source_name string, protected boolean"
     for sizes in ((0, 300, 300), (200, 100, 100), (40, 10, 500)):
-        rows = [(t * 1000 + k, t) for t, n in enumerate(sizes) for k in range(n)] + [(9999, 7)]
-        got = filters.tiered_quota(spark.createDataFrame(rows, "id int, tier int"), 250, 60, [F.col("id")]).groupBy("tier").count().collect()
+        rows = [(t * 1000 + k, t, f"s{k}", False) for t, n in enumerate(sizes) for k in range(n)] + [(9999, 7, "s", False)]
+        got = filters.tiered_quota(spark.createDataFrame(rows, kind), 250, 60, [F.col("id")]).groupBy("tier").count().collect()
         n0, k1 = sizes[0], min(sizes[1], max(60, (250 - sizes[0]) // 2))
         want = {0: n0, 1: k1, 2: min(sizes[2], 250 - n0 - k1)}
         assert {r.tier: r["count"] for r in got} == {t: n for t, n in want.items() if n > 0}
+    one_source = [(100 * t + k, t, "hot", k == 30) for t in (0, 1, 2) for k in range(40)]
+    got = filters.tiered_quota(spark.createDataFrame(one_source, kind), 250, 60, [F.col("id")]).groupBy("tier").count().collect()
+    assert {r.tier: r["count"] for r in got} == {0: 16, 1: 9, 2: 9}
 
 
 def test_shift_suppression(spark):
@@ -127,11 +131,12 @@ def test_archive_crosses_the_year(spark, tmp_path):
 
 
 def test_status_never_falls(spark):
-    ev = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (2, "b", 2), (3, "a", 0), (4, "a", 2)], "event_id int, source_name string, source_tier int")
-    new = events.status(ev)
-    assert {r.event_id: r.level for r in new.collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
-    old = spark.createDataFrame([(1, 3), (2, 0), (9, 2)], "event_id int, level int")
-    assert {r.event_id: r.level for r in events.upgraded(old, new).collect()} == {1: 3, 2: 2, 3: 3, 4: 1, 9: 2}
+    rows = [(1, "a", 2, "x"), (2, "a", 1, "x"), (2, "b", 2, "x"), (3, "a", 0, "x"), (4, "a", 2, "official"), (5, "a", 2, "x"), (5, "b", 2, "x"), (5, "c", 2, "x"), (6, "a", 1, "x"), (6, "b", 2, "x"), (6, "c", 2, "x"), (7, "", 2, "x"), (7, "a", 2, "x"), (8, "a", 1, None)]
+    new = events.status(spark.createDataFrame(rows, "event_id int, source_name string, source_tier int, role string"))
+    # two sources report, three low ones too, three with a better one confirm; one source or a nameless second changes nothing
+    assert {r.event_id: r.level for r in new.collect()} == {2: 1, 3: 3, 4: 3, 5: 1, 6: 2}
+    old = spark.createDataFrame([(1, 3), (2, 0), (6, 3), (9, 2)], "event_id int, level int")
+    assert {r.event_id: r.level for r in events.upgraded(old, new).collect()} == {1: 3, 2: 1, 3: 3, 4: 3, 5: 1, 6: 3, 9: 2}
 
 
 def test_components(spark):
@@ -150,8 +155,10 @@ def test_components_of_a_shuffled_chain(spark):
 def test_minhash_finds_reworded_titles(spark):
     titles = [(1, "openai releases the new gpt model for everyone today in europe"), (2, "openai releases the new gpt model for everyone today in asia"), (3, "something else entirely happened far away from here")]
     df = spark.createDataFrame(titles, "id int, title string")
-    pairs = dedup.candidates(dedup.bands(dedup.signatures(df, "id", "title", 64), "id", 2), "id")
-    assert [(r.later, r.earlier) for r in dedup.best_earlier(df, pairs, "id", "title", 0.6).collect()] == [(2, 1)]
+    signed = dedup.signatures(df, "id", "title", 64)
+    pairs = dedup.agreement(dedup.candidates(dedup.bands(signed, "id", 2), "id"), signed, "id")
+    assert [(r.earlier, r.later) for r in pairs.where("agreement > 0.6").collect()] == [(1, 2)]
+    assert [(r.later, r.earlier) for r in dedup.best_earlier(dedup.similar(df, "id", "title", 0.6), 0.6).collect()] == [(2, 1)]
     same = spark.createDataFrame([(1, 2)], "earlier int, later int")
     more = df.union(spark.createDataFrame([(k, f"filler words number{k}") for k in range(10, 30)], "id int, title string"))
     assert dedup.tfidf_cosine(more, same, "id", "title").first().cosine > 0.4
@@ -161,10 +168,45 @@ def test_minhash_finds_reworded_titles(spark):
 def test_minhash_matches_the_formula(spark):
     import hashlib
 
-    got = {(r.id, r.i): r.h for r in dedup.signatures(spark.createDataFrame([(1, "alpha beta gamma")], "id int, t string"), "id", "t", 8).collect()}
-    for i, (a, b) in enumerate(dedup.coefficients(8)):
-        want = min(((a * int(hashlib.md5(w.encode()).hexdigest()[:16], 16) + b) % text.PRIME) & 0xFFFFFFFF for w in ("alpha", "beta", "gamma"))
-        assert got[1, i] == want
+    rows = [(1, "alpha beta gamma"), (2, None), (3, "a - !"), (4, "gamma"), (5, "模型发布 alpha")]
+    got = {r.id: r.signature for r in dedup.signatures(spark.createDataFrame(rows, "id int, t string"), "id", "t", 8).collect()}
+
+    def least(*words):
+        return [min(((a * int(hashlib.md5(w.encode()).hexdigest()[:16], 16) + b) % text.PRIME) & 0xFFFFFFFF for w in words) for a, b in dedup.coefficients(8)]
+
+    none = [dedup.NO_TOKEN] * 8
+    assert got == {1: least("alpha", "beta", "gamma"), 2: none, 3: none, 4: least("gamma"), 5: least(*"模型发布", "模型", "型发", "发布", "alpha")}
+
+
+def test_tokens_of_both_scripts(spark):
+    cases = {"GPT－５ 发布 a": ["gpt", "发", "布", "发布"], "x上线y ｆｕｌｌ": ["发", "布", "发布", "full"], "ｅ\u0301té ab": ["été", "ab"], "": []}
+    for said, want in cases.items():
+        assert one(spark, text.all_tokens(F.col("t"), [["发布", "上线"]]), t=said) == want, said
+    assert one(spark, text.keywords(F.col("t")), t="The GPT-5 of 模型发布 and 的 is x a1") == ["gpt-5", "a1", "模型发布"]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_similar_finds_every_pair(spark, least):
+    draw = random.Random(9)
+    rows = []
+    for i in range(120):
+        base = [f"w{draw.randrange(12)}" for _ in range(draw.randrange(1, 9))] if i % 3 else rows[draw.randrange(len(rows))][1].split() if rows else ["w1"]
+        rows.append((i, " ".join(base + [f"r{draw.randrange(3)}"] * (i % 2))))
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    best = {}
+    for later in sets:
+        found = [(len(sets[e] & sets[later]) / len(sets[e] | sets[later]), -e) for e in range(later)]
+        found = [f for f in found if f[0] >= least]
+        if found:
+            best[later] = -max(found)[1]
+    df = spark.createDataFrame(rows, "id int, title string")
+    assert {r.later: r.earlier for r in dedup.best_earlier(dedup.similar(df, "id", "title", least), least).collect()} == best
+
+
+def test_entity_action_keys(spark):
+    cases = {"OpenAI launch GPT-5": "openai|publish", "open-ai will soon unveil it": "openai|publish", "字节跳动 raise money": "bytedance|funding", "zeta one two three four launch": None, "": None, "launch": None}
+    for said, want in cases.items():
+        assert one(spark, keys.entity_action_key(F.col("s")), s=said) == want, said
 
 
 def test_images_and_guard(spark):
@@ -182,9 +224,14 @@ def test_breaking_and_matching(spark):
     pushed = spark.createDataFrame([(5,)], "sig_id int")
     got = signals.breaking(s, pushed, "(?i)^why", "(?i)launch", {"hn": 300, "hf": 2000})
     assert [r.sig_id for r in got.collect()] == [4, 1]
-    e = spark.createDataFrame([(1, "u1", "alpha beta gamma delta"), (2, "u9", "nothing shared")], "event_id int, url_key string, title string")
-    g = spark.createDataFrame([(10, "hn", "u1", "other", 5), (11, "hn", "u2", "alpha beta gamma", 900)], "signal_id int, source string, url_key string, title string, score int")
-    assert [(r.event_id, r.signal_id, r.confidence) for r in signals.match(e, g).collect()] == [(1, 11, 0.7)]
+    kinds = "event_id int, url_key string, evidence_keys array<string>, title string, summary string, entity_tags array<string>"
+    e = spark.createDataFrame([
+        (1, "u1", [], "alpha beta gamma delta", "", []), (2, "u9", ["u2", "u3"], "nothing shared", "", None), (3, "", [], "claude alpha", "", []),
+        (4, "", [], "", "beta gamma alpha", []), (5, "", None, "zzz", "", ["OMEGA"]), (6, "", [], "the alpha of beta", "", []),
+    ], kinds)
+    g = spark.createDataFrame([(10, "hn", "u1", "other", 5), (11, "hn", "u2", "alpha beta gamma", 900), (12, "hf", "", "claude alpha maker/omegatron", 1)], "signal_id int, source string, url_key string, title string, score int")
+    got = {(r.event_id, r.source): (r.signal_id, r.rule) for r in signals.match(e, g).collect()}
+    assert got == {(1, "hn"): (11, "title_keywords"), (2, "hn"): (11, "url_evidence"), (3, "hf"): (12, "title_brand"), (4, "hn"): (11, "title_keywords"), (5, "hf"): (12, "entity_in_title")}
 
 
 def test_health(spark):
