@@ -380,8 +380,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "na", "nb"]).filter(keep)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of the pairs that bitmaps leave possible, computed on the sets."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(a, b, na, nb, overlap) of the pairs that bitmaps leave possible, computed on the sets; a table."""
     spark = docs.sparkSession
     bits = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     both = pairs.select("a", "b", "na", "nb").join(bits, "a").join(bits.toDF("b", "bits_b"), "b")
@@ -392,7 +392,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = cut(sets.join(named, "node", "left_semi").dropDuplicates(["node"]), "sets")
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("own").alias("set_a")), "a")
-    return both.select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, overlap int")
+    out = cut(both.select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, overlap int"), name)
+    free(pairs, sets)
+    return out
 
 
 @lean
@@ -500,8 +502,8 @@ def _long_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
             yield from _pairs(c, a[a < b], b[a < b])
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, (node, root) by the first links, and (node, root2) of such roots by all others."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, node, root): each row's set and the name of its component, null for empty sets; a table."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -522,7 +524,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = ends.union(led.select("b", "a", "nb", "na", "bound"))
     best = ends.groupBy("y").agg(F.max_by(F.struct("x", "nx", "ny"), F.struct("bound", "x")).alias("z"))
     stars = cut(best.select(F.col("z.x").alias("a"), F.col("y").alias("b"), F.col("z.nx").alias("na"), F.col("z.ny").alias("nb")), "star-pairs")
-    star = cut(verified(stars, docs, nodes), "star")
+    star = verified(stars, docs, nodes, "star")
     # what these links connect needs no further pair
     roots = components(star.where(good).select("a", "b"))
 
@@ -544,16 +546,13 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = rest.where("sure").select("root_a", "root_b")
     unsure = rest.where("not sure")
     if unsure.limit(1).count():
-        links = verified(unsure, docs, nodes).where(good).select("a", "b").join(rest, ["a", "b"])
+        links = verified(unsure, docs, nodes, "links").where(good).select("a", "b").join(rest, ["a", "b"])
         edges = edges.union(links.select("root_a", "root_b"))
-    return summary, roots, components(edges.toDF("a", "b")).toDF("root", "root2")
-
-
-def labelled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, root): each row's set and the name of its component, null for empty sets; a table."""
-    summary, roots, more = grouped(docs)
+    more = components(edges.toDF("a", "b")).toDF("root", "root2")
     named = summary.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(more, "root", "left")
-    return cut(named.select("doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("root2", "root")).alias("root")), "members")
+    members = cut(named.select("doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("root2", "root")).alias("root")), "members")
+    free(both, rest)
+    return members
 
 
 def _meet(members: DataFrame, least: DataFrame) -> DataFrame:
