@@ -85,16 +85,18 @@ WITH d AS (
          md5(coalesce(doc_id::VARCHAR, '')) AS o
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS most FROM s),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS lesson, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS most FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))::DOUBLE
         / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
-t AS (SELECT source, source_size, least(coalesce(max(CASE WHEN lvl <= most / weight THEN lvl END) OVER () * weight, most), most) AS target FROM l),
+t AS (SELECT source, source_size, lesson, least(coalesce(max(CASE WHEN lvl <= most / weight THEN lvl END) OVER () * weight, most), most) AS target FROM l),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
 SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * size
         + greatest(0, least(size, floor(target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size) - start)))::BIGINT AS taken,
-       CASE WHEN CASE WHEN target > 0 THEN start / target ELSE 0.0 END < 1.0 THEN CASE WHEN target > 0 THEN start / target ELSE 0.0 END ELSE 1.0 END AS position
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+       round(CASE lesson WHEN 0 THEN CASE WHEN q < 1.0 THEN 1.5 - sqrt(greatest(0.0, 2.25 - 2.0 * q)) ELSE 1.0 END
+         WHEN 1 THEN CASE WHEN 2.0 * q < 1.0 THEN (sqrt(1.0 + 16.0 * q) - 1.0) / 4.0 WHEN 2.0 * q < 2.0 THEN 0.5 + (3.0 - sqrt(greatest(0.0, 9.0 - 8.0 * (2.0 * q - 1.0)))) / 4.0 ELSE 1.0 END
+         ELSE CASE WHEN 3.0 * q < 3.0 THEN (sqrt(2.25 + 18.0 * q) - 1.5) / 3.0 ELSE 1.0 END END, 9) AS position
+FROM (SELECT p.*, t.source_size, t.lesson, t.target, (CASE WHEN target > 0 THEN start / target ELSE 0.0 END)::DOUBLE AS q FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
 """
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

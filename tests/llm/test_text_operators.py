@@ -236,7 +236,7 @@ def test_mixing(spark, docs, rows, none):
 
 
 def test_training_order(docs):
-    out = mixing.training_order(docs, {"hot": [(0.0, 0.0), (1.0, 2.0)]})
+    out = mixing.training_order(docs, [[(0.0, 0.0), (1.0, 2.0)], [(0.0, 1.0), (1.0, 1.0)]])
     assert out.columns == docs.columns
     n = out.select(F.sum(mixing.n_words(F.col("text")))).first()[0]
     assert n == mixing.mix(docs).agg(F.sum("taken")).first()[0]
