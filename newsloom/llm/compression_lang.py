@@ -1,14 +1,17 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary: the concatenated texts of a bounded sample of
-its labelled documents, those with the smallest hash of doc_id. A text is lower-cased, everything
+Each language has a raw-content zstandard dictionary: texts of a bounded sample of its labelled
+documents, those with the smallest hash of doc_id. The sampled documents share the dictionary
+evenly: short texts are in it whole and leave their rest to longer ones, of which there are pieces
+from all over the text. A text is lower-cased, everything
 but letters becomes one space, and it is encoded with every dictionary in segments, so that a long
 text's own repetitions do not hide what the dictionary contributes. The language with the smallest
 total wins; at equal totals the one with more labelled rows. When the smallest total is within a
 relative margin of the second, the answer is marked as rejected.
 
 Null texts and texts without a letter are `und` with score 0 and rejected. With one language only
-the margin is 1. Without labelled rows all is `und`.
+the margin is 1. Without labelled rows all is `und`. Repeated rows are judged each; in a sample they
+count as one document each. A null doc_id is sampled like any other.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.shared import crc_mod, cut, lean, small, small_batches
 
-#: Documents and bytes of a language's sample, zstandard level, bytes of a segment, least relative margin.
+#: Languages with most labelled rows that are learned, documents and bytes of a language's sample, zstandard level,
+#: bytes of a segment, least relative margin, and bytes of a piece of a long text.
+LANGUAGES, PIECE = 256, 160
 SAMPLE_DOCS, DICT_BYTES, LEVEL, SEGMENT, MARGIN = 400, 128 << 10, 6, 1024, 0.005
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -68,18 +73,46 @@ class Model:
         return sizes[0][2], (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> Model:
-    """A model from (doc_id, text, lang): at most sample_docs texts and dict_bytes bytes per language reach the driver."""
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> Model:
+    """A model from (doc_id, text, lang) of the `languages` languages with most rows.
+
+    At most sample_docs texts of each reach the driver, one at a time. Before rows are ranked, a bound
+    on the hash leaves each language some thousands, however many it has.
+    """
     rows = labelled.where("text is not null and lang is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = cut(rows.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs), "language-sample")
-    share = dict_bytes // max(1, sample_docs)
-    texts = rows.join(small(chosen.select("lang", "doc_id", "place").distinct()), ["lang", "doc_id"]).select("lang", "place", F.substring("text", 1, 4 * share).alias("text"))
-    held: dict[str, list[bytes]] = {}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not counts:
+        return Model({}, {})
+    top = 1 << 62
+    bounds = rows.sparkSession.createDataFrame([(lang, min(top, top // n * 8 * sample_docs)) for lang, n in counts.items()], "lang string, bound bigint")
+    h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(top))
+    few = rows.select("lang", "doc_id", h.alias("h"), F.octet_length("text").alias("size")).join(F.broadcast(bounds), "lang").where("h <= bound")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
+    chosen = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
+    chosen = cut(chosen.groupBy("lang", "doc_id").agg(F.min("place").alias("place"), F.max("size").alias("size")), "language-sample")
+    share: dict[tuple[str, int], int] = {}
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in chosen.collect():
+        sizes.setdefault(r.lang, []).append((r["size"], r.place))
+    for lang, docs in sizes.items():
+        left = dict_bytes
+        for i, (size, place) in enumerate(sorted(docs)):
+            share[lang, place] = min(size, left // (len(docs) - i))
+            left -= share[lang, place]
+    held: dict[str, dict[int, bytes]] = {}
+    texts = rows.join(small(chosen.select("lang", "doc_id", "place")), ["lang", "doc_id"]).select("lang", "place", "text")
     for r in texts.orderBy("lang", "place", "text").toLocalIterator():
-        held.setdefault(r.lang, []).append(letters(r.text).encode()[:share])
-    return Model({lang: b" ".join(parts)[:dict_bytes] for lang, parts in held.items() if any(parts)}, counts)
+        held.setdefault(r.lang, {})[r.place] = pieces(letters(r.text).encode(), share[r.lang, r.place])
+    return Model({lang: b" ".join(parts.values())[:dict_bytes] for lang, parts in held.items() if any(parts.values())}, counts)
+
+
+def pieces(text: bytes, most: int, length: int = PIECE) -> bytes:
+    """The text if it has at most `most` bytes, else as many pieces of `length` bytes as that allows, evenly spread over it."""
+    if len(text) <= most:
+        return text
+    n = max(1, most // length)
+    step = (len(text) - most // n) / max(1, n - 1)
+    return b" ".join(text[int(i * step) : int(i * step) + most // n] for i in range(n))
 
 
 def _classify(model, margin: float) -> object:
