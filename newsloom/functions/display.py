@@ -58,3 +58,66 @@ def first_json_object(text: Column) -> Column:
     """The text from the first to the last brace, without code fences."""
     bare = F.regexp_replace(text, r"```(?:json)?", "")
     return F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+
+
+def relative_day(day: Column, today: Column) -> Column:
+    """today, yesterday, n days ago up to a week, else month and day."""
+    n = F.datediff(today, day)
+    return F.when(n == 0, "today").when(n == 1, "yesterday").when(n.between(2, 7), F.concat(n.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(day, "MM-dd"))
+
+
+def shift_of(stored: Column, at: Column) -> Column:
+    """The stored shift, else pm from noon on."""
+    return F.coalesce(F.nullif(stored, F.lit("")), F.when(F.hour(at) >= 12, "pm").otherwise("am"))
+
+
+def signal_text(source: Column, title: Column, number: Column) -> Column:
+    """How a signal reads: its service's name for the number, then the title."""
+    unit = F.when(source == "hn", "points").when(source == "reddit", "upvotes").when(source == "hf", "likes").otherwise("stars")
+    return F.concat(F.lit("["), F.upper(source), F.lit(" "), F.coalesce(number, F.lit(0)).cast("string"), F.lit(" "), unit, F.lit("] "), title)
+
+
+def signal_id(source: Column, own_id: Column, url: Column) -> Column:
+    """Identity of a signal: its service's own id, or a digest of the address where the service has none."""
+    return F.concat(source, F.lit(":"), F.coalesce(own_id, F.substring(F.sha2(url, 256), 1, 16)))
+
+
+def escaped_newlines(text: Column) -> Column:
+    """JSON whose strings hold raw line ends or tabs, with these escaped; the space between values stays.
+
+    The text is cut at quotes that no backslash escapes; every second piece is within a string.
+    """
+    pieces = F.split(text, r'(?<!\\)"')
+    safe = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.replace(F.replace(F.replace(p, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))).otherwise(p))
+    return F.array_join(safe, '"')
+
+
+def closed_json(text: Column, tries: int = 4) -> list[Column]:
+    """Repairs of JSON that breaks off, best first: its last value, then one, two, ... members dropped, and what is open closed."""
+    out, cut = [], text
+    for _ in range(tries):
+        quotes = F.regexp_count(cut, F.lit('"'))
+        whole = F.when(quotes % 2 == 1, F.concat(cut, F.lit('"'))).otherwise(cut)
+        for kept in (whole, F.regexp_replace(whole, r',\s*"[^"]*"\s*:?\s*$', "")):
+            kept = F.regexp_replace(kept, r"[,\s]+$", "")
+            brackets, braces = (F.greatest(F.lit(0), F.regexp_count(kept, F.lit(a)) - F.regexp_count(kept, F.lit(b))) for a, b in ((r"\[", r"\]"), (r"\{", r"\}")))
+            out.append(F.concat(kept, F.repeat(F.lit("]"), brackets), F.repeat(F.lit("}"), braces)))
+        cut = F.regexp_replace(cut, r"(?s),[^,]*$", "")
+    return out
+
+
+def tolerant_json(text: Column, schema: str) -> Column:
+    """The object in a text by schema: without fences, with line ends in strings escaped, from brace to brace, or repaired where it breaks off.
+
+    The first reading counts that has any field; null if none does.
+    """
+    bare = F.trim(F.regexp_replace(text, r"```(?:json)?", ""))
+    from_brace = F.regexp_extract(escaped_newlines(bare), r"(?s)(\{.*)$", 1)
+    forms = [F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.regexp_extract(from_brace, r"(?s)(\{.*\})", 1), *closed_json(from_brace)]
+    names = [f.strip().split()[0] for f in schema.split(",")]
+    read = []
+    for form in forms:
+        x = F.from_json(form, schema, {"mode": "PERMISSIVE"})
+        some = F.coalesce(*(x[n].isNotNull() if i == 0 else F.when(x[n].isNotNull(), True) for i, n in enumerate(names)))
+        read.append(F.when(some & F.try_parse_json(form).isNotNull(), x))
+    return F.coalesce(*read)

@@ -108,3 +108,8 @@ def truncate_at_sentence(text: Column, limit: int, note: str) -> Column:
     head = F.substring(text, 1, limit - len(note))
     ended = F.regexp_extract(head, r"(?s)^(.*[.!?。！？])", 1)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.when(F.length(ended) > 0, ended).otherwise(head), F.lit(note)))
+
+
+def cluster_text(signature: Column, title: Column, summary: Column, head: int = 200) -> Column:
+    """The text by which events are compared: a signature counts three times, the summary by its head; null parts do not count."""
+    return F.concat_ws(" ", signature, signature, signature, title, F.substring(summary, 1, head))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a dimension that may be broadcast.
@@ -49,3 +49,17 @@ def source_alert(registry: DataFrame, health: DataFrame, least: int = 3) -> Data
     down = F.coalesce(F.col("consecutive_failures"), F.lit(0)) >= least
     out = joined.groupBy("id").agg(F.count_if(~down).alias("ok"), F.count_if(down).alias("down"))
     return out.withColumn("level", F.when(F.col("down") == 0, "ok").when(F.col("ok") == 0, "critical").otherwise("degraded"))
+
+
+def timelines(tagged: DataFrame, least: int, most: int, important: int = 4) -> DataFrame:
+    """(entity, n, scale, key_events, timeline) of the `most` entities with most items, `least` at least.
+
+    scale is the share of the largest, timeline the ids of the important items in time. Only the few
+    entities that are shown gather ids.
+    """
+    each = tagged.select(F.explode(F.array_distinct("entities")).alias("entity"), "id", "importance", "collected_at").where("entity <> ''")
+    top = each.groupBy("entity").agg(F.count("*").alias("n"), F.count_if(F.col("importance") >= important).alias("key_events")).where(F.col("n") >= least).orderBy(F.desc("n"), "entity").limit(most)
+    top = top.withColumn("scale", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 4))  # `most` rows
+    shown = each.where(F.col("importance") >= important).join(F.broadcast(top.select("entity")), "entity")
+    ids = shown.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("collected_at", "id"))), lambda x: x["id"].cast("string")).alias("timeline"))
+    return top.join(ids, "entity", "left")

@@ -99,3 +99,10 @@ def known_events(articles: DataFrame, existing: DataFrame) -> DataFrame:
     owner = _keyed(existing.select(F.struct("seq", "event_id").alias("e"), "signature"), "e").groupBy("rank", "k").agg(F.min("e").alias("e"))
     hits = _keyed(articles, "id").join(owner, ["rank", "k"])
     return hits.groupBy("id").agg(F.min_by("e", "rank").alias("e")).select("id", "e.event_id")
+
+
+def rolled_up(reports: DataFrame) -> DataFrame:
+    """(event_id, size, importance, entities): of each event the reports, the largest importance, the union of entities in order."""
+    totals = reports.groupBy("event_id").agg(F.count("*").alias("size"), F.max("importance").alias("importance"))
+    tags = reports.select("event_id", F.explode("entities").alias("e")).distinct().groupBy("event_id").agg(F.array_sort(F.collect_list("e")).alias("entities"))
+    return totals.join(tags, "event_id", "left")

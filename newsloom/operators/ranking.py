@@ -11,6 +11,20 @@ def ranked(items: DataFrame, score: Column, tie: str) -> DataFrame:
     return items.withColumn("score", score).orderBy(F.desc("score"), tie)
 
 
+def placed(items: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds place, 1 for the first, in a total order: rows are range-sorted into parts, and each part starts after those before it.
+
+    The sorted rows are written, since a sample decides the parts and must decide them once.
+    """
+    from newsloom.sources.tables import cut
+
+    part = cut(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "placed")
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a part
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return part.withColumn("_k", within).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("place", F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")
+
+
 def featured(items: DataFrame, most: int = 10) -> DataFrame:
     """The first `most` items of importance 3 and more by importance, reports and recency."""
     key = F.col("importance") + F.when(F.col("reports") >= 4, 1.0).when(F.col("reports") == 3, 0.8).when(F.col("reports") == 2, 0.5).otherwise(0.0) + F.when(F.col("today"), 0.7).otherwise(0.0)

@@ -21,7 +21,7 @@ def topic_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", display.domain(F.col("source_name"), F.col("lang"), F.col("title"), NAMES, LEAVES, WORDS, "other").alias("domain"))
 
 
-@query("P32, P48", f"""WITH {ARTICLES}, c AS (SELECT id, title, regexp_extract(substr(title, 1, 60), '^(.{{15,}})[,;:. -][^,;:. -]*$', 1) AS cut FROM a)
+@query("P32", f"""WITH {ARTICLES}, c AS (SELECT id, title, regexp_extract(substr(title, 1, 60), '^(.{{15,}})[,;:. -][^,;:. -]*$', 1) AS cut FROM a)
 SELECT id, CASE WHEN len(title) <= 60 THEN title WHEN len(cut) > 0 THEN cut ELSE substr(title, 1, 60) END AS short, CASE WHEN len(title) > 46 THEN substr(title, 1, 45) || '…' ELSE title END AS head FROM c""")
 def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card titles and headlines; their limits are those of the page."""
@@ -72,13 +72,13 @@ def other_sources_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(first, "event_id").where("source_name <> first").groupBy("event_id", "source_name").agg(F.min("reported_at").alias("earliest"))
 
 
-@query("A29, K15, T10", f"WITH {ARTICLES} SELECT collected_at::DATE AS day, source_name, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY importance DESC, id) AS ids FROM a WHERE importance >= 5 GROUP BY ALL")
+@query("A29", f"WITH {ARTICLES} SELECT collected_at::DATE AS day, source_name, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY importance DESC, id) AS ids FROM a WHERE importance >= 5 GROUP BY ALL")
 def important_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = articles(spark, sf_dir).where("importance >= 5").groupBy(F.to_date("collected_at").alias("day"), "source_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "id"))).alias("x"))
     return a.select("day", "source_name", "n", F.array_join(F.transform("x", lambda s: s["id"].cast("string")), ",").alias("ids"))
 
 
-@query("F23", f"WITH {ARTICLES}, r AS (SELECT id, source_name, row_number() OVER (PARTITION BY source_name ORDER BY importance DESC, id) AS n FROM a WHERE importance >= 2) SELECT id, source_name FROM r WHERE n <= 6")
+@query("T06", f"WITH {ARTICLES}, r AS (SELECT id, source_name, row_number() OVER (PARTITION BY source_name ORDER BY importance DESC, id) AS n FROM a WHERE importance >= 2) SELECT id, source_name FROM r WHERE n <= 6")
 def top_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six most important items of each source, the size of its box."""
     return ranking.first_per_group(articles(spark, sf_dir).where("importance >= 2"), "source_name", [F.desc("importance"), F.col("id")], 6).select("id", "source_name")

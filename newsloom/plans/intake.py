@@ -129,7 +129,7 @@ def source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", kind.otherwise("news").alias("source_type"))
 
 
-@query("P04, J06", f"""WITH {ARTICLES}, k AS (SELECT id, substr(sha256(regexp_replace(lower(coalesce(title, '')), '[ \\t\\n\\r\\f\\x0b]+', '', 'g')), 1, 32) AS key FROM a)
+@query("P04", f"""WITH {ARTICLES}, k AS (SELECT id, substr(sha256(regexp_replace(lower(coalesce(title, '')), '[ \\t\\n\\r\\f\\x0b]+', '', 'g')), 1, 32) AS key FROM a)
 SELECT key, min(id) AS id, count(*) AS copies FROM k GROUP BY key""")
 def title_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).groupBy(keys.title_key(F.col("title")).alias("key")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
@@ -250,13 +250,6 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("page_id", F.length("text").cast("bigint").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("P14", r"""WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages)
-SELECT page_id, paragraphs::BIGINT AS paragraphs, len(body)::BIGINT AS chars FROM b""")
-def article_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<p[ >]")).cast("bigint").alias("paragraphs"), F.length(body).cast("bigint").alias("chars"))
-
-
 @query("P27", "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))

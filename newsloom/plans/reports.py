@@ -358,7 +358,7 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(e.where("event_type = 'view'"), e.where("event_type <> 'view'"), "user_id", F.struct("ts", "event_id"))
 
 
-@query("K13, J16, S20, S23", """WITH n AS (SELECT o_custkey AS key, o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-02-01')
+@query("J16", """WITH n AS (SELECT o_custkey AS key, o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-02-01')
 SELECT key, o_orderkey, month FROM n WHERE key NOT IN (SELECT o_custkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1997-12', '1997-11'))""")
 def archive_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
@@ -417,14 +417,6 @@ def state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count_if(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")).alias("last_day"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_distinct("user_id").alias("sources"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("A12, A10", f"""WITH {ARTICLES}, n AS (SELECT source_name AS entity, count(*) AS n, count(*) FILTER (importance >= 4) AS key_events FROM a GROUP BY 1)
-SELECT entity, n, key_events, round(n / max(n) OVER (), 4) AS scale FROM n WHERE n >= 3 ORDER BY n DESC, entity LIMIT 12""")
-def entity_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve most reported entities with their share of the largest."""
-    n = articles(spark, sf_dir).groupBy(F.col("source_name").alias("entity")).agg(F.count("*").alias("n"), F.count_if(F.col("importance") >= 4).alias("key_events")).where("n >= 3")
-    return n.withColumn("scale", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 4)).orderBy(F.desc("n"), "entity").limit(12)
-
-
 _SIGNED = """g AS (SELECT id, title, lang, CASE id % 40 WHEN 0 THEN 'OpenAI launch ' || coalesce(lang, 'x') WHEN 1 THEN 'open-ai will unveil ' || id WHEN 2 THEN 'Zeta hires ' || id WHEN 3 THEN 'zeta to join ' || id ELSE coalesce(title, '') END AS signature FROM a)"""
 _KEYS = r"""sk AS (SELECT id, signature, list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(signature), '[^\p{L}\p{N}_]+', ' ', 'g')), ' +'), lambda t: len(t) > 1))) AS t, regexp_extract_all(lower(trim(signature, ' ')), '[\p{L}\p{N}_-]+') AS w FROM g),
 key AS (SELECT id, 0 AS rank, array_to_string(t, ' ') AS key FROM sk WHERE len(signature) >= 6 AND len(t) >= 2

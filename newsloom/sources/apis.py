@@ -15,6 +15,16 @@ def video_items(pages: DataFrame, json: str = "json") -> DataFrame:
     return v.where("v.videoId is not null").select("source_name", "pos", F.col("v.title").alias("title"), F.concat(F.lit("https://www.youtube.com/watch?v="), "v.videoId").alias("link"), F.coalesce("v.text", F.lit("")).alias("summary"))
 
 
+def channel_page_items(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(source_name, pos, title, link, summary) of the videos in the initial data of a channel's HTML page."""
+    data = F.regexp_extract(html, r"(?s)var ytInitialData\s*=\s*(\{.*?\});\s*</script>", 1)
+    text = "struct<runs: array<struct<text: string>>>"
+    schema = f"contents array<struct<richItemRenderer: struct<content: struct<videoRenderer: struct<videoId: string, title: {text}, descriptionSnippet: {text}>>>>>"
+    v = pages.select("source_name", F.posexplode(F.from_json(data, schema)["contents"]).alias("pos", "x")).select("source_name", "pos", "x.richItemRenderer.content.videoRenderer.*")
+    said = lambda c: F.array_join(F.transform(F.coalesce(F.col(c)["runs"], F.array()), lambda r: r["text"]), "")
+    return v.where("videoId is not null").select("source_name", "pos", said("title").alias("title"), F.concat(F.lit("https://www.youtube.com/watch?v="), "videoId").alias("link"), said("descriptionSnippet").alias("summary"))
+
+
 def with_fallback(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Rows of first, and rows of second for keys that first has none of."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti").select(*first.columns))

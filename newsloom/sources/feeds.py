@@ -69,15 +69,35 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def signals(hn: DataFrame, reddit: DataFrame, hub: DataFrame, github: DataFrame) -> DataFrame:
-    """One list of the four signal sources with each source's own score; repeats by address or name count once."""
+def official_recent(feed_items: DataFrame, as_of: Column, hours: int = 6, newest: int = 25, per_feed: int = 5) -> DataFrame:
+    """Of each feed's `newest` latest items by date those within the hours, per_feed at most; undated items are dropped."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("source_name").orderBy(F.desc("published"), "pos")
+    dated = feed_items.where("published is not null").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= newest)
+    fresh = dated.where(F.col("published") >= as_of - F.expr(f"interval {hours} hours"))
+    return fresh.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_feed).drop("_n")
+
+
+def signals(hn: DataFrame, reddit: DataFrame, hub: DataFrame, github: DataFrame, as_of: Column, subject: str, hours: int = 36, most: int = 50, most_hn: int = 30) -> DataFrame:
+    """One list of the four signal sources with each source's own score; repeats by address or name count once.
+
+    Posts of the first must be of the subject (a pattern), recent and have 50 points; each source gives
+    its best `most`, in a fixed order.
+    """
     integer = lambda e: F.floor(e).cast("int")
-    return (
-        hn.where("points >= 50").select(F.lit("hn").alias("source"), "title", "url", (F.col("points") + integer(F.col("comments") / 2)).alias("signal_score"))
-        .unionByName(reddit.groupBy("url").agg(F.min("title").alias("title")).select(F.lit("reddit").alias("source"), "title", "url", F.lit(100).alias("signal_score")))
-        .unionByName(hub.where("likes >= 5").select(F.lit("hf").alias("source"), "title", "url", (F.col("likes") * 10 + integer(F.col("downloads") / 1000)).alias("signal_score")))
-        .unionByName(github.groupBy("title").agg(F.max(F.struct("stars", "forks", "url")).alias("x")).select(F.lit("github").alias("source"), "title", "x.url", (integer(F.col("x.stars") / 100) * 10 + integer(F.col("x.forks") / 50)).alias("signal_score")))
-    )
+    recent_hn = hn.where((F.col("points") >= 50) & F.col("title").rlike(subject) & (F.col("created_at") >= as_of - F.expr(f"interval {hours} hours")))
+    lists = [
+        (recent_hn.select(F.lit("hn").alias("source"), "title", "url", (F.col("points") + integer(F.col("comments") / 2)).alias("signal_score")), most_hn),
+        (reddit.groupBy("url").agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("pos")).orderBy("pos").limit(most).select(F.lit("reddit").alias("source"), "title", "url", F.lit(100).alias("signal_score")), most),
+        (hub.where("likes >= 5").select(F.lit("hf").alias("source"), "title", "url", (F.col("likes") * 10 + F.when(F.col("kind") == "model", integer(F.col("downloads") / 1000)).otherwise(0)).alias("signal_score")), most),
+        (github.groupBy("title").agg(F.max(F.struct("stars", "forks", "url")).alias("x")).select(F.lit("github").alias("source"), "title", "x.url", (integer(F.col("x.stars") / 100) * 10 + integer(F.col("x.forks") / 50)).alias("signal_score")), most),
+    ]
+    out = None
+    for df, n in lists:
+        best = df.orderBy(F.desc("signal_score"), "title", "url").limit(n)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
