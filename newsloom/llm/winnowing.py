@@ -8,7 +8,8 @@ so only word-exact spans count.
 
 Null texts and texts without a word have no words and are not contaminated. Repeated rows are
 judged each on its own; other columns are carried along. Test items with a null text or without a
-word are never hit; an item_id that occurs in several rows counts once.
+word are never hit; an item_id that occurs in several rows counts once. Words of items with a null
+item_id are hit like others, but such items are not counted or listed.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import tokens as tk
 from newsloom.llm.shared import cut, lean, small_batches
 
-#: Words of a window, of a fingerprinted gram, and the largest slice of test texts broadcast at once.
-SPAN, K, SLICE_CHARS = 13, 5, 32 << 20
+#: Words of a window, of a fingerprinted gram, and characters of a benchmark whose fingerprints are broadcast.
+SPAN, K, MOST_CHARS = 13, 5, 32 << 20
 
 
 def profile(span: int) -> tuple[int, int]:
@@ -45,11 +46,26 @@ def minima(grams: np.ndarray, w: int) -> np.ndarray:
     return np.unique(sliding_window_view(grams, w).argmin(axis=1) + np.arange(grams.size - w + 1))
 
 
+def shifts(a: np.ndarray, b: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """The distinct differences a - b; where there are very many pairs, by one pass for each place of the shorter side."""
+    if a.size * b.size <= most:
+        return np.unique(a[:, None] - b[None, :])
+    least = int(a.min() - b.max())
+    there = np.zeros(int(a.max() - b.min()) - least + 1, bool)
+    if a.size < b.size:
+        for x in a:
+            there[x - b - least] = True
+    else:
+        for y in b:
+            there[a - y - least] = True
+    return np.flatnonzero(there) + least
+
+
 class Bench:
-    """Fingerprints of one slice of test items, by span length: 13, or an item's own if shorter."""
+    """Fingerprints of test items, by span length: 13, or an item's own if shorter."""
 
-    def __init__(self, items: list[tuple[str, str]], span: int = SPAN):
-        self.ids: list[str] = []
+    def __init__(self, items: list[tuple[str | None, str]], span: int = SPAN):
+        self.ids: list[str | None] = []
         self.words: list[np.ndarray] = []
         self.spans: list[int] = []
         prints: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -71,23 +87,29 @@ class Bench:
             rows.sort()
             self.prints[own] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, list[str]]:
-        """Hit flag of each word, and the items with an occurring window."""
-        flag, found, tried = np.zeros(words.size, bool), set(), set()
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, list[str], bool]:
+        """Hit flag of each word, the named items with an occurring window, and whether any item has one."""
+        flag, found = np.zeros(words.size, bool), set()
         for own, (keys, items, places) in self.prints.items():
             k, w = profile(own)
             g = tk.grams(words, k)
             at = minima(g, w)
-            lo, hi = np.searchsorted(keys, g[at]), np.searchsorted(keys, g[at], side="right")
-            for i in np.flatnonzero(hi > lo):
-                for j in range(lo[i], hi[i]):
-                    item, shift = int(items[j]), int(at[i]) - int(places[j])
-                    if (own, item, shift) in tried:
-                        continue
-                    tried.add((own, item, shift))
+            at = at[np.isin(g[at], keys)]
+            if not at.size:
+                continue
+            # alignments by item: many for few distinct prints, as in runs of a word, so they are formed per print
+            tried: dict[int, list[np.ndarray]] = defaultdict(list)
+            order = np.argsort(g[at], kind="stable")
+            prints, first = np.unique(g[at][order], return_index=True)
+            for key, mine in zip(prints, np.split(at[order], first[1:]), strict=True):
+                lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+                for item in np.unique(items[lo:hi]):
+                    tried[int(item)].append(shifts(mine, places[lo:hi][items[lo:hi] == item]))
+            for item, parts in tried.items():
+                for shift in np.unique(np.concatenate(parts)).tolist():
                     if self._extend(words, flag, item, shift, own):
                         found.add(item)
-        return flag, sorted({self.ids[i] for i in found})
+        return flag, sorted({self.ids[i] for i in found if self.ids[i] is not None}), bool(found)
 
     def _extend(self, words: np.ndarray, flag: np.ndarray, item: int, shift: int, own: int) -> bool:
         """Mark the equal runs of `own` words or more where item word 0 stands at `shift`."""
@@ -104,7 +126,7 @@ class Bench:
 
 
 def _scan(bench) -> object:
-    """mapInArrow function: adds one slice's findings to w_words, w_hits, w_items and w_marks (hit words as bits)."""
+    """mapInArrow function: adds what it finds to w_words, w_hits, w_items and w_marks (hit words as bits)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +148,8 @@ def _scan(bench) -> object:
                 n_words += np.diff(at).tolist()
                 for r in np.flatnonzero(maybe):
                     words = h[at[r] : at[r + 1]]
-                    flag, ids = b.hits(words)
-                    if ids:
+                    flag, ids, some = b.hits(words)
+                    if some:
                         if old := marks[lo + r]:
                             flag |= np.unpackbits(np.frombuffer(old, np.uint8), count=words.size).astype(bool)
                         marks[lo + r], hits[lo + r] = np.packbits(flag).tobytes(), int(flag.sum())
@@ -138,32 +160,83 @@ def _scan(bench) -> object:
     return run
 
 
-def slices(benchmark: DataFrame, most: int = SLICE_CHARS) -> Iterator[list[tuple[str, str]]]:
-    """Test items in slices of at most `most` characters (one item at least), read one at a time."""
-    held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").dropDuplicates()
-    for item_id, text in rows.toLocalIterator():
-        if held and size + len(text) > most:
-            yield held
-            held, size = [], 0
-        held.append((item_id, text))
-        size += len(text)
-    yield held
+def _start(docs: DataFrame) -> DataFrame:
+    """w_in (a struct of all columns of docs) with nothing found yet."""
+    return docs.select(F.struct(*docs.columns).alias("w_in"), F.lit(0).cast("bigint").alias("w_words"), F.lit(0).cast("bigint").alias("w_hits"), F.array().cast("array<string>").alias("w_items"), F.lit(None).cast("binary").alias("w_marks"))
+
+
+@lean
+def _bench_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, own, print) of each test item: its fingerprints, by the length of its windows."""
+    for batch in batches:
+        for key, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for own, (keys, _, _) in Bench([(None, text)]).prints.items():
+                p = np.unique(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(p.size, key)), pa.array(np.full(p.size, own, np.int32)), pa.array(p)], names=["item", "own", "print"])
+
+
+def _doc_prints(lengths: list[int]) -> object:
+    """(doc, own, print) of each document, for every length of windows."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("doc").to_numpy()
+            for lo, hi, data, off in tk.chunks(batch.column("text")):
+                s, e, row = tk.spans(tk.LOWER[data], off, tk.ALNUM)
+                h, at = tk.word_hashes(tk.LOWER[data], s, e), None
+                at = tk.bounds(row, hi - lo)
+                for r in range(hi - lo):
+                    words = h[at[r] : at[r + 1]]
+                    for own in lengths:
+                        k, w = profile(own)
+                        g = tk.grams(words, k)
+                        p = np.unique(g[minima(g, w)]).view(np.int64)
+                        if p.size:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(p.size, key[lo + r])), pa.array(np.full(p.size, own, np.int32)), pa.array(p)], names=["doc", "own", "print"])
+
+    return run
+
+
+@lean
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents beside the test items with a common fingerprint (w_bench): what _scan finds, for one document's items."""
+    for batch in batches:
+        texts = pc.struct_field(batch.column("w_in"), "text")
+        n_words, hits, items = [], [], []
+        for text, bench in zip(texts, batch.column("w_bench").to_pylist(), strict=True):
+            data = tk.LOWER[np.frombuffer((text.as_py() or "").encode(), np.uint8)]
+            s, e, _ = tk.spans(data, np.array([0, data.size]), tk.ALNUM)
+            n_words.append(s.size)
+            flag, ids, _ = Bench([(x["item_id"], x["text"]) for x in bench]).hits(tk.word_hashes(data, s, e)) if bench else (np.zeros(0), [], False)
+            hits.append(int(flag.sum()))
+            items.append(ids)
+        yield pa.RecordBatch.from_arrays([batch.column("w_in"), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["w_in", "w_words", "w_hits", "w_items"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, most: int = SLICE_CHARS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, most: int = MOST_CHARS) -> DataFrame:
     """w_in (a struct of all columns of docs), w_words, w_hits, w_items (sorted) of every row.
 
-    One pass over the documents per slice of the benchmark and no shuffle. Passes beyond the first
-    start from a written table, so one slice at a time is in a worker's memory.
+    A benchmark of at most `most` characters is fingerprinted once and sent to all workers: one pass over
+    the documents and no shuffle. The fingerprints of a larger one are joined with those of the documents;
+    each document then meets only the items with which it shares one.
     """
-    out = docs.select(F.struct(*docs.columns).alias("w_in"), F.lit(0).cast("bigint").alias("w_words"), F.lit(0).cast("bigint").alias("w_hits"), F.array().cast("array<string>").alias("w_items"), F.lit(None).cast("binary").alias("w_marks"))
-    schema = out.schema
-    small_batches(docs.sparkSession)
-    for i, held in enumerate(slices(benchmark, most)):
-        bench = docs.sparkSession.sparkContext.broadcast(Bench(held))
-        out = (cut(out, "winnow") if i else out).mapInArrow(_scan(bench), schema)
-    return out.select("w_in", "w_words", "w_hits", "w_items")
+    spark = docs.sparkSession
+    small_batches(spark)
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").dropDuplicates()
+    size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    out = _start(docs)
+    if size <= most:
+        held = spark.sparkContext.broadcast(Bench([(r.item_id, r.text) for r in bench.toLocalIterator()]))
+        return out.mapInArrow(_scan(held), out.schema).select("w_in", "w_words", "w_hits", "w_items")
+    bench = cut(bench.withColumn("item", F.xxhash64("item_id", "text")), "bench")
+    tests = cut(bench.select("item", "text").mapInArrow(_bench_prints, "item bigint, own int, print bigint"), "bench-prints")
+    lengths = sorted(r.own for r in tests.select("own").distinct().collect())  # SPAN numbers at most
+    mine = docs.select(F.xxhash64("text").alias("doc"), "text").where("text is not null").mapInArrow(_doc_prints(lengths), "doc bigint, own int, print bigint").distinct()
+    met = mine.join(tests, ["own", "print"]).select("doc", "item").distinct()
+    given = cut(met.join(bench, "item").groupBy(F.col("doc").alias("w_key")).agg(F.collect_list(F.struct("item_id", "text")).alias("w_bench")), "met")
+    rows = docs.select(F.struct(*docs.columns).alias("w_in"), F.xxhash64("text").alias("w_doc")).join(given, F.col("w_doc") == F.col("w_key"), "left").select("w_in", "w_bench")
+    return rows.mapInArrow(_judge, out.drop("w_marks").schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
