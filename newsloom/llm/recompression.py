@@ -12,7 +12,9 @@ equal anchors. (A window without such a border, as in a long run of one word, is
 Anchors are few, and those that occur once are dropped: a first pass counts their names, a second
 sends only windows with a repeated anchor, grouped by anchor, where window hashes are compared. All
 occurrences within a chunk are settled before the shuffle, so a passage that a third of the
-documents share sends one row a chunk. The last step joins the marked windows back to the texts.
+documents share sends one row a chunk. An anchor that very many different windows share, as a phrase
+in many contexts, is split: its windows travel one by one under a key of their own hash, so equal ones
+still meet and no task gets the whole anchor. The last step joins the marked windows back to the texts.
 
 Names and window hashes have 64 bits. Null and empty texts have no words. Repeated rows are
 occurrences of each other. The bitmap of repeated anchors has a fixed largest size; when it is
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import tokens as tk
 from newsloom.llm.shared import bloom, cut, in_bloom, lean
 
-SPAN, ROUNDS, CHUNK = 35, 7, 2 << 20
+#: Words of a window, rounds, bytes of a chunk, and runs of windows beyond which an anchor is split.
+SPAN, ROUNDS, CHUNK, HOT = 35, 7, 2 << 20, 1 << 12
 FAR = np.int64(1 << 40)
 
 
@@ -110,13 +113,13 @@ ROW = "key bigint, doc_id bigint, th bigint, at int, known bigint, sent boolean,
 MARK = "doc_id bigint, th bigint, at int, mask bigint"
 
 
-def _windows(repeated) -> object:
+def _windows(repeated, crowded) -> object:
     """A row for each run of windows whose anchor may be repeated: known has a bit for each window that
     its chunk holds twice; windows (hashes) is sent unless earlier runs of the chunk sent them all."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = repeated.value
+        bitmap, hot = repeated.value, crowded.value
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("th")
             for lo, at, row, begin, end, key, window in _parsed(batch):
@@ -141,6 +144,16 @@ def _windows(repeated) -> object:
                 rows = pa.array(lo + row[begin])
                 # runs that send nothing need no company
                 key = np.where(sent, key, tk.mix(key + begin.astype(np.uint64)))
+                split = np.flatnonzero((sent & in_bloom(hot, key))[run_of] & ~later)
+                if split.size:
+                    run = run_of[split]
+                    where = pa.array(lo + row[begin[run]])
+                    one = np.arange(split.size + 1, dtype=np.int32) * 8
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(tk.mix(key[run] ^ held[split]).view(np.int64)), ids.take(where), hashes.take(where), pa.array((begin[run] + place[split] - at[row[begin[run]]]).astype(np.int32)),
+                        pa.array(np.zeros(split.size, np.int64)), pa.array(np.ones(split.size, bool)), pa.Array.from_buffers(pa.binary(), split.size, [None, pa.py_buffer(one.tobytes()), pa.py_buffer(held[split].tobytes())]),
+                    ], names=[x.split()[0] for x in ROW.split(", ")])
+                    sent &= ~in_bloom(hot, key)
                 blobs = [raw[8 * a : 8 * (a + z)] if s else None for a, z, s in zip(first.tolist(), size.tolist(), sent.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(rows), hashes.take(rows), pa.array((begin - at[row[begin]]).astype(np.int32)), pa.array(known.view(np.int64)), pa.array(sent), pa.array(blobs, pa.binary())], names=[x.split()[0] for x in ROW.split(", ")])
 
@@ -220,19 +233,23 @@ def _kept(texts: bool) -> object:
     return run
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, mask): runs of windows, from word `at` on, that occur elsewhere; th is xxhash64(text)."""
+def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, th, at, mask): runs of windows, from word `at` on, that occur elsewhere; th is xxhash64(text).
+
+    Anchors of more than `hot` runs are split by their windows.
+    """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text is not null")
     names = texts.select("text").mapInArrow(_names, "key bigint, n bigint")
-    repeated = cut(names.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "anchors")
+    repeated = cut(names.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
     bitmap = spark.sparkContext.broadcast(bloom(repeated, "key"))
-    rows = texts.mapInArrow(_windows(bitmap), ROW)
+    crowded = spark.sparkContext.broadcast(bloom(repeated.where(F.col("n") > hot), "key"))
+    rows = texts.mapInArrow(_windows(bitmap, crowded), ROW)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, MARK)
 
 
-def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, texts: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (with texts=True, else null), kept_sha256 of every row of docs."""
-    marks = repeats(docs).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th"), "marks")
+    marks = repeats(docs, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th"), "marks")
     joined = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(marks, F.expr("doc_id <=> m_doc and th = m_th"), "left")
     return joined.select("doc_id", "text", "marks").mapInArrow(_kept(texts), OUT)
