@@ -9,7 +9,8 @@ file appears under its name only when complete, so a repeated task replaces its
 Reader: each file is read through Spark (binaryFile). A member that does not inflate, or a record
 whose header, length or payload digest does not hold, is quarantined: the reader searches for the
 next gzip member that begins with a version line (or, in plain files, the next version line), goes
-on there and reports the gap in bytes.
+on there and reports the gap in bytes. round_trip() reads metadata only, writes the gaps of its own
+archives to a log beside them, and fails if a record is missing rather than leave a page out.
 
 A null html is the empty payload; null urls are written as empty, control characters and spaces in
 them percent-encoded. Rows with a null page_id are always responses. Repeated page_ids with equal
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import shared_dir
+from newsloom.llm.shared import cut, shared_dir
 
 ROLL_BYTES, LEVEL = 8 << 20, 3
 VERSION = b"WARC/1.1\r\n"
@@ -231,16 +232,27 @@ def _reader(keep_payload: bool) -> object:
 
 
 def read(spark: SparkSession, folder: str, keep_payload: bool = True) -> DataFrame:
-    """Records and gaps of all archives below folder; files are handed out one a batch."""
+    """Records and gaps of all archives below folder; Spark sends files in batches of bounded bytes, a file whole."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     return files.mapInArrow(_reader(keep_payload), RECORDS)
 
 
+def log_gaps(records: DataFrame, path: str) -> int:
+    """Write the quarantined byte ranges of read() as JSON lines; returns how many there are."""
+    gaps = records.where("kind = 'gap'").select("file", "offset", "length", "reason")
+    gaps.write.mode("overwrite").json(path)
+    return gaps.count()
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write all pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    files, _ = write(plan(pages, min_bytes), folder)
+    files, records = write(plan(pages, min_bytes), folder)
     if not files:
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    return read(spark, folder, keep_payload=False).where("kind in ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    found = cut(read(spark, folder, keep_payload=False).drop("payload", "url"), "warc-records")
+    gaps, kept = log_gaps(found, f"{folder}-gaps"), found.where("kind in ('response', 'revisit')")
+    if gaps or kept.count() != records:
+        raise RuntimeError(f"{records} records were written to {folder}; {gaps} byte ranges of it do not read, see {folder}-gaps")
+    return kept.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
