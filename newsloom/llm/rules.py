@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import tokens as tk
-from newsloom.llm.shared import crc_mod, cut
+from newsloom.llm.shared import crc_mod, cut, lean, small_batches
 
 STATS = ["words", "word_len", "upper", "digit", "symbol", "marked", "distinct", "same", "top", "short", "grams", "lines", "line_len", "line_same", "joined", "long"]
 TREES, DEPTH, LASSO, SEED, THRESHOLD = 24, 4, 0.002, 7, 0.3
+#: Labelled rows that the model is fitted on: those with the smallest hashes of doc_id.
+MOST_LABELLED = 20_000
 
 _B = np.arange(256)
 _UPPER = (_B >= 0x41) & (_B <= 0x5A)
@@ -33,6 +35,7 @@ _SYMBOL = ~_WORD & tk.NOT_SPACE
 _ODD = _SYMBOL & ~np.isin(_B, [ord(c) for c in ".,;:'\"-()?"])
 
 
+@lean
 def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, statistics) of each row."""
     for batch in batches:
@@ -75,6 +78,8 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
+    """doc_id and the statistics of every row."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(statistics, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS))
 
 
@@ -139,10 +144,16 @@ def held_out(doc_id: Column) -> Column:
     return crc_mod(doc_id, 5) == 0
 
 
-def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; learns from labelled rows that are not held out."""
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """rows, or about `most` of them with the smallest hashes of doc_id; the bound is on the hash, so nothing is ranked."""
+    n, top = rows.count(), 1 << 62
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(top)) < top // n * most)
+
+
+def predict(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; learns from labelled rows that are not held out, about most_labelled of them."""
     stats = cut(measure(docs), "statistics")
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("label"))
-    model = fit(cut(stats.join(known, "doc_id"), "labelled"))
+    model = fit(cut(stats.join(sampled(known, most_labelled), "doc_id"), "labelled"))
     out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
