@@ -575,9 +575,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the key of its set, 0 where it is empty."""
     for batch in batches:
         node = np.zeros(batch.num_rows, np.int64)
-        for r, own in shingle_sets(pa.RecordBatch.from_arrays([batch.column("j_text")], names=["text"])):
+        text = pc.struct_field(batch.column("j_in"), "text")
+        for r, own in shingle_sets(pa.RecordBatch.from_arrays([text], names=["text"])):
             node[r] = node_key(own)
-        yield pa.RecordBatch.from_arrays([batch.column("j_in"), batch.column("j_text"), pa.array(node)], names=["j_in", "j_text", "j_node"])
+        yield pa.RecordBatch.from_arrays([batch.column("j_in"), pa.array(node)], names=["j_in", "j_node"])
 
 
 def representatives(docs: DataFrame, most_broadcast: int = 1 << 20) -> DataFrame:
@@ -592,12 +593,13 @@ def representatives(docs: DataFrame, most_broadcast: int = 1 << 20) -> DataFrame
     met = _meet(members, least.select("root", "least")).where(F.col("least").isNotNull() & (key != F.col("least")))
     gone = cut(met.select(F.col("doc_id").alias("j_doc"), F.col("node").alias("j_gone")).distinct(), "gone")
     again = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("j_again"))
-    ids = gone.select("j_doc").where("j_doc is not null").distinct()
+    ids = small(gone.select("j_doc").where("j_doc is not null").distinct(), most_broadcast)
+    rows, dropped = docs.select(F.struct(*docs.columns).alias("j_in")), F.expr("j_in.doc_id = j_doc")
     if not again.limit(1).count():
-        return docs.join(small(ids, most_broadcast), F.col("doc_id") == F.col("j_doc"), "left_anti")
-    several = F.expr("doc_id <=> j_again")
-    single = docs.join(small(again, most_broadcast), several, "left_anti").join(small(ids, most_broadcast), F.col("doc_id") == F.col("j_doc"), "left_anti")
-    rest = docs.join(small(again, most_broadcast), several, "left_semi").select(F.struct(*docs.columns).alias("j_in"), F.col("text").alias("j_text"))
-    rest = rest.mapInArrow(_nodes, f"j_in {rest.schema['j_in'].dataType.simpleString()}, j_text string, j_node bigint")
-    rest = rest.withColumn("j_id", F.col("j_in.doc_id")).dropDuplicates(["j_id", "j_node"]).join(gone, F.expr("j_id <=> j_doc and j_node = j_gone"), "left_anti")
-    return single.unionByName(rest.select("j_in.*"))
+        return rows.join(ids, dropped, "left_anti").select("j_in.*")
+    again, several = small(again, most_broadcast), F.expr("j_in.doc_id <=> j_again")
+    single = rows.join(again, several, "left_anti").join(ids, dropped, "left_anti")
+    rest = rows.join(again, several, "left_semi")
+    rest = rest.mapInArrow(_nodes, f"j_in {rest.schema['j_in'].dataType.simpleString()}, j_node bigint").withColumn("j_id", F.col("j_in.doc_id"))
+    rest = rest.dropDuplicates(["j_id", "j_node"]).join(gone, F.expr("j_id <=> j_doc and j_node = j_gone"), "left_anti")
+    return single.unionByName(rest.select("j_in")).select("j_in.*")

@@ -82,6 +82,36 @@ def test_language(spark, docs, rows, none):
     assert compression_lang.accepted(docs).columns == docs.columns
 
 
+def test_language_by_plain_compression(spark, docs):
+    """predict() against sizes from compressors that are made anew for every segment."""
+    import zstandard as z
+
+    model = compression_lang.train(docs.where(~compression_lang.held_out(F.col("doc_id"))), 20, 4096)
+    assert set(model.dictionaries) == {"en", "de"} and all(0 < len(d) <= 4096 for d in model.dictionaries.values())
+    for r in compression_lang.identify(docs.select("doc_id", "text"), model).collect():
+        body = compression_lang.letters(r.li_in.text or "").encode()[:6000]
+        if len(body) == 6000 or not body:
+            continue
+        sizes = {}
+        for lang, content in model.dictionaries.items():
+            p = z.ZstdCompressionParameters.from_level(compression_lang.LEVEL, source_size=compression_lang.SEGMENT, dict_size=len(content), min_match=3, write_checksum=False, write_content_size=False)
+            coder = lambda d=content, p=p: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p)
+            sizes[lang] = sum(len(coder().compress(body[i : i + compression_lang.SEGMENT])) for i in range(0, len(body), compression_lang.SEGMENT))
+        first = min(sizes, key=lambda k: (sizes[k], -model.counts[k], k))
+        assert r.li_lang == first and r.li_margin == pytest.approx((max(sizes.values()) - sizes[first]) / max(sizes.values()))
+
+
+def test_dictionaries_take_from_whole_texts(spark):
+    text = " ".join(f"{a}{b}{c}" for a in "abcdef" for b in "aeiou" for c in "klmnop")
+    long = text * 200
+    assert compression_lang.pieces(long.encode(), 4000).count(b" ") > 100 and len(compression_lang.pieces(long.encode(), 4000)) <= 4100
+    tail = long + " zzzyyyxxx" * 60
+    assert b"zzzyyy" in compression_lang.pieces(tail.encode(), 4000)
+    rows = [(i, tail, "rare") for i in (1, 2, 3)] + [(10 + i, "short text", "often") for i in range(50)]
+    model = compression_lang.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 400, 6000)
+    assert len(model.dictionaries["rare"]) > 5500 and len(model.dictionaries["often"]) > 500
+
+
 def test_language_model_survives_no_labels(docs):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in compression_lang.predict(unlabelled).collect()} == {"und"}
@@ -129,6 +159,74 @@ def test_a_name_hides_no_wrapper():
     assert kept("<div class=ad>only</div>") == []
 
 
+def test_names_hide_no_prose():
+    def kept(page):
+        return [t for t, k in boilerplate.blocks(page) if k != boilerplate.OUT]
+
+    assert kept("<script>var a='<!--';</script><article><p>Real text</p></article>") == ["Real text"]
+    assert kept("<style>/* <!-- */</style><textarea><p>a</textarea><p>b<noscript><!-- </noscript>c --> d") == ["bc --> d"]
+    assert kept("<article><div class='share-price'>A</div><h2 id='search-results'>B</h2><p class='alert'>C</p><div class='share-box'>no</div></article>") == ["A", "B", "C"]
+    assert boilerplate.blocks("<body><p>one<article class='comment'><p>c</p></article></body>") == [("one", boilerplate.OPEN), ("c", boilerplate.OUT)]
+    assert kept("<article class='post comments-open'><p>t</p><article class='comment-item'><p>c</p></article></article>") == ["t"]
+
+
+def judged(texts, kinds):
+    """judge() by comparing every run of every page, where no page is a copy of another."""
+    words = [[t.lower().split() for t in page] for page in texts]
+    runs, of_main = {}, {}
+    for i, (page, kind) in enumerate(zip(words, kinds)):
+        flat = [(w, k) for b, k in zip(page, kind) for w in b]
+        for j in range(len(flat) - 5):
+            run = tuple(w for w, _ in flat[j : j + 6])
+            runs.setdefault(run, set()).add(i)
+            if flat[j][1] == boilerplate.MAIN:
+                of_main.setdefault(run, set()).add(i)
+    n, m = len(texts), sum(boilerplate.MAIN in k for k in kinds)
+    bars = {boilerplate.MAIN: (of_main, max(3, -(-m // 10))), None: (runs, max(2, -(-n // 10)))}
+    out = []
+    for page, kind in zip(words, kinds):
+        flat = [(w, k) for b, k in zip(page, kind) for w in b]
+        hit = {boilerplate.MAIN: [False] * len(flat), None: [False] * len(flat)}
+        for which, (table, least) in bars.items():
+            for j in range(len(flat) - 5):
+                if (which is None or flat[j][1] == which) and len(table.get(tuple(w for w, _ in flat[j : j + 6]), ())) >= least:
+                    hit[which][j : j + 6] = [True] * 6
+        at, new = 0, []
+        for b, k in zip(page, kind):
+            again = sum(hit[boilerplate.MAIN if k == boilerplate.MAIN else None][at : at + len(b)]) > 0.5 * len(b)
+            new.append((boilerplate.OUT if again else k, again))
+            at += len(b)
+        out.append(new)
+    return out
+
+
+@pytest.mark.parametrize("pages", [1, 5, 30, 120])
+def test_judge_by_brute_force(pages):
+    draw = random.Random(pages)
+    lines = [" ".join(f"l{k}x{j}" for j in range(draw.randrange(4, 12))) for k in range(6)]
+    texts, kinds = [], []
+    for _ in range(pages):
+        main = draw.random() < 0.6
+        page = [(" ".join(f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(20, 60))), boilerplate.MAIN if main else boilerplate.OPEN)]
+        for k, line in enumerate(lines):
+            if draw.random() < (0.02, 0.08, 0.15, 0.3, 0.6, 0.9)[k]:
+                page.insert(draw.randrange(len(page) + 1), (line, draw.choice([boilerplate.MAIN, boilerplate.OUT]) if main else draw.choice([boilerplate.OPEN, boilerplate.OUT])))
+        texts.append([t for t, _ in page])
+        kinds.append([k for _, k in page])
+    assert boilerplate.judge(texts, kinds) == judged(texts, kinds)
+
+
+def test_long_pages_and_repeated_rows(spark):
+    draw = random.Random(8)
+    long = "<article>" + "".join(f"<p>{' '.join(f'w{draw.randrange(10**7)}' for _ in range(200))}</p>" for _ in range(900)) + "</article>"
+    rows = [(1, "http://a/1", long), (2, "http://a/2", "<p>short one"), (2, "http://a/2", "<p>short one"), (3, "http://a/3", "<p>" + "x" * 10**6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = boilerplate.extract(df).collect()
+    assert Counter(r.page_id for r in out) == {1: 1, 2: 2, 3: 1}
+    assert next(r for r in out if r.page_id == 1).text.count("\n") == 899 and all(r.n_chars == len(r.text) for r in out)
+    assert Counter(map(tuple, warc.round_trip(df).collect())) == archives(rows)
+
+
 def test_suffix_array_marks_what_pages_share():
     draw = random.Random(2)
     for _ in range(40):
@@ -181,6 +279,23 @@ def test_warc_salvage(compress):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_gaps_are_logged(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], "page_id bigint, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/w"
+    warc.write(warc.plan(df), folder)
+    path = next(p for p in (tmp_path / "w").iterdir() if p.name.endswith(".gz"))
+    raw = bytearray(path.read_bytes())
+    raw[len(raw) // 2 : len(raw) // 2 + 12] = b"?" * 12
+    (tmp_path / "w" / f".{path.name}.crc").unlink(missing_ok=True)
+    path.write_bytes(bytes(raw))
+    found = warc.read(spark, folder)
+    gaps = warc.log_gaps(found, f"{folder}-gaps")
+    assert gaps == 1
+    log = spark.read.json(f"{folder}-gaps").first()
+    assert log.length > 0 and log.file.endswith(path.name) and log.reason
+    assert 38 <= found.where("kind = 'response'").count() <= 39
+
+
 def test_rules(spark, docs, none):
     draw = random.Random(6)
     made, labels = [], []
@@ -206,6 +321,28 @@ def test_rules_are_conjunctions(spark):
     assert [x.hit for x in rows.orderBy("doc_id").select(rules.condition(r).alias("hit")).collect()] == [True, False]
 
 
+def test_scores_by_plain_python(spark):
+    """An ensemble fitted by Spark, applied rule by rule; and a bounded sample of labels gives a model too."""
+    import math
+
+    draw = random.Random(12)
+    made = [(i, " ".join("".join(draw.choices("abcdefgh", k=draw.randrange(1, 9))) + draw.choice(["", "", "#" * (i % 3)]) for _ in range(draw.randrange(0, 60)))) for i in range(500)]
+    stats = rules.measure(spark.createDataFrame(made, "doc_id bigint, text string")).withColumn("label", F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(1.0))
+    model = rules.fit(shared.cut(stats, "labelled"))
+    assert 0 < len(model.rules) < 400
+    for r in stats.select("*", model.score().alias("score")).collect():
+        total = model.base + sum(w for rule, w in model.rules if all(r[s] <= b if low else r[s] > b for s, low, b in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+    texts = dict(made)
+    for r in stats.collect():
+        words = texts[r.doc_id].split()
+        assert r.words == len(words) and r.word_len == pytest.approx(sum(map(len, words)) / max(1, len(words)))
+        assert r.distinct == pytest.approx(len(set(words)) / len(words) if words else 0) and r.short == pytest.approx(sum(len(w) <= 3 for w in words) / max(1, len(words)))
+    known = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(500)], "doc_id bigint, quality int")
+    few = rules.sampled(known, 100).count()
+    assert 60 < few < 140 and rules.sampled(known, 500).count() == 500
+
+
 def test_token_files(spark, docs, rows, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -278,13 +415,20 @@ def test_extra_columns_with_names_of_ours(spark, docs, none):
     """Stages and queries with columns that are named like the operators' own, and on empty tables."""
     from newsloom.llm import jaccard, mixing, recompression, winnowing
 
-    names = ["mx_at", "mx_size", "mx_others", "w_in", "w_text", "w_hits", "li_in", "li_text", "again", "node", "root", "th", "marks", "m_doc", "start", "n", "dim", "shard", "host", "digest", "target", "size"]
+    names = ["mx_at", "mx_size", "mx_others", "w_in", "w_text", "w_hits", "li_in", "li_text", "again", "node", "root", "th", "marks", "m_doc", "start", "n", "dim", "shard", "host", "digest", "target", "size", "j_in", "j_doc", "j_again", "w_doc", "w_key", "w_bench", "mx_th", "mx_key", "mx_twin", "first", "label", "words"]
     more = docs.where("doc_id < 60 or doc_id > 79").select("*", *(F.lit(1).alias(c) for c in names))
     bench = spark.createDataFrame([(1, "the the the the the the the the the the the the the the", 2)], "item_id bigint, text string, w_in int")
     for out in (compression_lang.accepted(more), jaccard.representatives(more), winnowing.clean(more, bench), mixing.training_order(more)):
         assert out.columns == more.columns and out.count() > 0
     for out in (mixing.mix(more), recompression.deduplicate(more), jaccard.join(more), winnowing.decontaminate(more, bench), compression_lang.predict(more)):
         assert out.count() == more.count()
+    import public_tokenizers
+
+    known = spark.createDataFrame([(i, i % 2, 1) for i in range(40)], "doc_id bigint, quality int, words int")
+    assert rules.predict(more, known).count() == more.count() == arrow_tokens.round_trip(more, public_tokenizers.path("word_bpe_49k.json")).count()
+    _, vec = vectors(spark)
+    wide = vec.select("*", *(F.lit(1).alias(c) for c in [*names, "place", "ids", "rank", "score", "query_id", "block", "cell"]))
+    assert Counter(map(tuple, vptree.neighbours(wide).collect())) == Counter(map(tuple, vptree.neighbours(vec).collect()))
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").select("*", *(F.lit(1).alias(c) for c in names))
     assert boilerplate.extract(pages).count() == warc.round_trip(pages).count() == len(PAGES)
     empty = none.limit(0)

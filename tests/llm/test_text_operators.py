@@ -33,6 +33,7 @@ BENCH = [(1, None), (2, ""), (3, "one"), (4, "ONE two three"), (5, None), (6, "n
 def bench(spark, rows):
     long = rows[42][1].split("\n")[1] or rows[41][1]
     items = BENCH + [(7, " ".join(rows[42][1].split()[5:40])), (8, long), (9, "the the the the the the the the the the the the the the the"), (10, " ".join(rows[0][1].split()[:13]).upper())]
+    items += [(10, rows[0][1]), (None, " ".join(rows[45][1].split()[2:20]))]
     return items, spark.createDataFrame(items, "item_id bigint, text string")
 
 
@@ -42,7 +43,7 @@ def contamination(rows, items):
         w = ALNUM.findall(low(t or ""))
         n = min(13, len(w))
         for k in range(len(w) - n + 1) if n else ():
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])].add(i)
     lengths = {len(k) for k in windows}
     out = {}
     for i, t, *_ in rows:
@@ -51,16 +52,16 @@ def contamination(rows, items):
             for k in range(len(w) - n + 1):
                 if ids := windows.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
-                    found |= ids
+                    found |= {str(x) for x in ids if x is not None}
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out[i] = (len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w))
     return out
 
 
-@pytest.mark.parametrize("slice_chars", [winnowing.SLICE_CHARS, 40])
-def test_winnowing(spark, docs, rows, slice_chars, monkeypatch):
-    monkeypatch.setattr(winnowing.slices, "__defaults__", (slice_chars,))
-    monkeypatch.setattr(winnowing.scan, "__defaults__", (slice_chars,))
+@pytest.mark.parametrize("most", [winnowing.MOST_CHARS, 0])
+def test_winnowing(spark, docs, rows, most, monkeypatch):
+    """Broadcast fingerprints, and fingerprints that are joined."""
+    monkeypatch.setattr(winnowing.scan, "__defaults__", (most,))
     items, table = bench(spark, rows)
     want = contamination(rows, items)
     found = winnowing.decontaminate(docs, table).collect()
@@ -72,6 +73,22 @@ def test_winnowing(spark, docs, rows, slice_chars, monkeypatch):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if not want[r[0]][4])
 
 
+def test_alignments_of_runs():
+    import time
+
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (np.unique(draw.integers(0, 60, draw.integers(1, 30))) for _ in range(2))
+        want = sorted({int(x - y) for x in a for y in b})
+        assert winnowing.shifts(a, b).tolist() == want == winnowing.shifts(a, b, 0).tolist()
+    # a long run of one word against an item of that word
+    began = time.perf_counter()
+    flag, ids, some = winnowing.Bench([("x", "the " * 600)]).hits(winnowing.Bench([("d", "the " * 8000)]).words[0])
+    assert flag.all() and ids == ["x"] and some and time.perf_counter() - began < 2
+
+
 def test_winnowing_empty(spark, docs, none, rows):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert winnowing.decontaminate(none, empty).count() == 0
@@ -109,9 +126,11 @@ def repeats(rows):
     return out
 
 
-def test_recompression(docs, rows, none):
+@pytest.mark.parametrize("hot", [recompression.HOT, 1])
+def test_recompression(docs, rows, none, hot):
+    """Whole anchors, and anchors that are split by their windows."""
     want = repeats(rows)
-    for i, rs in by_text(recompression.deduplicate(docs, texts=True).collect(), rows).items():
+    for i, rs in by_text(recompression.deduplicate(docs, texts=True, hot=hot).collect(), rows).items():
         for r in rs:
             assert (r.n_words, r.n_removed, r.kept_sha256, r.kept) == want[i], i
     assert recompression.deduplicate(none).count() == 0
