@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.shared import cut, small
 
-#: Words of a part of a source's md5 order, and repetitions of a source at most.
-PART_WORDS, MAX_EPOCHS = 4 << 20, 3
+#: Words of a part of a source's md5 order, hex digits that name a part at most, and repetitions of a source at most.
+PART_WORDS, PART_DIGITS, MAX_EPOCHS = 1 << 18, 5, 3
 
 #: The curriculum of the first, second and third source, and so on round: early, in the middle, late. Their integrals are 1, 2 and 3.
 CURRICULUM = [[(0.0, 1.5), (1.0, 0.5)], [(0.0, 1.0), (0.5, 3.0), (1.0, 1.0)], [(0.0, 1.5), (1.0, 4.5)]]
@@ -80,8 +80,8 @@ def plan(rows: DataFrame, curriculum: list[Knots] | None = None) -> DataFrame:
     """rows of sized() with mx_source_size, mx_lesson, mx_target, mx_start (words of the source before the row) and mx_taken."""
     totals = cut(rows.groupBy("mx_key", "source").agg(F.sum("mx_size").alias("mx_source_size")), "source-sizes")
     targets = cut(source_targets(totals, curriculum), "targets")
-    # hex digits of the md5 order that split a source into parts of about PART_WORDS
-    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("mx_source_size") / PART_WORDS)))).cast("int")
+    # hex digits of the md5 order that split a source into parts of about PART_WORDS, a million parts at most
+    digits = F.least(F.lit(PART_DIGITS), F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("mx_source_size") / PART_WORDS)))).cast("int")
     split = targets.select("mx_key", "mx_source_size", "mx_lesson", "mx_target", digits.alias("mx_digits"))
     placed = rows.join(small(split), "mx_key").withColumn("mx_part", F.expr("substring(mx_order, 1, mx_digits)"))
     parts = cut(placed.groupBy("mx_key", "mx_part").agg(F.sum("mx_size").alias("mx_words")), "parts")
