@@ -49,7 +49,7 @@ from newsloom.operators.graph import components
 K, NUM, DEN, MOST_COMMON, COMMON = 5, 80, 100, 1 << 21, 8
 BLOCK, LONG, SMALL_BITS, MOST_BITS, LARGE = 64, 8, 1024, 1 << 15, 2000
 #: Shingles that a worker holds at once, and entries of long lists that begin with one node and are dealt to one task.
-HELD, DEALT = 1 << 21, 1 << 14
+HELD, DEALT = 1 << 21, 1 << 12
 #: Low bytes of a shingle by which it is counted, and copies of a component's row that meet its members.
 COUNTED, COPIES = 6, 16
 
