@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -27,12 +28,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def lean(run: Callable) -> Callable:
-    """An Arrow batch function that gives its pool's free memory back when a task ends, as workers are reused."""
+    """An Arrow batch function that gives free memory back when a task ends, as workers are reused: its pool's and, where the C library can, the heap's."""
 
     @wraps(run)
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
     return call
 
