@@ -4,12 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: the kinds of source and the limits of the fields
 SOURCE_TYPES = ("official", "paper", "news", "opinion", "community", "video")
 TITLE, SUMMARY, DETAILS, DETAIL = 60, 150, 5, 80
+DIRECTIONS, CONFIDENCES, AUDIENCES = ("positive", "negative", "mixed", "neutral"), ("high", "medium", "low"), ("researcher", "developer", "pm", "investor", "general")
+CHINESE = 0.6
+
+
+def _list(name: str) -> Column:
+    return F.coalesce(name, F.array().cast("array<string>"))
+
+
+def chinese_ratio(text: Column) -> Column:
+    """Chinese characters among those that are neither space nor digit; 1 if there are none."""
+    rest = F.length(F.regexp_replace(text, r"[\s\p{Nd}]", ""))
+    return F.when(rest > 0, F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]")) / rest).otherwise(1.0)
+
+
+def enumerated(raw: DataFrame) -> DataFrame:
+    """The analysis' lists and enumerations: dotted events (3) and assets (5), a known direction, confidence and audience (3),
+    reading minutes by the length of the texts where none is stated, and the names of fields that are hardly Chinese."""
+    texts = F.concat_ws("", "detailed_content", "summary", "background", "deep_analysis")
+    stated = F.coalesce(F.try_to_number("reading_minutes", F.lit("S999")).cast("int"), F.lit(0))
+    minutes = F.when(stated > 1, stated).otherwise(F.greatest(F.lit(1), F.expr("int(char_length(concat_ws('', detailed_content, summary, background, deep_analysis)) div 400)")))
+    wanted = F.slice(F.filter(F.transform(_list("audience"), lambda a: F.lower(F.trim(a))), lambda a: a.isin(*AUDIENCES)), 1, 3)
+    poor = F.array(*(F.when((F.length(F.col(c)) > 0) & (chinese_ratio(F.col(c)) < CHINESE), F.lit(c)) for c in ("title", "summary", "why_it_matters")))
+    return raw.select(
+        "id", F.greatest(F.lit(1), F.least(F.lit(30), minutes)).alias("reading_minutes"), F.length(texts).alias("n_text"),
+        F.filter(F.slice(_list("causal_events"), 1, 3), lambda e: F.contains(e, F.lit("."))).alias("causal_events"), F.filter(F.slice(_list("affected_assets"), 1, 5), lambda e: F.contains(e, F.lit("."))).alias("affected_assets"),
+        F.when(F.col("impact_direction").isin(*DIRECTIONS), F.col("impact_direction")).otherwise("neutral").alias("impact_direction"), F.when(F.col("impact_confidence").isin(*CONFIDENCES), F.col("impact_confidence")).otherwise("low").alias("impact_confidence"),
+        F.when(F.size(wanted) > 0, wanted).otherwise(F.array(F.lit("general"))).alias("audience"), F.filter(poor, lambda x: x.isNotNull()).alias("low_chinese_ratio"),
+    ).drop("n_text")
 
 
 def validated(raw: DataFrame) -> DataFrame:

@@ -113,3 +113,15 @@ def config_problems(sources: DataFrame) -> DataFrame:
     ]
     found = F.filter(F.array(*(F.when(bad, F.lit(text)) for bad, text in checks)), lambda x: x.isNotNull())
     return sources.select("name", F.explode(found).alias("problem"))
+
+
+def key_problems(sources: DataFrame, required: list[str], known: list[str]) -> DataFrame:
+    """(name, problem) for keys that a source's configuration (name, keys) lacks or that nothing knows."""
+    missing = F.transform(F.array_except(F.lit(required), F.col("keys")), lambda k: F.concat(F.lit("missing key "), k))
+    unknown = F.transform(F.array_except(F.col("keys"), F.lit(known)), lambda k: F.concat(F.lit("unknown key "), k))
+    return sources.select("name", F.explode(F.concat(missing, unknown)).alias("problem"))
+
+
+def dangling(authorities: DataFrame, sources: DataFrame) -> DataFrame:
+    """(name, problem) for configured authorities of sources that are not there."""
+    return authorities.select("name").distinct().join(sources.select("name").distinct(), "name", "left_anti").select("name", F.lit("authority without source").alias("problem"))

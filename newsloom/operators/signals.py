@@ -67,15 +67,33 @@ def boosted(events: DataFrame, matches: DataFrame) -> DataFrame:
     return events.select("event_id", "importance").join(wide, "event_id").select("event_id", "importance", F.greatest("importance", level).alias("effective_importance"))
 
 
-def breaking(signals: DataFrame, pushed: DataFrame, noise: str, event: str, least: dict[str, int], most: int = 5) -> DataFrame:
-    """Signals that are no noise, name an event, reach their source's threshold and were not pushed: the first `most`."""
+def breaking(signals: DataFrame, pushed: DataFrame, noise: str, event: str, least: dict[str, int], most: int = 5, stricter: dict[str, str] | None = None) -> DataFrame:
+    """Signals that are no noise, name an event, reach their source's threshold and were not pushed: the first `most`.
+
+    Sources without a number have a stricter pattern instead of a threshold.
+    """
+    named = F.col("title").rlike(event)
+    for source, pattern in (stricter or {}).items():
+        named = F.when(F.col("source") == source, F.col("title").rlike(pattern)).otherwise(named)
+        least = least | {source: 0}
     bar = F.lit(None).cast("int")
     for source, points in least.items():
         bar = F.when(F.col("source") == source, points).otherwise(bar)
-    hot = signals.where(~F.col("title").rlike(noise) & F.col("title").rlike(event) & (F.col("points") >= bar))
+    hot = signals.where(~F.col("title").rlike(noise) & named & (F.coalesce("points", F.lit(0)) >= bar))
     return hot.join(pushed.select("sig_id").distinct(), "sig_id", "left_anti").orderBy(F.desc("points"), "sig_id").limit(most)
 
 
+def accumulated(pushed: DataFrame, found: DataFrame, at: Column) -> DataFrame:
+    """(sig_id, pushed_at): what was pushed and what is pushed now; a signal keeps its first time."""
+    both = pushed.select("sig_id", "pushed_at").unionByName(found.select("sig_id", at.alias("pushed_at")))
+    return both.groupBy("sig_id").agg(F.min("pushed_at").alias("pushed_at"))
+
+
+def in_window(pushed: DataFrame, as_of: Column, hours: int = 24, most: int = 5) -> DataFrame:
+    """The latest of what was pushed within the hours, for display."""
+    return pushed.where(F.col("pushed_at") >= as_of - F.expr(f"interval {hours} hours")).orderBy(F.desc("pushed_at"), "sig_id").limit(most)
+
+
 def causal(articles: DataFrame, triggers: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, chain_id, assets, confidence): chains that an article's events trigger, with the assets both name."""
     hit = articles.select("id", "level", F.col("assets").alias("named"), F.explode("events").alias("event")).join(triggers, "event").select("id", "level", "named", "chain_id", "hit_rate").dropDuplicates(["id", "chain_id"])

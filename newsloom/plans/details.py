@@ -54,7 +54,20 @@ def analysis_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.validated(raw).select("id", "title", "importance", "source_type", F.array_join("categories", ",").alias("categories"))
 
 
-@query("J22, F22, C04", f"""WITH p AS (SELECT page_id, lower(regexp_replace(trim(url), '/+$', '')) AS k, len(html) AS n, TIMESTAMP '{AS_OF}' - to_days((page_id % 14)::INT) AS created_at FROM pages),
+@query("P24", """SELECT doc_id AS id, greatest(1, least(30, CASE WHEN n_chars % 40 > 1 THEN n_chars % 40 ELSE greatest(1, (len(text || lang) // 400)) END))::INT AS minutes, CASE WHEN doc_id % 2 = 0 THEN 'a.b' ELSE '' END AS events, CASE doc_id % 3 WHEN 0 THEN 'mixed' ELSE 'neutral' END AS direction, CASE doc_id % 4 WHEN 0 THEN 'high' ELSE 'low' END AS confidence,
+ CASE WHEN doc_id % 5 = 0 THEN 'pm,investor' ELSE 'general' END AS audience, 'summary' AS poor FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND regexp_matches(text, '[A-Za-z]')""")
+def analysis_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, enumerations, reading time and the share of Chinese in a model's answers."""
+    d, n = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("[A-Za-z]")), F.col("doc_id")
+    raw = d.select(
+        n.alias("id"), F.lit("模型发布 X").alias("title"), F.col("text").alias("summary"), F.lit("").alias("why_it_matters"), F.lit(None).cast("string").alias("detailed_content"), F.col("lang").alias("background"), F.lit("").alias("deep_analysis"), (F.col("n_chars") % 40).cast("string").alias("reading_minutes"),
+        F.array(F.when(n % 2 == 0, "a.b").otherwise("ab"), F.lit("plain"), F.lit("x"), F.lit("late.one")).alias("causal_events"), F.lit(None).cast("array<string>").alias("affected_assets"), F.when(n % 3 == 0, "mixed").otherwise("sideways").alias("impact_direction"), F.when(n % 4 == 0, "high").otherwise("sure").alias("impact_confidence"),
+        F.when(n % 5 == 0, F.array(F.lit(" PM "), F.lit("cat"), F.lit("investor"))).otherwise(F.array(F.lit("everyone"))).alias("audience"))
+    out = analysis.enumerated(raw)
+    return out.select("id", F.col("reading_minutes").alias("minutes"), F.array_join("causal_events", ",").alias("events"), F.col("impact_direction").alias("direction"), F.col("impact_confidence").alias("confidence"), F.array_join("audience", ",").alias("audience"), F.array_join("low_chinese_ratio", ",").alias("poor"))
+
+
+@query("J22, F22", f"""WITH p AS (SELECT page_id, lower(regexp_replace(trim(url), '/+$', '')) AS k, len(html) AS n, TIMESTAMP '{AS_OF}' - to_days((page_id % 14)::INT) AS created_at FROM pages),
 f AS (SELECT k, max(page_id) AS page_id FROM p WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND n > 3000 GROUP BY 1) SELECT p.page_id, f.page_id IS NOT NULL AS cached FROM p LEFT JOIN f USING (k)""")
 def analysis_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose analysis is in a cache of pages seen within a week."""

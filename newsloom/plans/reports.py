@@ -215,7 +215,7 @@ def cross_shift_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("am").drop("am").intersect(s.where("not am").drop("am")).select("day", "user_id")
 
 
-NOISE, EVENT = "(?i)(worthless|pathetic)", "(?i)(ingtion|edonth|oriti|keit|ment)"
+NOISE, EVENT, STRICT = "(?i)(worthless|pathetic)", "(?i)(ingtion|edonth|oriti|keit|ment)", "(?i)(erhe|lich|ndo)"
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,11 +227,28 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIG = f"{ARTICLES}, s AS (SELECT id AS sig_id, CASE tier WHEN 0 THEN 'hn' WHEN 1 THEN 'reddit' ELSE 'hf' END AS source, title, len(summary)::INT AS points FROM a)"
 
 
-@query("F13, J15, T08, C08", f"""WITH {_SIG} SELECT sig_id, source, points FROM s WHERE NOT regexp_matches(title, '{NOISE}') AND regexp_matches(title, '{EVENT}')
-AND points >= CASE source WHEN 'hn' THEN 300 WHEN 'hf' THEN 2000 WHEN 'reddit' THEN 100 END AND sig_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY points DESC, sig_id LIMIT 5""")
+_BREAKING = f"""{_SIG}, p AS (SELECT doc_id AS sig_id, min(TIMESTAMP '{AS_OF}' - to_hours((doc_id % 40)::INT)) AS pushed_at FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (SELECT sig_id, source, points FROM s WHERE NOT regexp_matches(title, '{NOISE}') AND CASE source WHEN 'reddit' THEN regexp_matches(title, '{STRICT}') ELSE regexp_matches(title, '{EVENT}') END
+ AND points >= CASE source WHEN 'hn' THEN 300 WHEN 'hf' THEN 2000 WHEN 'reddit' THEN 0 END AND sig_id NOT IN (SELECT sig_id FROM p) ORDER BY points DESC, sig_id LIMIT 5)"""
+
+
+def _breaking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What was pushed before, and the signals to push now."""
+    at = now() - F.make_dt_interval(F.lit(0), (F.col("doc_id") % 40).cast("int"))
+    pushed = table(spark, sf_dir, "labels").where("doc_id is not null").select(F.col("doc_id").alias("sig_id"), at.alias("pushed_at")).groupBy("sig_id").agg(F.min("pushed_at").alias("pushed_at"))
+    return pushed, signals.breaking(_signals(spark, sf_dir), pushed, NOISE, EVENT, {"hn": 300, "hf": 2000}, stricter={"reddit": STRICT})
+
+
+@query("F13, J15, T08", f"WITH {_BREAKING} SELECT * FROM f")
 def breaking_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pushed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sig_id"))
-    return signals.breaking(_signals(spark, sf_dir), pushed, NOISE, EVENT, {"hn": 300, "hf": 2000, "reddit": 100}).select("sig_id", "source", "points")
+    return _breaking(spark, sf_dir)[1].select("sig_id", "source", "points")
+
+
+@query("C08", f"WITH {_BREAKING}, u AS (SELECT * FROM p UNION ALL SELECT sig_id, TIMESTAMP '{AS_OF}' FROM f) SELECT sig_id, min(pushed_at) AS pushed_at FROM u GROUP BY 1 HAVING min(pushed_at) >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR ORDER BY pushed_at DESC, sig_id LIMIT 5")
+def breaking_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals are found, chosen, added to those pushed before, and the latest of a day are shown."""
+    pushed, found = _breaking(spark, sf_dir)
+    return signals.in_window(signals.accumulated(pushed, found, now()), now())
 
 
 _STOP = ", ".join(repr(w) for w in text.STOP_WORDS)
@@ -404,17 +421,33 @@ def image_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.images(i, "(logo|avatar|pixel)").select("page_id", "image_used")
 
 
-@query("F24", """WITH p AS (SELECT s_name AS name, CASE WHEN s_nationkey % 5 = 4 THEN 'tier out of range' END AS a, CASE WHEN s_acctbal <= 0 THEN 'age not positive' END AS b FROM supplier)
-SELECT name, a AS problem FROM p WHERE a IS NOT NULL UNION ALL SELECT name, b FROM p WHERE b IS NOT NULL""")
+@query("F24", """WITH p AS (SELECT s_name AS name, CASE WHEN s_nationkey % 5 = 4 THEN 'tier out of range' END AS a, CASE WHEN s_acctbal <= 0 THEN 'age not positive' END AS b, CASE WHEN s_suppkey % 3 = 0 THEN 'missing key url' END AS c, CASE WHEN s_suppkey % 4 = 0 THEN 'unknown key colour' END AS d FROM supplier)
+SELECT name, a AS problem FROM p WHERE a IS NOT NULL UNION ALL SELECT name, b FROM p WHERE b IS NOT NULL UNION ALL SELECT name, c FROM p WHERE c IS NOT NULL UNION ALL SELECT name, d FROM p WHERE d IS NOT NULL
+UNION ALL SELECT DISTINCT c_name, 'authority without source' FROM customer WHERE c_custkey % 50 = 0""")
 def config_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("u").alias("url"), F.when(F.col("s_nationkey") % 5 == 4, 7).otherwise(1).alias("tier"), F.ceil("s_acctbal").alias("max_age_hours"))
-    return filters.config_problems(s)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("u").alias("url"), F.when(F.col("s_nationkey") % 5 == 4, 7).otherwise(1).alias("tier"), F.ceil("s_acctbal").alias("max_age_hours"), "s_suppkey")
+    keys_ = F.filter(F.array(F.lit("name"), F.when(F.col("s_suppkey") % 3 != 0, F.lit("url")), F.when(F.col("s_suppkey") % 4 == 0, F.lit("colour"))), lambda k: k.isNotNull())
+    named = filters.key_problems(s.select("name", keys_.alias("keys")), ["name", "url"], ["name", "url", "tier"])
+    authorities = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_name").alias("name")).unionByName(s.select("name"))
+    return filters.config_problems(s).unionByName(named).unionByName(filters.dangling(authorities, s))
 
 
-@query("A18", """SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS last_day, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS sources, round(sum(value), 2) AS total FROM events""")
+@query("A18", """SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS last_day, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS last_week, count(*) FILTER (event_type = 'error' AND ts >= TIMESTAMP '2024-01-24') AS errors, count(DISTINCT user_id) AS sources FROM events""")
 def state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.agg(F.count_if(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")).alias("last_day"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_distinct("user_id").alias("sources"), F.round(F.sum("value"), 2).alias("total"))
+    e, at = table(spark, sf_dir, "events"), F.lit("2024-01-31").cast("timestamp_ntz")
+    day, week = F.col("ts") >= at - F.expr("interval 1 day"), F.col("ts") >= at - F.expr("interval 7 days")
+    return e.agg(F.count_if(day).alias("last_day"), F.count_if(week).alias("last_week"), F.count_if((F.col("event_type") == "error") & week).alias("errors"), F.count_distinct("user_id").alias("sources"))
+
+
+@query("J14, T09", f"""WITH {ARTICLES}, c AS (SELECT 'src' || s_suppkey AS name, s_suppkey % 4 <> 0 AS enabled FROM supplier), st AS (SELECT source_name AS name, count(*) AS total, count(*) FILTER (collected_at >= {NOW} - INTERVAL 12 HOUR) AS w7, count(*) FILTER (collected_at >= {NOW} - INTERVAL 12 HOUR AND importance >= 3) AS w7_hi FROM a GROUP BY 1),
+h AS (SELECT 'src' || user_id AS name, count(*) FILTER (event_type = 'error') AS f FROM events GROUP BY 1)
+SELECT c.name, enabled, coalesce(total, 0) AS total, coalesce(w7, 0) AS w7, coalesce(w7_hi, 0) AS w7_hi, coalesce(f, 0) AS consec_fails, CASE WHEN NOT enabled THEN 'disabled' WHEN coalesce(f, 0) >= 10 THEN 'dead' WHEN coalesce(f, 0) >= 3 THEN 'failing' ELSE 'ok' END AS health_tag FROM c LEFT JOIN st USING (name) LEFT JOIN h USING (name)""")
+def source_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recent = F.col("collected_at") >= now() - F.expr("interval 12 hours")
+    stats = articles(spark, sf_dir).groupBy(F.col("source_name").alias("name")).agg(F.count("*").alias("total"), F.count_if(recent).alias("w7"), F.count_if(recent & (F.col("importance") >= 3)).alias("w7_hi"))
+    sources = table(spark, sf_dir, "supplier").select(F.concat(F.lit("src"), "s_suppkey").alias("name"), (F.col("s_suppkey") % 4 != 0).alias("enabled"))
+    state = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("src"), "user_id").alias("name")).agg(F.count_if(F.col("event_type") == "error").alias("consecutive_failures"))
+    return health.dashboard(sources, stats, state)
 
 
 _SIGNED = """g AS (SELECT id, title, lang, CASE id % 40 WHEN 0 THEN 'OpenAI launch ' || coalesce(lang, 'x') WHEN 1 THEN 'open-ai will unveil ' || id WHEN 2 THEN 'Zeta hires ' || id WHEN 3 THEN 'zeta to join ' || id ELSE coalesce(title, '') END AS signature FROM a)"""

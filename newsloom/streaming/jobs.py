@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HEALTH_OUT = "name bigint, avg_time double, failures bigint, runs bigint"
 HEALTH_STATE = "avg bigint, failures bigint, runs bigint"
+#: Hours for which a pushed key is remembered.
+TTL_HOURS = 48
 
 
 def exact_dedup(items: DataFrame, stamp: str, keys: list[str], hours: int = 72) -> DataFrame:
@@ -47,6 +49,32 @@ def health(runs: DataFrame) -> DataFrame:
     return runs.groupBy("name").applyInPandasWithState(_fold, HEALTH_OUT, HEALTH_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(parts)).sort_values(["at", "seq"], kind="stable")
+    first = not state.exists
+    state.update((int(rows["at"].iloc[-1].timestamp()),))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((rows["at"].iloc[-1].timestamp() + TTL_HOURS * 3600) * 1000)))
+    if first:
+        yield rows.iloc[:1][["key", "at", "seq"]]
+
+
+def first_pushes(signals: DataFrame) -> DataFrame:
+    """The first signal (key, at, seq) of each key; a key is forgotten TTL_HOURS of event time after it was last seen."""
+    return signals.withWatermark("at", "1 hour").groupBy("key").applyInPandasWithState(_remember, "key string, at timestamp, seq bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, hours: int = 1) -> DataFrame:
+    """Pairs of two streams (key, at, ...) with right within the hours after left; both sides' state is bounded by watermarks.
+
+    An addition of ours, not of the original reports.
+    """
+    a, b = left.withWatermark("at", f"{hours} hours").alias("a"), right.withWatermark("at", f"{hours} hours").alias("b")
+    return a.join(b, F.expr(f"a.{key} = b.{key} and b.at >= a.at and b.at <= a.at + interval {hours} hours"))
+
+
 def upsert_sink(path: str, key: str, order: str):
     """foreachBatch function that keeps the newest row per key in a table of two swapping versions."""
     from newsloom.operators.store import latest
