@@ -55,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
-        free(*written)
+        free(*written, sweep=True)
         written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import strip_html
+from newsloom.functions.text import bound, strip_html
 
 #: fixed values: elements without article text, class names of bodies, least lengths, what is cut from the text
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "form", "svg", "button")
@@ -40,26 +40,37 @@ def body(html: Column, limit: int = 4000) -> Column:
     seen = html
     for tag in DROPPED:
         seen = F.regexp_replace(seen, rf"(?is)<{tag}[\s>].*?</{tag}>", " ")
+    # the first of the longest, in the order of the candidates
+    ranked = F.transform(bound(seen, lambda s: _candidates(html, s)), lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("at"), t.alias("t")))
+    best = F.coalesce(F.array_max(ranked)["t"], F.lit(""))
+    for pattern in NOISE:
+        best = F.regexp_replace(best, "(?i)" + pattern, " ")
+    return F.substring(F.trim(F.regexp_replace(best, r"[ \t\n\r\f\x0b]+", " ")), 1, limit)
+
+
+def _candidates(html: Column, seen: Column) -> Column:
+    """Texts of a page, without and with its dropped elements."""
 
     def long(texts: Column, least: int) -> Column:
         return F.filter(F.transform(texts, strip_html), lambda t: F.length(t) > least)
 
     articles = long(_all(seen, r"(?is)<article[^>]*>(.*?)</article>"), LEAST["article"])
-    named = long(_all(seen, rf"(?is)<(?:div|section|main)[^>]*(?:class|id)=\"[^\"]*(?:{BODY_NAMES})[^\"]*\"[^>]*>(.*?)</(?:div|section|main)>"), LEAST["named"])
-    # scripts are dropped above, so the data block is read from the page as it came
-    said = F.transform(_all(html, _LD), lambda j: F.coalesce(F.get_json_object(j, "$.articleBody"), F.get_json_object(j, "$[0].articleBody"), F.get_json_object(j, "$.description"), F.get_json_object(j, "$[0].description"), F.lit("")))
+    named = long(
+        _all(seen, rf"(?is)<(?:div|section|main)[^>]*(?:class|id)=\"[^\"]*(?:{BODY_NAMES})[^\"]*\"[^>]*>(.*?)</(?:div|section|main)>"), LEAST["named"]
+    )
+    # scripts are dropped from what is seen, so the data block is read from the page as it came
+    places = ("$.articleBody", "$[0].articleBody", "$.description", "$[0].description")
+    said = F.transform(_all(html, _LD), lambda j: F.coalesce(*(F.get_json_object(j, p) for p in places), F.lit("")))
     data = F.transform(F.filter(said, lambda t: F.length(t) > LEAST["json_ld"]), strip_html)
     metas = _all(seen, r"(?is)<meta\s+(?:name=\"description\"|property=\"og:description\")\s+content=\"([^\"]*)\"")
     meta = F.transform(F.filter(metas, lambda t: F.length(t) > LEAST["meta"]), strip_html)
-    good = F.filter(_all(seen, r"(?is)<p[^>]*>(.*?)</p>"), lambda p: (F.length(strip_html(p)) > 40) & (F.regexp_count(p, F.lit("<[^>]+>")) < 0.1 * F.length(strip_html(p))))
-    joined = F.array_join(F.transform(F.slice(good, 1, 20), strip_html), "。")
+    texts = F.transform(
+        _all(seen, r"(?is)<p[^>]*>(.*?)</p>"), lambda p: F.struct(strip_html(p).alias("t"), F.regexp_count(p, F.lit("<[^>]+>")).alias("tags"))
+    )
+    good = F.filter(texts, lambda x: (F.length(x["t"]) > 40) & (x["tags"] < 0.1 * F.length(x["t"])))
+    joined = F.array_join(F.transform(F.slice(good, 1, 20), lambda x: x["t"]), "。")
     paragraphs = F.filter(F.array(joined), lambda t: F.length(t) > LEAST["paragraphs"])
-    # the first of the longest, in the order of the candidates
-    ranked = F.transform(F.concat(articles, named, data, meta, paragraphs), lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("at"), t.alias("t")))
-    best = F.coalesce(F.array_max(ranked)["t"], F.lit(""))
-    for pattern in NOISE:
-        best = F.regexp_replace(best, "(?i)" + pattern, " ")
-    return F.substring(F.trim(F.regexp_replace(best, r"[ \t\n\r\f\x0b]+", " ")), 1, limit)
+    return F.concat(articles, named, data, meta, paragraphs)
 
 
 def pictures(html: Column, url: Column, most: int = 4) -> Column:
@@ -86,7 +97,9 @@ def pictures(html: Column, url: Column, most: int = 4) -> Column:
         plain = u
         for name, char in (("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"')):
             plain = F.replace(plain, F.lit(name), F.lit(char))
-        return F.when(F.startswith(plain, F.lit("//")), F.concat(F.lit("https:"), plain)).when(F.startswith(plain, F.lit("/")), F.concat(origin, plain)).otherwise(plain)
+        return F.when(
+            F.startswith(plain, F.lit("//")), F.concat(F.lit("https:"), plain)
+        ).when(F.startswith(plain, F.lit("/")), F.concat(origin, plain)).otherwise(plain)
 
     noise = "|".join(n.replace(".", r"\.").replace("?", r"\?") for n in PICTURE_NOISE)
     clean = F.filter(F.transform(F.concat(covers, inside, data), whole), lambda u: F.startswith(u, F.lit("http")) & ~F.lower(u).rlike(noise))
@@ -98,5 +111,7 @@ def _named_pictures(ld: Column) -> Column:
     out = []
     for key in ("image", "thumbnailUrl"):
         for root in ("$", "$[0]"):
-            out += [F.get_json_object(ld, f"{root}.{key}.url")] + [F.coalesce(F.get_json_object(ld, f"{root}.{key}[{i}].url"), F.get_json_object(ld, f"{root}.{key}[{i}]")) for i in range(3)] + [F.get_json_object(ld, f"{root}.{key}")]
+            out += [F.get_json_object(ld, f"{root}.{key}.url")] + [
+                F.coalesce(F.get_json_object(ld, f"{root}.{key}[{i}].url"), F.get_json_object(ld, f"{root}.{key}[{i}]")) for i in range(3)
+            ] + [F.get_json_object(ld, f"{root}.{key}")]
     return F.filter(F.array(*out), lambda u: u.isNotNull() & ~u.rlike(r"^\s*[\[{]"))

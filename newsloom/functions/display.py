@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import bound
+
 
 def escape(text: Column) -> Column:
     """HTML-escaped; **bold** becomes b elements."""
@@ -21,14 +23,18 @@ def short_title(title: Column, fallback: Column, least: int = 15, limit: int = 6
     """The title, or the fallback cut at its last separator behind the first `least` characters, within the limit."""
     head = F.substring(fallback, 1, limit)
     cut = F.regexp_extract(head, rf"^(.{{{least},}})[,;:. -][^,;:. -]*$", 1)
-    return F.when(F.length(F.coalesce(title, F.lit(""))) > 0, F.substring(title, 1, limit)).when(F.length(fallback) <= limit, fallback).when(F.length(cut) > 0, cut).otherwise(head)
+    return F.when(
+        F.length(F.coalesce(title, F.lit(""))) > 0, F.substring(title, 1, limit)
+    ).when(F.length(fallback) <= limit, fallback).when(F.length(cut) > 0, cut).otherwise(head)
 
 
 def days_running(first: Column, now: Column) -> Column:
     return F.datediff(now, first) + 1
 
 
-def domain(stated: Column, leaf: Column, blob: Column, names: list[str], leaves: dict[str, str], words: list[tuple[str, list[str]]], default: str) -> Column:
+def domain(
+    stated: Column, leaf: Column, blob: Column, names: list[str], leaves: dict[str, str], words: list[tuple[str, list[str]]], default: str
+) -> Column:
     """A topic domain for every item: the one stated, the leaf's, the first whose words occur, or the default."""
     out = F.when(stated.isin(names), stated)
     for name, of in leaves.items():
@@ -40,7 +46,10 @@ def domain(stated: Column, leaf: Column, blob: Column, names: list[str], leaves:
 
 def plain_readme(text: Column, limit: int = 2000) -> Column:
     """Markdown without fences, images, links, marks and headings."""
-    for pattern, by in ((r"(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]*>", " "), (r"[#*`>_]+", ""), (r"[ \t\n\r\f\x0b]+", " ")):
+    for pattern, by in (
+        (r"(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]*>", " "), (r"[#*`>_]+", ""),
+        (r"[ \t\n\r\f\x0b]+", " ")
+    ):
         text = F.regexp_replace(text, pattern, by)
     return F.substring(F.trim(text), 1, limit)
 
@@ -63,7 +72,9 @@ def first_json_object(text: Column) -> Column:
 def relative_day(day: Column, today: Column) -> Column:
     """today, yesterday, n days ago up to a week, else month and day."""
     n = F.datediff(today, day)
-    return F.when(n == 0, "today").when(n == 1, "yesterday").when(n.between(2, 7), F.concat(n.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(day, "MM-dd"))
+    return F.when(n == 0, "today").when(n == 1, "yesterday").when(
+        n.between(2, 7), F.concat(n.cast("string"), F.lit(" days ago"))
+    ).otherwise(F.date_format(day, "MM-dd"))
 
 
 def shift_of(stored: Column, at: Column) -> Column:
@@ -88,22 +99,28 @@ def escaped_newlines(text: Column) -> Column:
     The text is cut at quotes that no backslash escapes; every second piece is within a string.
     """
     pieces = F.split(text, r'(?<!\\)"')
-    safe = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.replace(F.replace(F.replace(p, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))).otherwise(p))
+    safe = F.transform(
+        pieces,
+        lambda p, i: F.when(
+            i % 2 == 1, F.replace(F.replace(F.replace(p, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+        ).otherwise(p)
+    )
     return F.array_join(safe, '"')
 
 
-def closed_json(text: Column, tries: int = 4) -> list[Column]:
+def closed_json(text: Column, tries: int = 4) -> Column:
     """Repairs of JSON that breaks off, best first: its last value, then one, two, ... members dropped, and what is open closed."""
-    out, cut = [], text
-    for _ in range(tries):
-        quotes = F.regexp_count(cut, F.lit('"'))
-        whole = F.when(quotes % 2 == 1, F.concat(cut, F.lit('"'))).otherwise(cut)
-        for kept in (whole, F.regexp_replace(whole, r',\s*"[^"]*"\s*:?\s*$', "")):
-            kept = F.regexp_replace(kept, r"[,\s]+$", "")
-            brackets, braces = (F.greatest(F.lit(0), F.regexp_count(kept, F.lit(a)) - F.regexp_count(kept, F.lit(b))) for a, b in ((r"\[", r"\]"), (r"\{", r"\}")))
-            out.append(F.concat(kept, F.repeat(F.lit("]"), brackets), F.repeat(F.lit("}"), braces)))
-        cut = F.regexp_replace(cut, r"(?s),[^,]*$", "")
-    return out
+
+    def close(part: Column) -> Column:
+        missing = lambda k, a, b: F.greatest(F.lit(0), F.regexp_count(k, F.lit(a)) - F.regexp_count(k, F.lit(b)))
+        return bound(
+            F.regexp_replace(part, r"[,\s]+$", ""),
+            lambda k: F.concat(k, F.repeat(F.lit("]"), missing(k, r"\[", r"\]")), F.repeat(F.lit("}"), missing(k, r"\{", r"\}"))),
+        )
+
+    cuts = F.array(text, *(F.regexp_replace(text, rf"(?s)(?:,[^,]*){{{i}}}$", "") for i in range(1, tries)))
+    quoted = F.transform(cuts, lambda c: F.when(F.regexp_count(c, F.lit('"')) % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c))
+    return F.flatten(F.transform(quoted, lambda w: F.array(close(w), close(F.regexp_replace(w, r',\s*"[^"]*"\s*:?\s*$', "")))))
 
 
 def tolerant_json(text: Column, schema: str) -> Column:
@@ -111,13 +128,16 @@ def tolerant_json(text: Column, schema: str) -> Column:
 
     The first reading counts that has any field; null if none does.
     """
-    bare = F.trim(F.regexp_replace(text, r"```(?:json)?", ""))
-    from_brace = F.regexp_extract(escaped_newlines(bare), r"(?s)(\{.*)$", 1)
-    forms = [F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.regexp_extract(from_brace, r"(?s)(\{.*\})", 1), *closed_json(from_brace)]
     names = [f.strip().split()[0] for f in schema.split(",")]
-    read = []
-    for form in forms:
-        x = F.from_json(form, schema, {"mode": "PERMISSIVE"})
-        some = F.coalesce(*(x[n].isNotNull() if i == 0 else F.when(x[n].isNotNull(), True) for i, n in enumerate(names)))
-        read.append(F.when(some & F.try_parse_json(form).isNotNull(), x))
-    return F.coalesce(*read)
+
+    def read(form: Column) -> Column:
+        some = lambda x: F.when(F.coalesce(*(F.when(x[n].isNotNull(), True) for n in names), F.lit(False)), x)
+        return F.when(F.try_parse_json(form).isNotNull(), bound(F.from_json(form, schema, {"mode": "PERMISSIVE"}), some))
+
+    def repaired(escaped: Column) -> Column:
+        forms = F.concat(F.array(F.regexp_extract(escaped, r"(?s)(\{.*\})", 1)), closed_json(escaped))
+        return F.get(F.filter(F.transform(forms, read), lambda x: x.isNotNull()), F.lit(0))
+
+    bare = F.trim(F.regexp_replace(text, r"```(?:json)?", ""))
+    first = bound(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), read)
+    return F.coalesce(first, bound(F.regexp_extract(escaped_newlines(bare), r"(?s)(\{.*)$", 1), repaired))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,6 +65,11 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x0b]+", " "))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
@@ -83,7 +90,10 @@ def relative_age_hours(text: Column) -> Column:
     """Hours in '3 days ago', '4w ago' and the like; a month is 30 days, a year 365."""
     n = F.try_to_number(F.regexp_extract(F.lower(text), r"(\d+)", 1), F.lit("999999")).cast("double")
     unit = F.regexp_extract(F.lower(text), r"\d+\s*(minute|hour|day|week|month|year|min|mo|h|d|w|y|m)", 1)
-    hours = {"minute": 1 / 60, "min": 1 / 60, "m": 1 / 60, "hour": 1.0, "h": 1.0, "day": 24.0, "d": 24.0, "week": 168.0, "w": 168.0, "month": 720.0, "mo": 720.0, "year": 8760.0, "y": 8760.0}
+    hours = {
+        "minute": 1 / 60, "min": 1 / 60, "m": 1 / 60, "hour": 1.0, "h": 1.0, "day": 24.0, "d": 24.0, "week": 168.0, "w": 168.0, "month": 720.0,
+        "mo": 720.0, "year": 8760.0, "y": 8760.0
+    }
     each = F.create_map(*[F.lit(x) for kv in hours.items() for x in kv])
     return F.when(F.lower(text).contains("ago"), n * F.try_element_at(each, unit))
 

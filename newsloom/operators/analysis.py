@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 #: fixed values: the kinds of source and the limits of the fields
 SOURCE_TYPES = ("official", "paper", "news", "opinion", "community", "video")
 TITLE, SUMMARY, DETAILS, DETAIL = 60, 150, 5, 80
-DIRECTIONS, CONFIDENCES, AUDIENCES = ("positive", "negative", "mixed", "neutral"), ("high", "medium", "low"), ("researcher", "developer", "pm", "investor", "general")
+DIRECTIONS, CONFIDENCES, AUDIENCES = ("positive", "negative", "mixed", "neutral"), ("high", "medium", "low"), (
+    "researcher", "developer", "pm", "investor", "general"
+)
 CHINESE = 0.6
 
 
@@ -29,13 +31,21 @@ def enumerated(raw: DataFrame) -> DataFrame:
     reading minutes by the length of the texts where none is stated, and the names of fields that are hardly Chinese."""
     texts = F.concat_ws("", "detailed_content", "summary", "background", "deep_analysis")
     stated = F.coalesce(F.try_to_number("reading_minutes", F.lit("S999")).cast("int"), F.lit(0))
-    minutes = F.when(stated > 1, stated).otherwise(F.greatest(F.lit(1), F.expr("int(char_length(concat_ws('', detailed_content, summary, background, deep_analysis)) div 400)")))
+    minutes = F.when(stated > 1, stated).otherwise(
+        F.greatest(F.lit(1), F.expr("int(char_length(concat_ws('', detailed_content, summary, background, deep_analysis)) div 400)"))
+    )
     wanted = F.slice(F.filter(F.transform(_list("audience"), lambda a: F.lower(F.trim(a))), lambda a: a.isin(*AUDIENCES)), 1, 3)
-    poor = F.array(*(F.when((F.length(F.col(c)) > 0) & (chinese_ratio(F.col(c)) < CHINESE), F.lit(c)) for c in ("title", "summary", "why_it_matters")))
+    poor = F.array(
+        *(F.when((F.length(F.col(c)) > 0) & (chinese_ratio(F.col(c)) < CHINESE), F.lit(c)) for c in ("title", "summary", "why_it_matters"))
+    )
     return raw.select(
         "id", F.greatest(F.lit(1), F.least(F.lit(30), minutes)).alias("reading_minutes"), F.length(texts).alias("n_text"),
-        F.filter(F.slice(_list("causal_events"), 1, 3), lambda e: F.contains(e, F.lit("."))).alias("causal_events"), F.filter(F.slice(_list("affected_assets"), 1, 5), lambda e: F.contains(e, F.lit("."))).alias("affected_assets"),
-        F.when(F.col("impact_direction").isin(*DIRECTIONS), F.col("impact_direction")).otherwise("neutral").alias("impact_direction"), F.when(F.col("impact_confidence").isin(*CONFIDENCES), F.col("impact_confidence")).otherwise("low").alias("impact_confidence"),
+        F.filter(F.slice(_list("causal_events"), 1, 3), lambda e: F.contains(e, F.lit("."))).alias("causal_events"), F.filter(
+            F.slice(_list("affected_assets"), 1, 5), lambda e: F.contains(e, F.lit("."))
+        ).alias("affected_assets"),
+        F.when(F.col("impact_direction").isin(*DIRECTIONS), F.col("impact_direction")).otherwise("neutral").alias("impact_direction"), F.when(
+            F.col("impact_confidence").isin(*CONFIDENCES), F.col("impact_confidence")
+        ).otherwise("low").alias("impact_confidence"),
         F.when(F.size(wanted) > 0, wanted).otherwise(F.array(F.lit("general"))).alias("audience"), F.filter(poor, lambda x: x.isNotNull()).alias("low_chinese_ratio"),
     ).drop("n_text")
 
@@ -47,17 +57,23 @@ def validated(raw: DataFrame) -> DataFrame:
         F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(F.try_to_number("importance", F.lit("S999")).cast("int"), F.lit(3)))).alias("importance"),
         F.when(F.col("source_type").isin(*SOURCE_TYPES), F.col("source_type")).otherwise("news").alias("source_type"),
         F.slice(F.coalesce("categories", F.array().cast("array<string>")), 1, 2).alias("categories"),
-        F.transform(F.slice(F.coalesce("details", F.array().cast("array<string>")), 1, DETAILS), lambda d: F.substring(d, 1, DETAIL)).alias("details"),
+        F.transform(
+            F.slice(F.coalesce("details", F.array().cast("array<string>")), 1, DETAILS), lambda d: F.substring(d, 1, DETAIL)
+        ).alias("details"),
     )
 
 
 def from_cache(items: DataFrame, cache: DataFrame, as_of, days: int = 7) -> tuple[DataFrame, DataFrame]:
     """(items with a cached analysis of good quality, items without), by url key; old entries do not count."""
     fresh = cache.where((F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days))) & (~F.col("relevant") | (F.length("content") > 0)))
-    return items.join(fresh.select("url_key", "content", "relevant"), "url_key"), items.join(fresh.select("url_key").distinct(), "url_key", "left_anti")
+    return items.join(fresh.select("url_key", "content", "relevant"), "url_key"), items.join(
+        fresh.select("url_key").distinct(), "url_key", "left_anti"
+    )
 
 
-def tiered(items: DataFrame, rules: Callable[[DataFrame], DataFrame], cache: DataFrame, analyse: Callable[[DataFrame], DataFrame] | None, as_of) -> DataFrame:
+def tiered(
+    items: DataFrame, rules: Callable[[DataFrame], DataFrame], cache: DataFrame, analyse: Callable[[DataFrame], DataFrame] | None, as_of
+) -> DataFrame:
     """Rules for all, then the cache, then the analyser for what is left; without one, the rules' result stands.
 
     rules and analyse return the items with columns content and relevant.
@@ -70,7 +86,11 @@ def tiered(items: DataFrame, rules: Callable[[DataFrame], DataFrame], cache: Dat
 
 def polluted(analyses: DataFrame) -> DataFrame:
     """Analyses of level 1 whose longer fields are all but empty."""
-    return analyses.where((F.col("level") == 1) & (F.length(F.coalesce("background", F.lit(""))) == 0) & (F.length(F.coalesce("deep", F.lit(""))) == 0) & (F.length(F.coalesce("content", F.lit(""))) < 100))
+    return analyses.where(
+        (F.col("level") == 1) & (
+            F.length(F.coalesce("background", F.lit(""))) == 0
+        ) & (F.length(F.coalesce("deep", F.lit(""))) == 0) & (F.length(F.coalesce("content", F.lit(""))) < 100)
+    )
 
 
 def filled(events: DataFrame, articles: DataFrame, fields: list[str]) -> DataFrame:

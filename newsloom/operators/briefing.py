@@ -36,7 +36,9 @@ def due_for_scoring(judgments: DataFrame, scored: DataFrame, as_of: Column, leas
 def source_badge(tier: Column, source_type: Column) -> Column:
     """The badge of a source: official, academic, video, community or media."""
     kind = F.trim(F.coalesce(source_type, F.lit("")))
-    named = F.when((tier == 0) | (kind == "official"), "official").when(kind == "paper", "academic").when(kind == "video", "video").when(kind == "community", "community")
+    named = F.when(
+        (tier == 0) | (kind == "official"), "official"
+    ).when(kind == "paper", "academic").when(kind == "video", "video").when(kind == "community", "community")
     return F.when(tier == 0, "official").otherwise(F.coalesce(named, F.when(tier == 1, "academic").otherwise("media")))
 
 
@@ -58,14 +60,19 @@ def run_health(health: DataFrame, disabled: DataFrame, listed: int = 5) -> DataF
     """One row: working, failing (3) and dead (10) sources that are not disabled, and the first dead ones by name."""
     live = health.join(disabled.select("name").distinct(), "name", "left_anti")
     dead = live.where("consecutive_failures >= 10").orderBy("name").limit(listed).agg(F.array_sort(F.collect_list("name")).alias("dead_sources"))
-    counts = live.agg(F.count_if(F.col("status") == "ok").alias("healthy"), F.count_if(F.col("consecutive_failures") >= 3).alias("failing"), F.count_if(F.col("consecutive_failures") >= 10).alias("dead"))
+    counts = live.agg(
+        F.count_if(F.col("status") == "ok").alias("healthy"), F.count_if(F.col("consecutive_failures") >= 3).alias("failing"),
+        F.count_if(F.col("consecutive_failures") >= 10).alias("dead")
+    )
     return counts.crossJoin(F.broadcast(dead))  # one row each
 
 
 def failing_sources(health: DataFrame) -> DataFrame:
     """Sources that fail 3 to 9 times (failing) or 10 and more (dead), worst first."""
     level = F.when(F.col("consecutive_failures") >= 10, "dead").otherwise("failing")
-    return health.where("consecutive_failures >= 3").select("name", "consecutive_failures", level.alias("level")).orderBy(F.desc("consecutive_failures"), "name")
+    return health.where("consecutive_failures >= 3").select(
+        "name", "consecutive_failures", level.alias("level")
+    ).orderBy(F.desc("consecutive_failures"), "name")
 
 
 def usage_totals(calls: DataFrame) -> DataFrame:
@@ -73,7 +80,10 @@ def usage_totals(calls: DataFrame) -> DataFrame:
     prompt = F.coalesce(F.nullif("prompt_tokens", F.lit(0)), "input_tokens", F.lit(0))
     answer = F.coalesce(F.nullif("completion_tokens", F.lit(0)), "output_tokens", F.lit(0))
     total = F.coalesce(F.nullif("total_tokens", F.lit(0)), prompt + answer)
-    return calls.groupBy("stage").agg(F.count("*").alias("calls"), F.sum(prompt).alias("prompt_tokens"), F.sum(answer).alias("completion_tokens"), F.sum(total).alias("total_tokens"), F.count_if("parse_failed").alias("parse_failures"))
+    return calls.groupBy("stage").agg(
+        F.count("*").alias("calls"), F.sum(prompt).alias("prompt_tokens"), F.sum(answer).alias("completion_tokens"),
+        F.sum(total).alias("total_tokens"), F.count_if("parse_failed").alias("parse_failures")
+    )
 
 
 def last_runs(runs: DataFrame, most: int) -> DataFrame:
@@ -110,22 +120,34 @@ def mark_rendered(events: DataFrame, shown: DataFrame, at: Column, shift: str) -
     known = shift.lower() if shift.lower() in ("am", "pm") else None
     mark = shown.select("event_id").distinct().withColumn("_shown", F.lit(True))
     j = events.join(mark, "event_id", "left")
-    return j.withColumn("rendered_at", F.when(F.col("_shown"), at).otherwise(F.col("rendered_at"))).withColumn("rendered_shift", F.when(F.col("_shown"), F.lit(known)).otherwise(F.col("rendered_shift"))).drop("_shown")
+    return j.withColumn("rendered_at", F.when(F.col("_shown"), at).otherwise(F.col("rendered_at"))).withColumn(
+        "rendered_shift", F.when(F.col("_shown"), F.lit(known)).otherwise(F.col("rendered_shift"))
+    ).drop("_shown")
 
 
 def runs_with(runs: DataFrame, started: DataFrame, finished: DataFrame) -> DataFrame:
     """The log of runs after new starts and finishes: a start appends a running row, a finish completes its row."""
-    every = runs.unionByName(started.select("run_id", "started_at", F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit("running").alias("status"), F.lit(None).cast("bigint").alias("items")))
+    every = runs.unionByName(
+        started.select(
+            "run_id", "started_at", F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit("running").alias("status"),
+            F.lit(None).cast("bigint").alias("items")
+        )
+    )
     done = finished.select("run_id", F.col("finished_at").alias("_at"), F.col("status").alias("_status"), F.col("items").alias("_items"))
     j = every.join(done, "run_id", "left")
-    return j.select("run_id", "started_at", F.coalesce("_at", "finished_at").alias("finished_at"), F.coalesce("_status", "status").alias("status"), F.coalesce("_items", "items").alias("items"))
+    return j.select(
+        "run_id", "started_at", F.coalesce("_at", "finished_at").alias("finished_at"), F.coalesce("_status", "status").alias("status"),
+        F.coalesce("_items", "items").alias("items")
+    )
 
 
 def run_summary(items: DataFrame, health: DataFrame, disabled: DataFrame, run_id: str, shift: str) -> DataFrame:
     """The summary row of a run: the page's indicators and the state of its sources."""
     kept = F.count("*")
     kpis = items.agg(
-        kept.alias("kept"), F.count_if(F.col("level") >= 1).alias("llm_count"), F.coalesce(F.round(F.count_if(F.col("level") >= 1) / F.nullif(kept, F.lit(0)), 4), F.lit(0.0)).alias("llm_coverage"),
+        kept.alias("kept"), F.count_if(F.col("level") >= 1).alias("llm_count"), F.coalesce(
+            F.round(F.count_if(F.col("level") >= 1) / F.nullif(kept, F.lit(0)), 4), F.lit(0.0)
+        ).alias("llm_coverage"),
         F.count_if(F.col("cluster_size") >= 2).alias("multi_source_count"), F.count_if(F.col("importance") >= 4).alias("important_count"), F.count_if(F.col("status") == "official").alias("official_count"),
         F.count_if((F.trim("detailed_content") != "") & (F.trim("background") != "")).alias("depth_count"))
     entities = items.select(F.explode("entities").alias("e")).where("e <> ''").agg(F.count_distinct("e").alias("entity_count"))
@@ -151,7 +173,9 @@ def recurring_stories(items: DataFrame, rendered: DataFrame, decide: Callable[[D
     return decide(items.select("id", "title").crossJoin(F.broadcast(lines)))  # 150 titles at most
 
 
-def digest(items: DataFrame, draft: Callable[[DataFrame], DataFrame], patch: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def digest(
+    items: DataFrame, draft: Callable[[DataFrame], DataFrame], patch: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """A digest in three stages with injected models: sections are drafted, the weakest one is written anew, facts are checked.
 
     draft gives (section, text, strength); patch rewrites such a row; check adds contradicted and
@@ -175,18 +199,31 @@ def repair_plan(sources: DataFrame, health: DataFrame, candidates: Column, dead:
 def event_type(articles: DataFrame) -> DataFrame:
     """(event_id, event_type): each source type has a vote, each known category two; the first to reach the most wins, else news."""
     c = F.lower(F.col("category"))
-    named = F.when(c.rlike("发布|launch|release"), "product_launch").when(c.rlike("论文|paper|research"), "research").when(c.rlike("融资|fund"), "funding").when(c.rlike("监管|regulat|policy"), "regulation")
-    by_type = articles.where("source_type <> ''").select("event_id", F.col("source_type").alias("vote"), F.lit(1).alias("weight"), F.struct("pos", F.lit(-1).alias("i")).alias("at"))
-    cats = articles.select("event_id", "pos", F.posexplode("categories").alias("i", "category")).select("event_id", named.alias("vote"), F.lit(2).alias("weight"), F.struct("pos", "i").alias("at")).where("vote is not null")
+    named = F.when(
+        c.rlike("发布|launch|release"), "product_launch"
+    ).when(c.rlike("论文|paper|research"), "research").when(c.rlike("融资|fund"), "funding").when(c.rlike("监管|regulat|policy"), "regulation")
+    by_type = articles.where("source_type <> ''").select(
+        "event_id", F.col("source_type").alias("vote"), F.lit(1).alias("weight"), F.struct("pos", F.lit(-1).alias("i")).alias("at")
+    )
+    cats = articles.select("event_id", "pos", F.posexplode("categories").alias("i", "category")).select(
+        "event_id", named.alias("vote"), F.lit(2).alias("weight"), F.struct("pos", "i").alias("at")
+    ).where("vote is not null")
     votes = by_type.unionByName(cats).groupBy("event_id", "vote").agg(F.sum("weight").alias("n"), F.min("at").alias("at"))
     best = votes.groupBy("event_id").agg(F.min_by("vote", F.struct(-F.col("n"), "at")).alias("vote"))
-    return articles.select("event_id").distinct().join(best, "event_id", "left").select("event_id", F.coalesce("vote", F.lit("news")).alias("event_type"))
+    return articles.select("event_id").distinct().join(best, "event_id", "left").select(
+        "event_id", F.coalesce("vote", F.lit("news")).alias("event_type")
+    )
 
 
 def initial_status(articles: DataFrame) -> DataFrame:
     """Status of a new event: official with an official source, confirmed by three sources with one of tier 1, else reported."""
-    agg = articles.groupBy("event_id").agg(F.count_distinct(F.nullif("source_name", F.lit(""))).alias("sources"), F.min(F.coalesce("source_tier", F.lit(2))).alias("best"))
-    return agg.select("event_id", F.when(F.col("best") == 0, "official").when((F.col("sources") >= 3) & (F.col("best") <= 1), "confirmed").otherwise("reported").alias("status"))
+    agg = articles.groupBy("event_id").agg(
+        F.count_distinct(F.nullif("source_name", F.lit(""))).alias("sources"), F.min(F.coalesce("source_tier", F.lit(2))).alias("best")
+    )
+    return agg.select(
+        "event_id",
+        F.when(F.col("best") == 0, "official").when((F.col("sources") >= 3) & (F.col("best") <= 1), "confirmed").otherwise("reported").alias("status")
+    )
 
 
 def pick_best(members: DataFrame, authority: Column) -> DataFrame:

@@ -49,7 +49,9 @@ def _least(n: int) -> Callable:
             flat = held.flatten().dictionary_encode()
             # each distinct token of a batch is hashed once
             x = np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big") % PRIME for t in flat.dictionary.to_pylist()], np.uint64)
-            size = np.diff(np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]) if len(held) else np.zeros(0, np.int32)
+            size = np.diff(
+                np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+            ) if len(held) else np.zeros(0, np.int32)
             token, some = flat.indices.to_numpy(zero_copy_only=False), size > 0
             first = (np.cumsum(size) - size)[some]
             out = np.full((n, len(held)), NO_TOKEN, np.int64)
@@ -58,7 +60,9 @@ def _least(n: int) -> Callable:
                 if first.size:
                     row[some] = np.minimum.reduceat(h[token], first).astype(np.int64)
             offsets = np.arange(0, (len(held) + 1) * n, n, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.T.ravel()))], names=[batch.schema.names[0], "signature"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.T.ravel()))], names=[batch.schema.names[0], "signature"]
+            )
 
     return run
 
@@ -92,7 +96,9 @@ def candidates(banded: DataFrame, key: str) -> DataFrame:
 
 def agreement(pairs: DataFrame, signed: DataFrame, key: str) -> DataFrame:
     """pairs with agreement: the share of equal hashes in both signatures."""
-    a, b = signed.select(F.col(key).alias("earlier"), F.col("signature").alias("_a")), signed.select(F.col(key).alias("later"), F.col("signature").alias("_b"))
+    a, b = signed.select(
+        F.col(key).alias("earlier"), F.col("signature").alias("_a")
+    ), signed.select(F.col(key).alias("later"), F.col("signature").alias("_b"))
     same = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda x: x)) / F.size("_a")
     return pairs.join(a, "earlier").join(b, "later").withColumn("agreement", same).drop("_a", "_b")
 
@@ -111,25 +117,37 @@ def similar(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
     each = nodes.select("first", F.size("t").alias("n"), F.explode("t").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # tokens of one node link nothing, but count in the order
-    ordered = each.join(common, "token", "left").groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("by"))
+    ordered = each.join(common, "token", "left").groupBy("first", "n").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("by")
+    )
     length = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    prefix = ordered.select("first", "n", F.posexplode(F.slice("by", F.lit(1), length)).alias("pos", "x")).where("x.df > 1").select("first", "n", "pos", "x.token")
+    prefix = ordered.select(
+        "first", "n", F.posexplode(F.slice("by", F.lit(1), length)).alias("pos", "x")
+    ).where("x.df > 1").select("first", "n", "pos", "x.token")
     a, b = prefix.toDF("a", "na", "pa", "token"), prefix.toDF("b", "nb", "pb", "token")
     need = least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (
+        F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
+    )
     pairs = a.join(b, "token").where(fits).select("a", "b").distinct()
     side = nodes.select("first", "t")
     both = pairs.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    scored = both.select(F.col("a").alias("earlier"), F.col("b").alias("later"), (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
-    same = named.join(nodes.select("node", "first"), "node").where(F.col(key) != F.col("first")).select(F.col("first").alias("earlier"), F.col(key).alias("later"), F.lit(1.0).alias("similarity"))
+    scored = both.select(
+        F.col("a").alias("earlier"), F.col("b").alias("later"), (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")
+    ).where(F.col("similarity") >= least - 1e-9)
+    same = named.join(nodes.select("node", "first"), "node").where(F.col(key) != F.col("first")).select(
+        F.col("first").alias("earlier"), F.col(key).alias("later"), F.lit(1.0).alias("similarity")
+    )
     return scored.unionByName(same)
 
 
 def best_earlier(pairs: DataFrame, threshold: Column | float) -> DataFrame:
     """(later, earlier, similarity): the most similar earlier item that reaches the pair's threshold, ties to the earlier."""
     scored = pairs.where(F.col("similarity") >= threshold)
-    return scored.groupBy("later").agg(F.max_by(F.struct("earlier", "similarity"), F.struct("similarity", -F.col("earlier"))).alias("x")).select("later", "x.earlier", "x.similarity")
+    return scored.groupBy("later").agg(
+        F.max_by(F.struct("earlier", "similarity"), F.struct("similarity", -F.col("earlier"))).alias("x")
+    ).select("later", "x.earlier", "x.similarity")
 
 
 def document_frequency(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -152,7 +170,9 @@ def earlier_frequency(items: DataFrame, key: str, text: str, width: int = 100_00
     t = items.select(key, F.explode(tokens(F.col(text))).alias("term")).withColumn("part", F.floor(F.col(key) / width))
     within = Window.partitionBy("term", "part").orderBy(key)
     before = Window.partitionBy("term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = t.groupBy("term", "part").agg(F.count("*").alias("n")).select("term", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    totals = t.groupBy("term", "part").agg(F.count("*").alias("n")).select(
+        "term", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
     counted = t.withColumn("place", F.row_number().over(within) - 1)
     return counted.join(totals, ["term", "part"]).select(key, "term", (F.col("place") + F.col("before")).cast("bigint").alias("earlier"))
 
@@ -164,7 +184,16 @@ def tfidf_cosine(items: DataFrame, pairs: DataFrame, key: str, text: str) -> Dat
     totals = counts.groupBy(key).agg(F.sum("c").alias("len"))
     weights = counts.join(totals, key).join(idf(items, key, text), "term").select(key, "term", (F.col("c") / F.col("len") * F.col("idf")).alias("w"))
     norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a, b = weights.select(F.col(key).alias("earlier"), "term", F.col("w").alias("wa")), weights.select(F.col(key).alias("later"), "term", F.col("w").alias("wb"))
-    dots = pairs.select("earlier", "later").join(a, "earlier").join(b, ["later", "term"]).groupBy("earlier", "later").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    out = pairs.select("earlier", "later").join(dots, ["earlier", "later"], "left").join(norms.select(F.col(key).alias("earlier"), F.col("norm").alias("na")), "earlier", "left").join(norms.select(F.col(key).alias("later"), F.col("norm").alias("nb")), "later", "left")
-    return out.select("earlier", "later", F.when(F.col("na") * F.col("nb") > 0, F.coalesce("dot", F.lit(0.0)) / (F.col("na") * F.col("nb"))).otherwise(0.0).alias("cosine"))
+    a, b = weights.select(
+        F.col(key).alias("earlier"), "term", F.col("w").alias("wa")
+    ), weights.select(F.col(key).alias("later"), "term", F.col("w").alias("wb"))
+    dots = pairs.select("earlier", "later").join(a, "earlier").join(b, ["later", "term"]).groupBy("earlier", "later").agg(
+        F.sum(F.col("wa") * F.col("wb")).alias("dot")
+    )
+    out = pairs.select("earlier", "later").join(dots, ["earlier", "later"], "left").join(
+        norms.select(F.col(key).alias("earlier"), F.col("norm").alias("na")), "earlier", "left"
+    ).join(norms.select(F.col(key).alias("later"), F.col("norm").alias("nb")), "later", "left")
+    return out.select(
+        "earlier", "later",
+        F.when(F.col("na") * F.col("nb") > 0, F.coalesce("dot", F.lit(0.0)) / (F.col("na") * F.col("nb"))).otherwise(0.0).alias("cosine")
+    )

@@ -39,7 +39,9 @@ def distribution(tagged: DataFrame) -> DataFrame:
 
 def coverage(tagged: DataFrame, registry: DataFrame) -> DataFrame:
     """Every entity of the registry with its count, zero included."""
-    return registry.join(distribution(tagged), registry["id"] == F.col("entity"), "left").select(registry["id"].alias("entity"), registry["tier"], F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return registry.join(distribution(tagged), registry["id"] == F.col("entity"), "left").select(
+        registry["id"].alias("entity"), registry["tier"], F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    )
 
 
 def source_alert(registry: DataFrame, health: DataFrame, least: int = 3) -> DataFrame:
@@ -58,8 +60,12 @@ def timelines(tagged: DataFrame, least: int, most: int, important: int = 4) -> D
     entities that are shown gather ids.
     """
     each = tagged.select(F.explode(F.array_distinct("entities")).alias("entity"), "id", "importance", "collected_at").where("entity <> ''")
-    top = each.groupBy("entity").agg(F.count("*").alias("n"), F.count_if(F.col("importance") >= important).alias("key_events")).where(F.col("n") >= least).orderBy(F.desc("n"), "entity").limit(most)
+    top = each.groupBy("entity").agg(
+        F.count("*").alias("n"), F.count_if(F.col("importance") >= important).alias("key_events")
+    ).where(F.col("n") >= least).orderBy(F.desc("n"), "entity").limit(most)
     top = top.withColumn("scale", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 4))  # `most` rows
     shown = each.where(F.col("importance") >= important).join(F.broadcast(top.select("entity")), "entity")
-    ids = shown.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("collected_at", "id"))), lambda x: x["id"].cast("string")).alias("timeline"))
+    ids = shown.groupBy("entity").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("collected_at", "id"))), lambda x: x["id"].cast("string")).alias("timeline")
+    )
     return top.join(ids, "entity", "left")

@@ -36,7 +36,10 @@ def evidence_chain(evidence: DataFrame) -> DataFrame:
 
 def canonical(evidence: DataFrame) -> DataFrame:
     """The article that stands for each event: low tier, analysed, with a body, important, long title; ties to the first."""
-    merit = F.struct(-10 * F.col("source_tier"), 5 * F.col("has_analysis").cast("int"), 3 * F.col("has_body").cast("int"), 2 * F.col("importance"), F.col("title_len"), -F.col("pos"))
+    merit = F.struct(
+        -10 * F.col("source_tier"), 5 * F.col("has_analysis").cast("int"), 3 * F.col("has_body").cast("int"), 2 * F.col("importance"),
+        F.col("title_len"), -F.col("pos")
+    )
     return evidence.groupBy("event_id").agg(F.max_by("article_id", merit).alias("canonical_article_id"))
 
 
@@ -44,7 +47,9 @@ def status(evidence: DataFrame) -> DataFrame:
     """Target status by distinct named sources, tiers and roles: official by tier or role, confirmed by three sources with
     one of tier 1 or less, reported by two; a single source changes nothing, so its event has no row."""
     agg = evidence.groupBy("event_id").agg(
-        F.count_distinct(F.nullif("source_name", F.lit(""))).alias("sources"), F.bool_or((F.col("source_tier") == 0) | (F.col("role") == "official")).alias("official"), F.bool_or(F.col("source_tier") <= 1).alias("any1"))
+        F.count_distinct(F.nullif("source_name", F.lit(""))).alias("sources"), F.bool_or(
+            (F.col("source_tier") == 0) | (F.col("role") == "official")
+        ).alias("official"), F.bool_or(F.col("source_tier") <= 1).alias("any1"))
     level = F.when(F.col("official"), 3).when((F.col("sources") >= 3) & F.col("any1"), 2).when(F.col("sources") >= 2, 1)
     return agg.select("event_id", "sources", level.alias("level")).where("level is not null")
 
@@ -56,7 +61,9 @@ def upgraded(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def multi_source(evidence: DataFrame, least: int = 2) -> DataFrame:
-    return evidence.groupBy("event_id").agg(F.count_distinct("source_name").alias("sources"), F.count("*").alias("reports")).where(F.col("sources") >= least)
+    return evidence.groupBy("event_id").agg(
+        F.count_distinct("source_name").alias("sources"), F.count("*").alias("reports")
+    ).where(F.col("sources") >= least)
 
 
 def cluster_histogram(evidence: DataFrame) -> DataFrame:
@@ -78,7 +85,10 @@ def same_event_merge(items: DataFrame) -> DataFrame:
 
 def _keyed(rows: DataFrame, name: str) -> DataFrame:
     """(name, rank, k): the signature key (0) and the entity-action key (1) of each row that has them."""
-    keys = F.array(F.struct(F.lit(0).alias("rank"), signature_key(F.col("signature")).alias("k")), F.struct(F.lit(1).alias("rank"), entity_action_key(F.col("signature")).alias("k")))
+    keys = F.array(
+        F.struct(F.lit(0).alias("rank"), signature_key(F.col("signature")).alias("k")),
+        F.struct(F.lit(1).alias("rank"), entity_action_key(F.col("signature")).alias("k"))
+    )
     return rows.select(name, F.explode(keys).alias("x")).select(name, "x.rank", "x.k").where("k is not null and k <> ''")
 
 
@@ -104,5 +114,7 @@ def known_events(articles: DataFrame, existing: DataFrame) -> DataFrame:
 def rolled_up(reports: DataFrame) -> DataFrame:
     """(event_id, size, importance, entities): of each event the reports, the largest importance, the union of entities in order."""
     totals = reports.groupBy("event_id").agg(F.count("*").alias("size"), F.max("importance").alias("importance"))
-    tags = reports.select("event_id", F.explode("entities").alias("e")).distinct().groupBy("event_id").agg(F.array_sort(F.collect_list("e")).alias("entities"))
+    tags = reports.select("event_id", F.explode("entities").alias("e")).distinct().groupBy("event_id").agg(
+        F.array_sort(F.collect_list("e")).alias("entities")
+    )
     return totals.join(tags, "event_id", "left")

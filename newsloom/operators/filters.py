@@ -77,7 +77,9 @@ def entity_rate_limit(items: DataFrame, cap: int, order: str, group: str = "day"
     guards = bound.where("protected").select(group, order, F.explode("entities").alias("_e"))
     nth = F.row_number().over(Window.partitionBy(group, "_e").orderBy(order))
     full = guards.withColumn("_n", nth).where(F.col("_n") == cap).groupBy(group, "_e").agg(F.min(order).alias("_at"))
-    late = bound.where("not protected").select(group, order, F.explode("entities").alias("_e")).join(full, [group, "_e"]).where(F.col(order) > F.col("_at")).select(group, order).distinct()
+    late = bound.where("not protected").select(
+        group, order, F.explode("entities").alias("_e")
+    ).join(full, [group, "_e"]).where(F.col(order) > F.col("_at")).select(group, order).distinct()
     open_ = bound.where("not protected").join(late, [group, order], "left_anti").unionByName(bound.where("protected"))
     folded = open_.select(*items.columns).groupBy(group).applyInPandas(lambda part: fold(part.sort_values(order, kind="stable")), items.schema)
     return items.where(free).unionByName(folded)
@@ -124,4 +126,6 @@ def key_problems(sources: DataFrame, required: list[str], known: list[str]) -> D
 
 def dangling(authorities: DataFrame, sources: DataFrame) -> DataFrame:
     """(name, problem) for configured authorities of sources that are not there."""
-    return authorities.select("name").distinct().join(sources.select("name").distinct(), "name", "left_anti").select("name", F.lit("authority without source").alias("problem"))
+    return authorities.select("name").distinct().join(sources.select("name").distinct(), "name", "left_anti").select(
+        "name", F.lit("authority without source").alias("problem")
+    )

@@ -18,7 +18,9 @@ def moving_average(events: DataFrame) -> DataFrame:
     """
     run = events.select("name", "at", "seq", "ok", F.round(F.col("took") * 100).cast("bigint").alias("cents"))
     kind = run.schema["name"].dataType.simpleString()
-    return run.repartition("name").sortWithinPartitions("name", "at", "seq").mapInArrow(_fold, f"name {kind}, avg_time double, failures int, runs bigint")
+    return run.repartition("name").sortWithinPartitions("name", "at", "seq").mapInArrow(
+        _fold, f"name {kind}, avg_time double, failures int, runs bigint"
+    )
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,14 +45,19 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _states(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     n, a, f, r = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(n, kind), pa.array(a, pa.float64()), pa.array(f, pa.int32()), pa.array(r, pa.int64())], names=["name", "avg_time", "failures", "runs"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(n, kind), pa.array(a, pa.float64()), pa.array(f, pa.int32()), pa.array(r, pa.int64())],
+        names=["name", "avg_time", "failures", "runs"]
+    )
 
 
 def failure_runs(events: DataFrame, least: int = 1) -> DataFrame:
     """(name, started, length) of each unbroken run of failures."""
     order = Window.partitionBy("name").orderBy("at", "seq")
     island = events.withColumn("g", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.where("not ok").groupBy("name", "g").agg(F.min("at").alias("started"), F.count("*").alias("length")).where(F.col("length") >= least).drop("g")
+    return island.where("not ok").groupBy("name", "g").agg(
+        F.min("at").alias("started"), F.count("*").alias("length")
+    ).where(F.col("length") >= least).drop("g")
 
 
 def skipped(health: DataFrame, as_of) -> DataFrame:
@@ -66,7 +73,9 @@ def latest_per_shift(runs: DataFrame) -> DataFrame:
 
 def error_rollup(log: DataFrame, most: int = 30) -> DataFrame:
     """Count, first and last of each (level, module, message head), the most frequent first."""
-    out = log.groupBy("level", "module", F.substring("message", 1, 60).alias("head")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    out = log.groupBy("level", "module", F.substring("message", 1, 60).alias("head")).agg(
+        F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
+    )
     return out.orderBy(F.desc("n"), "level", "module", "head").limit(most)
 
 
@@ -74,7 +83,9 @@ def scorecard(verdicts: DataFrame) -> DataFrame:
     """Counts by verdict and accuracy in percent, a partly right verdict counting half."""
     n = {v: F.count_if(F.col("verdict") == v) for v in ("correct", "partially", "wrong", "unverifiable")}
     decided = n["correct"] + n["partially"] + n["wrong"]
-    return verdicts.groupBy("group").agg(*(c.alias(v) for v, c in n.items()), F.when(decided > 0, F.bround((n["correct"] + 0.5 * n["partially"]) / decided * 100)).alias("accuracy"))
+    return verdicts.groupBy("group").agg(
+        *(c.alias(v) for v, c in n.items()), F.when(decided > 0, F.bround((n["correct"] + 0.5 * n["partially"]) / decided * 100)).alias("accuracy")
+    )
 
 
 def dashboard(sources: DataFrame, stats: DataFrame, health: DataFrame) -> DataFrame:
@@ -82,5 +93,7 @@ def dashboard(sources: DataFrame, stats: DataFrame, health: DataFrame) -> DataFr
     fails = F.coalesce("consecutive_failures", F.lit(0))
     tag = F.when(~F.col("enabled"), "disabled").when(fails >= 10, "dead").when(fails >= 3, "failing").otherwise("ok")
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "w7", "w7_hi")]
-    out = sources.join(stats, "name", "left").join(health.select("name", "consecutive_failures"), "name", "left").select("name", "enabled", *numbers, fails.alias("consec_fails"), tag.alias("health_tag"))
+    out = sources.join(stats, "name", "left").join(health.select("name", "consecutive_failures"), "name", "left").select(
+        "name", "enabled", *numbers, fails.alias("consec_fails"), tag.alias("health_tag")
+    )
     return out.orderBy(F.desc("enabled"), F.desc("w7"), F.desc("w7_hi"), F.desc("total"), "name")

@@ -22,7 +22,9 @@ def placed(items: DataFrame, order: list[Column]) -> DataFrame:
     sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a part
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return part.withColumn("_k", within).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("place", F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")
+    return part.withColumn("_k", within).join(
+        F.broadcast(sizes.select("_part", before.alias("_before"))), "_part"
+    ).withColumn("place", F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")
 
 
 def featured(items: DataFrame, most: int = 10) -> DataFrame:
@@ -49,7 +51,9 @@ def images(items: DataFrame, noise: str, generic: int = 3) -> DataFrame:
     shared = F.coalesce(F.col("_common"), F.lit(False))
     clean = lambda u: u.isNotNull() & u.rlike("^https?://") & ~u.rlike(noise)
     first = F.try_element_at(F.filter("alternates", clean), F.lit(1))
-    return bad.withColumn("image_used", F.when(clean(F.col("image")) & ~shared, F.col("image")).otherwise(F.coalesce(first, F.lit("")))).drop("_common")
+    return bad.withColumn(
+        "image_used", F.when(clean(F.col("image")) & ~shared, F.col("image")).otherwise(F.coalesce(first, F.lit("")))
+    ).drop("_common")
 
 
 def storyline_guard(items: DataFrame, recurring: DataFrame, key: str) -> DataFrame:

@@ -28,7 +28,9 @@ def match(events: DataFrame, signals: DataFrame, words: int = 3, brands: list[st
     keys, on inverted lists of words (a signal's side is broadcast if it is small), and on tags, after
     the few distinct tags have been looked up in the signals' titles.
     """
-    given = events.select("event_id", F.when(F.size(keywords(F.col("title"))) > 0, keywords(F.col("title"))).otherwise(keywords(F.col("summary"))).alias("w"))
+    given = events.select(
+        "event_id", F.when(F.size(keywords(F.col("title"))) > 0, keywords(F.col("title"))).otherwise(keywords(F.col("summary"))).alias("w")
+    )
     of_signal = signals.select("signal_id", keywords(F.col("title")).alias("w"))
     keyed = signals.where("url_key <> ''").select("signal_id", "url_key")
 
@@ -38,16 +40,24 @@ def match(events: DataFrame, signals: DataFrame, words: int = 3, brands: list[st
     exact = pairs(events.select("event_id", "url_key").join(keyed, "url_key"), "url_exact")
     named = pairs(events.select("event_id", F.explode("evidence_keys").alias("url_key")).join(keyed, "url_key"), "url_evidence")
     word = of_signal.select("signal_id", F.explode("w").alias("t"))
-    met = given.select("event_id", F.explode("w").alias("t")).join(small(word), "t").groupBy("event_id", "signal_id").agg(F.count("*").alias("n"), F.bool_or(F.col("t").isin(brands)).alias("brand"))
-    shared = met.where((F.col("n") >= words) | ((F.col("n") >= 2) & F.col("brand"))).select("event_id", "signal_id", F.when(F.col("n") >= words, 2).otherwise(3).alias("place"))
+    met = given.select("event_id", F.explode("w").alias("t")).join(small(word), "t").groupBy("event_id", "signal_id").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("t").isin(brands)).alias("brand")
+    )
+    shared = met.where((F.col("n") >= words) | ((F.col("n") >= 2) & F.col("brand"))).select(
+        "event_id", "signal_id", F.when(F.col("n") >= words, 2).otherwise(3).alias("place")
+    )
     tags = events.select("event_id", F.explode(F.array_distinct(F.transform("entity_tags", F.lower))).alias("t"))
     tagged = pairs(tags.join(small(word), "t"), "entity_match")
     # a dimension of distinct tags against the signals' titles, both small; the nested loop is theirs alone
-    known = small(tags.select("t").distinct()).join(small(signals.select("signal_id", F.lower("title").alias("low"))), F.contains("low", "t")).select("t", "signal_id")
+    known = small(tags.select("t").distinct()).join(
+        small(signals.select("signal_id", F.lower("title").alias("low"))), F.contains("low", "t")
+    ).select("t", "signal_id")
     within = pairs(tags.join(small(known), "t"), "entity_in_title")
     first = exact.unionByName(named).unionByName(shared).unionByName(tagged).unionByName(within).groupBy("event_id", "signal_id").agg(F.min("place").alias("place"))
     name, worth = (F.element_at(F.lit(list(x)), F.col("place") + 1) for x in (RULES, RULES.values()))
-    scored = first.join(small(signals.select("signal_id", "source", "score")), "signal_id").select("event_id", "source", "signal_id", "score", name.alias("rule"), worth.alias("confidence"))
+    scored = first.join(small(signals.select("signal_id", "source", "score")), "signal_id").select(
+        "event_id", "source", "signal_id", "score", name.alias("rule"), worth.alias("confidence")
+    )
     best = F.max_by(F.struct("signal_id", "score", "rule", "confidence"), F.struct(F.col("confidence") * (F.col("score") + 100), -F.col("signal_id")))
     return scored.groupBy("event_id", "source").agg(best.alias("x")).select("event_id", "source", "x.*")
 
@@ -62,12 +72,19 @@ def boosted(events: DataFrame, matches: DataFrame) -> DataFrame:
 
     matches has the matched number of each source in `score`: points, likes or stars.
     """
-    wide = matches.groupBy("event_id").agg(*(F.max(F.when(F.col("source") == s, F.col("score"))).alias(s) for s in ("hn", "hf", "github")), F.bool_or(F.col("source") == "reddit").alias("reddit"))
+    wide = matches.groupBy("event_id").agg(
+        *(F.max(F.when(F.col("source") == s, F.col("score"))).alias(s) for s in ("hn", "hf", "github")),
+        F.bool_or(F.col("source") == "reddit").alias("reddit")
+    )
     level = signal_boost(F.col("hn"), F.col("reddit"), F.col("hf"), F.col("github"))
-    return events.select("event_id", "importance").join(wide, "event_id").select("event_id", "importance", F.greatest("importance", level).alias("effective_importance"))
+    return events.select("event_id", "importance").join(wide, "event_id").select(
+        "event_id", "importance", F.greatest("importance", level).alias("effective_importance")
+    )
 
 
-def breaking(signals: DataFrame, pushed: DataFrame, noise: str, event: str, least: dict[str, int], most: int = 5, stricter: dict[str, str] | None = None) -> DataFrame:
+def breaking(
+    signals: DataFrame, pushed: DataFrame, noise: str, event: str, least: dict[str, int], most: int = 5, stricter: dict[str, str] | None = None
+) -> DataFrame:
     """Signals that are no noise, name an event, reach their source's threshold and were not pushed: the first `most`.
 
     Sources without a number have a stricter pattern instead of a threshold.
@@ -96,10 +113,14 @@ def in_window(pushed: DataFrame, as_of: Column, hours: int = 24, most: int = 5)
 
 def causal(articles: DataFrame, triggers: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, chain_id, assets, confidence): chains that an article's events trigger, with the assets both name."""
-    hit = articles.select("id", "level", F.col("assets").alias("named"), F.explode("events").alias("event")).join(triggers, "event").select("id", "level", "named", "chain_id", "hit_rate").dropDuplicates(["id", "chain_id"])
+    hit = articles.select(
+        "id", "level", F.col("assets").alias("named"), F.explode("events").alias("event")
+    ).join(triggers, "event").select("id", "level", "named", "chain_id", "hit_rate").dropDuplicates(["id", "chain_id"])
     reached = edges.groupBy("chain_id").agg(F.collect_set("to").alias("reached"))
     out = hit.join(reached, "chain_id").withColumn("assets", F.size(F.array_intersect("named", "reached")))
-    return out.select("id", "chain_id", F.col("assets").cast("bigint"), causal_confidence(F.col("hit_rate"), F.col("assets"), F.col("level")).alias("confidence"))
+    return out.select(
+        "id", "chain_id", F.col("assets").cast("bigint"), causal_confidence(F.col("hit_rate"), F.col("assets"), F.col("level")).alias("confidence")
+    )
 
 
 def chain_order(matches: DataFrame, most: int | None = None) -> DataFrame:
@@ -115,22 +136,30 @@ def arrow(direction: Column) -> Column:
 
 def impacts(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(chain_id, impacts): a chain's edges in order, with the label of each asset, or its name where it has none."""
-    named = edges.join(small(labels), edges["to"] == labels["asset"], "left").select("chain_id", F.struct("pos", F.col("to").alias("asset"), F.coalesce("label", "to").alias("label"), "direction").alias("x"))
+    named = edges.join(small(labels), edges["to"] == labels["asset"], "left").select(
+        "chain_id", F.struct("pos", F.col("to").alias("asset"), F.coalesce("label", "to").alias("label"), "direction").alias("x")
+    )
     return named.groupBy("chain_id").agg(F.array_sort(F.collect_list("x")).alias("impacts"))
 
 
 def impact_summary(matches: DataFrame, chains: DataFrame, chain_impacts: DataFrame, most: int = 2, listed: int = 6) -> DataFrame:
     """(id, summary): an article's first chains, each with its hit rate, up to six impacts and how sure it is."""
     j = chain_order(matches, most).join(small(chains), "chain_id").join(small(chain_impacts), "chain_id", "left")
-    parts = F.array_join(F.transform(F.slice(F.coalesce("impacts", F.array()), 1, listed), lambda x: F.concat(x["label"], arrow(x["direction"]))), ", ")
+    parts = F.array_join(
+        F.transform(F.slice(F.coalesce("impacts", F.array()), 1, listed), lambda x: F.concat(x["label"], arrow(x["direction"]))), ", "
+    )
     sure = F.when(F.col("confidence") >= 0.7, "高").when(F.col("confidence") >= 0.5, "中").otherwise("低")
     head = F.concat(F.lit("["), "name", F.lit("] (历史命中率"), F.format_string("%.0f", F.bround(F.col("hit_rate") * 100)), F.lit("%)"))
     finding = F.when(F.length("finding") > 0, F.concat(F.lit("\n  参考: "), F.substring("finding", 1, 60), F.lit("..."))).otherwise("")
     line = F.concat(head, F.lit("\n  影响: "), parts, F.lit(" | 综合置信度: "), sure, finding)
-    return j.select("id", F.struct("place", line.alias("line")).alias("x")).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("summary"))
+    return j.select("id", F.struct("place", line.alias("line")).alias("x")).groupBy("id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("summary")
+    )
 
 
 def impact_list(matches: DataFrame, chain_impacts: DataFrame, most: int = 3) -> DataFrame:
     """One row per impact of an article's first chains, for display: id, chain_id, confidence, asset, asset_label, direction."""
     j = chain_order(matches, most).join(small(chain_impacts), "chain_id")
-    return j.select("id", "chain_id", "confidence", F.explode("impacts").alias("x")).select("id", "chain_id", "confidence", "x.asset", F.col("x.label").alias("asset_label"), "x.direction")
+    return j.select("id", "chain_id", "confidence", F.explode("impacts").alias("x")).select(
+        "id", "chain_id", "confidence", "x.asset", F.col("x.label").alias("asset_label"), "x.direction"
+    )

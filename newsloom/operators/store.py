@@ -30,7 +30,9 @@ def partial_update(old: DataFrame, new: DataFrame, key: str, fields: list[str])
 def latest(old: DataFrame, new: DataFrame, key: str, order: Column) -> DataFrame:
     """The newest row of each key of both."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order.desc(), F.desc("_new")))).where("_n = 1").drop("_n", "_new")
+    return both.withColumn(
+        "_n", F.row_number().over(Window.partitionBy(key).orderBy(order.desc(), F.desc("_new")))
+    ).where("_n = 1").drop("_n", "_new")
 
 
 def retained(rows: DataFrame, stamp: str, as_of: Column, days: int) -> DataFrame:

@@ -23,7 +23,8 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("R01, R02, R04", """SELECT w AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01 06:00:00') AS w FROM events) GROUP BY ALL""")
+@query("R01, R02, R04",
+ """SELECT w AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01 06:00:00') AS w FROM events) GROUP BY ALL""")
 def stream_shift_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each shift as the stream last stated them: the largest count per window."""
     e = _stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
@@ -41,19 +42,30 @@ def stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("R07, W06", QUERIES["health_ema"].sql)
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _stream(spark, sf_dir).select(F.col("user_id").alias("name"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("took"))
+    runs = _stream(spark, sf_dir).select(
+        F.col("user_id").alias("name"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"),
+        (F.col("event_type") != "error").alias("ok"), F.col("value").alias("took")
+    )
     rows = jobs.run_available(jobs.health(runs), _folder(spark, "health"), "update")
-    return rows.groupBy("name").agg(F.max_by(F.struct("avg_time", "failures"), "runs").alias("x"), F.max("runs").alias("runs")).select("name", "x.avg_time", "x.failures", "runs")
+    return rows.groupBy("name").agg(
+        F.max_by(F.struct("avg_time", "failures"), "runs").alias("x"), F.max("runs").alias("runs")
+    ).select("name", "x.avg_time", "x.failures", "runs")
 
 
-@query("R06", """WITH k AS (SELECT event_type || user_id % 5 AS key, ts, event_id AS seq FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS n FROM k) SELECT key, seq FROM r WHERE n = 1""")
+@query("R06",
+ """WITH k AS (SELECT event_type || user_id % 5 AS key, ts, event_id AS seq FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS n FROM k) SELECT key, seq FROM r WHERE n = 1""")
 def stream_first_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that come more often than they are forgotten are pushed once."""
-    e = _stream(spark, sf_dir).select(F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    e = _stream(spark, sf_dir).select(
+        F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("at"),
+        F.col("event_id").alias("seq")
+    )
     return jobs.run_available(jobs.first_pushes(e), _folder(spark, "pushes")).select("key", "seq")
 
 
-@query("R09", """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
+@query("R09", """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+ + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id
+ ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
 c AS (SELECT user_id, s, min(ts) AS start, max(ts) AS last_at, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, start, n FROM c""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users as the stream last stated them; an addition of ours."""
@@ -62,7 +74,8 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("R09", """SELECT a.event_id AS seen, b.event_id AS bought FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'""")
+@query("R09",
+ """SELECT a.event_id AS seen, b.event_id AS bought FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'""")
 def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases within an hour after a view, from two streams; an addition of ours."""
     e = _stream(spark, sf_dir).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("at"))

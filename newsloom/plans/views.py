@@ -22,7 +22,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("summary"), F.col("source").alias("source_name"),
         (F.col("doc_id") % 3).cast("int").alias("tier"), (1 + F.col("n_chars") % 5).cast("int").alias("importance"),
-        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)").alias("collected_at"), (F.coalesce("quality", F.lit(1)) == 1).alias("ai_relevant"), "lang",
+        F.expr(
+            "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)"
+        ).alias("collected_at"), (F.coalesce("quality", F.lit(1)) == 1).alias("ai_relevant"), "lang",
     )
 
 
@@ -40,7 +42,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("event_id"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("article_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("source_name"),
+        F.col("l_orderkey").alias("event_id"), F.concat_ws(
+            "-", "l_partkey", "l_suppkey", "l_linenumber"
+        ).alias("article_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("source_name"),
         (F.col("l_suppkey") % 3).cast("int").alias("source_tier"), F.col("l_shipdate").alias("reported_at"), F.col("l_linenumber").alias("importance"),
         (F.col("l_returnflag") == "R").alias("has_analysis"), (F.col("l_linestatus") == "F").alias("has_body"), F.col("l_partkey").alias("title_len"), place.cast("bigint").alias("pos"),
     )
@@ -51,7 +55,10 @@ HEALTH = 'h AS (SELECT user_id AS name, ts AS "at", event_id AS seq, event_type
 
 def source_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as fetches of a source, an error being a failure."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("name"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("took"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("name"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"),
+        F.col("value").alias("took")
+    )
 
 
 #: The registry of entities for the driver's invented languages.
@@ -64,7 +71,9 @@ ENTITIES = [
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e["id"], e["tier"], e["primary"], e["backup"]) for e in ENTITIES], "id string, tier int, primary array<string>, backup array<string>")
+    return spark.createDataFrame(
+        [(e["id"], e["tier"], e["primary"], e["backup"]) for e in ENTITIES], "id string, tier int, primary array<string>, backup array<string>"
+    )
 
 
 def _entity_sql(e: dict) -> str:

@@ -33,7 +33,10 @@ def manifest(rows: DataFrame) -> DataFrame:
 
 def search_rows(archived: DataFrame) -> DataFrame:
     """Rows of the search index: key (i), day (d), title in 90 characters (t), importance (k) and month (m)."""
-    return archived.select(F.col("key").alias("i"), F.date_format("at", "yyyy-MM-dd").alias("d"), F.substring("title", 1, 90).alias("t"), F.col("importance").alias("k"), F.col("month").alias("m"))
+    return archived.select(
+        F.col("key").alias("i"), F.date_format("at", "yyyy-MM-dd").alias("d"), F.substring("title", 1, 90).alias("t"), F.col("importance").alias("k"),
+        F.col("month").alias("m")
+    )
 
 
 def keyed(events: DataFrame) -> DataFrame:
@@ -46,5 +49,10 @@ def digest_payload(items: DataFrame) -> DataFrame:
     """One JSON row per day: its items, most important first, then largest."""
     entry = F.struct((-F.col("importance")).alias("o1"), (-F.col("cluster_size")).alias("o2"), "id", "title", "importance", "cluster_size")
     days = items.groupBy(F.to_date("collected_at").alias("day")).agg(F.array_sort(F.collect_list(entry)).alias("x"))
-    shown = F.transform("x", lambda e: F.struct(e["id"].alias("id"), e["title"].alias("title"), e["importance"].alias("importance"), e["cluster_size"].alias("size")))
-    return days.select("day", F.size("x").cast("bigint").alias("n"), F.to_json(F.struct(F.date_format("day", "yyyy-MM-dd").alias("date"), shown.alias("items"))).alias("payload"))
+    shown = F.transform(
+        "x", lambda e: F.struct(e["id"].alias("id"), e["title"].alias("title"), e["importance"].alias("importance"), e["cluster_size"].alias("size"))
+    )
+    return days.select(
+        "day", F.size("x").cast("bigint").alias("n"),
+        F.to_json(F.struct(F.date_format("day", "yyyy-MM-dd").alias("date"), shown.alias("items"))).alias("payload")
+    )

@@ -36,17 +36,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def free(*tables: DataFrame) -> None:
-    """Delete tables of cut() whose readers are all written, and let the driver drop the shuffles behind them.
+def free(*tables: DataFrame, sweep: bool = False) -> None:
+    """Delete tables of cut() whose readers are all written; with sweep the driver also drops the shuffles behind them at once.
 
     Frames derived from them must not be used afterwards.
     """
-    jvm = None
+    context = None
     for df in tables:
         context = df.sparkSession.sparkContext
-        jvm = context._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path = context._jvm.org.apache.hadoop.fs.Path(df._cut_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    if jvm is not None:
+    if sweep and context is not None:
+        # Spark deletes the files of a shuffle when the driver's garbage collection finds that nothing refers to it
         gc.collect()
-        jvm.System.gc()
+        context._jvm.System.gc()

@@ -22,7 +22,9 @@ def exact_dedup(items: DataFrame, stamp: str, keys: list[str], hours: int = 72)
 
 def shift_counts(items: DataFrame, stamp: str, late: str = "12 hours") -> DataFrame:
     """Counts per twelve-hour shift that starts at 06:00 or 18:00; late items within the watermark are counted."""
-    return items.withWatermark(stamp, late).groupBy(F.window(stamp, "12 hours", "12 hours", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return items.withWatermark(stamp, late).groupBy(
+        F.window(stamp, "12 hours", "12 hours", "6 hours"), "event_type"
+    ).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def session_counts(items: DataFrame, stamp: str, key: str, gap: str = "30 minutes") -> DataFrame:
@@ -63,7 +65,9 @@ def _remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def first_pushes(signals: DataFrame) -> DataFrame:
     """The first signal (key, at, seq) of each key; a key is forgotten TTL_HOURS of event time after it was last seen."""
-    return signals.withWatermark("at", "1 hour").groupBy("key").applyInPandasWithState(_remember, "key string, at timestamp, seq bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return signals.withWatermark("at", "1 hour").groupBy("key").applyInPandasWithState(
+        _remember, "key string, at timestamp, seq bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, hours: int = 1) -> DataFrame:

@@ -17,7 +17,10 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("https://www.x.com/a?b=1", "http://x.com/a", True), ("http://x.com/a/", "http://x.com/a", True), ("http://x.com/a", "http://x.com/b", False)])
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [("https://www.x.com/a?b=1", "http://x.com/a", True), ("http://x.com/a/", "http://x.com/a", True), ("http://x.com/a", "http://x.com/b", False)]
+)
 def test_dedup_url(spark, a, b, same):
     assert (one(spark, keys.dedup_url(F.col("u")), u=a) == one(spark, keys.dedup_url(F.col("u")), u=b)) is same
 
@@ -36,7 +39,13 @@ def test_strip_html(spark, given, want):
     assert one(spark, text.strip_html(F.col("h")), h=given) == want
 
 
-@pytest.mark.parametrize(("given", "hours"), [("3 days ago", 72), ("4w ago", 672), ("2 months ago", 1440), ("1 year ago", 8760), ("5 minutes ago", 5 / 60), ("", None), ("soon", None), ("3 days", None)])
+@pytest.mark.parametrize(
+    ("given", "hours"),
+    [
+        ("3 days ago", 72), ("4w ago", 672), ("2 months ago", 1440), ("1 year ago", 8760), ("5 minutes ago", 5 / 60), ("", None), ("soon", None),
+        ("3 days", None)
+    ]
+)
 def test_relative_age(spark, given, hours):
     got = one(spark, text.relative_age_hours(F.col("t")), t=given)
     assert got == (None if hours is None else pytest.approx(hours))
@@ -64,7 +73,10 @@ def test_synonyms_and_scripts(spark):
 def test_freshness_and_boost(spark):
     fresh = [one(spark, F.round(scores.freshness(F.col("h")), 4), h=float(h)) for h in (0, 12, 18, 24, 48, 1000)]
     assert fresh == [1.0, 1.0, 0.8, 0.6, 0.2921, 0.05]
-    rows = spark.createDataFrame([(1200, True, None, None), (600, False, None, None), (None, False, 600, 6000), (None, False, None, None)], "hn int, reddit boolean, hf int, github int")
+    rows = spark.createDataFrame(
+        [(1200, True, None, None), (600, False, None, None), (None, False, 600, 6000), (None, False, None, None)],
+        "hn int, reddit boolean, hf int, github int"
+    )
     assert [r.x for r in rows.select(scores.signal_boost(*(F.col(c) for c in rows.columns)).alias("x")).collect()] == [5, 4, 4, 0]
 
 
@@ -107,19 +119,28 @@ def test_shift_suppression(spark):
 
 
 def test_substantial(spark):
-    rows = [(1, "x" * 20, 0, ["d" * 10, "e" * 10], "", "", ""), (2, "x" * 20, 0, ["d" * 10], "bg", "", ""), (3, "x" * 20, 1, None, "bg", "", ""), (4, "x" * 20, 1, [], "", "", ""), (5, "x", 1, [], "bg", "", "")]
-    df = spark.createDataFrame(rows, "id int, summary string, level int, key_details array<string>, background string, deep_analysis string, detailed_content string")
+    rows = [
+        (1, "x" * 20, 0, ["d" * 10, "e" * 10], "", "", ""), (2, "x" * 20, 0, ["d" * 10], "bg", "", ""), (3, "x" * 20, 1, None, "bg", "", ""),
+        (4, "x" * 20, 1, [], "", "", ""), (5, "x", 1, [], "bg", "", "")
+    ]
+    df = spark.createDataFrame(
+        rows, "id int, summary string, level int, key_details array<string>, background string, deep_analysis string, detailed_content string"
+    )
     assert sorted(r.id for r in filters.substantial(df).collect()) == [1, 3]
 
 
 def test_store(spark):
-    old = spark.createDataFrame([("a", "t", None, "collected"), ("b", "t", "s", "analyzed")], "id string, title string, summary string, status string")
+    old = spark.createDataFrame(
+        [("a", "t", None, "collected"), ("b", "t", "s", "analyzed")], "id string, title string, summary string, status string"
+    )
     new = spark.createDataFrame([("a", None, "n"), ("b", "x", "x"), ("c", "y", None)], "id string, title string, summary string")
     got = {r.id: tuple(r)[1:] for r in store.upsert(old, new, "id", ["title", "summary"]).collect()}
     assert got == {"a": ("t", "n", "collected", False), "b": ("t", "s", "analyzed", False), "c": ("y", None, "collected", True)}
     again = store.insert_ignore(new.select("id"), new.select("id"), ["id"])
     assert again.count() == 0
-    assert [tuple(r) for r in store.partial_update(old, new, "id", ["title"]).orderBy("id").select("id", "title").collect()] == [("a", "t"), ("b", "x")]
+    assert [
+        tuple(r) for r in store.partial_update(old, new, "id", ["title"]).orderBy("id").select("id", "title").collect()
+    ] == [("a", "t"), ("b", "x")]
 
 
 def test_archive_crosses_the_year(spark, tmp_path):
@@ -131,7 +152,10 @@ def test_archive_crosses_the_year(spark, tmp_path):
 
 
 def test_status_never_falls(spark):
-    rows = [(1, "a", 2, "x"), (2, "a", 1, "x"), (2, "b", 2, "x"), (3, "a", 0, "x"), (4, "a", 2, "official"), (5, "a", 2, "x"), (5, "b", 2, "x"), (5, "c", 2, "x"), (6, "a", 1, "x"), (6, "b", 2, "x"), (6, "c", 2, "x"), (7, "", 2, "x"), (7, "a", 2, "x"), (8, "a", 1, None)]
+    rows = [
+        (1, "a", 2, "x"), (2, "a", 1, "x"), (2, "b", 2, "x"), (3, "a", 0, "x"), (4, "a", 2, "official"), (5, "a", 2, "x"), (5, "b", 2, "x"),
+        (5, "c", 2, "x"), (6, "a", 1, "x"), (6, "b", 2, "x"), (6, "c", 2, "x"), (7, "", 2, "x"), (7, "a", 2, "x"), (8, "a", 1, None)
+    ]
     new = events.status(spark.createDataFrame(rows, "event_id int, source_name string, source_tier int, role string"))
     # two sources report, three low ones too, three with a better one confirm; one source or a nameless second changes nothing
     assert {r.event_id: r.level for r in new.collect()} == {2: 1, 3: 3, 4: 3, 5: 1, 6: 2}
@@ -153,7 +177,10 @@ def test_components_of_a_shuffled_chain(spark):
 
 
 def test_minhash_finds_reworded_titles(spark):
-    titles = [(1, "openai releases the new gpt model for everyone today in europe"), (2, "openai releases the new gpt model for everyone today in asia"), (3, "something else entirely happened far away from here")]
+    titles = [
+        (1, "openai releases the new gpt model for everyone today in europe"), (2, "openai releases the new gpt model for everyone today in asia"),
+        (3, "something else entirely happened far away from here")
+    ]
     df = spark.createDataFrame(titles, "id int, title string")
     signed = dedup.signatures(df, "id", "title", 64)
     pairs = dedup.agreement(dedup.candidates(dedup.bands(signed, "id", 2), "id"), signed, "id")
@@ -172,7 +199,10 @@ def test_minhash_matches_the_formula(spark):
     got = {r.id: r.signature for r in dedup.signatures(spark.createDataFrame(rows, "id int, t string"), "id", "t", 8).collect()}
 
     def least(*words):
-        return [min(((a * int(hashlib.md5(w.encode()).hexdigest()[:16], 16) + b) % text.PRIME) & 0xFFFFFFFF for w in words) for a, b in dedup.coefficients(8)]
+        return [
+            min(((a * int(hashlib.md5(w.encode()).hexdigest()[:16], 16) + b) % text.PRIME) & 0xFFFFFFFF for w in words) for a,
+            b in dedup.coefficients(8)
+        ]
 
     none = [dedup.NO_TOKEN] * 8
     assert got == {1: least("alpha", "beta", "gamma"), 2: none, 3: none, 4: least("gamma"), 5: least(*"模型发布", "模型", "型发", "发布", "alpha")}
@@ -190,7 +220,9 @@ def test_similar_finds_every_pair(spark, least):
     draw = random.Random(9)
     rows = []
     for i in range(120):
-        base = [f"w{draw.randrange(12)}" for _ in range(draw.randrange(1, 9))] if i % 3 else rows[draw.randrange(len(rows))][1].split() if rows else ["w1"]
+        base = [
+            f"w{draw.randrange(12)}" for _ in range(draw.randrange(1, 9))
+        ] if i % 3 else rows[draw.randrange(len(rows))][1].split() if rows else ["w1"]
         rows.append((i, " ".join(base + [f"r{draw.randrange(3)}"] * (i % 2))))
     sets = {i: frozenset(t.split()) for i, t in rows}
     best = {}
@@ -204,7 +236,10 @@ def test_similar_finds_every_pair(spark, least):
 
 
 def test_entity_action_keys(spark):
-    cases = {"OpenAI launch GPT-5": "openai|publish", "open-ai will soon unveil it": "openai|publish", "字节跳动 raise money": "bytedance|funding", "zeta one two three four launch": None, "": None, "launch": None}
+    cases = {
+        "OpenAI launch GPT-5": "openai|publish", "open-ai will soon unveil it": "openai|publish", "字节跳动 raise money": "bytedance|funding",
+        "zeta one two three four launch": None, "": None, "launch": None
+    }
     for said, want in cases.items():
         assert one(spark, keys.entity_action_key(F.col("s")), s=said) == want, said
 
@@ -212,7 +247,9 @@ def test_entity_action_keys(spark):
 def test_images_and_guard(spark):
     rows = [(i, "http://x/c.png", [f"http://x/{i}.png"]) for i in range(3)] + [(3, "http://x/logo.png", None), (4, "http://x/u.png", None)]
     df = spark.createDataFrame(rows, "id int, image string, alternates array<string>")
-    assert {r.id: r.image_used for r in ranking.images(df, "logo").collect()} == {0: "http://x/0.png", 1: "http://x/1.png", 2: "http://x/2.png", 3: "", 4: "http://x/u.png"}
+    assert {r.id: r.image_used for r in ranking.images(df, "logo").collect()} == {
+        0: "http://x/0.png", 1: "http://x/1.png", 2: "http://x/2.png", 3: "", 4: "http://x/u.png"
+    }
     items = spark.createDataFrame([(k,) for k in "abcd"], "k string")
     assert ranking.storyline_guard(items, items.where("k in ('a', 'b')"), "k").count() == 2
     assert ranking.storyline_guard(items, items.where("k <> 'd'"), "k").count() == 4
@@ -220,7 +257,13 @@ def test_images_and_guard(spark):
 
 
 def test_breaking_and_matching(spark):
-    s = spark.createDataFrame([(1, "hn", "X launches Y", 400), (2, "hn", "why X launches Y", 900), (3, "hn", "X launches Z", 100), (4, "hf", "X launches W", 2500), (5, "hn", "X launches V", 800)], "sig_id int, source string, title string, points int")
+    s = spark.createDataFrame(
+        [
+            (1, "hn", "X launches Y", 400), (2, "hn", "why X launches Y", 900), (3, "hn", "X launches Z", 100), (4, "hf", "X launches W", 2500),
+            (5, "hn", "X launches V", 800)
+        ],
+        "sig_id int, source string, title string, points int"
+    )
     pushed = spark.createDataFrame([(5,)], "sig_id int")
     got = signals.breaking(s, pushed, "(?i)^why", "(?i)launch", {"hn": 300, "hf": 2000})
     assert [r.sig_id for r in got.collect()] == [4, 1]
@@ -229,9 +272,15 @@ def test_breaking_and_matching(spark):
         (1, "u1", [], "alpha beta gamma delta", "", []), (2, "u9", ["u2", "u3"], "nothing shared", "", None), (3, "", [], "claude alpha", "", []),
         (4, "", [], "", "beta gamma alpha", []), (5, "", None, "zzz", "", ["OMEGA"]), (6, "", [], "the alpha of beta", "", []),
     ], kinds)
-    g = spark.createDataFrame([(10, "hn", "u1", "other", 5), (11, "hn", "u2", "alpha beta gamma", 900), (12, "hf", "", "claude alpha maker/omegatron", 1)], "signal_id int, source string, url_key string, title string, score int")
+    g = spark.createDataFrame(
+        [(10, "hn", "u1", "other", 5), (11, "hn", "u2", "alpha beta gamma", 900), (12, "hf", "", "claude alpha maker/omegatron", 1)],
+        "signal_id int, source string, url_key string, title string, score int"
+    )
     got = {(r.event_id, r.source): (r.signal_id, r.rule) for r in signals.match(e, g).collect()}
-    assert got == {(1, "hn"): (11, "title_keywords"), (2, "hn"): (11, "url_evidence"), (3, "hf"): (12, "title_brand"), (4, "hn"): (11, "title_keywords"), (5, "hf"): (12, "entity_in_title")}
+    assert got == {
+        (1, "hn"): (11, "title_keywords"), (2, "hn"): (11, "url_evidence"), (3, "hf"): (12, "title_brand"), (4, "hn"): (11, "title_keywords"),
+        (5, "hf"): (12, "entity_in_title")
+    }
 
 
 def test_health(spark):
@@ -245,8 +294,14 @@ def test_health(spark):
 
 
 def test_entities(spark):
-    registry = [{"id": "x", "tier": 0, "primary": ["s1"], "backup": [], "keywords": ["alpha"]}, {"id": "y", "tier": 1, "primary": [], "backup": [], "keywords": ["beta"]}]
-    df = spark.createDataFrame([(1, "Alpha BETA", "", "s9"), (2, None, None, "s1"), (3, "beta", "", "s2"), (4, "none", "", None)], "id int, title string, summary string, source_name string")
+    registry = [
+        {"id": "x", "tier": 0, "primary": ["s1"], "backup": [], "keywords": ["alpha"]},
+        {"id": "y", "tier": 1, "primary": [], "backup": [], "keywords": ["beta"]}
+    ]
+    df = spark.createDataFrame(
+        [(1, "Alpha BETA", "", "s9"), (2, None, None, "s1"), (3, "beta", "", "s2"), (4, "none", "", None)],
+        "id int, title string, summary string, source_name string"
+    )
     got = {r.id: (r.entities, r.protected) for r in entities.tag(df, registry).collect()}
     assert got == {1: (["x", "y"], True), 2: (["x"], True), 3: (["y"], False), 4: ([], False)}
 
@@ -258,7 +313,9 @@ ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link h
 def test_feeds(spark, tmp_path):
     rows = [("r", RSS), ("a", ATOM), ("bad", "not xml"), ("empty", ""), ("none", None), ("broken", "<rss><channel><item><title>x")]
     got = feeds.items(spark.createDataFrame(rows, "source_name string, xml string")).orderBy("source_name", "pos").collect()
-    assert [(r.source_name, r.title, r.link) for r in got] == [("a", "A", "http://b/1"), ("r", "One & two", "http://a/1?x=1&y=2"), ("r", "Two", "http://a/2")]
+    assert [(r.source_name, r.title, r.link) for r in got] == [
+        ("a", "A", "http://b/1"), ("r", "One & two", "http://a/1?x=1&y=2"), ("r", "Two", "http://a/2")
+    ]
     assert got[1].summary == "Hello x & y" and got[2].published is None and got[1].published == dt.datetime(2026, 1, 5, 10)
     (tmp_path / "x.xml").write_text(RSS)
     assert feeds.items(feeds.raw_files(spark, str(tmp_path))).count() == 2
@@ -271,8 +328,12 @@ def test_feeds(spark, tmp_path):
 def test_recent(spark):
     now = dt.datetime(2026, 1, 10)
     day = dt.timedelta(days=1)
-    rows = [("a", 0, now), ("a", 1, now - 9 * day), ("a", 2, None), ("b", 0, now - 9 * day), ("b", 1, now - 8 * day)] + [("c", k, None) for k in range(6)] + [("d", k, now) for k in range(9)]
-    got = feeds.recent(spark.createDataFrame(rows, "source_name string, pos int, published timestamp"), F.lit(now), 24, 5).groupBy("source_name").count().collect()
+    rows = [
+        ("a", 0, now), ("a", 1, now - 9 * day), ("a", 2, None), ("b", 0, now - 9 * day), ("b", 1, now - 8 * day)
+    ] + [("c", k, None) for k in range(6)] + [("d", k, now) for k in range(9)]
+    got = feeds.recent(
+        spark.createDataFrame(rows, "source_name string, pos int, published timestamp"), F.lit(now), 24, 5
+    ).groupBy("source_name").count().collect()
     assert {r.source_name: r["count"] for r in got} == {"a": 2, "b": 2, "c": 3, "d": 5}
 
 
@@ -298,3 +359,82 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     write(second, 1)
     write(second, 1)
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=1").select("k", "v").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_tolerant_json(spark):
+    from newsloom.functions import display
+
+    read = display.tolerant_json(F.col("t"), "summary string, n bigint, tags array<string>")
+    cases = {
+        '{"summary": "a", "n": 1}': ("a", 1, None),
+        'Here:\n```json\n{"summary": "a\nb\tc", "n": 2, "tags": ["x"]}\n``` bye': ("a\nb\tc", 2, ["x"]),
+        '{"summary": "a \\"q\\" b", "n": 3}': ('a "q" b', 3, None),
+        '{"summary": "cut", "n": 4, "tags": ["x", "y': ("cut", 4, ["x", "y"]),
+        '{"summary": "cut", "n": 5, "tags"': ("cut", 5, None),
+        '{"summary": "cut", "n": 6, "tags": ': ("cut", 6, None),
+        "no object": None,
+        "": None,
+        None: None,
+    }
+    for said, want in cases.items():
+        got = spark.createDataFrame([(said,)], "t string").select(read.alias("x")).first().x
+        assert (tuple(got) if got else None) == want, said
+
+
+def test_article_body_takes_the_longest(spark):
+    from newsloom.functions import articles
+
+    long, longer = "word " * 30, "text " * 40
+    cases = {
+        f"<article><p>{long}</p></article><div class='x'>{longer}</div>": long.strip(),
+        f'<article>{long}</article><div class="post-content">{longer}</div>': longer.strip(),
+        f'<script type="application/ld+json">{{"articleBody": "{longer}"}}</script><article>{long}</article>': longer.strip(),
+        f"<p>{long}</p><p>short</p><p>{longer}</p>": long.strip() + "。" + longer.strip(),
+        f"<nav><article>{longer}</article></nav><article>{long} Advertisement. Follow us on. end</article>": long.strip() + " end",
+        "<article>too short</article>": "",
+        None: "",
+    }
+    for page, want in cases.items():
+        assert one(spark, articles.body(F.col("h").cast("string")), h=page or "") == want, page
+
+
+def test_pictures_are_whole_clean_and_distinct(spark):
+    from newsloom.functions import articles
+
+    page = '<meta property="og:image" content="//c.d/1.png"><article>' + "x" * 201 + '<img src="/2.png?a=1&amp;b=2"><img src="/logo.png"><img data-src="//c.d/1.png"></article><img src="/outside.png">'
+    assert one(spark, articles.pictures(F.col("h"), F.lit("http://a.b/c/d?e")), h=page) == ["https://c.d/1.png", "http://a.b/2.png?a=1&b=2"]
+
+
+def test_charsets_and_labels(spark):
+    from newsloom.functions import display
+    from newsloom.operators import analysis, briefing
+    from newsloom.sources import files
+
+    rows = [(1, "é 模型".encode()), (2, "é".encode("latin-1")), (3, b""), (4, None)]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, b binary").select("i", files.decoded(F.col("b")).alias("t")).collect()}
+    assert got == {1: "é 模型", 2: "é", 3: "", 4: None}
+    assert one(spark, analysis.chinese_ratio(F.col("t")), t="模型 ab 12") == 0.5 and one(spark, analysis.chinese_ratio(F.col("t")), t=" 12") == 1.0
+    labels = {"openai": "OpenAI", "google": "Google", "meta": "Meta"}
+    for title, want in {"Meta and Google and OpenAI ship GPT-5": "OpenAI | Google | GPT-5", "谷歌发布 openai": "", "nothing": ""}.items():
+        assert one(spark, briefing.label_title(F.col("t"), labels, r"GPT-?\d\w*"), t=title) == want
+    assert one(spark, display.relative_day(F.lit(dt.date(2026, 1, 1)), F.col("d")), d=dt.date(2026, 1, 4)) == "3 days ago"
+
+
+def test_event_type_vote(spark):
+    from newsloom.operators import briefing
+
+    kind = "event_id int, pos int, source_type string, categories array<string>"
+    rows = [(1, 0, "news", ["Launch day"]), (1, 1, "paper", []), (2, 0, "paper", ["x"]), (2, 1, "news", []), (3, 0, "", []), (4, 0, "news", ["融资"]), (4, 1, "news", ["监管", "policy"]), (5, 0, None, None)]
+    got = {r.event_id: r.event_type for r in briefing.event_type(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: "product_launch", 2: "paper", 3: "news", 4: "regulation", 5: "news"}
+
+
+def test_places_and_best_reports(spark):
+    from newsloom.operators import briefing
+
+    df = spark.createDataFrame([(i, (i * 37) % 11) for i in range(200)], "id int, k int").repartition(5)
+    got = {r.id: r.place for r in ranking.placed(df, [F.desc("k"), F.col("id").asc()]).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(((i, (i * 37) % 11) for i in range(200)), key=lambda x: (-x[1], x[0])), 1)}
+    rows = [(1, 10, 0, "t" * 50, "", 2), (1, 11, 1, "t", "body", 2), (1, 12, 2, "t", "body", 2), (2, 20, 3, "t", "", 4), (2, 21, 4, "t" * 200, "body", 2)]
+    members = spark.createDataFrame(rows, "cluster int, id int, pos int, title string, full_text string, authority int")
+    assert {r.cluster: (r.id, r.size) for r in briefing.pick_best(members, F.col("authority")).collect()} == {1: (11, 3), 2: (20, 2)}
