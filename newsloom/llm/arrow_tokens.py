@@ -192,7 +192,13 @@ def sequences(ids: np.ndarray, docs: list[tuple], length: int) -> pa.RecordBatch
     kind = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
     columns = [pa.array(list(c), pa.int64()) for c in zip(*docs, strict=True)] if docs else [pa.array([], pa.int64())] * 3
     held = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays(columns, fields=list(kind)))
-    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), length), pa.FixedSizeListArray.from_arrays(pa.array(np.arange(padded.size) < ids.size), length), held], names=["ids", "mask", "docs"])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.FixedSizeListArray.from_arrays(pa.array(padded), length),
+            pa.FixedSizeListArray.from_arrays(pa.array(np.arange(padded.size) < ids.size), length), held
+        ],
+        names=["ids", "mask", "docs"]
+    )
 
 
 def _writer(folder: str, path: str, length: int, roll: int, end_id: int, known_words: int) -> object:
@@ -235,7 +241,9 @@ def _writer(folder: str, path: str, length: int, roll: int, end_id: int, known_w
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, roll: int = ROLL, end_id: int = END_ID, known_words: int = KNOWN_WORDS) -> DataFrame:
+def write(
+    docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, roll: int = ROLL, end_id: int = END_ID, known_words: int = KNOWN_WORDS
+) -> DataFrame:
     """Write all documents below folder; (file, n_ids) of the files, as a table.
 
     known_words bounds a generation of the table of words in each Python worker (some 150 bytes a
@@ -246,7 +254,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, ro
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     small_batches(docs.sparkSession)
-    ordered = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), "th").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
+    ordered = docs.select(
+        "doc_id", F.xxhash64("text").alias("th"), "text"
+    ).repartitionByRange(F.col("doc_id").asc_nulls_first(), "th").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
     return cut(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, length, roll, end_id, known_words), FILES), "token-files")
 
 
@@ -273,7 +283,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = [d for p in parts for row in p.column("docs").to_pylist() for d in row]
             name = re.sub(r".*/", "", path)
             yield pa.RecordBatch.from_arrays([
-                pa.array([name] * len(docs)), pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array([d["start"] for d in docs], pa.int64()), pa.array([d["n_tokens"] for d in docs], pa.int64()),
+                pa.array([name] * len(docs)), pa.array(
+                    [d["doc_id"] for d in docs], pa.int64()
+                ), pa.array([d["start"] for d in docs], pa.int64()), pa.array(
+                    [d["n_tokens"] for d in docs], pa.int64()
+                ),
                 pa.array([zlib.crc32(ids[d["start"] : d["start"] + d["n_tokens"]]) for d in docs], pa.int64()),
             ], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 

@@ -56,7 +56,9 @@ class Model:
 
         self.coders = {}
         for lang, content in self.dictionaries.items():
-            p = z.ZstdCompressionParameters.from_level(self.level, source_size=self.segment, dict_size=len(content), min_match=3, write_checksum=False, write_content_size=False)
+            p = z.ZstdCompressionParameters.from_level(
+                self.level, source_size=self.segment, dict_size=len(content), min_match=3, write_checksum=False, write_content_size=False
+            )
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             self.coders[lang] = z.ZstdCompressor(dict_data=d, compression_params=p)
@@ -84,7 +86,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int =
     if not counts:
         return Model({}, {})
     top = 1 << 62
-    bounds = rows.sparkSession.createDataFrame([(lang, min(top, top // n * 8 * sample_docs)) for lang, n in counts.items()], "lang string, bound bigint")
+    bounds = rows.sparkSession.createDataFrame(
+        [(lang, min(top, top // n * 8 * sample_docs)) for lang, n in counts.items()], "lang string, bound bigint"
+    )
     h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(top))
     few = rows.select("lang", "doc_id", h.alias("h"), F.octet_length("text").alias("size")).join(F.broadcast(bounds), "lang").where("h <= bound")
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
@@ -121,7 +125,10 @@ def _classify(model, margin: float) -> object:
         m = model.value
         for batch in batches:
             found = [m.classify(t.as_py()) for t in pc.struct_field(batch.column("li_in"), "text")]
-            add = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < margin for x in found], pa.bool_())]
+            add = [
+                pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
+                pa.array([x[0] == UNKNOWN or x[1] < margin for x in found], pa.bool_())
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("li_in"), *add], names=["li_in", "li_lang", "li_margin", "li_rejected"])
 
     return run
@@ -144,7 +151,10 @@ def predict(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out(F.col("doc_id"))))
     out = identify(docs.select("doc_id", "text"), model)
     score = F.when(F.col("li_lang") == UNKNOWN, 0.0).otherwise(1 - 0.5 * F.exp(-40 * F.col("li_margin")))
-    return out.select("li_in.doc_id", held_out(F.col("li_in.doc_id")).alias("held_out"), F.col("li_lang").alias("lang_pred"), score.alias("score"), F.col("li_margin").alias("margin"), F.col("li_rejected").alias("rejected"))
+    return out.select(
+        "li_in.doc_id", held_out(F.col("li_in.doc_id")).alias("held_out"), F.col("li_lang").alias("lang_pred"), score.alias("score"),
+        F.col("li_margin").alias("margin"), F.col("li_rejected").alias("rejected")
+    )
 
 
 def accepted(docs: DataFrame) -> DataFrame:

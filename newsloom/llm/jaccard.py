@@ -135,7 +135,13 @@ def _summaries(buckets: int) -> object:
             stop = np.r_[first[1:], bucket.size]
             n = first.size
             lows = [raw[COUNTED * a : COUNTED * b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(bucket[first]), pa.array(lows, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays(
+                [
+                    *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(bucket[first]),
+                    pa.array(lows, pa.binary())
+                ],
+                names=names
+            )
 
         for batch in batches:
             bits: list[bytes | None] = [None] * batch.num_rows
@@ -153,7 +159,13 @@ def _summaries(buckets: int) -> object:
                     bits[r], little[r] = parity(own, parity_bits(own.size)), parity(own, SMALL_BITS)
             spread = pa.array(((at + np.arange(n.size)) % buckets).astype(np.int32))
             at += n.size
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), pa.array(bits, pa.binary()), pa.array(little, pa.binary()), spread, pa.nulls(n.size, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(n), pa.array(node), pa.array(bits, pa.binary()), pa.array(little, pa.binary()), spread,
+                    pa.nulls(n.size, pa.binary())
+                ],
+                names=names
+            )
         if some:
             yield firsts()
 
@@ -176,7 +188,13 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.diff(np.r_[first, every.size])
         keep = count >= COMMON
         k = int(keep.sum())
-        return pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(every[first][keep].view(np.int64)), pa.array(count[keep])], names=names)
+        return pa.RecordBatch.from_arrays(
+            [
+                *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())),
+                pa.array(every[first][keep].view(np.int64)), pa.array(count[keep])
+            ],
+            names=names
+        )
 
     for batch in batches:
         doc = pc.is_null(batch.column("low"))
@@ -218,7 +236,12 @@ def _postings(common) -> object:
                     rare = own.size
                 p = prefix(own.size)
                 held += p
-                cols.append((own[:p].view(np.int64), np.full(p, node), np.full(p, own.size, np.int32), np.arange(p, dtype=np.int32), np.full(p, rare, np.int32)))
+                cols.append(
+                    (
+                        own[:p].view(np.int64), np.full(p, node), np.full(p, own.size, np.int32), np.arange(p, dtype=np.int32),
+                        np.full(p, rare, np.int32)
+                    )
+                )
             if cols:
                 yield _entries(cols)
 
@@ -276,7 +299,9 @@ def _node_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
         m = np.diff(np.r_[first, c["node"].size])
         maps = [parity(c["shingle"][i : i + k].view(np.uint64), SMALL_BITS) if c["n"][i] > LARGE else None for i, k in zip(first, m, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c["node"][first]), pa.array(m.astype(np.int32)), pa.array(maps, pa.binary())], names=["node", "m", "prefix_map"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c["node"][first]), pa.array(m.astype(np.int32)), pa.array(maps, pa.binary())], names=["node", "m", "prefix_map"]
+        )
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -331,7 +356,10 @@ NEED = f"ceil((na + nb) * {NUM} / {NUM + DEN})"
 
 def counted(pairs: DataFrame, flag: str) -> DataFrame:
     """One row per pair that its count allows: c common prefix shingles, the last common positions, and whether any row has the flag."""
-    each = [F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("c").alias("c"), F.bool_or(flag).alias(flag)]
+    each = [
+        F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("c").alias("c"),
+        F.bool_or(flag).alias(flag)
+    ]
     return pairs.groupBy("a", "b").agg(*each).withColumn("bound", F.expr(BOUND))
 
 
@@ -367,7 +395,9 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(large, small)
             at[at == large.size] = 0
             out[i] = np.count_nonzero(large[at] == small)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out)], names=["a", "b", "na", "nb", "overlap"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out)], names=["a", "b", "na", "nb", "overlap"]
+        )
 
 
 @lean
@@ -529,7 +559,9 @@ def labelled(docs: DataFrame) -> DataFrame:
     roots = components(star.where(good).select("a", "b"))
 
     known_of = star.select(F.col("b").alias("node"), F.col("a").alias("leader"), F.col("na").alias("leader_n"), "overlap")
-    stats = lists.select("shingle", "node", "n").repartition("node").sortWithinPartitions("node").mapInArrow(_node_stats, "node bigint, m int, prefix_map binary")
+    stats = lists.select("shingle", "node", "n").repartition("node").sortWithinPartitions("node").mapInArrow(
+        _node_stats, "node bigint, m int, prefix_map binary"
+    )
     long = lists.where(f"size >= {LONG}").drop("size", "rare")
     deals = long.groupBy("first").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("deals")).where("deals > 1")
     told = long.join(stats, "node").join(nodes.select("node", "small"), "node").join(roots, "node", "left").join(known_of, "node", "left").join(small(deals), "first", "left").select(
@@ -542,7 +574,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").join(tried, ["a", "b"], "left_anti")
     rest = cut(rest.select("a", "b", "na", "nb", "sure", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")), "rest")
-    free(first, lists, stars, star)
+    free(first, lists, stars, star, sweep=True)
     edges = rest.where("sure").select("root_a", "root_b")
     unsure = rest.where("not sure")
     if unsure.limit(1).count():
@@ -551,7 +583,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     more = components(edges.toDF("a", "b")).toDF("root", "root2")
     named = summary.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(more, "root", "left")
     members = cut(named.select("doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("root2", "root")).alias("root")), "members")
-    free(both, rest)
+    free(both, rest, sweep=True)
     return members
 
 

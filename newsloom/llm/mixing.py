@@ -52,7 +52,13 @@ def sized(docs: DataFrame) -> DataFrame:
     mx_th stands for the text, mx_key for the source and is never null, mx_order is the place in the source.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return cut(docs.select("doc_id", F.xxhash64("text").alias("mx_th"), "source", _key().alias("mx_key"), n_words(F.col("text")).alias("mx_size"), order.alias("mx_order")), "sizes")
+    return cut(
+        docs.select(
+            "doc_id", F.xxhash64("text").alias("mx_th"), "source", _key().alias("mx_key"), n_words(F.col("text")).alias("mx_size"),
+            order.alias("mx_order")
+        ),
+        "sizes"
+    )
 
 
 def source_targets(totals: DataFrame, curriculum: list[Knots] | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -69,11 +75,17 @@ def source_targets(totals: DataFrame, curriculum: list[Knots] | None = None, max
     level = Window.orderBy(F.col("mx_full") / F.col("mx_weight"), F.col("source").asc_nulls_last())
     before, after = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
-    w = w.withColumn("mx_level", (F.sum("mx_source_size").over(everything) - F.coalesce(F.sum("mx_full").over(before), F.lit(0.0))) / F.sum("mx_weight").over(after))
+    w = w.withColumn(
+        "mx_level",
+        (F.sum("mx_source_size").over(everything) - F.coalesce(F.sum("mx_full").over(before), F.lit(0.0))) / F.sum("mx_weight").over(after)
+    )
     # the first source that is not full at the level left for it sets the level of all
     fits = F.when(F.col("mx_level") <= F.col("mx_full") / F.col("mx_weight"), F.col("mx_level"))
     w = w.withColumn("mx_water", F.max(fits).over(everything))
-    return w.select("mx_key", "source", "mx_source_size", "mx_lesson", F.least(F.coalesce(F.col("mx_water") * F.col("mx_weight"), F.col("mx_full")), F.col("mx_full")).alias("mx_target"))
+    return w.select(
+        "mx_key", "source", "mx_source_size", "mx_lesson",
+        F.least(F.coalesce(F.col("mx_water") * F.col("mx_weight"), F.col("mx_full")), F.col("mx_full")).alias("mx_target")
+    )
 
 
 def plan(rows: DataFrame, curriculum: list[Knots] | None = None) -> DataFrame:
@@ -123,7 +135,10 @@ def position(words: Column, curriculum: list[Knots] | None = None) -> Column:
 def mix(docs: DataFrame, curriculum: list[Knots] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken and the first training position of every row, by position."""
     p = plan(sized(docs), curriculum)
-    out = p.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), F.col("mx_taken").alias("taken"), F.round(position(F.col("mx_start"), curriculum), 9).alias("position"))
+    out = p.select(
+        "doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"),
+        F.col("mx_taken").alias("taken"), F.round(position(F.col("mx_start"), curriculum), 9).alias("position")
+    )
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -137,15 +152,22 @@ def training_order(docs: DataFrame, curriculum: list[Knots] | None = None) -> Da
     packed = F.struct(*others) if others else F.lit(None).cast("string")
     p = plan(sized(docs), curriculum)
     copies = F.expr("sequence(0, cast(ceil(mx_taken / mx_size) - 1 as int))")
-    p = p.where("mx_taken > 0").select("doc_id", "mx_th", "mx_key", "mx_size", "mx_taken", "mx_source_size", "mx_start", "mx_target", "mx_lesson", copies.alias("mx_copies"))
+    p = p.where("mx_taken > 0").select(
+        "doc_id", "mx_th", "mx_key", "mx_size", "mx_taken", "mx_source_size", "mx_start", "mx_target", "mx_lesson", copies.alias("mx_copies")
+    )
     # equal rows of one id are told apart by their number, so each takes one of the planned places
     twins = Window.partitionBy("mx_doc", "mx_text", "mx_from")
     named = [F.col("doc_id").alias("mx_doc"), F.col("mx_th").alias("mx_text"), F.col("mx_key").alias("mx_from")]
-    places = p.select(*named, "mx_size", "mx_taken", "mx_source_size", "mx_start", "mx_target", "mx_lesson", "mx_copies").withColumn("mx_nth", F.row_number().over(twins.orderBy("mx_start")))
+    places = p.select(
+        *named, "mx_size", "mx_taken", "mx_source_size", "mx_start", "mx_target", "mx_lesson", "mx_copies"
+    ).withColumn("mx_nth", F.row_number().over(twins.orderBy("mx_start")))
     texts = docs.select(packed.alias("mx_others"), "doc_id", "source", "text", F.xxhash64("text").alias("mx_th"), _key().alias("mx_key"))
     texts = texts.withColumn("mx_twin", F.row_number().over(Window.partitionBy("doc_id", "mx_th", "mx_key").orderBy(F.xxhash64("mx_others"))))
     same = F.expr("doc_id <=> mx_doc and mx_th = mx_text and mx_key = mx_from and mx_twin - mx_nth = 0")
-    out = texts.join(places, same).select("mx_others", "doc_id", "source", "text", "mx_size", "mx_taken", "mx_source_size", "mx_start", "mx_target", "mx_lesson", F.explode("mx_copies").alias("mx_copy"))
+    out = texts.join(places, same).select(
+        "mx_others", "doc_id", "source", "text", "mx_size", "mx_taken", "mx_source_size", "mx_start", "mx_target", "mx_lesson",
+        F.explode("mx_copies").alias("mx_copy")
+    )
     at = position(F.col("mx_copy") * F.col("mx_source_size") + F.col("mx_start"), curriculum)
     left = F.col("mx_taken") - F.col("mx_copy") * F.col("mx_size")
     out = out.select("mx_others", "doc_id", "source", "text", "mx_copy", F.when(left < F.col("mx_size"), left).alias("mx_left"), at.alias("mx_at"))

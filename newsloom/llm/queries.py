@@ -85,18 +85,25 @@ WITH d AS (
          md5(coalesce(doc_id::VARCHAR, '')) AS o
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS lesson, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS most FROM s),
-l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))::DOUBLE
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS lesson, ((row_number() OVER (ORDER BY source NULLS LAST) - 1)
+ % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS most FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight,
+ source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))::DOUBLE
         / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
-t AS (SELECT source, source_size, lesson, least(coalesce(max(CASE WHEN lvl <= most / weight THEN lvl END) OVER () * weight, most), most) AS target FROM l),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
+t AS (SELECT source, source_size, lesson, least(coalesce(max(CASE WHEN lvl <= most / weight THEN lvl END) OVER () * weight, most), most)
+ AS target FROM l),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+ 0)::BIGINT AS start FROM d)
 SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * size
-        + greatest(0, least(size, floor(target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size) - start)))::BIGINT AS taken,
+        + greatest(0, least(size, floor(target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size)
+ - start)))::BIGINT AS taken,
        round(CASE lesson WHEN 0 THEN CASE WHEN q < 1.0 THEN 1.5 - sqrt(greatest(0.0, 2.25 - 2.0 * q)) ELSE 1.0 END
-         WHEN 1 THEN CASE WHEN 2.0 * q < 1.0 THEN (sqrt(1.0 + 16.0 * q) - 1.0) / 4.0 WHEN 2.0 * q < 2.0 THEN 0.5 + (3.0 - sqrt(greatest(0.0, 9.0 - 8.0 * (2.0 * q - 1.0)))) / 4.0 ELSE 1.0 END
+         WHEN 1 THEN CASE WHEN 2.0 * q < 1.0 THEN (sqrt(1.0 + 16.0 * q) - 1.0) / 4.0 WHEN 2.0 * q < 2.0 THEN 0.5 + (3.0 - sqrt(greatest(0.0,
+ 9.0 - 8.0 * (2.0 * q - 1.0)))) / 4.0 ELSE 1.0 END
          ELSE CASE WHEN 3.0 * q < 3.0 THEN (sqrt(2.25 + 18.0 * q) - 1.5) / 3.0 ELSE 1.0 END END, 9) AS position
-FROM (SELECT p.*, t.source_size, t.lesson, t.target, (CASE WHEN target > 0 THEN start / target ELSE 0.0 END)::DOUBLE AS q FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+FROM (SELECT p.*, t.source_size, t.lesson, t.target, (CASE WHEN target > 0 THEN start / target ELSE 0.0 END)::DOUBLE AS q FROM p
+ JOIN t ON p.source IS NOT DISTINCT FROM t.source)
 """
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,39 +113,48 @@ WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\
 i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 n AS (SELECT *, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
 iw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM n)),
-dw AS (SELECT r, s.n, k, array_to_string(w[k:k + s.n - 1], ' ') AS g FROM (SELECT d.*, m.n, unnest(range(1, len(w) - m.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM n) m) s),
+dw AS (SELECT r, s.n, k, array_to_string(w[k:k + s.n - 1], ' ') AS g FROM (SELECT d.*, m.n, unnest(range(1, len(w) - m.n + 2)) AS k FROM d,
+ (SELECT DISTINCT n FROM n) m) s),
 hit AS (SELECT r, k, n, item FROM dw JOIN iw USING (n, g)),
 c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
 t AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
 OP6 = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, row_number() OVER () AS r FROM documents),
-g AS (SELECT r, k, hash(array_to_string(w[k:k + 34], ' ')) AS h, md5(array_to_string(w[k:k + 34], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - 33)) AS k FROM d)),
+g AS (SELECT r, k, hash(array_to_string(w[k:k + 34], ' ')) AS h, md5(array_to_string(w[k:k + 34], ' ')) AS g FROM (SELECT *, unnest(range(1,
+ len(w) - 33)) AS k FROM d)),
 again AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY h, g) AS n FROM g) WHERE n > 1),
 gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM again),
-kept AS (SELECT u.r, string_agg(x, ' ' ORDER BY p) AS words, count(*) AS n FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) u ANTI JOIN gone USING (r, p) GROUP BY u.r)
-SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+kept AS (SELECT u.r, string_agg(x, ' ' ORDER BY p) AS words, count(*) AS n FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p
+ FROM d) u ANTI JOIN gone USING (r, p) GROUP BY u.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM d
+ LEFT JOIN kept USING (r)
 """
 
 OP7 = """
-WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, ''))
+ AS top FROM pages)
 SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
-       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x,
+ (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
        CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top > page_id THEN top END AS refers_to
 FROM d
 """
 
 OP10 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k
+ FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
 two AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT two.y, root FROM reach JOIN two ON reach.doc_id = two.x WHERE root < two.y)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM d JOIN reach USING (doc_id) LEFT
+ JOIN n USING (doc_id) GROUP BY d.doc_id
 """

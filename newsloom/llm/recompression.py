@@ -150,12 +150,22 @@ def _windows(repeated, crowded) -> object:
                     where = pa.array(lo + row[begin[run]])
                     one = np.arange(split.size + 1, dtype=np.int32) * 8
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(tk.mix(key[run] ^ held[split]).view(np.int64)), ids.take(where), hashes.take(where), pa.array((begin[run] + place[split] - at[row[begin[run]]]).astype(np.int32)),
-                        pa.array(np.zeros(split.size, np.int64)), pa.array(np.ones(split.size, bool)), pa.Array.from_buffers(pa.binary(), split.size, [None, pa.py_buffer(one.tobytes()), pa.py_buffer(held[split].tobytes())]),
+                        pa.array(tk.mix(key[run] ^ held[split]).view(np.int64)), ids.take(where), hashes.take(where), pa.array(
+                            (begin[run] + place[split] - at[row[begin[run]]]).astype(np.int32)
+                        ),
+                        pa.array(np.zeros(split.size, np.int64)), pa.array(np.ones(split.size, bool)), pa.Array.from_buffers(
+                            pa.binary(), split.size, [None, pa.py_buffer(one.tobytes()), pa.py_buffer(held[split].tobytes())]
+                        ),
                     ], names=[x.split()[0] for x in ROW.split(", ")])
                     sent &= ~in_bloom(hot, key)
                 blobs = [raw[8 * a : 8 * (a + z)] if s else None for a, z, s in zip(first.tolist(), size.tolist(), sent.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(rows), hashes.take(rows), pa.array((begin - at[row[begin]]).astype(np.int32)), pa.array(known.view(np.int64)), pa.array(sent), pa.array(blobs, pa.binary())], names=[x.split()[0] for x in ROW.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key.view(np.int64)), ids.take(rows), hashes.take(rows), pa.array((begin - at[row[begin]]).astype(np.int32)),
+                        pa.array(known.view(np.int64)), pa.array(sent), pa.array(blobs, pa.binary())
+                    ],
+                    names=[x.split()[0] for x in ROW.split(", ")]
+                )
 
     return run
 
@@ -228,7 +238,13 @@ def _kept(texts: bool) -> object:
                 left = b" ".join(words)
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode() if texts else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], names=[x.split()[0] for x in OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
+                    pa.array(sha, pa.string())
+                ],
+                names=[x.split()[0] for x in OUT.split(", ")]
+            )
 
     return run
 
@@ -250,6 +266,8 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def deduplicate(docs: DataFrame, texts: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (with texts=True, else null), kept_sha256 of every row of docs."""
-    marks = repeats(docs, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th"), "marks")
+    marks = repeats(docs, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select(
+        F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th"), "marks"
+    )
     joined = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(marks, F.expr("doc_id <=> m_doc and th = m_th"), "left")
     return joined.select("doc_id", "text", "marks").mapInArrow(_kept(texts), OUT)

@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from newsloom.llm import tokens as tk
 from newsloom.llm.shared import crc_mod, cut, lean, small_batches
 
-STATS = ["words", "word_len", "upper", "digit", "symbol", "marked", "distinct", "same", "top", "short", "grams", "lines", "line_len", "line_same", "joined", "long"]
+STATS = [
+    "words", "word_len", "upper", "digit", "symbol", "marked", "distinct", "same", "top", "short", "grams", "lines", "line_len", "line_same",
+    "joined", "long"
+]
 TREES, DEPTH, LASSO, SEED, THRESHOLD = 24, 4, 0.002, 7, 0.3
 #: Labelled rows that the model is fitted on: those with the smallest hashes of doc_id.
 MOST_LABELLED = 20_000

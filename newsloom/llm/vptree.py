@@ -195,19 +195,28 @@ def index(rows: DataFrame, k: int = K, shard: int = SHARD, most_cells: int = CEL
     small_batches(spark)
     rows = rows.select("vec_id", "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).dropDuplicates()
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    points = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    points = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("embedding").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids")
+    )
     points = cut(points.withColumn("dim", F.size("embedding")), "points")
     cells = spark.sparkContext.broadcast(_pivots(points, shard, most_cells))
     points = cut(_with_home(points, cells), "homes")
     found = cut(points.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("subs"), F.max("far").alias("radius")), "cells")
     radius = {(r.dim, r.cell): r.radius for r in found.where(F.col("dim").isin(list(cells.value.pivots))).collect()}  # MOST_PIVOTS at most
-    dealt = points.join(small(found.select("dim", "cell", "subs")), ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("embedding"), F.col("subs")).cast("int"))
+    dealt = points.join(small(found.select("dim", "cell", "subs")), ["dim", "cell"]).withColumn(
+        "sub", F.pmod(F.xxhash64("embedding"), F.col("subs")).cast("int")
+    )
 
     def build(part: pa.Table) -> pa.Table:
         points, ids = _pack(part.sort_by([("ids_first", "ascending")]), k + 1)
         t = Tree(points, ids)
         key = {c: part.column(c).slice(0, 1) for c in ("dim", "cell", "sub")}
-        return pa.table(key | {"n": pa.array([len(points)]), "points": pa.array([t.points.astype(np.float64).tobytes()], pa.binary()), "ids": pa.array([t.ids.tobytes()], pa.binary()), "nodes": pa.array([t.nodes.tobytes()], pa.binary())})
+        return pa.table(
+            key | {
+                "n": pa.array([len(points)]), "points": pa.array([t.points.astype(np.float64).tobytes()], pa.binary()),
+                "ids": pa.array([t.ids.tobytes()], pa.binary()), "nodes": pa.array([t.nodes.tobytes()], pa.binary())
+            }
+        )
 
     dealt = dealt.select("dim", "cell", "sub", "embedding", "ids", F.col("ids")[0].alias("ids_first"))
     trees = cut(dealt.groupBy("dim", "cell", "sub").applyInArrow(build, TREES), "trees")
@@ -229,7 +238,9 @@ def _pivots(points: DataFrame, shard: int, most_cells: int) -> Cells:
     if not wanted:
         return Cells({})
     top = 1 << 62
-    bounds = points.sparkSession.createDataFrame([(r.dim, wanted[r.dim], min(top, top // r.n * 8 * wanted[r.dim])) for r in sizes if r.dim in wanted], "dim int, wanted int, bound bigint")
+    bounds = points.sparkSession.createDataFrame(
+        [(r.dim, wanted[r.dim], min(top, top // r.n * 8 * wanted[r.dim])) for r in sizes if r.dim in wanted], "dim int, wanted int, bound bigint"
+    )
     h = F.pmod(F.xxhash64("embedding", F.lit("pivot")), F.lit(top))
     few = points.withColumn("h", h).join(F.broadcast(bounds), "dim").where("h <= bound")
     few = few.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy("h", "embedding"))).where("place <= wanted")
@@ -253,7 +264,9 @@ def _answers(k: int, factor: float) -> object:
                 order = np.lexsort((ids, d), axis=1)[:, :k]
                 d, ids = np.take_along_axis(d, order, 1).ravel(), np.take_along_axis(ids, order, 1).ravel()
                 ok = np.isfinite(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, order.shape[1])[ok]), pa.array(ids[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(who, order.shape[1])[ok]), pa.array(ids[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"]
+                )
 
     return run
 
@@ -279,13 +292,21 @@ def tune(trees: DataFrame, k: int = K, recall: float = RECALL, queries: int = TU
 
 
 def _tree(r: dict) -> Tree:
-    return Tree(np.frombuffer(r["points"]).reshape(r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1), np.frombuffer(r["nodes"]).reshape(-1, 9))
+    return Tree(
+        np.frombuffer(r["points"]).reshape(r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1),
+        np.frombuffer(r["nodes"]).reshape(-1, 9)
+    )
 
 
 def _pack_queries(part: pa.Table) -> pa.Table:
     key = {c: part.column(c).slice(0, 1) for c in ("dim", "cell")}
     vectors = np.array(part.column("embedding").to_pylist(), np.float64)
-    return pa.table(key | {"who": pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([vectors.tobytes()], pa.binary()), "limits": pa.array([part.column("bound").to_numpy().tobytes()], pa.binary())})
+    return pa.table(
+        key | {
+            "who": pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([vectors.tobytes()], pa.binary()),
+            "limits": pa.array([part.column("bound").to_numpy().tobytes()], pa.binary())
+        }
+    )
 
 
 def _onward(cells, factor: float) -> object:
@@ -312,14 +333,18 @@ def search(held: Index, queries: DataFrame, k: int = K, factor: float | None = N
     """query_id, rank, vec_id, score: the k nearest found of each usable query (vec_id, embedding); factor None is tuned."""
     factor = tune(held.trees, k) if factor is None else factor
     small_batches(queries.sparkSession)
-    q = queries.select("vec_id", "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).dropDuplicates().withColumn("dim", F.size("embedding"))
+    q = queries.select("vec_id", "embedding").where(
+        usable(F.col("embedding")) & F.col("vec_id").isNotNull()
+    ).dropDuplicates().withColumn("dim", F.size("embedding"))
     q = cut(_with_home(q, held.cells).drop("far"), "queries")
 
     def found(rows: DataFrame) -> DataFrame:
         """Answers of the shards of each row's cell, in blocks of queries."""
         sizes = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
         dealt = rows.join(small(sizes), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int"))
-        packed = dealt.select("dim", "cell", "block", "vec_id", "embedding", "bound").groupBy("dim", "cell", "block").applyInArrow(_pack_queries, PACKED)
+        packed = dealt.select(
+            "dim", "cell", "block", "vec_id", "embedding", "bound"
+        ).groupBy("dim", "cell", "block").applyInArrow(_pack_queries, PACKED)
         sent = packed.join(small(held.parts), ["dim", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
         out = sent.join(held.trees, ["dim", "cell", "sub"]).mapInArrow(_answers(k, factor), "query_id bigint, vec_id bigint, score double")
         return cut(out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "answers")
@@ -328,7 +353,10 @@ def search(held: Index, queries: DataFrame, k: int = K, factor: float | None = N
     near = found(q.withColumn("bound", F.lit(float("inf"))))
     last = near.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     bounded = q.join(last, "vec_id", "left").select("vec_id", "embedding", "dim", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    onward = bounded.mapInArrow(_onward(held.cells, min(factor, CELL_FACTOR)), "vec_id bigint, embedding " + q.schema["embedding"].dataType.simpleString() + ", dim int, bound double, cell int")
+    onward = bounded.mapInArrow(
+        _onward(held.cells, min(factor, CELL_FACTOR)),
+        "vec_id bigint, embedding " + q.schema["embedding"].dataType.simpleString() + ", dim int, bound double, cell int"
+    )
     far = found(cut(onward, "onward"))
     both = near.unionByName(far).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

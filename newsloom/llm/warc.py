@@ -59,7 +59,12 @@ def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def record(page_id: int | None, url: str | None, payload: bytes, target: int | None, digest: str) -> bytes:
     """One uncompressed record, with an HTTP block if it is a response."""
-    head = [b"WARC-Type: " + (b"response" if target is None else b"revisit"), f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>".encode(), b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + quote(url or "", safe=":/?#[]@!$&'()*+,;=%~-._").encode(), b"WARC-Payload-Digest: sha1:" + digest.encode(), f"WARC-Payload-Length: {len(payload)}".encode(), b"Content-Type: application/http; msgtype=response"]
+    head = [
+        b"WARC-Type: " + (b"response" if target is None else b"revisit"), f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>".encode(),
+        b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + quote(url or "", safe=":/?#[]@!$&'()*+,;=%~-._").encode(),
+        b"WARC-Payload-Digest: sha1:" + digest.encode(), f"WARC-Payload-Length: {len(payload)}".encode(),
+        b"Content-Type: application/http; msgtype=response"
+    ]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if target is None:
         block += payload
@@ -92,7 +97,10 @@ def _writer(folder: str, compress: bool, roll: int) -> object:
         for batch in batches:
             for page_id, url, html, sha, target in zip(batch.page_id, batch.url, batch.html, batch.digest, batch.target, strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                raw = record(None if pd.isna(page_id) else int(page_id), url if isinstance(url, str) else None, html.encode(), None if pd.isna(target) else int(target), digest)
+                raw = record(
+                    None if pd.isna(page_id) else int(page_id), url if isinstance(url, str) else None, html.encode(),
+                    None if pd.isna(target) else int(target), digest
+                )
                 held.append(gzip.compress(raw, LEVEL, mtime=0) if compress else raw)
                 size, count = size + len(held[-1]), count + 1
                 if size >= roll:
@@ -110,7 +118,9 @@ def write(planned: DataFrame, folder: str, compress: bool = True, roll: int = RO
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     # a fixed order in each partition gives a repeated task the same files
-    done = planned.sortWithinPartitions("page_id", "digest", "url").mapInPandas(_writer(folder, compress, roll), FILES).agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
+    done = planned.sortWithinPartitions("page_id", "digest", "url").mapInPandas(_writer(folder, compress, roll), FILES).agg(
+        F.count("*"), F.coalesce(F.sum("records"), F.lit(0))
+    ).first()
     return done[0], done[1]
 
 
@@ -136,7 +146,9 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict, int] | str:
     page, refers = (re.search(rb"urn:page:(\d+)", head.get(k, b"")) for k in (b"warc-record-id", b"warc-refers-to"))
     out = {
         "kind": head.get(b"warc-type", b"").decode("latin-1"), "page_id": int(page[1]) if page else None, "url": head.get(b"warc-target-uri", b"").decode("latin-1"),
-        "refers_to": int(refers[1]) if refers else None, "payload_bytes": int(head.get(b"warc-payload-length", b"-1")), "payload_digest": head.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:"), "payload": None,
+        "refers_to": int(refers[1]) if refers else None, "payload_bytes": int(
+            head.get(b"warc-payload-length", b"-1")
+        ), "payload_digest": head.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:"), "payload": None,
     }
     if out["kind"] == "response":
         out["payload"] = block[blank + 4 :] if blank >= 0 else block
@@ -211,7 +223,9 @@ def next_start(data: bytes, at: int, gz: bool) -> int:
         at += 1
 
 
-SCHEMA = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORDS.split(", "))])
+SCHEMA = pa.schema(
+    [(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORDS.split(", "))]
+)
 
 
 def _reader(keep_payload: bool) -> object:

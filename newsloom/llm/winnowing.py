@@ -154,7 +154,10 @@ def _scan(bench) -> object:
                             flag |= np.unpackbits(np.frombuffer(old, np.uint8), count=words.size).astype(bool)
                         marks[lo + r], hits[lo + r] = np.packbits(flag).tobytes(), int(flag.sum())
                         items[lo + r] = sorted({*ids, *items[lo + r]})
-            new = {"w_words": pa.array(n_words, pa.int64()), "w_hits": pa.array(hits, pa.int64()), "w_items": pa.array(items, pa.list_(pa.string())), "w_marks": pa.array(marks, pa.binary())}
+            new = {
+                "w_words": pa.array(n_words, pa.int64()), "w_hits": pa.array(hits, pa.int64()), "w_items": pa.array(items, pa.list_(pa.string())),
+                "w_marks": pa.array(marks, pa.binary())
+            }
             yield pa.RecordBatch.from_arrays([new.get(f.name, c) for c, f in zip(batch.columns, batch.schema, strict=True)], names=batch.schema.names)
 
     return run
@@ -162,7 +165,10 @@ def _scan(bench) -> object:
 
 def _start(docs: DataFrame) -> DataFrame:
     """w_in (a struct of all columns of docs) with nothing found yet."""
-    return docs.select(F.struct(*docs.columns).alias("w_in"), F.lit(0).cast("bigint").alias("w_words"), F.lit(0).cast("bigint").alias("w_hits"), F.array().cast("array<string>").alias("w_items"), F.lit(None).cast("binary").alias("w_marks"))
+    return docs.select(
+        F.struct(*docs.columns).alias("w_in"), F.lit(0).cast("bigint").alias("w_words"), F.lit(0).cast("bigint").alias("w_hits"),
+        F.array().cast("array<string>").alias("w_items"), F.lit(None).cast("binary").alias("w_marks")
+    )
 
 
 @lean
@@ -172,7 +178,9 @@ def _bench_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for key, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for own, (keys, _, _) in Bench([(None, text)]).prints.items():
                 p = np.unique(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(p.size, key)), pa.array(np.full(p.size, own, np.int32)), pa.array(p)], names=["item", "own", "print"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(p.size, key)), pa.array(np.full(p.size, own, np.int32)), pa.array(p)], names=["item", "own", "print"]
+                )
 
 
 def _doc_prints(lengths: list[int]) -> object:
@@ -193,7 +201,10 @@ def _doc_prints(lengths: list[int]) -> object:
                         g = tk.grams(words, k)
                         p = np.unique(g[minima(g, w)]).view(np.int64)
                         if p.size:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(p.size, key[lo + r])), pa.array(np.full(p.size, own, np.int32)), pa.array(p)], names=["doc", "own", "print"])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(p.size, key[lo + r])), pa.array(np.full(p.size, own, np.int32)), pa.array(p)],
+                                names=["doc", "own", "print"]
+                            )
 
     return run
 
@@ -211,7 +222,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flag, ids, _ = Bench([(x["item_id"], x["text"]) for x in bench]).hits(tk.word_hashes(data, s, e)) if bench else (np.zeros(0), [], False)
             hits.append(int(flag.sum()))
             items.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("w_in"), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["w_in", "w_words", "w_hits", "w_items"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("w_in"), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))],
+            names=["w_in", "w_words", "w_hits", "w_items"]
+        )
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, most: int = MOST_CHARS) -> DataFrame:
@@ -232,10 +246,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, most: int = MOST_CHARS) -> DataF
     bench = cut(bench.withColumn("item", F.xxhash64("item_id", "text")), "bench")
     tests = cut(bench.select("item", "text").mapInArrow(_bench_prints, "item bigint, own int, print bigint"), "bench-prints")
     lengths = sorted(r.own for r in tests.select("own").distinct().collect())  # SPAN numbers at most
-    mine = docs.select(F.xxhash64("text").alias("doc"), "text").where("text is not null").mapInArrow(_doc_prints(lengths), "doc bigint, own int, print bigint").distinct()
+    mine = docs.select(F.xxhash64("text").alias("doc"), "text").where("text is not null").mapInArrow(
+        _doc_prints(lengths), "doc bigint, own int, print bigint"
+    ).distinct()
     met = mine.join(tests, ["own", "print"]).select("doc", "item").distinct()
     given = cut(met.join(bench, "item").groupBy(F.col("doc").alias("w_key")).agg(F.collect_list(F.struct("item_id", "text")).alias("w_bench")), "met")
-    rows = docs.select(F.struct(*docs.columns).alias("w_in"), F.xxhash64("text").alias("w_doc")).join(given, F.col("w_doc") == F.col("w_key"), "left").select("w_in", "w_bench")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("w_in"), F.xxhash64("text").alias("w_doc")
+    ).join(given, F.col("w_doc") == F.col("w_key"), "left").select("w_in", "w_bench")
     return rows.mapInArrow(_judge, out.drop("w_marks").schema)
 
 

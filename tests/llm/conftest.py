@@ -24,7 +24,10 @@ def corpus() -> list[tuple]:
         rows.append((i, " ".join(words(draw, draw.randrange(3, 200), "r", 10**6)) + "\n" + passage * (i % 3 == 0)))
     for i in range(70, 80):
         rows.append((i, " ".join(words(draw, 90, "t", 50))))
-    rows += [(80, None), (81, ""), (82, " \t\n "), (83, "one"), (84, "one"), (85, "One two three"), (86, "the " * 200), (87, "a b " * 150), (88, "été 中文 \U0001f600 naïve"), (89, "1 2 3 ... !!!")]
+    rows += [
+        (80, None), (81, ""), (82, " \t\n "), (83, "one"), (84, "one"), (85, "One two three"), (86, "the " * 200), (87, "a b " * 150),
+        (88, "été 中文 \U0001f600 naïve"), (89, "1 2 3 ... !!!")
+    ]
     rows += [(90, "long " + " ".join(words(draw, 30000, "l", 5000))), (91, rows[0][1]), (91, rows[0][1]), (92, rows[41][1].upper())]
     rows.append((None, rows[0][1]))
     out = []

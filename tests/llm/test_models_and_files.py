@@ -19,7 +19,10 @@ def vectors(spark):
     rows = [(i, [float(x) for x in draw.normal(size=8)]) for i in range(400)]
     rows += [(i, [1.0, 2.0] + [0.0] * 6) for i in range(400, 460)]  # one common vector
     rows += [(i, [float(i % 3), float(i % 2)] + [1.0] * 6) for i in range(500, 560)]  # ties
-    rows += [(600, None), (601, [0.0] * 8), (602, [float("nan")] * 8), (603, [float("inf")] + [0.0] * 7), (604, [1.0, None] + [0.0] * 6), (700, []), (None, [1.0] * 8), (800, [1.0, 2.0]), (801, [1.0, 3.0]), (400, [1.0, 2.0] + [0.0] * 6)]
+    rows += [
+        (600, None), (601, [0.0] * 8), (602, [float("nan")] * 8), (603, [float("inf")] + [0.0] * 7), (604, [1.0, None] + [0.0] * 6), (700, []),
+        (None, [1.0] * 8), (800, [1.0, 2.0]), (801, [1.0, 3.0]), (400, [1.0, 2.0] + [0.0] * 6)
+    ]
     return rows, spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
 
 
@@ -65,7 +68,12 @@ def test_language(spark, docs, rows, none):
     made = []
     for i in range(600):
         lang = draw.choice(list(parts))
-        made.append((i, " ".join("".join(draw.choices(parts[lang], k=3)) for _ in range(draw.randrange(12, 60))), lang if draw.random() < 0.97 else None, "s", 1))
+        made.append(
+            (
+                i, " ".join("".join(draw.choices(parts[lang], k=3)) for _ in range(draw.randrange(12, 60))), lang if draw.random() < 0.97 else None,
+                "s", 1
+            )
+        )
         parts_of = lang
     truth = {r[0]: next(k for k, v in parts.items() if any(x in r[1][:3] or r[1].startswith(x) for x in v)) for r in made}
     df = spark.createDataFrame(made, docs.schema)
@@ -94,8 +102,13 @@ def test_language_by_plain_compression(spark, docs):
             continue
         sizes = {}
         for lang, content in model.dictionaries.items():
-            p = z.ZstdCompressionParameters.from_level(compression_lang.LEVEL, source_size=compression_lang.SEGMENT, dict_size=len(content), min_match=3, write_checksum=False, write_content_size=False)
-            coder = lambda d=content, p=p: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p)
+            p = z.ZstdCompressionParameters.from_level(
+                compression_lang.LEVEL, source_size=compression_lang.SEGMENT, dict_size=len(content), min_match=3, write_checksum=False,
+                write_content_size=False
+            )
+            coder = lambda d=content, p=p: z.ZstdCompressor(
+                dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p
+            )
             sizes[lang] = sum(len(coder().compress(body[i : i + compression_lang.SEGMENT])) for i in range(0, len(body), compression_lang.SEGMENT))
         first = min(sizes, key=lambda k: (sizes[k], -model.counts[k], k))
         assert r.li_lang == first and r.li_margin == pytest.approx((max(sizes.values()) - sizes[first]) / max(sizes.values()))
@@ -118,18 +131,31 @@ def test_language_model_survives_no_labels(docs):
 
 
 PAGES = [
-    (1, "http://a.example/x", "<html><head><title>T</title><style>p{}</style></head><body><nav><a>Menu one two three</a></nav><div class='ad'>buy now</div><article><h1>Head &amp; line</h1><p>One\n two <b>three</b><p>four &lt;5&gt;</article><footer>&copy; foot</footer></body></html>"),
+    (
+        1, "http://a.example/x",
+        "<html><head><title>T</title><style>p{}</style></head><body><nav><a>Menu one two three</a></nav><div class='ad'>buy now</div><article><h1>Head &amp; line</h1><p>One\n two <b>three</b><p>four &lt;5&gt;</article><footer>&copy; foot</footer></body></html>"
+    ),
     (2, "http://A.example:80/y", "<body><p>Welcome to our site please enjoy your stay<p>Unique words of the second page are here</body>"),
-    (3, "http://a.example/z", "<body><p>Welcome to our site please enjoy your stay<p>Other content that no page but this has</p><form>name</form></body>"),
-    (4, None, None), (5, "", ""), (6, "http://b.example", "plain text & more"), (7, "http://b.example/q", "<article><p>same story</p></article>"), (8, "http://b.example/r", "<article><p>same story</p></article>"),
-    (9, "http://c.example", "<body><script>var t='</p>';</script><div id=comments>first!</div><main>kept<br>text</main></body>"), (None, "http://c.example/n", "<p>x"),
+    (
+        3, "http://a.example/z",
+        "<body><p>Welcome to our site please enjoy your stay<p>Other content that no page but this has</p><form>name</form></body>"
+    ),
+    (4, None, None), (5, "", ""), (6, "http://b.example", "plain text & more"), (7, "http://b.example/q", "<article><p>same story</p></article>"), (
+        8, "http://b.example/r", "<article><p>same story</p></article>"
+    ),
+    (
+        9, "http://c.example", "<body><script>var t='</p>';</script><div id=comments>first!</div><main>kept<br>text</main></body>"
+    ), (None, "http://c.example/n", "<p>x"),
 ]
 
 
 def test_boilerplate(spark):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     out = {r.page_id: r for r in boilerplate.extract(df).collect()}
-    want = {1: "Head & line\nOne two three\nfour <5>", 2: "Unique words of the second page are here", 3: "Other content that no page but this has", 4: "", 5: "", 6: "plain text & more", 7: "same story", 8: "same story", 9: "kept text", None: "x"}
+    want = {
+        1: "Head & line\nOne two three\nfour <5>", 2: "Unique words of the second page are here", 3: "Other content that no page but this has", 4: "",
+        5: "", 6: "plain text & more", 7: "same story", 8: "same story", 9: "kept text", None: "x"
+    }
     assert {i: r.text for i, r in out.items()} == want
     assert all(r.n_chars == len(r.text) for r in out.values())
     assert boilerplate.extract(df.limit(0)).count() == 0
@@ -165,7 +191,9 @@ def test_names_hide_no_prose():
 
     assert kept("<script>var a='<!--';</script><article><p>Real text</p></article>") == ["Real text"]
     assert kept("<style>/* <!-- */</style><textarea><p>a</textarea><p>b<noscript><!-- </noscript>c --> d") == ["bc --> d"]
-    assert kept("<article><div class='share-price'>A</div><h2 id='search-results'>B</h2><p class='alert'>C</p><div class='share-box'>no</div></article>") == ["A", "B", "C"]
+    assert kept(
+        "<article><div class='share-price'>A</div><h2 id='search-results'>B</h2><p class='alert'>C</p><div class='share-box'>no</div></article>"
+    ) == ["A", "B", "C"]
     assert boilerplate.blocks("<body><p>one<article class='comment'><p>c</p></article></body>") == [("one", boilerplate.OPEN), ("c", boilerplate.OUT)]
     assert kept("<article class='post comments-open'><p>t</p><article class='comment-item'><p>c</p></article></article>") == ["t"]
 
@@ -210,7 +238,10 @@ def test_judge_by_brute_force(pages):
         page = [(" ".join(f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(20, 60))), boilerplate.MAIN if main else boilerplate.OPEN)]
         for k, line in enumerate(lines):
             if draw.random() < (0.02, 0.08, 0.15, 0.3, 0.6, 0.9)[k]:
-                page.insert(draw.randrange(len(page) + 1), (line, draw.choice([boilerplate.MAIN, boilerplate.OUT]) if main else draw.choice([boilerplate.OPEN, boilerplate.OUT])))
+                page.insert(
+                    draw.randrange(len(page) + 1),
+                    (line, draw.choice([boilerplate.MAIN, boilerplate.OUT]) if main else draw.choice([boilerplate.OPEN, boilerplate.OUT]))
+                )
         texts.append([t for t, _ in page])
         kinds.append([k for _, k in page])
     assert boilerplate.judge(texts, kinds) == judged(texts, kinds)
@@ -255,7 +286,10 @@ def archives(rows):
 
 
 def test_warc_round_trip(spark):
-    rows = [*PAGES, (10, "http://x/\r\nWARC-Type: evil", "é" * 3000), (11, "u", "é" * 3000), (11, "u", "é" * 3000), (12, "u", "WARC/1.1\r\nnested\r\n\r\n")]
+    rows = [
+        *PAGES, (10, "http://x/\r\nWARC-Type: evil", "é" * 3000), (11, "u", "é" * 3000), (11, "u", "é" * 3000),
+        (12, "u", "WARC/1.1\r\nnested\r\n\r\n")
+    ]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert Counter(map(tuple, warc.round_trip(df).collect())) == archives(rows)
     assert warc.round_trip(df.limit(0)).count() == 0
@@ -316,7 +350,9 @@ def test_rules(spark, docs, none):
 
 
 def test_rules_are_conjunctions(spark):
-    rows = rules.measure(spark.createDataFrame([(1, "A b! c"), (2, "x " * 30)], "doc_id bigint, text string")).withColumn("label", F.col("doc_id") - 1.0)
+    rows = rules.measure(
+        spark.createDataFrame([(1, "A b! c"), (2, "x " * 30)], "doc_id bigint, text string")
+    ).withColumn("label", F.col("doc_id") - 1.0)
     r = (("words", True, 5.0), ("upper", False, 0.0))
     assert [x.hit for x in rows.orderBy("doc_id").select(rules.condition(r).alias("hit")).collect()] == [True, False]
 
@@ -327,7 +363,9 @@ def test_scores_by_plain_python(spark):
 
     draw = random.Random(12)
     made = [(i, " ".join("".join(draw.choices("abcdefgh", k=draw.randrange(1, 9))) + draw.choice(["", "", "#" * (i % 3)]) for _ in range(draw.randrange(0, 60)))) for i in range(500)]
-    stats = rules.measure(spark.createDataFrame(made, "doc_id bigint, text string")).withColumn("label", F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(1.0))
+    stats = rules.measure(spark.createDataFrame(made, "doc_id bigint, text string")).withColumn(
+        "label", F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(1.0)
+    )
     model = rules.fit(shared.cut(stats, "labelled"))
     assert 0 < len(model.rules) < 400
     for r in stats.select("*", model.score().alias("score")).collect():
@@ -337,7 +375,9 @@ def test_scores_by_plain_python(spark):
     for r in stats.collect():
         words = texts[r.doc_id].split()
         assert r.words == len(words) and r.word_len == pytest.approx(sum(map(len, words)) / max(1, len(words)))
-        assert r.distinct == pytest.approx(len(set(words)) / len(words) if words else 0) and r.short == pytest.approx(sum(len(w) <= 3 for w in words) / max(1, len(words)))
+        assert r.distinct == pytest.approx(len(set(words)) / len(words) if words else 0) and r.short == pytest.approx(
+            sum(len(w) <= 3 for w in words) / max(1, len(words))
+        )
     known = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(500)], "doc_id bigint, quality int")
     few = rules.sampled(known, 100).count()
     assert 60 < few < 140 and rules.sampled(known, 500).count() == 500
@@ -349,7 +389,10 @@ def test_token_files(spark, docs, rows, none, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    odd = [(200, "it's we've <|endoftext|> a<|startoftext|>b <|STARTOFTEXT|>", "", "", 0), (201, "a\x01b \x01 c", "", "", 0), (202, "ΣΑΣ İstanbul é é a　b\x85c \x1cd #tag! don't.", "", "", 0)]
+    odd = [
+        (200, "it's we've <|endoftext|> a<|startoftext|>b <|STARTOFTEXT|>", "", "", 0), (201, "a\x01b \x01 c", "", "", 0),
+        (202, "ΣΑΣ İstanbul é é a　b\x85c \x1cd #tag! don't.", "", "", 0)
+    ]
     df = docs.union(spark.createDataFrame(odd, docs.schema))
     key = lambda r: (r[0] is not None, r[0] or 0)
     texts = sorted([*rows, *odd], key=key)
@@ -415,12 +458,18 @@ def test_extra_columns_with_names_of_ours(spark, docs, none):
     """Stages and queries with columns that are named like the operators' own, and on empty tables."""
     from newsloom.llm import jaccard, mixing, recompression, winnowing
 
-    names = ["mx_at", "mx_size", "mx_others", "w_in", "w_text", "w_hits", "li_in", "li_text", "again", "node", "root", "th", "marks", "m_doc", "start", "n", "dim", "shard", "host", "digest", "target", "size", "j_in", "j_doc", "j_again", "w_doc", "w_key", "w_bench", "mx_th", "mx_key", "mx_twin", "first", "label", "words"]
+    names = [
+        "mx_at", "mx_size", "mx_others", "w_in", "w_text", "w_hits", "li_in", "li_text", "again", "node", "root", "th", "marks", "m_doc", "start",
+        "n", "dim", "shard", "host", "digest", "target", "size", "j_in", "j_doc", "j_again", "w_doc", "w_key", "w_bench", "mx_th", "mx_key",
+        "mx_twin", "first", "label", "words"
+    ]
     more = docs.where("doc_id < 60 or doc_id > 79").select("*", *(F.lit(1).alias(c) for c in names))
     bench = spark.createDataFrame([(1, "the the the the the the the the the the the the the the", 2)], "item_id bigint, text string, w_in int")
     for out in (compression_lang.accepted(more), jaccard.representatives(more), winnowing.clean(more, bench), mixing.training_order(more)):
         assert out.columns == more.columns and out.count() > 0
-    for out in (mixing.mix(more), recompression.deduplicate(more), jaccard.join(more), winnowing.decontaminate(more, bench), compression_lang.predict(more)):
+    for out in (
+        mixing.mix(more), recompression.deduplicate(more), jaccard.join(more), winnowing.decontaminate(more, bench), compression_lang.predict(more)
+    ):
         assert out.count() == more.count()
     import public_tokenizers
 

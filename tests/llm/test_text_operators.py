@@ -32,7 +32,10 @@ BENCH = [(1, None), (2, ""), (3, "one"), (4, "ONE two three"), (5, None), (6, "n
 
 def bench(spark, rows):
     long = rows[42][1].split("\n")[1] or rows[41][1]
-    items = BENCH + [(7, " ".join(rows[42][1].split()[5:40])), (8, long), (9, "the the the the the the the the the the the the the the the"), (10, " ".join(rows[0][1].split()[:13]).upper())]
+    items = BENCH + [
+        (7, " ".join(rows[42][1].split()[5:40])), (8, long), (9, "the the the the the the the the the the the the the the the"),
+        (10, " ".join(rows[0][1].split()[:13]).upper())
+    ]
     items += [(10, rows[0][1]), (None, " ".join(rows[45][1].split()[2:20]))]
     return items, spark.createDataFrame(items, "item_id bigint, text string")
 
@@ -263,7 +266,9 @@ def test_training_order(docs):
 
 def test_positions_follow_the_schedule(spark):
     knots = [(0.0, 0.0), (0.5, 2.0), (1.0, 2.0)]
-    df = spark.createDataFrame([(float(k),) for k in range(0, 151, 10)], "w double").select("w", mixing.when_taken(F.col("w"), F.lit(150.0), knots).alias("t"))
+    df = spark.createDataFrame([(float(k),) for k in range(0, 151, 10)], "w double").select(
+        "w", mixing.when_taken(F.col("w"), F.lit(150.0), knots).alias("t")
+    )
     for r in df.collect():
         t = r.t
         area = (2 * t * t if t <= 0.5 else 0.5 + 2 * (t - 0.5)) / 1.5 * 150
@@ -285,5 +290,9 @@ def test_jaccard_revision_chain(spark):
 def test_representatives_tell_repeated_ids_apart(spark):
     copy, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
     rows = [(1, copy), (2, copy), (2, other), (2, other), (3, None), (3, None), (None, copy), (None, "x y"), (4, "x y")]
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    got = sorted(
+        (r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.representatives(
+            spark.createDataFrame(rows, "doc_id bigint, text string")
+        ).collect()
+    )
     assert got == [(False, 1, copy), (False, 2, other), (False, 3, ""), (False, 4, "x y")]
