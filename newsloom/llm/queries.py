@@ -71,6 +71,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def op12_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every usable vector, its error and that of its label, and the codebooks' digest."""
+    from newsloom.llm.filtering_lloyd import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and its ids decoded, as digests of both."""
     import public_tokenizers
@@ -88,7 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op5_winnowing": OP5, "op6_recompression": OP6, "op7_warc": OP7, "op10_jaccard_join": OP10}
+    return {"op3_mixing": OP3, "op5_winnowing": OP5, "op6_recompression": OP6, "op7_warc": OP7, "op10_jaccard_join": OP10, "op12_filtering_lloyd": OP12}
 
 
 OP3 = r"""
@@ -170,3 +177,31 @@ reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT two.y, root FROM rea
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM d JOIN reach USING (doc_id) LEFT
  JOIN n USING (doc_id) GROUP BY d.doc_id
 """
+
+
+def _lloyd_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Plain Lloyd rounds: every part against every entry."""
+    far = "list_sum(list_transform(list_zip(x.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT x.r, x.p, min({far} * {entries} + b.k) AS best FROM x JOIN b{i} b ON x.p = b.p GROUP BY x.r, x.p)")
+        if i < rounds:
+            steps.append(
+                f"m{i} AS (SELECT p, k, list(floor(s / n)::BIGINT ORDER BY j) AS q FROM (SELECT x.p, a.best % {entries} AS k, j, sum(x.q[j])::DOUBLE AS s,"
+                f" count(*) AS n FROM x JOIN a{i} a ON x.r = a.r AND x.p = a.p, LATERAL (SELECT unnest(range(1, len(x.q) + 1)) AS j) GROUP BY ALL) GROUP BY p, k)"
+            )
+            steps.append(f"b{i + 1} AS (SELECT b.p, b.k, coalesce(m.q, b.q) AS q FROM b{i} b LEFT JOIN m{i} m ON b.p = m.p AND b.k = m.k)")
+    joined = ",\n".join(steps)
+    return f"""
+WITH v AS (SELECT vec_id, label, embedding AS e, len(embedding) // {parts} AS w, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+ WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT r, p, list_transform(e[p * w + 1:p * w + w], lambda c: floor(256 * c::DOUBLE)::BIGINT) AS q FROM v, range({parts}) t(p)),
+b0 AS (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY r) - 1)::BIGINT AS k, q FROM x QUALIFY k < {entries}),
+{joined},
+c AS (SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r),
+d AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (r), d
+"""
+
+
+OP12 = _lloyd_sql()

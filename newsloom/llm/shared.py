@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from newsloom.operators.entities import small
 from newsloom.sources.tables import cut, free, shared_dir, table
 
-__all__ = ["bloom", "crc_mod", "cut", "free", "in_bloom", "lean", "shared_dir", "small", "small_batches", "table"]
+__all__ = ["arrow_rows", "bloom", "crc_mod", "cut", "free", "in_bloom", "lean", "shared_dir", "small", "small_batches", "table"]
 
 #: Rows of an Arrow batch: ten thousand long documents, Spark's default, are tens of megabytes on either side.
 BATCH_ROWS = 2000
@@ -27,6 +28,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, rows)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it Arrow batches have at most `rows` rows; for steps that end in an action there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lean(run: Callable) -> Callable:
     """An Arrow batch function that gives free memory back when a task ends, as workers are reused: its pool's and, where the C library can, the heap's."""
 
