@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.shared import lean, small_batches
-from newsloom.llm.tokens import chunks, mix, word_hashes
+from newsloom.llm.tokens import chunks, distinct, mix, ragged, word_hashes
 
 #: fixed value: the rule that cuts text before merges
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,11 +43,6 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of all elements of the spans that begin at starts, one after another."""
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-
-
 class PerfectHash:
     """Tokens by a minimal perfect hash: keys are dealt to buckets, and a bucket's shift puts all its keys on free slots.
 
@@ -252,20 +247,6 @@ class Encoder:
                 self.known[piece] = ids
         return found
 
-    @staticmethod
-    def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each string among the distinct ones, where each distinct one stands first). Equal hashes are not trusted."""
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        size = ends - starts
-        same = (size == size[first][which]).all()
-        if same:
-            same = (data[ragged(starts, size)] == data[ragged(starts[first][which], size)]).all()
-        if not same:
-            raw, seen = data.tobytes(), {}
-            which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-            first = np.unique(which, return_index=True)[1]
-        return which, first
-
     def part(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts one after another, text of each id)."""
         starts = cut_points(data, off, self.classes)
@@ -274,7 +255,7 @@ class Encoder:
         whole, value = self.words.find(data, starts, ends, hashes)
         size = np.ones(starts.size, np.int64)
         missed = np.flatnonzero(~whole)
-        which, some = self._distinct(data, starts[missed], ends[missed], hashes[missed])
+        which, some = distinct(data, starts[missed], ends[missed], hashes[missed])
         some, raw = missed[some], data.tobytes()
         found = self._ids([raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
         lengths = np.array(list(map(len, found)), np.int64) // 4

@@ -71,6 +71,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form, root and near words."""
+    from newsloom.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op12_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of every usable vector, its error and that of its label, and the codebooks' digest."""
     from newsloom.llm.filtering_lloyd import compress
@@ -95,7 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op5_winnowing": OP5, "op6_recompression": OP6, "op7_warc": OP7, "op10_jaccard_join": OP10, "op12_filtering_lloyd": OP12}
+    return {"op3_mixing": OP3, "op5_winnowing": OP5, "op6_recompression": OP6, "op7_warc": OP7, "op10_jaccard_join": OP10, "op11_spelling_variants": OP11, "op12_filtering_lloyd": OP12}
 
 
 OP3 = r"""
@@ -205,3 +212,28 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 
 
 OP12 = _lloyd_sql()
+
+_RUN = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+ lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+r AS (SELECT doc_id, {_RUN} AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+ WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(concat(doc_id, ':', w), ''),
+ lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+ lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM r, t),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+ ELSE w END AS word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+open AS (SELECT word, n, left(word, i::INT) || ' ' || substr(word, i::INT + 2) AS k FROM places),
+short AS (SELECT DISTINCT word, n, left(word, i::INT) || substr(word, i::INT + 2) AS k FROM places),
+near AS (SELECT a.word, b.word AS w, b.n FROM open a JOIN open b ON a.k = b.k AND a.word <> b.word
+ UNION ALL SELECT s.word, w.word, w.n FROM short s JOIN words w ON s.k = w.word
+ UNION ALL SELECT w.word, s.word, s.n FROM short s JOIN words w ON s.k = w.word),
+best AS (SELECT word, count(*) AS n_near, first(w ORDER BY n DESC, w) AS w, max(n) AS m FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN w END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+ FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON chain.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.*, root FROM f JOIN (SELECT word, root FROM chain JOIN (SELECT word AS root FROM f WHERE form IS NULL) USING (root)) USING (word)
+"""

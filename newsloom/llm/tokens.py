@@ -96,3 +96,22 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 def bounds(rows: np.ndarray, n: int) -> np.ndarray:
     """For words with sorted row numbers: n + 1 positions between which each row's words stand."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of all elements of the spans that begin at starts, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each string among the distinct ones, where each distinct one stands first). Equal hashes are not trusted."""
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
+    same = (size == size[first][which]).all()
+    if same:
+        same = (data[ragged(starts, size)] == data[ragged(starts[first][which], size)]).all()
+    if not same:
+        raw, seen = data.tobytes(), {}
+        which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(which, return_index=True)[1]
+    return which, first
