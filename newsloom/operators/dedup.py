@@ -73,7 +73,11 @@ def signatures(items: DataFrame, key: str, text: str, n: int = HASHES) -> DataFr
     x is the first 64 bits of a token's md5, h = (a x + b) mod (2^61 - 1), its low 32 bits are kept.
     The signature of an item without a token is NO_TOKEN throughout.
     """
-    rows = items.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    return signatures_of(items.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t")), key, n)
+
+
+def signatures_of(rows: DataFrame, key: str, n: int = HASHES) -> DataFrame:
+    """(key, signature) of rows (key, t), t being distinct tokens."""
     return rows.mapInArrow(_least(n), f"{key} {rows.schema[key].dataType.simpleString()}, signature array<bigint>")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.keys import entity_action_key, signature_key
 from newsloom.operators.graph import components
+from newsloom.sources.tables import cut, free
 
 #: fixed values: the status lattice and the order of evidence roles
 STATUS = {"rumor": 0, "reported": 1, "confirmed": 2, "official": 3}
@@ -104,6 +105,32 @@ def cluster(articles: DataFrame, similar: DataFrame) -> DataFrame:
     return articles.join(roots, articles["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("event"))
 
 
+def continued(articles: DataFrame, existing: DataFrame, best: DataFrame) -> DataFrame:
+    """(id, event_id, group_id) of articles that continue events of earlier runs or form new groups.
+
+    best (later, earlier, event_id): the most similar earlier article of each article, or with earlier null
+    the event that is more similar still. An article takes the event of its best match; where that is an
+    article without an event, its own keys' event (see known_events). The value is handed along the chain
+    of best matches by pointer doubling, the far end's coming first. Articles without an event
+    form groups by equal keys and by best matches that have no event either; group_id is a group's first
+    such article, null for articles with an event.
+    """
+    own = known_events(articles, existing).select("id", F.col("event_id").alias("own"))
+    start = articles.select("id").join(own, "id", "left").join(best.withColumnRenamed("later", "id"), "id", "left")
+    now = cut(start.select("id", F.col("earlier").alias("to"), F.coalesce("event_id", "own").alias("event_id")), "chains")
+    while now.where("to is not null").limit(1).count():
+        there = now.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("event_id").alias("_event"))
+        after = cut(now.join(there, "to", "left").select("id", F.col("_to").alias("to"), F.coalesce("_event", "event_id").alias("event_id")), "chains")
+        free(now)
+        now = after
+    found = now.select("id", "event_id")
+    free_ones = found.where("event_id is null").select(F.col("id").alias("earlier"))
+    linked = best.where("earlier is not null").join(free_ones, "earlier", "left_semi").select("earlier", "later")
+    grouped = cluster(articles, linked).join(found, "id")
+    first = grouped.where("event_id is null").groupBy("event").agg(F.min("id").alias("group_id"))
+    return grouped.join(first, "event", "left").select("id", "event_id", F.when(F.col("event_id").isNull(), F.col("group_id")).alias("group_id"))
+
+
 def known_events(articles: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, event_id): articles whose key an existing event (event_id, seq, signature) has; signature keys come first, then the first event."""
     owner = _keyed(existing.select(F.struct("seq", "event_id").alias("e"), "signature"), "e").groupBy("rank", "k").agg(F.min("e").alias("e"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import keys, scores, text
-from newsloom.operators import dedup, entities, filters
+from newsloom.operators import cosine, dedup, entities, filters
+from newsloom.plans import similarity
 from newsloom.plans.registry import query
 from newsloom.plans.views import ARTICLES, AS_OF, ENTITIES, TAGGED, articles, registry
 from newsloom.sources.tables import table
@@ -186,25 +187,20 @@ def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.idf(articles(spark, sf_dir), "id", "summary").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _hashes_sql(n: int) -> str:
-    """c: the coefficients of n hashes."""
-    return "c(i, a, b) AS (VALUES " + ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(dedup.coefficients(n))) + ")"
-
-
 _MIN_SQL = f"min(((c.a * (x % {text.PRIME}::HUGEINT)) % {text.PRIME}::HUGEINT + c.b) % {text.PRIME}::HUGEINT % 4294967296::HUGEINT)::BIGINT"
 _WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), lambda t: len(t) > 1)"
 _TITLE_TOK = f"list_distinct({_WORDS.format('title')})"
 
 
 @query("P05", f"""WITH {ARTICLES}, t AS (SELECT id, ('0x' || substr(md5(unnest({_TITLE_TOK})), 1, 16))::HUGEINT AS x FROM a),
- {_hashes_sql(16)}, h AS (SELECT id, i::INT AS i, {_MIN_SQL} AS h FROM t, c GROUP BY id, i)
+ {similarity.hashes(16)}, h AS (SELECT id, i::INT AS i, {_MIN_SQL} AS h FROM t, c GROUP BY id, i)
 SELECT a.id, c.i::INT AS i, coalesce(h.h, 4294967295) AS h FROM a CROSS JOIN c LEFT JOIN h ON h.id = a.id AND h.i = c.i""")
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.signatures(articles(spark, sf_dir), "id", "title", 16).select("id", F.posexplode("signature").alias("i", "h"))
 
 
 @query("P06, P07, J07", f"""WITH t AS (SELECT item_id AS id, ('0x' || substr(md5(unnest(list_distinct({_WORDS.format("text")}))), 1,
- 16))::HUGEINT AS x FROM benchmark), {_hashes_sql(64)}, h AS (SELECT id, i, {_MIN_SQL} AS h FROM t, c GROUP BY id, i),
+ 16))::HUGEINT AS x FROM benchmark), {similarity.hashes(64)}, h AS (SELECT id, i, {_MIN_SQL} AS h FROM t, c GROUP BY id, i),
 b AS (SELECT id, i // 2 AS band, list(h ORDER BY i) AS bucket FROM h GROUP BY id, band), p AS (SELECT DISTINCT x.id AS earlier,
  y.id AS later FROM b x JOIN b y USING (band, bucket) WHERE x.id < y.id)
 SELECT earlier, later, round(count(*) FILTER (x.h = y.h) / 64, 6) AS agreement FROM p JOIN h x ON x.id = earlier JOIN h y ON y.id = later
@@ -216,8 +212,8 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.agreement(pairs, signed, "id").select("earlier", "later", F.round("agreement", 6).alias("agreement"))
 
 
-#: similarity of titles, of titles in Chinese characters, and what a shared entity leaves of it
-ALIKE, ALIKE_CJK, SHARED = 0.6, 0.5, 0.7
+#: similarity of titles, and of titles in Chinese characters
+ALIKE, ALIKE_CJK = 0.6, 0.5
 
 
 def distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,32 +221,23 @@ def distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact(articles(spark, sf_dir).withColumn("key", keys.title_key(F.col("title"))), "key", [F.col("id")])
 
 
-def threshold(pairs: DataFrame, items: DataFrame) -> tuple[DataFrame, object]:
-    """pairs with the later title's language, and the threshold that goes by it."""
-    cjk = items.select(F.col("id").alias("later"), text.mostly_cjk(F.col("title")).alias("cjk"))
-    return pairs.join(cjk, "later"), F.when(F.col("cjk"), ALIKE_CJK).otherwise(ALIKE)
-
-
 def nearest_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Articles of distinct titles, and the best earlier one of each that has one."""
+    """Articles of distinct titles, and the best earlier one of each that has one: by cosine, short titles by shared words too."""
     first = distinct_titles(spark, sf_dir)
-    return first, dedup.best_earlier(*threshold(dedup.similar(first, "id", "title", ALIKE_CJK), first))
+    bar = F.when(text.mostly_cjk(F.col("title")), ALIKE_CJK).otherwise(ALIKE)
+    return first, cosine.best_earlier(cosine.pairs(cosine.texts(first, "id", "title", bar), ALIKE_CJK))
 
 
-_CJK_SQL = r"(len(regexp_extract_all(title, '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]')) > 0.3 * len(title))"
-PAIRS = f"""{ARTICLES}, k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(coalesce(title, '')), '[ \t\n\r\f\x0b]+', '',
+_TITLES = f"""{ARTICLES}, k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(coalesce(title, '')), '[ \t\n\r\f\x0b]+', '',
  'g') ORDER BY id) AS copy FROM a),
-o AS (SELECT id, title, lang, source_name, {_TITLE_TOK} AS t FROM k WHERE copy = 1), x AS (SELECT id, unnest(t) AS term FROM o),
-n AS (SELECT x.id AS earlier, y.id AS later, count(*) AS c FROM x JOIN x AS y ON x.term = y.term AND x.id < y.id GROUP BY ALL),
-j AS (SELECT earlier, later, c / (len(e.t) + len(l.t) - c) AS similarity, CASE
- WHEN {_CJK_SQL.replace("title", "l.title")} THEN {ALIKE_CJK} ELSE {ALIKE} END AS bar, e.lang = l.lang AS shared FROM n
- JOIN o e ON e.id = earlier JOIN o l ON l.id = later)"""
-BEST = f"{PAIRS}, best AS (SELECT later, earlier, similarity FROM (SELECT *, row_number() OVER (PARTITION BY later ORDER BY similarity DESC, earlier) AS n FROM j WHERE similarity >= bar) WHERE n = 1)"
+o AS (SELECT id, title, lang, source_name, {similarity.words("title")} AS words,
+ CASE WHEN {similarity.mostly_cjk("title")} THEN {ALIKE_CJK} ELSE {ALIKE} END AS bar FROM k WHERE copy = 1)"""
+BEST = f"{_TITLES}, {similarity.scored('o', 'l.bar', similarity.TITLE_SCORE)}, {similarity.BEST}"
 
 
 @query("J08", f"WITH {BEST} SELECT later, earlier, round(similarity, 6) AS similarity FROM best")
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of titles are searched, by a join of token prefixes; the SQL compares every pair."""
+    """All pairs of titles are searched, by a join of weighted prefixes; the SQL compares every pair."""
     return nearest_titles(spark, sf_dir)[1].select("later", "earlier", F.round("similarity", 6).alias("similarity"))
 
 
@@ -274,15 +261,7 @@ def two_layer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick_best(members, F.when(F.col("source_name") == "src1", 4).when(F.col("source_name") == "src3", 3).otherwise(2)).select("id", "size")
 
 
-@query("P10", f"""WITH {BEST}, w AS (SELECT id, unnest({_WORDS.format("title")}) AS term FROM k WHERE copy = 1),
-nn AS (SELECT count(*) AS n FROM k WHERE copy = 1), tf AS (SELECT id, term, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS len
- FROM w GROUP BY id, term),
-df AS (SELECT term, ln(any_value(n) / (1 + count(*))) AS idf FROM tf, nn GROUP BY term), v AS (SELECT id, term, c / len * idf AS w FROM tf
- JOIN df USING (term)),
-m AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id), d AS (SELECT earlier, later, sum(x.w * y.w) AS dot FROM best
- JOIN v x ON x.id = earlier JOIN v y ON y.id = later AND y.term = x.term GROUP BY earlier, later)
-SELECT p.earlier, p.later, round(CASE WHEN x.norm * y.norm > 0 THEN coalesce(dot, 0.0) / (x.norm * y.norm) ELSE 0.0 END, 6) AS cosine
- FROM best p LEFT JOIN d USING (earlier, later) LEFT JOIN m x ON x.id = p.earlier LEFT JOIN m y ON y.id = p.later""")
+@query("P10", f"""WITH {BEST} SELECT earlier, later, round(cosine, 6) AS cosine FROM best""")
 def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, pairs = nearest_titles(spark, sf_dir)
     return dedup.tfidf_cosine(first, pairs, "id", "title").select("earlier", "later", F.round("cosine", 6).alias("cosine"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import keys, scores, text
-from newsloom.operators import dedup, events, filters, health, ranking, signals, store
-from newsloom.plans.intake import ALIKE_CJK, PAIRS, SHARED, distinct_titles, threshold
+from newsloom.operators import cosine, entities, events, filters, health, ranking, signals, store
+from newsloom.plans import similarity
 from newsloom.plans.registry import query
-from newsloom.plans.views import ARTICLES, AS_OF, EVIDENCE, HEALTH, articles, evidence, source_runs
+from newsloom.plans.views import ARTICLES, AS_OF, ENTITIES, EVIDENCE, HEALTH, TAGGED, articles, evidence, source_runs
 from newsloom.sources.tables import table
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -639,21 +639,82 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", s.otherwise(F.coalesce("title", F.lit(""))).alias("signature"))
 
 
-@query("C02, C03, J19", f"""WITH RECURSIVE {PAIRS}, {_SIGNED}, {_KEYS},
-near AS (SELECT earlier, later FROM (SELECT *, row_number() OVER (PARTITION BY later ORDER BY similarity DESC, earlier) AS n FROM j
- WHERE similarity >= bar * CASE WHEN coalesce(shared, FALSE) THEN {SHARED} ELSE 1.0 END) WHERE n = 1),
-edge AS (SELECT min(id) OVER (PARTITION BY rank, key) AS x, id AS y FROM key UNION SELECT earlier, later FROM near),
+#: similarity of events, of those in Chinese characters, and what a shared entity leaves of it: with an article, with a known event
+EVENT_ALIKE, EVENT_ALIKE_CJK, SHARED = 0.4, 0.35, (0.7, 0.65)
+
+
+def _event_texts(articles: DataFrame, new: bool = True) -> DataFrame:
+    """What is compared of articles (id, signature, title, summary, entities); those without a title are not."""
+    s = F.col("signature") if new else F.lit(None).cast("string")
+    titled = articles.where("title <> ''").withColumn("_text", text.cluster_text(s, F.col("title"), F.col("summary")))
+    bar = F.when(text.mostly_cjk(F.col("_text")), EVENT_ALIKE_CJK).otherwise(EVENT_ALIKE)
+    return cosine.texts(titled, "id", "_text", bar, "entities", new)
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = entities.tag(articles(spark, sf_dir), ENTITIES).select("id", "title", "summary", "entities")
+    return _signed(spark, sf_dir).join(tagged, "id")
+
+
+def _texts_sql(old: str) -> str:
+    """o: texts with words, bar and entities; old tells which articles are events of earlier runs, whose ids are negative."""
+    return f"""tx AS (SELECT g.id, {old} AS old, entities, concat_ws(' ', CASE WHEN {old} THEN NULL ELSE signature || ' ' || signature || ' '
+ || signature END, title, substr(summary, 1, 200)) AS body FROM g JOIN sg USING (id) WHERE title <> ''),
+o AS (SELECT CASE WHEN old THEN id - 1000000000 ELSE id END AS id, old, entities, {similarity.words("body")} AS words,
+ CASE WHEN {similarity.mostly_cjk("body")} THEN {EVENT_ALIKE_CJK} ELSE {EVENT_ALIKE} END AS bar FROM tx)"""
+
+
+_EVENT_BAR = f"l.bar * CASE WHEN list_has_any(e.entities, l.entities) THEN CASE WHEN e.old THEN {SHARED[1]} ELSE {SHARED[0]} END ELSE 1.0 END"
+_ENTITY_SIGNED = f"{TAGGED}, {_SIGNED.replace('g AS', 'sg AS').replace('SELECT id, title, lang,', 'SELECT id,')}"
+_KEYED_SQL = _KEYS.replace("FROM g)", "FROM sg)")
+
+
+@query("C02, C03, J19", f"""WITH RECURSIVE {_ENTITY_SIGNED}, {_KEYED_SQL}, {_texts_sql("FALSE")},
+{similarity.scored("o", _EVENT_BAR, similarity.EVENT_SCORE, minhash=True)}, {similarity.BEST},
+edge AS (SELECT min(id) OVER (PARTITION BY rank, key) AS x, id AS y FROM key UNION SELECT earlier, later FROM best),
 two AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge),
 reach AS (SELECT id, id AS root FROM a UNION SELECT two.y, root FROM reach JOIN two ON reach.id = two.x WHERE root < two.y)
 SELECT id, min(root) AS event FROM reach GROUP BY id""")
 def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles grouped by equal signature keys, by entity and action, and by similar titles; a shared entity lowers the threshold."""
-    first = distinct_titles(spark, sf_dir)
-    pairs, bar = threshold(dedup.similar(first, "id", "title", ALIKE_CJK * SHARED), first)
-    lang = first.select("id", "lang")
-    pairs = pairs.join(lang.toDF("later", "_l"), "later").join(lang.toDF("earlier", "_e"), "earlier")
-    best = dedup.best_earlier(pairs, bar * F.when(F.col("_l") == F.col("_e"), SHARED).otherwise(1.0))
-    return events.cluster(_signed(spark, sf_dir), best)
+    """Articles grouped by equal signature keys, by entity and action, and by their best match among all earlier ones.
+
+    Compared are signature, title and the head of the summary; the similarity is the largest of cosine,
+    Jaccard and MinHash agreement, and a shared entity lowers the threshold.
+    """
+    a = _tagged(spark, sf_dir)
+    found = cosine.pairs(_event_texts(a), EVENT_ALIKE_CJK, (SHARED[0], SHARED[0]), short=None, minhash=True)
+    return events.cluster(a, cosine.best_earlier(found))
+
+
+@query("C02, C03, J19", f"""WITH RECURSIVE {_ENTITY_SIGNED}, {_KEYED_SQL}, {_texts_sql("g.id % 3 = 0")},
+{similarity.scored("o", _EVENT_BAR, similarity.EVENT_SCORE, minhash=True, where="x.id < y.id AND y.id >= 0")}, {similarity.BEST},
+old AS (SELECT rank, key, min(id) AS event_id FROM key WHERE id % 3 = 0 GROUP BY 1, 2),
+own AS (SELECT id, event_id FROM (SELECT k.id, event_id, row_number() OVER (PARTITION BY k.id ORDER BY k.rank) AS n FROM key k
+ JOIN old USING (rank, key) WHERE k.id % 3 <> 0) WHERE n = 1),
+n AS (SELECT a.id, b.earlier, own.event_id AS own FROM a LEFT JOIN best b ON b.later = a.id LEFT JOIN own ON own.id = a.id WHERE a.id % 3 <> 0),
+fix AS (SELECT id, CASE WHEN earlier < 0 THEN earlier + 1000000000 ELSE own END AS ev FROM n WHERE coalesce(earlier, -1) < 0
+ UNION ALL SELECT n.id, coalesce(fix.ev, n.own) FROM n JOIN fix ON n.earlier = fix.id),
+edge AS (SELECT min(id) OVER (PARTITION BY rank, key) AS x, id AS y FROM key WHERE id % 3 <> 0 UNION SELECT n.earlier, n.id FROM n
+ JOIN fix ON fix.id = n.earlier WHERE fix.ev IS NULL),
+two AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge),
+reach AS (SELECT id, id AS root FROM n UNION SELECT two.y, root FROM reach JOIN two ON reach.id = two.x WHERE root < two.y),
+m AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT id, 'e' || ev AS event_id, CASE WHEN ev IS NULL THEN min(CASE WHEN ev IS NULL THEN id END) OVER (PARTITION BY root) END AS group_id
+ FROM m JOIN fix USING (id)""")
+def events_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the articles as new ones, matched with the others as events of earlier runs and with each other.
+
+    Known events are compared by title and summary, by their keys and with a lower threshold for shared
+    entities; an article that matches another's text gets that article's event.
+    """
+    a, shift = _tagged(spark, sf_dir), 1_000_000_000
+    old, new = a.where("id % 3 = 0"), a.where("id % 3 <> 0")
+    given = _event_texts(old.withColumn("id", F.col("id") - shift), False).unionByName(_event_texts(new))
+    best = cosine.best_earlier(cosine.pairs(given, EVENT_ALIKE_CJK, SHARED, short=None, minhash=True))
+    known = F.concat(F.lit("e"), (F.col("earlier") + shift).cast("string"))
+    matched = best.select("later", F.when(F.col("earlier") >= 0, F.col("earlier")).alias("earlier"), F.when(F.col("earlier") < 0, known).alias("event_id"))
+    stored = old.select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_id"), F.col("id").alias("seq"), "signature")
+    return events.continued(new.select("id", "signature"), stored, matched)
 
 
 @query("J19, K05", f"""WITH {ARTICLES}, {_SIGNED}, {_KEYS}, old AS (SELECT rank, key, min(id) AS event_id FROM key WHERE id < 100
