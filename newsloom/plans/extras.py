@@ -344,3 +344,49 @@ def tiered_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where(F.length("content") > 3000)
     rules = lambda df: df.select("id", "url_key", F.lit("rule").alias("content"), F.lit(True).alias("relevant"))
     return analysis.tiered(p, rules, cache, None, now()).select("id", "level")
+
+
+_KINDS = ("youtube", "zhihu", "twitter", "xhs", "wewe-rss", "hf-papers", "wechat", "http")
+
+
+@query("S01, S02, S06, S07, S08, S09, S10, S11", f"""WITH p AS (SELECT doc_id, ([{", ".join(map(repr, _KINDS))}])[(doc_id % 8 + 1)::INT] AS kind,
+ coalesce(source, 'none') AS source_name, TIMESTAMP '2024-01-01' + to_hours((doc_id % 720)::INT) AS seen FROM documents)
+SELECT kind, source_name, 'Item ' || doc_id AS title, CASE kind WHEN 'youtube' THEN 'https://www.youtube.com/watch?v=' WHEN 'zhihu'
+ THEN 'https://www.zhihu.com/question/' WHEN 'twitter' THEN 'https://x.com/status/' WHEN 'xhs' THEN 'https://www.xiaohongshu.com/explore/'
+ WHEN 'hf-papers' THEN 'https://huggingface.co/papers/' ELSE 'https://feed.example/' END || doc_id AS link,
+ CASE WHEN kind NOT IN ('zhihu', 'xhs') THEN seen END AS published FROM p
+ WHERE source_name <> 'src3' AND (kind <> 'http' OR seen >= TIMESTAMP '2024-01-20')""")
+def plugin_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a payload of one of eight services, stored by kind and read back through the kind's own format.
+
+    Items of the plain feeds are read from a date on, and one source is left out.
+    """
+    import uuid
+
+    from newsloom.sources import plugins
+    from newsloom.sources.tables import shared_dir
+
+    n, at = F.col("doc_id").cast("string"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 720 * 3600)
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    title = F.concat(F.lit("Item "), n)
+    rss = lambda link: F.concat(
+        F.lit("<rss><channel><item><title>Item "), n, F.lit("</title><link>"), link, F.lit("</link><pubDate>"), iso, F.lit("</pubDate></item></channel></rss>")
+    )
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 8).cast("int"))
+    payload = F.when(
+        F.col("kind") == "youtube", F.to_json(F.struct(F.array(F.struct(n.alias("videoId"), title.alias("title"), iso.alias("published"))).alias("videos")))
+    ).when(
+        F.col("kind") == "zhihu", F.to_json(F.struct(F.array(F.struct(F.struct(n.alias("id"), title.alias("title")).alias("target"))).alias("data")))
+    ).when(F.col("kind") == "twitter", rss(F.concat(F.lit("https://mirror.example/status/"), n, F.lit("#m")))).when(
+        F.col("kind") == "xhs", F.to_json(F.struct(F.array(F.struct(n.alias("id"), F.struct(title.alias("title")).alias("note"))).alias("notes")))
+    ).when(
+        F.col("kind") == "hf-papers", F.to_json(F.array(F.struct(F.struct(n.alias("id"), title.alias("title"), iso.alias("publishedAt")).alias("paper"))))
+    ).otherwise(rss(F.concat(F.lit("https://feed.example/"), n)))
+    raw = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.coalesce("source", F.lit("none")).alias("source_name"))
+    folder = f"{shared_dir(spark)}/payloads-{uuid.uuid4().hex}"
+    plugins.store(raw.select("kind", "source_name", F.lit("").alias("url"), at.alias("fetched_at"), payload.alias("payload")), folder)
+    plugins.register(spark)
+    found = plugins.read(spark, folder).where("source_name <> 'src3'")
+    items = found.where((F.col("kind") != "http") | (F.col("published") >= F.lit("2024-01-20 00:00:00+00:00").cast("timestamp")))
+    items = items.select("kind", "source_name", "title", "link", "published")
+    return items.withColumn("published", F.to_utc_timestamp("published", F.current_timezone()).cast("timestamp_ntz"))

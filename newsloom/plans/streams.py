@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.plans import reports  # noqa: F401  (its queries are referred to)
 from newsloom.plans.registry import QUERIES, query
 from newsloom.sources.tables import shared_dir, table
-from newsloom.streaming import jobs
+from newsloom.streaming import cache, jobs
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +81,22 @@ def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _stream(spark, sf_dir).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
     out = jobs.joined(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id")
     return jobs.run_available(out.select(F.col("a.event_id").alias("seen"), F.col("b.event_id").alias("bought")), _folder(spark, "joined"))
+
+
+@query("R06, J22",
+ """WITH o AS (SELECT user_id, event_id, ts, event_type IN ('purchase', 'signup') AS puts, event_id % 4 = 0 AS poor FROM events),
+s AS (SELECT *, last_value(CASE WHEN puts THEN ts END IGNORE NULLS) OVER w AS created, last_value(CASE WHEN puts THEN poor END IGNORE NULLS) OVER w AS bad
+ FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT user_id, event_id, ts, coalesce(created >= ts - INTERVAL 7 DAY AND NOT bad, FALSE) AS hit FROM s WHERE NOT puts)
+SELECT user_id::VARCHAR AS key, event_id AS seq, hit, (count(*) FILTER (hit) OVER w)::BIGINT AS hits, (count(*) FILTER (NOT hit) OVER w)::BIGINT AS misses
+ FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as a cache's traffic: some put an entry, one in four of them a poor one, the others look it up."""
+    e = _stream(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type").isin("purchase", "signup"), "set").otherwise("get").alias("kind"),
+        F.when(F.col("event_id") % 4 != 0, F.lit("text")).otherwise("").alias("content"), F.lit(True).alias("relevant")
+    )
+    with cache.rocksdb(spark):
+        rows = jobs.run_available(cache.lookups(e), _folder(spark, "cache"))
+    return rows.select("key", "seq", (F.col("outcome") == "hit").alias("hit"), "hits", "misses")
