@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.entities import small
+from newsloom.sources.tables import cut, free
+
 
 def tiered_age(items: DataFrame, as_of: Column, limits: dict[int, int], default_hours: int, override: str | None = None) -> DataFrame:
     """Items without a date pass; others must be no older than their own limit, their tier's, or the default."""
@@ -50,39 +55,50 @@ def tiered_quota(items: DataFrame, budget: int, floor: int, order: list[Column],
     return t0.unionByName(t1.orderBy(*order).limit(k1)).unionByName(t2.orderBy(*order).limit(max(0, budget - n0 - k1)))
 
 
+def _first(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
+    """The first `cap` rows (group, order, _e) of each entity, numbered _n; the limit is taken before the shuffle as well."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_e").orderBy(order))).where(F.col("_n") <= cap)
+
+
 def entity_rate_limit(items: DataFrame, cap: int, order: str, group: str = "day") -> DataFrame:
     """Accept an item if each of its entities has been accepted fewer than `cap` times before in its group.
 
-    Protected items are always accepted and counted. Items without an entity are accepted and never
-    leave their partition, and once `cap` protected items name an entity, later items with it are
-    rejected before the fold. The rest is a fold over the order of arrival, which is unique in a group
-    (a day of one batch).
+    Protected items are always accepted and counted; items without an entity are accepted. The order is
+    unique in a group (a day of one batch) and not null.
+
+    Decided in rounds. An item is certainly rejected if one of its entities has its cap-th accepted item
+    before it, and certainly accepted if for each entity fewer than cap items before it are accepted
+    or still open. The earliest open item of a group is always decided, and commonly all but a few in two
+    or three rounds. A round needs the first cap items of each entity only, so no group and no entity
+    is one task's work.
     """
-    import pandas as pd
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, int] = {}
-        keep = []
-        for entities, protected in zip(part.entities, part.protected, strict=True):
-            names = list(entities)
-            ok = bool(protected) or all(seen.get(e, 0) < cap for e in names)
-            if ok:
-                for e in names:
-                    seen[e] = seen.get(e, 0) + 1
-            keep.append(ok)
-        return part[keep]
-
-    free = F.coalesce(F.size("entities") <= 0, F.lit(True)) | F.col("entities").isNull()
-    bound = items.where(~free)
-    guards = bound.where("protected").select(group, order, F.explode("entities").alias("_e"))
-    nth = F.row_number().over(Window.partitionBy(group, "_e").orderBy(order))
-    full = guards.withColumn("_n", nth).where(F.col("_n") == cap).groupBy(group, "_e").agg(F.min(order).alias("_at"))
-    late = bound.where("not protected").select(
-        group, order, F.explode("entities").alias("_e")
-    ).join(full, [group, "_e"]).where(F.col(order) > F.col("_at")).select(group, order).distinct()
-    open_ = bound.where("not protected").join(late, [group, order], "left_anti").unionByName(bound.where("protected"))
-    folded = open_.select(*items.columns).groupBy(group).applyInPandas(lambda part: fold(part.sort_values(order, kind="stable")), items.schema)
-    return items.where(free).unionByName(folded)
+    columns, given = items.columns, group
+    group = "_g"  # null is a group like any other
+    items = items.withColumn(group, F.coalesce(F.concat(F.lit("="), F.col(given).cast("string")), F.lit("")))
+    key = [F.col(group), F.col(order)]
+    names = F.array_distinct(F.coalesce("entities", F.array().cast("array<string>")))
+    bound = cut(items.where(F.size(names) > 0).select(*key, names.alias("_es"), F.coalesce("protected", F.lit(False)).alias("_p")), "bound")
+    each = F.explode("_es").alias("_e")
+    held = cut(_first(bound.where("_p").select(*key, each), group, order, cap).drop("_n"), "held")
+    accepted, open_ = [bound.where("_p").select(*key)], cut(bound.where("not _p").drop("_p"), "open")
+    while open_.limit(1).count():
+        rows = open_.select(*key, each)
+        sure = _first(held, group, order, cap).where(F.col("_n") == cap).select(group, "_e", F.col(order).alias("_sure"))
+        most = _first(held.unionByName(rows), group, order, cap).where(F.col("_n") == cap).select(group, "_e", F.col(order).alias("_most"))
+        limits = small(most.join(sure, [group, "_e"], "left"))
+        judged = rows.join(limits, [group, "_e"], "left").groupBy(*key).agg(
+            F.bool_or(F.coalesce(F.col(order) > F.col("_sure"), F.lit(False))).alias("_no"),
+            F.bool_and(F.coalesce(F.col(order) <= F.col("_most"), F.lit(True))).alias("_yes")
+        )
+        judged = cut(open_.join(judged, [group, order]), "judged")
+        good = judged.where("_yes and not _no")
+        accepted.append(good.select(*key))
+        before, old = held, open_
+        held = cut(_first(held.unionByName(good.select(*key, each)), group, order, cap).drop("_n"), "held")
+        open_ = cut(judged.where("not _yes and not _no").drop("_yes", "_no"), "open")
+        free(before, old)
+    kept = reduce(DataFrame.unionByName, accepted)
+    return items.where(F.size(names) == 0).unionByName(items.where(F.size(names) > 0).join(kept, [group, order], "left_semi")).select(*columns)
 
 
 def shift_window(items: DataFrame, start: Column, end: Column) -> DataFrame:

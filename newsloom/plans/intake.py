@@ -59,7 +59,13 @@ def tiered_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.tiered_quota(entities.tag(articles(spark, sf_dir), ENTITIES), 250, 60, [F.desc("importance"), F.col("id")]).select("id", "tier")
 
 
-@query("W03, P17")
+@query("W03, P17", f"""WITH RECURSIVE {TAGGED}, r AS (SELECT id, collected_at::DATE AS day, entities, row_number()
+ OVER (PARTITION BY collected_at::DATE ORDER BY id) AS n, list_contains(entities, 'shipping') AS protected,
+ [{", ".join(f"list_contains(entities, '{e['id']}')" for e in ENTITIES)}] AS flags FROM g WHERE len(entities) > 0),
+f AS (SELECT day, 0::BIGINT AS n, NULL::BIGINT AS id, FALSE AS ok, [{", ".join("0" for _ in ENTITIES)}]::BIGINT[] AS counts FROM (SELECT DISTINCT day FROM r)
+ UNION ALL SELECT day, n, id, ok, CASE WHEN ok THEN list_transform(counts, lambda c, i: c + flags[i]::BIGINT) ELSE counts END FROM (SELECT r.day, r.n, r.id, flags,
+ counts, protected OR len(list_filter(counts, lambda c, i: flags[i] AND c >= 5)) = 0 AS ok FROM f JOIN r ON r.day = f.day AND r.n = f.n + 1))
+SELECT id, len(entities)::BIGINT AS n_entities FROM g WHERE len(entities) = 0 OR id IN (SELECT id FROM f WHERE ok)""")
 def entity_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = entities.tag(articles(spark, sf_dir), ENTITIES).select(
         "id", "entities", "protected", F.date_trunc("day", F.col("collected_at").cast("timestamp")).cast("date").alias("day")

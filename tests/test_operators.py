@@ -97,6 +97,24 @@ def test_rate_limit_is_a_fold(spark):
     assert sorted(r.id for r in filters.entity_rate_limit(df, 3, "id").collect()) == want
 
 
+def test_rate_limit_with_many_entities_and_null_days(spark):
+    draw = random.Random(4)
+    rows = [(i, draw.sample("abcdef", draw.randrange(0, 4)), draw.random() < 0.05, draw.choice([1, 2, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, entities array<string>, protected boolean, day int").repartition(5)
+    seen, want = {}, []
+    for i, e, p, d in rows:
+        ok = p or all(seen.get((d, x), 0) < 4 for x in e)
+        for x in e if ok else []:
+            seen[d, x] = seen.get((d, x), 0) + 1
+        want += [i] * ok
+    assert sorted(r.id for r in filters.entity_rate_limit(df, 4, "id").collect()) == want
+
+
+def test_rate_limit_deals_a_long_day_to_many_tasks(spark):
+    df = spark.range(0, 300_000, 1, 8).selectExpr("id", "array('hot', concat('e', id % 1000)) as entities", "false as protected", "1 as day")
+    assert [r.id for r in filters.entity_rate_limit(df, 5, "id").collect()] == [0, 1, 2, 3, 4]
+
+
 def test_quota(spark):
     kind = "id int, tier int, source_name string, protected boolean"
     for sizes in ((0, 300, 300), (200, 100, 100), (40, 10, 500)):
