@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.sources.tables import cut
+
 #: fixed values: the kinds of source and the limits of the fields
 SOURCE_TYPES = ("official", "paper", "news", "opinion", "community", "video")
 TITLE, SUMMARY, DETAILS, DETAIL = 60, 150, 5, 80
@@ -14,6 +17,8 @@ DIRECTIONS, CONFIDENCES, AUDIENCES = ("positive", "negative", "mixed", "neutral"
     "researcher", "developer", "pm", "investor", "general"
 )
 CHINESE = 0.6
+#: fixed values: what errors of a rate limit say
+RATE_LIMITS = ("429", "rate_limit", "rate limit", "overloaded", "quota", "too many requests", "usage limit")
 
 
 def _list(name: str) -> Column:
@@ -84,6 +89,50 @@ def tiered(
     return hit.withColumn("level", F.lit("cache")).unionByName(rest.withColumn("level", F.lit("analysed" if analyse else "rules")))
 
 
+def _rate_limited(error: Column) -> Column:
+    """Whether an error says that the service takes no more for now."""
+    return F.lower(error).rlike("|".join(RATE_LIMITS))
+
+
+def fused(items: DataFrame, analyse: Callable[[DataFrame], DataFrame], order: list[Column], waves: int = 10, least: int = 3, share: float = 0.3) -> DataFrame:
+    """The items that were tried (id, content, relevant, error), analysed in waves until a fuse blows.
+
+    analyse returns these columns, error null where it worked. After each wave the failures of all waves
+    are counted: at max(least, share of all items) of them, or at any answer that tells of a rate
+    limit, no further wave is started. Items stand in the given order, which must be total; a wave
+    is one job, so whole waves are tried. Without items nothing is tried.
+    """
+    from newsloom.operators.ranking import placed
+
+    total = items.count()
+    fuse, size = max(least, int(total * share)), max(1, -(-total // waves))
+    ordered, tried, failures = placed(items, order), [], 0
+    for wave in range(-(-total // size)):
+        part = ordered.where(F.col("place").between(wave * size + 1, (wave + 1) * size)).drop("place")
+        tried.append(cut(analyse(part).select("id", "content", "relevant", "error"), "analysed"))
+        failed, limited = tried[-1].agg(F.count("error"), F.coalesce(F.bool_or(_rate_limited(F.col("error"))), F.lit(False))).first()
+        failures += failed
+        if limited or failures >= fuse:
+            break
+    return reduce(DataFrame.unionByName, tried) if tried else analyse(items).select("id", "content", "relevant", "error")
+
+
+def tiered_fused(
+    items: DataFrame, rules: Callable[[DataFrame], DataFrame], cache: DataFrame, analyse: Callable[[DataFrame], DataFrame], as_of, order: list[Column], **limits: float
+) -> DataFrame:
+    """tiered() with a fuse: items whose analysis failed or was not tried keep the rules' result."""
+    ruled = rules(items)
+    hit, missed = from_cache(ruled.drop("content", "relevant"), cache, as_of)
+    good = fused(missed, analyse, order, **limits).where("error is null and relevant is not null").drop("error")
+    rest = missed.join(good.select("id", F.col("content").alias("_c"), F.col("relevant").alias("_r")), "id", "left").join(
+        ruled.select("id", "content", "relevant"), "id"
+    )
+    done = F.col("_r").isNotNull()
+    rest = rest.withColumn("level", F.when(done, "analysed").otherwise("rules")).withColumn("content", F.when(done, F.col("_c")).otherwise(F.col("content")))
+    rest = rest.withColumn("relevant", F.coalesce("_r", "relevant")).drop("_c", "_r")
+    return hit.withColumn("level", F.lit("cache")).unionByName(rest)
+
+
 def polluted(analyses: DataFrame) -> DataFrame:
     """Analyses of level 1 whose longer fields are all but empty."""
     return analyses.where(

@@ -189,9 +189,14 @@ def digest(
     return checked.where((F.col("contradicted") == 0) & (F.col("confidence") != "low"))
 
 
-def repair_plan(sources: DataFrame, health: DataFrame, candidates: Column, dead: int = 10, give_up: int = 30) -> DataFrame:
-    """(name, action, tries): dead sources get addresses to try, those dead for very long are disabled."""
-    j = sources.join(health.select("name", "consecutive_failures"), "name", "left").where(F.coalesce("consecutive_failures", F.lit(0)) >= dead)
+def repair_plan(sources: DataFrame, health: DataFrame, candidates: Column, dead: int = 10, give_up: int = 20) -> DataFrame:
+    """(name, action, tries): dead sources get addresses to try, those dead for long are disabled.
+
+    Only enabled sources are looked at: enabled is not false (a source without the mark is enabled).
+    """
+    j = sources.where(F.coalesce("enabled", F.lit(True))).join(health.select("name", "consecutive_failures"), "name", "left").where(
+        F.coalesce("consecutive_failures", F.lit(0)) >= dead
+    )
     action = F.when(F.col("consecutive_failures") >= give_up, "disable").otherwise("retry")
     return j.select("name", action.alias("action"), F.when(action == "retry", candidates).alias("tries"))
 

@@ -1,6 +1,6 @@
 """Registered queries: importing the modules fills the registry."""
 
-from newsloom.plans import articles, briefing, details, extras, files, intake, matching, reports, streams  # noqa: F401
+from newsloom.plans import articles, briefing, details, extras, files, intake, matching, reports, runs, streams  # noqa: F401
 from newsloom.plans.registry import QUERIES
 
 

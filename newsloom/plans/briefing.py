@@ -307,10 +307,13 @@ def digest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("C12, P47",
- f"""WITH {_HEALTH_SQL} SELECT name, CASE WHEN consecutive_failures >= 30 THEN 'disable' ELSE 'retry' END AS action FROM h WHERE consecutive_failures >= 10""")
+ f"""WITH {_HEALTH_SQL} SELECT name, CASE WHEN consecutive_failures >= 20 THEN 'disable' ELSE 'retry' END AS action FROM h
+ WHERE consecutive_failures >= 10 AND substr(name, 2)::BIGINT % 5 <> 0""")
 def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _health(spark, sf_dir)[0]
-    sources = h.select("name", F.concat(F.lit("https://"), "name", F.lit(".example/feed")).alias("url"))
+    number = F.substring("name", 2, 20).cast("bigint")
+    off = F.when(number % 5 == 0, False).when(number % 2 == 0, True)  # others have no mark
+    sources = h.select("name", F.concat(F.lit("https://"), "name", F.lit(".example/feed")).alias("url"), off.alias("enabled"))
     return briefing.repair_plan(sources, h, display.candidate_urls(F.col("url"))).select("name", "action")
 
 

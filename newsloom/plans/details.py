@@ -124,15 +124,17 @@ def other_sources_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(first, "event_id").where("source_name <> first").groupBy("event_id", "source_name").agg(F.min("reported_at").alias("earliest"))
 
 
-@query(
-    "A29",
-    f"WITH {ARTICLES} SELECT collected_at::DATE AS day, source_name, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY importance DESC, id) AS ids FROM a WHERE importance >= 5 GROUP BY ALL"
-)
+_RENDERED = "collected_at + to_hours((id % 240)::INT)"
+
+
+@query("A29, P49", f"""WITH {ARTICLES} SELECT strftime(collected_at + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, id, strftime(collected_at + INTERVAL 8 HOUR, '%H:%M') AS time,
+ strftime({_RENDERED} + INTERVAL 8 HOUR, '%Y-%m-%d') || CASE WHEN hour({_RENDERED} + INTERVAL 8 HOUR) >= 12 THEN '-pm' ELSE '-am' END AS page
+ FROM a WHERE importance >= 4 AND {_RENDERED} >= TIMESTAMP '2024-01-11 18:00:00' - INTERVAL 7 DAY""")
 def important_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = articles(spark, sf_dir).where("importance >= 5").groupBy(F.to_date("collected_at").alias("day"), "source_name").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "id"))).alias("x")
-    )
-    return a.select("day", "source_name", "n", F.array_join(F.transform("x", lambda s: s["id"].cast("string")), ",").alias("ids"))
+    """Important events rendered within a week, by the local date on which they were published; the page is that of the rendering."""
+    a = articles(spark, sf_dir).withColumn("rendered_at", F.col("collected_at") + F.make_dt_interval(F.lit(0), (F.col("id") % 240).cast("int")))
+    found = ranking.important_days(a, "collected_at", F.lit("2024-01-11 18:00:00").cast("timestamp_ntz"), "Asia/Shanghai")
+    return found.select("day", "id", "time", "page")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import display, scores, text
-from newsloom.operators import analysis, filters, health, store
+from newsloom.operators import analysis, filters, health, ranking, store
 from newsloom.plans.registry import query
 from newsloom.plans.views import ARTICLES, AS_OF, EVIDENCE, articles, evidence
 from newsloom.sources import apis, feeds
@@ -272,14 +272,17 @@ def rendered_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count("*").alias("events"))
 
 
-@query("A27",
- f"""WITH {ARTICLES} SELECT source_name, count(*) AS n, round(avg(CASE WHEN importance > 1 THEN importance END), 6) AS mean_importance, string_agg(DISTINCT lang, ',' ORDER BY lang) AS audiences, count(DISTINCT tier) AS categories FROM a GROUP BY 1""")
+_PAGE_ITEMS = f"""{ARTICLES}, pi AS (SELECT *, CASE WHEN id % 3 = 0 THEN NULL ELSE importance - 1 END AS marked FROM a)"""
+
+
+@query("A27", f"""WITH {_PAGE_ITEMS} SELECT source_name, count(*) AS n, round(avg(CASE WHEN marked > 0 THEN marked END), 6) AS mean_importance,
+ string_agg(DISTINCT lang, ',' ORDER BY lang) AS audiences, count(DISTINCT tier) AS categories FROM pi GROUP BY 1""")
 def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: items, mean importance of those that have one, distinct audiences and categories."""
-    a = articles(spark, sf_dir).groupBy("source_name")
-    return a.agg(
-        F.count("*").alias("n"), F.round(F.avg(F.when(F.col("importance") > 1, F.col("importance"))), 6).alias("mean_importance"),
-        F.nullif(F.array_join(F.array_sort(F.collect_set("lang")), ","), F.lit("")).alias("audiences"), F.count_distinct("tier").alias("categories")
+    """Per source: items, mean importance of those that have one (some have none, some 0), distinct audiences and categories."""
+    marked = F.when(F.col("id") % 3 != 0, F.col("importance") - 1)
+    stats = ranking.page_stats(articles(spark, sf_dir).withColumn("importance", marked), "lang", "tier")
+    return stats.select(
+        "source_name", "n", F.round("mean_importance", 6).alias("mean_importance"), F.nullif(F.array_join("audiences", ","), F.lit("")).alias("audiences"), "categories"
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from newsloom.operators import health, store
 from newsloom.plans.briefing import ITEMS, items
 from newsloom.plans.registry import query
-from newsloom.plans.views import ENTITIES
 from newsloom.sources import feeds, files
 from newsloom.sources.tables import shared_dir, table
 
@@ -46,30 +44,23 @@ def log_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.error_rollup(feeds.log_lines(spark, path)).select("level", "module", "head", "n")
 
 
-@query(
-    "S22",
-    "SELECT * FROM (VALUES " + ", ".join(
-        f"('{e['id']}', {e['tier']}::INT, '{','.join(e['keywords'])}')" for e in ENTITIES
-    ) + ") t(id, tier, keywords)"
-)
+@query("S22", "SELECT n_name AS id, n_regionkey::INT AS tier, lower(n_name) || ',' || lower(r_name) AS keywords FROM nation JOIN region ON n_regionkey = r_regionkey")
 def json_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry of entities from an indented JSON file."""
+    """Nations as a registry of entities: one indented JSON file, read back."""
     path = _folder(spark, "registry")
-    text = json.dumps({"version": 1, "entities": ENTITIES}, indent=2, ensure_ascii=False)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return files.json_config(
-        spark, path, "id: string, tier: int, primary: array<string>, keywords: array<string>", "entities"
-    ).select("id", "tier", F.array_join("keywords", ",").alias("keywords"))
+    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # a name for each region
+    entry = F.struct(F.col("n_name").alias("id"), F.col("n_regionkey").alias("tier"), F.array(F.lower("n_name"), F.lower("r_name")).alias("keywords"))
+    whole = F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(entry).alias("entities")), {"pretty": "true"})
+    n.agg(whole.alias("value")).write.text(path)
+    return files.json_config(spark, path, "id: string, tier: int, keywords: array<string>", "entities").select("id", "tier", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query(
-    "S24",
-    "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND (doc_id % 2 = 0 OR NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]'))"
-)
+@query("S24", "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as bytes of one of two charsets, told apart."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ((F.col("doc_id") % 2 == 0) | ~F.col("text").rlike(r"[^\x{00}-\x{FF}]")))
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    """Texts as bytes of one of two charsets, told apart; odd ids are in Latin-1 where that can hold them."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    latin = (F.col("doc_id") % 2 == 1) & ~F.col("text").rlike(r"[^\x{00}-\x{FF}]")
+    raw = F.when(latin, F.encode(F.when(latin, F.col("text")), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return d.select("doc_id", F.md5(files.decoded(raw).cast("binary")).alias("digest"))
 
 

@@ -147,9 +147,13 @@ def signals(
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(at, level, module, message) of the lines 'time [LEVEL] module: message'."""
+    return parsed_lines(spark.read.text(path))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(at, level, module, message) of the lines (value) 'time [LEVEL] module: message'; other lines are dropped."""
     p = r"^(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d)\S*\s+\[?(ERROR|WARNING|INFO|DEBUG)\]?\s+(\S+?):?\s+(.*)$"
-    lines = spark.read.text(path).where(F.col("value").rlike(p))
-    return lines.select(
+    return lines.where(F.col("value").rlike(p)).select(
         F.try_to_timestamp(F.replace(F.regexp_extract("value", p, 1), F.lit("T"), F.lit(" "))).alias("at"),
         *(F.regexp_extract("value", p, i).alias(n) for i, n in ((2, "level"), (3, "module"), (4, "message")))
     )
