@@ -416,6 +416,23 @@ def test_article_body_takes_the_longest(spark):
         assert one(spark, articles.body(F.col("h").cast("string")), h=page or "") == want, page
 
 
+def test_broken_pages_are_read_in_one_pass():
+    import time
+
+    from newsloom.functions import articles
+
+    began = time.perf_counter()
+    for page in ("<div " * 100_000, "<form>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<p>" * 100_000, "<!--" * 100_000, '<a "' * 50_000, "<" * 100_000):
+        assert articles.text_of(page, 10) in ("", "<<<<<<<<<<")
+        assert articles.pictures_of(page, "http://a.b", 4) == []
+    assert time.perf_counter() - began < 30
+    draw = random.Random(1)
+    parts = ["<p>", "</p>", "<div class='content'>", "</div>", "<article>", "</ARTICLE>", "<script>", "</script>", "<!--", "-->", "<", ">", "text " * 10, "<img src='x.png'>", "&amp;", '"']
+    for _ in range(500):
+        page = "".join(draw.choice(parts) for _ in range(draw.randrange(30)))
+        assert len(articles.text_of(page, 100)) <= 100
+
+
 def test_pictures_are_whole_clean_and_distinct(spark):
     from newsloom.functions import articles
 
