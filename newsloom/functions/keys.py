@@ -52,23 +52,36 @@ def signature_key(signature: Column) -> Column:
 
 #: fixed values: verbs of a signature by kind of action, and names by the entity they mean
 VERBS = {
-    "publish": "release launch announce unveil introduce reveal ship roll-out rollout debut preview demo publish upload",
-    "acquisition": "acquire buy purchase merge takeover",
-    "funding": "fund fundraise raise invest close secure",
-    "partnership": "partner collaborate team-up team",
-    "opensource": "open-source open",
-    "hiring": "hire appoint join leave depart fire resign",
-    "legal": "sue settle fine ban",
-    "strategy": "pivot restructure",
+    "publish": ("release", "launch", "announce", "unveil", "introduce", "reveal", "ship", "roll-out", "rollout", "debut", "preview", "demo", "publish", "upload"),
+    "acquisition": ("acquire", "buy", "purchase", "merge", "takeover"),
+    "funding": ("fund", "fundraise", "raise", "invest", "close", "secure"),
+    "partnership": ("partner", "collaborate", "team-up", "team"),
+    "opensource": ("open-source", "open"),
+    "hiring": ("hire", "appoint", "join", "leave", "depart", "fire", "resign"),
+    "legal": ("sue", "settle", "fine", "ban"),
+    "strategy": ("pivot", "restructure"),
 }
 ENTITIES = {
-    "openai": "open-ai", "google": "google-deepmind deepmind alphabet", "meta": "meta-ai facebook fair", "microsoft": "msft", "amazon": "aws", "mistral": "mistral-ai", "huggingface": "hugging-face hf",
-    "xai": "x-ai", "deepseek": "deep-seek", "bytedance": "字节 字节跳动", "alibaba": "阿里 阿里巴巴", "baidu": "百度", "tencent": "腾讯", "moonshot": "月之暗面", "zhipu": "智谱",
-}
+    "openai": ("open-ai",),
+    "google": ("google-deepmind", "deepmind", "alphabet"),
+    "meta": ("meta-ai", "facebook", "fair"),
+    "microsoft": ("msft",),
+    "amazon": ("aws",),
+    "mistral": ("mistral-ai",),
+    "huggingface": ("hugging-face", "hf"),
+    "xai": ("x-ai",),
+    "deepseek": ("deep-seek",),
+    "bytedance": ("字节", "字节跳动"),
+    "alibaba": ("阿里", "阿里巴巴"),
+    "baidu": ("百度",),
+    "tencent": ("腾讯",),
+    "moonshot": ("月之暗面",),
+    "zhipu": ("智谱",),
+}
 
 
-def _among(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for name, words in table.items() for w in words.split() for x in (w, name)])
+def _among(table: dict[str, tuple[str, ...]]) -> Column:
+    return F.create_map(*[F.lit(x) for name, words in table.items() for w in words for x in (w, name)])
 
 
 def entity_action_key(signature: Column) -> Column:

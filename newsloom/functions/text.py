@@ -100,17 +100,19 @@ def relative_age_hours(text: Column) -> Column:
 
 #: fixed values: words that say nothing in a title
 STOP_WORDS = (
-    "a an the is are was were be been being in on at to for of with by from about and or but not no as this that these those "
-    "it its they them their we you i he she how what when where why who which has have will would can could should may might do does "
-    "new now just more most one two some all any show ask hn reddit d p r 的 了 在 是 我 有 和 就 不 人 都 今 日 昨 明 年 月 天 时"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "in", "on", "at", "to", "for", "of", "with", "by", "from", "about",
+    "and", "or", "but", "not", "no", "as", "this", "that", "these", "those", "it", "its", "they", "them", "their", "we", "you", "i", "he",
+    "she", "how", "what", "when", "where", "why", "who", "which", "has", "have", "will", "would", "can", "could", "should", "may", "might",
+    "do", "does", "new", "now", "just", "more", "most", "one", "two", "some", "all", "any", "show", "ask", "hn", "reddit", "d", "p", "r",
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "今", "日", "昨", "明", "年", "月", "天", "时"
+)
 
 
 def keywords(text: Column) -> Column:
     """Distinct lower-case ASCII words of two characters or more that are no stop words, and runs of two Chinese characters or more."""
     words = F.filter(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9-]*"), 0), F.lower), lambda w: F.length(w) >= 2)
     runs = F.regexp_extract_all(text, F.lit(r"[\x{4E00}-\x{9FFF}]{2,}"), 0)
-    return F.array_except(F.array_distinct(F.concat(words, runs)), F.lit(STOP_WORDS))
+    return F.array_except(F.array_distinct(F.concat(words, runs)), F.lit(list(STOP_WORDS)))
 
 
 def truncate_at_sentence(text: Column, limit: int, note: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,21 +14,30 @@ from newsloom.operators.entities import small
 
 #: fixed values: words that name a product or maker
 BRANDS = (
-    "openai anthropic claude gpt chatgpt codex gemini llama mistral deepseek qwen nvidia sora dalle gemma whisper midjourney huggingface cursor perplexity cerebras tomoro bytedance kimi doubao grok "
-    "xai meta apple google microsoft amazon cohere agent vllm transformer diffusion rag mcp fine-tune fine-tuning"
-).split()
+    "openai", "anthropic", "claude", "gpt", "chatgpt", "codex", "gemini", "llama", "mistral", "deepseek", "qwen", "nvidia", "sora", "dalle",
+    "gemma", "whisper", "midjourney", "huggingface", "cursor", "perplexity", "cerebras", "tomoro", "bytedance", "kimi", "doubao", "grok",
+    "xai", "meta", "apple", "google", "microsoft", "amazon", "cohere", "agent", "vllm", "transformer", "diffusion", "rag", "mcp",
+    "fine-tune", "fine-tuning"
+)
 #: fixed values: rules in their order, and what each is worth
 RULES = {"url_exact": 1.0, "url_evidence": 0.95, "title_keywords": 0.7, "title_brand": 0.6, "entity_match": 0.5, "entity_in_title": 0.5}
 
 
-def match(events: DataFrame, signals: DataFrame, words: int = 3, brands: list[str] = BRANDS) -> DataFrame:
+def _runs(text: Column, most: int = 3) -> Column:
+    """Distinct runs of one to `most` characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda k: F.transform(F.array(*map(F.lit, range(1, most + 1))), lambda n: F.substring(text, k, n)))))
+
+
+def match(events: DataFrame, signals: DataFrame, words: int = 3, brands: Sequence[str] = BRANDS) -> DataFrame:
     """The best signal per event and source: event_id, source, signal_id, score, rule, confidence.
 
     events: event_id, url_key, evidence_keys, title, summary, entity_tags; signals: signal_id, source,
     url_key, title, score. The first rule that holds decides a pair; the best has the largest
     confidence * (score + 100), ties to the smaller signal id. All rules are equi-joins: on address
     keys, on inverted lists of words (a signal's side is broadcast if it is small), and on tags, after
-    the few distinct tags have been looked up in the signals' titles.
+    the distinct tags have been looked up in the signals' titles by their first characters. An empty tag
+    is in no title.
     """
     given = events.select(
         "event_id", F.when(F.size(keywords(F.col("title"))) > 0, keywords(F.col("title"))).otherwise(keywords(F.col("summary"))).alias("w")
@@ -41,17 +52,17 @@ def match(events: DataFrame, signals: DataFrame, words: int = 3, brands: list[st
     named = pairs(events.select("event_id", F.explode("evidence_keys").alias("url_key")).join(keyed, "url_key"), "url_evidence")
     word = of_signal.select("signal_id", F.explode("w").alias("t"))
     met = given.select("event_id", F.explode("w").alias("t")).join(small(word), "t").groupBy("event_id", "signal_id").agg(
-        F.count("*").alias("n"), F.bool_or(F.col("t").isin(brands)).alias("brand")
+        F.count("*").alias("n"), F.bool_or(F.col("t").isin(list(brands))).alias("brand")
     )
     shared = met.where((F.col("n") >= words) | ((F.col("n") >= 2) & F.col("brand"))).select(
         "event_id", "signal_id", F.when(F.col("n") >= words, 2).otherwise(3).alias("place")
     )
     tags = events.select("event_id", F.explode(F.array_distinct(F.transform("entity_tags", F.lower))).alias("t"))
     tagged = pairs(tags.join(small(word), "t"), "entity_match")
-    # a dimension of distinct tags against the signals' titles, both small; the nested loop is theirs alone
-    known = small(tags.select("t").distinct()).join(
-        small(signals.select("signal_id", F.lower("title").alias("low"))), F.contains("low", "t")
-    ).select("t", "signal_id")
+    # a tag in a title begins with one of the title's runs of up to three characters; titles are looked up by those
+    known = tags.where("t <> ''").select("t").distinct().withColumn("_g", F.substring("t", 1, 3)).join(
+        signals.select("signal_id", F.lower("title").alias("low")).withColumn("_g", F.explode(_runs(F.col("low")))), "_g"
+    ).where(F.contains("low", "t")).select("t", "signal_id")
     within = pairs(tags.join(small(known), "t"), "entity_in_title")
     first = exact.unionByName(named).unionByName(shared).unionByName(tagged).unionByName(within).groupBy("event_id", "signal_id").agg(F.min("place").alias("place"))
     name, worth = (F.element_at(F.lit(list(x)), F.col("place") + 1) for x in (RULES, RULES.values()))

@@ -337,7 +337,7 @@ p AS (SELECT event_id, signal_id, 0 AS place FROM e JOIN s ON e.url_key = s.url_
  UNION ALL SELECT event_id, signal_id, CASE WHEN n >= 3 THEN 2 ELSE 3 END FROM (SELECT event_id, signal_id, count(*) AS n,
  bool_or(t IN ({", ".join(map(repr, _BRANDS))})) AS brand FROM ew JOIN sw USING (t) GROUP BY 1, 2) WHERE n >= 3 OR (n >= 2 AND brand)
  UNION ALL SELECT event_id, signal_id, 4 FROM et JOIN sw USING (t) UNION ALL SELECT event_id, signal_id, 5 FROM et
- JOIN s ON contains(lower(s.title), et.t)),
+ JOIN s ON et.t <> '' AND contains(lower(s.title), et.t)),
 f AS (SELECT event_id, signal_id, min(place) AS place FROM p GROUP BY 1, 2), c AS (SELECT event_id, source, signal_id, score, CASE place
  WHEN 0 THEN 'url_exact' WHEN 1 THEN 'url_evidence' WHEN 2 THEN 'title_keywords' WHEN 3 THEN 'title_brand'
  WHEN 4 THEN 'entity_match' ELSE 'entity_in_title' END AS rule, CASE place WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.7
@@ -622,7 +622,7 @@ key AS (SELECT id, 0 AS rank, array_to_string(t, ' ') AS key FROM sk WHERE len(s
  UNION ALL SELECT id, 1, concat_ws('|', CASE WHEN w[1] IN ('openai', 'open-ai') THEN 'openai' ELSE w[1] END, v) FROM (SELECT id, w,
  list_filter(list_transform(w[2:5], lambda x: CASE WHEN x IN (VERB_LIST) THEN map(MAP_KEYS, MAP_VALUES)[x] END),
  lambda x: x IS NOT NULL)[1] AS v FROM sk) WHERE v IS NOT NULL)"""
-_VERB = [(w, kind) for kind, words in keys.VERBS.items() for w in words.split()]
+_VERB = [(w, kind) for kind, words in keys.VERBS.items() for w in words]
 _KEYS = _KEYS.replace(
     "VERB_LIST", ", ".join(repr(w) for w, _ in _VERB)
 ).replace("MAP_KEYS", repr([w for w, _ in _VERB])).replace("MAP_VALUES", repr([k for _, k in _VERB]))

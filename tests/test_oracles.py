@@ -22,9 +22,8 @@ def plain(v):
     return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
 
-#: queries whose nested loops have one row, or the few rows of a checked dimension, on a broadcast side
+#: queries whose nested loops have one row on a broadcast side
 ONE_ROW = {"run_health", "briefing_kpis", "run_log", "recurring_stories"}
-DIMENSION = {"signal_match", "signal_stats", "signal_enriched"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -34,7 +33,7 @@ def test_query(spark, duck, name):
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan or name in ONE_ROW | DIMENSION
+    assert "BroadcastNestedLoopJoin" not in plan or name in ONE_ROW
     if name not in SQL:
         assert rows
         return
