@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import all_tokens
 from newsloom.operators import dedup
-from newsloom.operators.cosine import DIGITS, SHORT, in_parts
+from newsloom.operators.cosine import DIGITS, SHORT
 from newsloom.operators.entities import small
+from newsloom.operators.parts import in_parts
 from newsloom.sources.tables import cut
 
 BUCKETS = 16

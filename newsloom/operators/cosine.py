@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import all_tokens
 from newsloom.operators import dedup
-from newsloom.operators.entities import small
+from newsloom.operators.parts import PART, in_parts
 from newsloom.sources.tables import cut
 
-#: postings of a part of a list
-PART = 2048
 #: fixed value: with fewer distinct terms a title is short, and its Jaccard similarity counts too
 SHORT = 10
 #: digits to which similarities are compared
@@ -72,19 +70,6 @@ def postings(nodes: DataFrame, total: int, df: DataFrame | None = None) -> DataF
     return placed.select("id", "bar", "tags", "new", "n", "term", "df", "pos", *scaled)
 
 
-def in_parts(left: DataFrame, right: DataFrame, keys: list[str], part: int = PART) -> DataFrame:
-    """left joined to right on keys, where a long list of a key is cut into parts and each pair of parts is a key of its own."""
-    sizes = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > part)
-    cuts = small(sizes.select(*keys, F.ceil(F.col("_n") / part).cast("int").alias("_g")))
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        with_cuts = side.join(cuts, keys, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
-        place = F.pmod(F.xxhash64(*[c for c in side.columns if c not in keys]), F.col("_g")).cast("int")
-        return with_cuts.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).drop("_g")
-
-    return dealt(left, "_i", "_j").join(dealt(right, "_j", "_i"), [*keys, "_i", "_j"]).drop("_i", "_j")
-
-
 def _met(held: DataFrame, least: float, factors: tuple[float, float], by_set: Column | bool, part: int) -> DataFrame:
     """(earlier, later) of the nodes whose prefixes meet with a bound that reaches their threshold; by_set tells for which later nodes sets count."""
     own = F.when(F.size("tags") > 0, min(factors)).otherwise(1.0)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import HASHES, PRIME, SEED, all_tokens, tokens
+from newsloom.operators.parts import in_parts
 
 #: the value of each hash in the signature of a text without a token
 NO_TOKEN = 0xFFFFFFFF
@@ -89,13 +90,13 @@ def bands(signed: DataFrame, key: str, rows: int = 2) -> DataFrame:
 
 
 def candidates(banded: DataFrame, key: str) -> DataFrame:
-    """(earlier, later) of all members that share a bucket, each pair once.
+    """(earlier, later) of all members that share a bucket, each pair once; a crowded bucket is dealt to several tasks.
 
-    For signatures of distinct texts at a threshold that few unrelated pairs reach; similar() gives
-    the pairs of a threshold without buckets, however crowded.
+    For signatures of distinct texts at a threshold that few unrelated pairs reach; the all-pairs search of
+    cosine.py gives the pairs of a threshold without buckets.
     """
     a, b = banded.select("band", "bucket", F.col(key).alias("earlier")), banded.select("band", "bucket", F.col(key).alias("later"))
-    return a.join(b, ["band", "bucket"]).where("earlier < later").select("earlier", "later").distinct()
+    return in_parts(a, b, ["band", "bucket"]).where("earlier < later").select("earlier", "later").distinct()
 
 
 def agreement(pairs: DataFrame, signed: DataFrame, key: str) -> DataFrame:
@@ -112,7 +113,7 @@ def similar(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
 
     Items of equal sets are one node, represented by the smallest key. Nodes meet in a prefix join:
     with the rare tokens first, sets that reach the threshold share one of their first
-    n - ceil(least n) + 1 tokens, so common tokens bring no pairs. An item that is not its node's
+    n - ceil(least n) + 1 tokens; short sets still meet in common ones, whose lists are dealt to several tasks. An item that is not its node's
     first has one row, with the first; a node's pairs are given between first members.
     """
     sets = items.select(key, F.array_sort(tokens(F.col(text))).alias("t")).where(F.size("t") > 0)
@@ -133,7 +134,7 @@ def similar(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (
         F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
     )
-    pairs = a.join(b, "token").where(fits).select("a", "b").distinct()
+    pairs = in_parts(a, b, ["token"]).where(fits).select("a", "b").distinct()
     side = nodes.select("first", "t")
     both = pairs.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))

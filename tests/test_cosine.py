@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import cosine, dedup, events
+from newsloom.operators import cosine, dedup, events, parts
 
 PRIME = (1 << 61) - 1
 
@@ -88,7 +88,7 @@ def test_all_pairs_and_best_earlier(spark, seed, factors, short, minhash):
 def test_crowded_lists_are_cut_into_parts(spark):
     left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 99)], "k string, a bigint")
     right = spark.createDataFrame([("hot", i) for i in range(30)] + [("other", 1)], "k string, b bigint")
-    found = cosine.in_parts(left, right, ["k"], 7)
+    found = parts.in_parts(left, right, ["k"], 7)
     assert sorted((r.a, r.b) for r in found.collect()) == [(a, b) for a in range(50) for b in range(30)]
 
 
