@@ -266,7 +266,9 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def deduplicate(docs: DataFrame, texts: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (with texts=True, else null), kept_sha256 of every row of docs."""
-    marks = repeats(docs, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select(
+    # equal rows of one id mark the same places: each place once, so that an array is no longer than a text
+    once = repeats(docs, hot).groupBy("doc_id", "th", "at").agg(F.bit_or("mask").alias("mask"))
+    marks = once.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select(
         F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th"), "marks"
     )
     joined = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(marks, F.expr("doc_id <=> m_doc and th = m_th"), "left")

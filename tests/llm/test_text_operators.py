@@ -296,3 +296,12 @@ def test_representatives_tell_repeated_ids_apart(spark):
         ).collect()
     )
     assert got == [(False, 1, copy), (False, 2, other), (False, 3, ""), (False, 4, "x y")]
+
+
+def test_very_many_equal_rows_are_marked_once(spark):
+    text = " ".join(f"w{i}" for i in range(1000))
+    rows = spark.range(2000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+    marks = recompression.repeats(rows).groupBy("doc_id", "th", "at").agg(F.bit_or("mask").alias("mask"))
+    assert marks.count() <= 1000
+    found = recompression.deduplicate(rows).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in found] == [(7, 1000, 1000, 2000)]
