@@ -33,6 +33,8 @@ LANGUAGES, PIECE = 256, 160
 SAMPLE_DOCS, DICT_BYTES, LEVEL, SEGMENT, MARGIN = 400, 128 << 10, 6, 1024, 0.005
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
+#: hashes of ids are below it
+_TOP = 1 << 62
 
 
 def letters(text: str) -> str:
@@ -75,25 +77,36 @@ class Model:
         return sizes[0][2], (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
+def _sample(rows: DataFrame, bounds: dict[str, int], sample_docs: int) -> DataFrame:
+    """(lang, row_key, place, size) of the first sample_docs distinct rows of each language by a hash of their id, within the language's bound."""
+    limits = rows.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound bigint")
+    h = F.pmod(F.when(F.col("doc_id").isNull(), F.col("row_key")).otherwise(F.xxhash64("doc_id", F.lit("sample"))), F.lit(_TOP))
+    keyed = rows.select("lang", "doc_id", "row_key", h.alias("h"), F.octet_length("text").alias("size"))
+    few = keyed.join(F.broadcast(limits), "lang").where("h <= bound").dropDuplicates(["lang", "row_key"])  # a limit for each language
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "size", "row_key")
+    return few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs).select("lang", "row_key", "place", "size")
+
+
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> Model:
     """A model from (doc_id, text, lang) of the `languages` languages with most rows.
 
-    At most sample_docs texts of each reach the driver, one at a time. Before rows are ranked, a bound
+    At most sample_docs texts of each reach the driver, one at a time; equal rows count once, rows without
+    an id are told apart by their text. Before rows are ranked, a bound
     on the hash leaves each language some thousands, however many it has.
     """
     rows = labelled.where("text is not null and lang is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return Model({}, {})
-    top = 1 << 62
-    bounds = rows.sparkSession.createDataFrame(
-        [(lang, min(top, top // n * 8 * sample_docs)) for lang, n in counts.items()], "lang string, bound bigint"
-    )
-    h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(top))
-    few = rows.select("lang", "doc_id", h.alias("h"), F.octet_length("text").alias("size")).join(F.broadcast(bounds), "lang").where("h <= bound")
-    first = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
-    chosen = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
-    chosen = cut(chosen.groupBy("lang", "doc_id").agg(F.min("place").alias("place"), F.max("size").alias("size")), "language-sample")
+    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))  # ids may be null or stand on many rows
+    bounds = {lang: min(_TOP, _TOP // n * 8 * sample_docs) for lang, n in counts.items()}
+    chosen = cut(_sample(rows, bounds, sample_docs), "language-sample")
+    drawn = {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    # where few ids stand on most rows the bound can leave too few: those languages are ranked whole
+    poor = {lang: _TOP for lang, bound in bounds.items() if bound < _TOP and drawn.get(lang, 0) < sample_docs}
+    if poor:
+        again = _sample(rows, poor, sample_docs)
+        chosen = cut(chosen.where(~F.col("lang").isin(list(poor))).unionByName(again), "language-sample")
     share: dict[tuple[str, int], int] = {}
     sizes: dict[str, list[tuple[int, int]]] = {}
     for r in chosen.collect():
@@ -104,8 +117,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int =
             share[lang, place] = min(size, left // (len(docs) - i))
             left -= share[lang, place]
     held: dict[str, dict[int, bytes]] = {}
-    texts = rows.join(small(chosen.select("lang", "doc_id", "place")), ["lang", "doc_id"]).select("lang", "place", "text")
-    for r in texts.orderBy("lang", "place", "text").toLocalIterator():
+    texts = rows.join(small(chosen.select("lang", "row_key", "place")), ["lang", "row_key"]).select("lang", "place", "text")
+    for r in texts.dropDuplicates(["lang", "place"]).orderBy("lang", "place").toLocalIterator():
         held.setdefault(r.lang, {})[r.place] = pieces(letters(r.text).encode(), share[r.lang, r.place])
     return Model({lang: b" ".join(parts.values())[:dict_bytes] for lang, parts in held.items() if any(parts.values())}, counts)
 

@@ -483,3 +483,14 @@ def test_extra_columns_with_names_of_ours(spark, docs, none):
     empty = none.limit(0)
     for out in (compression_lang.accepted(empty), jaccard.representatives(empty), winnowing.clean(empty, bench), mixing.training_order(empty)):
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_language_sample_of_null_and_repeated_ids(spark):
+    english = ["the house by the river was old and grey " + w for w in ("today", "then", "again", "there", "still")]
+    german = ["das alte haus am fluss war grau und leer " + w for w in ("heute", "dann", "wieder", "dort", "noch")]
+    rows = [(None, t, "en") for t in english] + [(None, t, "de") for t in german]
+    model = compression_lang.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert set(model.dictionaries) == {"en", "de"} and all(w in model.dictionaries["en"] for w in (b"today", b"still"))
+    rows = [(1, t, "en") for t in english for _ in range(300)] + [(1, t, "de") for t in german]
+    model = compression_lang.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=3)
+    assert 0 < len(model.dictionaries["en"]) <= 3 * 60  # three texts, each once
