@@ -44,12 +44,16 @@ def domain(
     return out.otherwise(default)
 
 
+#: what is replaced in a readme, and by what: fences, images, links, tags, marks, white space
+README = (
+    (r"(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]*>", " "), (r"[#*`>_]+", ""),
+    (r"[ \t\n\r\f\x0b]+", " ")
+)
+
+
 def plain_readme(text: Column, limit: int = 2000) -> Column:
     """Markdown without fences, images, links, marks and headings."""
-    for pattern, by in (
-        (r"(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]*>", " "), (r"[#*`>_]+", ""),
-        (r"[ \t\n\r\f\x0b]+", " ")
-    ):
+    for pattern, by in README:
         text = F.regexp_replace(text, pattern, by)
     return F.substring(F.trim(text), 1, limit)
 

@@ -70,12 +70,22 @@ def article_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(parts.pictures(html, F.col("url")), " ").alias("pictures"))
 
 
-@query("P16",
- r"""SELECT doc_id, md5(substr(trim(regexp_replace('Title ' || lang || ' a link ' || text, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' '), 1, 2000)) AS digest FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND NOT regexp_matches(text, '[#*`>_<\[\]]')""")
+_README = "# Title **{}**\n![badge](http://x/y.svg) <br/>\n```sh\nmake all\n```\na [link](http://x)\n> "
+
+
+def _readme_sql() -> str:
+    head, tail = (part.replace("\n", "' || chr(10) || '") for part in _README.split("{}"))
+    t = f"'{head}' || lang || '{tail}' || text"
+    for pattern, by in display.README:
+        t = f"regexp_replace({t}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return f"SELECT doc_id, md5(substr(trim({t}, ' '), 1, 2000)) AS digest FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"
+
+
+@query("P16", _readme_sql())
 def readme_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents dressed as a readme lose its marks again."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.col("text").rlike(r"[#*`>_<\[\]]"))
-    dressed = F.concat(F.lit("# Title **"), "lang", F.lit("**\n![badge](http://x/y.svg) <br/>\n```sh\nmake all\n```\na [link](http://x)\n> "), "text")
+    """Documents dressed as a readme lose its marks again, and their own."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    dressed = F.concat(*(x for part in zip(map(F.lit, _README.split("{}")), (F.col("lang"), F.col("text")), strict=True) for x in part))
     return d.select("doc_id", F.md5(display.plain_readme(dressed).cast("binary")).alias("digest"))
 
 

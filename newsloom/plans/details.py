@@ -73,13 +73,13 @@ def analysis_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P24", """SELECT doc_id AS id, greatest(1, least(30, CASE WHEN n_chars % 40 > 1 THEN n_chars % 40 ELSE greatest(1, (len(text || lang)
  // 400)) END))::INT AS minutes, CASE WHEN doc_id % 2 = 0 THEN 'a.b' ELSE '' END AS events, CASE doc_id % 3
  WHEN 0 THEN 'mixed' ELSE 'neutral' END AS direction, CASE doc_id % 4 WHEN 0 THEN 'high' ELSE 'low' END AS confidence,
- CASE WHEN doc_id % 5 = 0 THEN 'pm,investor' ELSE 'general' END AS audience, 'summary' AS poor FROM documents WHERE text IS NOT NULL
- AND lang IS NOT NULL AND regexp_matches(text, '[A-Za-z]')""")
+ CASE WHEN doc_id % 5 = 0 THEN 'pm,investor' ELSE 'general' END AS audience, CASE
+ WHEN len(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r\\p{Nd}]', '', 'g')) > 0 AND len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]'))
+ < 0.6 * len(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r\\p{Nd}]', '', 'g')) THEN 'summary' ELSE '' END AS poor FROM documents WHERE text IS NOT NULL
+ AND lang IS NOT NULL""")
 def analysis_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists, enumerations, reading time and the share of Chinese in a model's answers."""
-    d, n = table(spark, sf_dir, "documents").where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("[A-Za-z]")
-    ), F.col("doc_id")
+    d, n = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull()), F.col("doc_id")
     raw = d.select(
         n.alias("id"), F.lit("模型发布 X").alias("title"), F.col("text").alias("summary"), F.lit("").alias("why_it_matters"), F.lit(None).cast("string").alias("detailed_content"), F.col("lang").alias("background"), F.lit("").alias("deep_analysis"), (F.col("n_chars") % 40).cast("string").alias("reading_minutes"),
         F.array(
