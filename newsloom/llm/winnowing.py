@@ -29,6 +29,8 @@ from newsloom.llm.shared import cut, lean, small_batches
 
 #: Words of a window, of a fingerprinted gram, and characters of a benchmark whose fingerprints are broadcast.
 SPAN, K, MOST_CHARS = 13, 5, 32 << 20
+#: bytes of text that are worked on at once; a dozen arrays of eight bytes for each are held meanwhile
+CHUNK = 1 << 18
 
 
 def profile(span: int) -> tuple[int, int]:
@@ -134,7 +136,7 @@ def _scan(bench) -> object:
         keys = {own: np.unique(p[0]) for own, p in b.prints.items()}
         for batch in batches:
             n_words, hits, items, marks = [], batch.column("w_hits").to_pylist(), batch.column("w_items").to_pylist(), batch.column("w_marks").to_pylist()
-            for lo, hi, data, off in tk.chunks(pc.struct_field(batch.column("w_in"), "text")):
+            for lo, hi, data, off in tk.chunks(pc.struct_field(batch.column("w_in"), "text"), CHUNK):
                 data = tk.LOWER[data]
                 s, e, row = tk.spans(data, off, tk.ALNUM)
                 h = tk.word_hashes(data, s, e)
@@ -190,7 +192,7 @@ def _doc_prints(lengths: list[int]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column("doc").to_numpy()
-            for lo, hi, data, off in tk.chunks(batch.column("text")):
+            for lo, hi, data, off in tk.chunks(batch.column("text"), CHUNK):
                 s, e, row = tk.spans(tk.LOWER[data], off, tk.ALNUM)
                 h, at = tk.word_hashes(tk.LOWER[data], s, e), None
                 at = tk.bounds(row, hi - lo)
