@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import display
+from newsloom.functions.text import capitals
 from newsloom.operators import briefing, filters
 from newsloom.plans.registry import query
 from newsloom.plans.views import AS_OF, EVIDENCE, evidence
@@ -297,7 +298,7 @@ def digest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft = lambda df: df.groupBy(F.col("source_name").alias("section")).agg(
         F.max("title").alias("text"), F.count("*").alias("strength")
     )
-    patch = lambda df: df.withColumn("text", F.upper("text"))
+    patch = lambda df: df.withColumn("text", capitals(F.col("text")))
     check = lambda df: df.withColumn("contradicted", F.when(F.length("text") % 5 == 0, 1).otherwise(0)).withColumn(
         "confidence", F.when(F.col("strength") > 3, "high").otherwise("low")
     )

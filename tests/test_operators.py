@@ -25,6 +25,27 @@ def test_dedup_url(spark, a, b, same):
     assert (one(spark, keys.dedup_url(F.col("u")), u=a) == one(spark, keys.dedup_url(F.col("u")), u=b)) is same
 
 
+def test_capitals_keep_length_as_sql_upper(spark):
+    import duckdb
+
+    for t in ("Straße ßung Üé", "ŉ ﬁ ᾳ ᾀ ΐ ƛ", "a\nb😀𐐨", ""):
+        assert one(spark, text.capitals(F.col("t")), t=t) == duckdb.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0]
+
+
+def test_digest_of_a_section_with_sharp_s(spark, tmp_path):
+    import duckdb
+
+    from newsloom import plans
+
+    rows = [(i, "ßlich gehen, und 12", "de", "src1", 18) for i in range(4)] + [(9 + i, "zu zweit", "de", "src2", 8) for i in range(5)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    found = sorted(map(tuple, plans.queries()["digest_sections"](spark, d).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{d}/documents.parquet/*.parquet'")
+    assert found == sorted(con.execute(plans.oracle_sql()["digest_sections"]).fetchall()) and len(found) == 2
+
+
 def test_keys(spark):
     assert one(spark, keys.dedup_url(F.col("u")), u="") == ""
     assert one(spark, keys.title_key(F.col("t")), t="A b\tC") == one(spark, keys.title_key(F.col("t")), t="abc")
