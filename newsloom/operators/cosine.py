@@ -8,30 +8,23 @@ w w' + rest rest' >= t. For the Jaccard similarity prefixes go by places instead
 is the later text's, times a factor where both have a tag in common; each side's prefix goes by the least
 threshold that it can meet.
 
-Texts of equal terms, threshold and tags are one node, so copies of a text form no pairs but a star. A
-list of many postings is cut into parts, and pairs of parts are dealt to tasks by a key of their own.
+Texts of equal terms, threshold and tags are one node, so copies of a text form no pairs but a star. Prefixes
+meet within blocks of nodes (see blocks.py), and what meets is compared there, so candidates are never written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import all_tokens
-from newsloom.operators import dedup
-from newsloom.operators.parts import PART, in_parts
+from newsloom.operators import blocks
 from newsloom.sources.tables import cut
 
 #: fixed value: with fewer distinct terms a title is short, and its Jaccard similarity counts too
 SHORT = 10
 #: digits to which similarities are compared
 DIGITS = 9
-_EPS = 1e-9
-
-
-def frequencies(terms: DataFrame) -> DataFrame:
-    """(term, df) of rows (id, term, c)."""
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def texts(items: DataFrame, key: str, text: str | Column, bar: Column | float, tags: str | None = None, new: bool = True) -> DataFrame:
@@ -46,56 +39,9 @@ def texts(items: DataFrame, key: str, text: str | Column, bar: Column | float, t
     )
 
 
-def postings(nodes: DataFrame, total: int, df: DataFrame | None = None) -> DataFrame:
-    """(id, bar, tags, new, n, term, df, w, rest, pos) of nodes (id, words, bar, tags, new, copies).
-
-    w is tf * |ln(total / (1 + df))| over the vector's length, 0 where all are 0; the sign does not
-    matter, since both sides of a product have the same. rest is the length of what follows in the
-    order of rarity, pos the place there, n the number of distinct terms. df may be given, (term, df).
-    """
-    counts = nodes.select("id", "bar", "tags", "new", "copies", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy(
-        "id", "bar", "tags", "new", "copies", "size", "term"
-    ).agg(F.count("*").alias("c"))
-    if df is None:
-        df = counts.groupBy("term").agg(F.sum("copies").alias("df"))
-    weighed = counts.join(df, "term").withColumn("w", F.col("c") / F.col("size") * F.abs(F.log(F.lit(total) / (1 + F.col("df")))))
-    whole, rare = Window.partitionBy("id"), Window.partitionBy("id").orderBy("df", "term")
-    later = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, -1)
-    square, norm = F.col("w") * F.col("w"), F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))
-    placed = weighed.select(
-        "id", "bar", "tags", "new", "term", "df", F.row_number().over(rare).alias("pos"), F.count("*").over(whole).alias("n"), norm.alias("norm"), "w",
-        F.sqrt(F.coalesce(F.sum(square).over(later), F.lit(0.0))).alias("rest")
-    )
-    scaled = [F.when(F.col("norm") > 0, F.col(c) / F.col("norm")).otherwise(0.0).alias(c) for c in ("w", "rest")]
-    return placed.select("id", "bar", "tags", "new", "n", "term", "df", "pos", *scaled)
-
-
-def _met(held: DataFrame, least: float, factors: tuple[float, float], by_set: Column | bool, part: int) -> DataFrame:
-    """(earlier, later) of the nodes whose prefixes meet with a bound that reaches their threshold; by_set tells for which later nodes sets count."""
-    own = F.when(F.size("tags") > 0, min(factors)).otherwise(1.0)
-
-    def prefix(limit: Column) -> Column:
-        before = F.sqrt(F.col("rest") * F.col("rest") + F.col("w") * F.col("w"))
-        return (before >= limit - _EPS) | (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * limit - _EPS) + 1)
-
-    shared = held.where("df > 1")
-    columns = ["id", "bar", "tags", "new", "n", "pos", "w", "rest"]
-    early = shared.where(prefix(F.lit(least) * own)).select("term", *(F.col(c).alias("e_" + c) for c in columns if c != "bar"))
-    late = shared.where(F.col("new") & prefix(F.col("bar") * own)).withColumn("sets", F.lit(by_set) if isinstance(by_set, bool) else by_set)
-    late = late.select("term", "sets", *(F.col(c).alias("l_" + c) for c in columns))
-    bar = _bar(factors)
-    e, l = F.col("e_n"), F.col("l_n")
-    product = F.col("e_w") * F.col("l_w") + F.col("e_rest") * F.col("l_rest")
-    fits = F.col("sets") & (F.least(e, l) >= bar * F.greatest(e, l) - _EPS) & (
-        1 + F.least(e - F.col("e_pos"), l - F.col("l_pos")) >= bar / (1 + bar) * (e + l) - _EPS
-    )
-    met = in_parts(early, late, ["term"], part).where((F.col("e_id") < F.col("l_id")) & ((product >= bar - _EPS) | fits))
-    return met.select(F.col("e_id").alias("earlier"), F.col("l_id").alias("later"), bar.alias("bar")).distinct()
-
-
 def pairs(
     given: DataFrame, least: float, factors: tuple[float, float] = (1.0, 1.0), short: int | None = SHORT, minhash: bool = False, total: int | None = None,
-    df: DataFrame | None = None, part: int = PART
+    df: DataFrame | None = None, part: int = blocks.NODES, best: bool = False
 ) -> DataFrame:
     """(earlier, later, similarity, bar) of all pairs of given (as of texts()) whose similarity reaches the pair's threshold.
 
@@ -105,7 +51,7 @@ def pairs(
     of the term sets if that is larger. With minhash the agreement of the 64-hash signatures counts as well, for pairs that share
     one of 32 bands. Frequencies are those of given unless total and df are handed in. A text that is
     not its node's first has one row, with that first; nodes are compared by their first texts. Texts
-    without a word are in no pair.
+    without a word are in no pair. part: nodes of a group; best: only what best_earlier() can choose is sure to be given.
     """
     total = given.count() if total is None else total
     same = F.xxhash64(F.array_sort("words"), "bar", "tags", "new")
@@ -114,54 +60,25 @@ def pairs(
         F.min("id").alias("id"), F.min_by("words", "id").alias("words"), F.min_by("bar", "id").alias("bar"), F.min_by("tags", "id").alias("tags"),
         F.first("new").alias("new"), F.count("*").alias("copies")
     ), "nodes")
-    held = cut(postings(nodes, total, df), "postings")
-    by_set = True if short is None else F.col("n") < short
-    found = _met(held, least, factors, by_set, part)
-    if minhash:
-        signed = dedup.signatures_of(nodes.select("id", F.array_distinct("words").alias("t")), "id")
-        found = found.withColumn("agreement", F.lit(0.0)).unionByName(_agreeing(signed, nodes, factors, part))
-        found = found.groupBy("earlier", "later", "bar").agg(F.max("agreement").alias("agreement"))
-    scored = _scored(cut(found, "met"), held, short)
+    if df is None:
+        df = nodes.select("copies", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.sum("copies").alias("df"))
+    vectors = cut(blocks.packed(nodes, df.select("term", F.log(F.lit(total) / (1 + F.col("df"))).alias("idf"))), "vectors")
+    signed = blocks.signatures(nodes) if minhash else None
+    found = blocks.similar(vectors, signed, least, factors, short, False, part, best)
+    near = scored(found, short).select("earlier", "later", "similarity", "bar")
     copies = named.join(nodes.select("node", F.col("id").alias("earlier")), "node").where("new and id <> earlier").select(
         "earlier", F.col("id").alias("later"), F.lit(1.0).alias("similarity"), F.col("bar").alias("bar")
     )
-    return scored.where(F.col("similarity") >= F.round("bar", DIGITS)).unionByName(copies)
-
-
-def _bar(factors: tuple[float, float]) -> Column:
-    """The threshold of a pair with columns e_new, e_tags, l_bar, l_tags."""
-    if factors == (1.0, 1.0):
-        return F.col("l_bar")
-    factor = F.when(F.col("e_new"), factors[0]).otherwise(factors[1])
-    return F.col("l_bar") * F.when(F.arrays_overlap("e_tags", "l_tags"), factor).otherwise(1.0)
-
-
-def _agreeing(signed: DataFrame, nodes: DataFrame, factors: tuple[float, float], part: int) -> DataFrame:
-    """(earlier, later, bar, agreement) of the pairs that share a band and whose signatures agree enough."""
-    traits = nodes.select("id", "bar", "tags", "new")
-    banded = dedup.bands(signed, "id")
-    late = banded.join(traits.where("new").select("id"), "id", "left_semi")
-    near = in_parts(banded.withColumnRenamed("id", "earlier"), late.withColumnRenamed("id", "later"), ["band", "bucket"], part)
-    met = near.where("earlier < later").select("earlier", "later").distinct()
-    e, l = (traits.join(signed, "id").select(*(F.col(c).alias(p + c) for c in ("id", "bar", "tags", "new", "signature"))) for p in ("e_", "l_"))
-    both = met.join(e, F.col("earlier") == F.col("e_id")).join(l, F.col("later") == F.col("l_id"))
-    equal = F.size(F.filter(F.zip_with("e_signature", "l_signature", lambda x, y: x == y), lambda x: x)) / F.size("e_signature")
-    agreeing = both.select("earlier", "later", _bar(factors).alias("bar"), equal.alias("agreement"))
-    return agreeing.where(F.round("agreement", DIGITS) >= F.round("bar", DIGITS))
-
-
-def _scored(found: DataFrame, held: DataFrame, short: int | None) -> DataFrame:
-    """(earlier, later, similarity, bar) of candidates, from their common terms; long texts and many candidates only make more rows."""
-    e, l = (held.select(F.col("id").alias(name), "term", F.col("w").alias(p + "w"), F.col("n").alias(p + "n")) for name, p in (("earlier", "e_"), ("later", "l_")))
-    agreement = F.max("agreement") if "agreement" in found.columns else F.lit(0.0)
-    sums = found.join(e, "earlier").join(l, ["later", "term"]).groupBy("earlier", "later", "bar").agg(
-        F.sum(F.col("e_w") * F.col("l_w")).alias("dot"), F.count("*").alias("c"), F.max("e_n").alias("e"), F.max("l_n").alias("l"), agreement.alias("agreement")
-    )
+    return near.unionByName(copies)
+
+
+def scored(found: DataFrame, short: int | None) -> DataFrame:
+    """found with similarity, of blocks.similar()."""
     jaccard = F.col("c") / (F.col("e") + F.col("l") - F.col("c"))
     under = F.round("dot", DIGITS) < F.round("bar", DIGITS)
     sets = F.lit(True) if short is None else under & (F.col("l") < short)
     best = F.greatest("dot", F.when(sets, jaccard), "agreement")
-    return sums.select("earlier", "later", F.round(best, DIGITS).alias("similarity"), "bar")
+    return found.withColumn("similarity", F.round(best, DIGITS)).where(F.col("similarity") >= F.round("bar", DIGITS))
 
 
 def best_earlier(found: DataFrame) -> DataFrame:

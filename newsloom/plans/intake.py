@@ -231,7 +231,7 @@ def nearest_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """Articles of distinct titles, and the best earlier one of each that has one: by cosine, short titles by shared words too."""
     first = distinct_titles(spark, sf_dir)
     bar = F.when(text.mostly_cjk(F.col("title")), ALIKE_CJK).otherwise(ALIKE)
-    return first, cosine.best_earlier(cosine.pairs(cosine.texts(first, "id", "title", bar), ALIKE_CJK))
+    return first, cosine.best_earlier(cosine.pairs(cosine.texts(first, "id", "title", bar), ALIKE_CJK, best=True))
 
 
 _TITLES = f"""{ARTICLES}, k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(coalesce(title, '')), '[ \t\n\r\f\x0b]+', '',

@@ -99,6 +99,33 @@ def test_many_copies_form_a_star(spark):
     assert cosine.pairs(given(spark, rows).limit(0), 0.5).count() == 0
 
 
+def crowded(n: int) -> list[tuple]:
+    """Texts of one common list of words, of which no two are alike enough."""
+    draw = random.Random(5)
+    return [(i, " ".join(draw.sample([f"word{k}" for k in range(40)], 12)), 0.95, [], True) for i in range(n)]
+
+
+@pytest.mark.parametrize("minhash", [False, True])
+def test_no_candidate_is_written(spark, monkeypatch, minhash):
+    written, cut = {}, cosine.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(cosine, "cut", counted)
+    assert cosine.pairs(given(spark, crowded(300)), 0.95, short=None, minhash=minhash, best=True).count() < 300
+    assert max(written.values()) <= 300  # candidates and postings were tables of their own
+
+
+def test_best_pairs_give_the_same_choice(spark):
+    texts = given(spark, some_texts(9, 120))
+    every, best = (cosine.pairs(texts, 0.4, (0.7, 0.65), None, True, part=30, best=b) for b in (False, True))
+    assert best.count() < every.count()
+    assert sorted(cosine.best_earlier(every).collect()) == sorted(cosine.best_earlier(best).collect())
+
+
 def test_continued_hands_events_along_chains(spark):
     articles = spark.createDataFrame(
         [(1, "x"), (2, "x"), (3, "x"), (4, "OpenAI launch nova"), (5, "x"), (6, "openai unveil nova two"), (7, "x"), (8, "x"), (9, "Zeta hire Bob"), (10, "zeta join Eve")],
