@@ -2,9 +2,9 @@
 
 The index is a folder with two tables that are partitioned by the day of first sight: bands (one row for each of a
 title's 32 MinHash bands, bucketed by the band's key) and entries (title key and words, bucketed by id).
-A run joins its own bands to the stored ones of the last hours: buckets let the stored side stay where it is, only
-the run's rows are shuffled or, if few, broadcast. Words are fetched for candidates only. Old days are deleted as
-folders.
+candidates() joins a run's bands to the stored ones of the last hours: buckets let the stored side stay where it is, only
+the run's rows are shuffled or, if few, broadcast. matched() reads the entries of those hours and compares in blocks. Old
+days are deleted as folders.
 
 Similarity is the TF-IDF cosine, for short titles under their threshold the Jaccard similarity. A term's weight
 comes from the run's own items, ln(N / (1 + df)); terms that only stored titles have take the saved
@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import all_tokens
-from newsloom.operators import dedup
-from newsloom.operators.cosine import DIGITS, SHORT
+from newsloom.operators import blocks, dedup
+from newsloom.operators.cosine import SHORT, scored
 from newsloom.operators.entities import small
-from newsloom.operators.parts import in_parts
 from newsloom.sources.tables import cut
 
 BUCKETS = 16
@@ -117,20 +116,13 @@ class BandIndex:
             self.spark.catalog.refreshTable(table)
 
 
-def _vectors(words: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, term, w, n, norm) of (id, words)."""
-    whole = Window.partitionBy("id")
-    counts = words.select("id", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("c"))
-    weighed = counts.join(weights, "term").withColumn("w", F.col("c") / F.col("size") * F.col("idf"))
-    return weighed.select("id", "term", "w", F.count("*").over(whole).alias("n"), F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole)).alias("norm"))
-
-
-def matched(index: BandIndex, items: DataFrame, since: str, bar: Column, saved: DataFrame | None) -> DataFrame:
+def matched(index: BandIndex, items: DataFrame, since: str, bar: Column, saved: DataFrame | None, part: int = blocks.NODES) -> DataFrame:
     """(id, status, match, similarity) of one run's items (id, title, title_key, first_seen); bar is a column of the later title.
 
     status: exact (its title is stored), stored (most like a stored title), batch (most like an earlier
     item of the run) or new. Of equal similarities stored titles come first, then the smaller id. Items of equal
-    words are compared through their first.
+    words are compared through their first. Pairs that share a band and reach the threshold are found by their weighted
+    prefixes, block by block of `part` titles: bands alone let every title with the same common words meet.
     """
     exact = cut(index.seen(items, since).select("id"), "exact")
     rest = cut(items.join(exact, "id", "left_anti").select(
@@ -139,25 +131,14 @@ def matched(index: BandIndex, items: DataFrame, since: str, bar: Column, saved:
     named = rest.withColumn("node", F.xxhash64(F.array_sort("words"), "bar"))
     firsts = named.where(F.size("words") > 0).groupBy("node").agg(F.min("id").alias("first"))
     nodes = cut(named.join(firsts, F.col("id") == F.col("first"), "left_semi").select("id", "words", "bar"), "nodes")
-    keys = cut(index.keys(nodes), "keys")
-    stored = index.candidates(keys, since).withColumn("rank", F.lit(0))
-    batch = in_parts(keys.withColumnRenamed("id", "earlier"), keys.withColumnRenamed("id", "later"), ["bucket"]).where("earlier < later")
-    pairs = cut(stored.unionByName(batch.select("earlier", "later").distinct().withColumn("rank", F.lit(1))), "pairs")
-    asked = small(pairs.where("rank = 0").select(F.col("earlier").alias("id")).distinct())
-    words = cut(index.recent(index.entries, since).select("id", "words").join(asked, "id").unionByName(nodes.select("id", "words")), "words")
+    stored = index.recent(index.entries, since).where(F.size("words") > 0).select("id", "words", F.lit(1.0).alias("bar"), F.lit(False).alias("new"))
+    both = stored.unionByName(nodes.withColumn("new", F.lit(True))).withColumn("tags", F.array().cast("array<string>"))
     session = cut(merged(None, rest), "session")
-    weights = idf(words.select(F.explode("words").alias("term")), session, saved)
-    vectors = cut(_vectors(words, weights), "vectors")
-    e, l = (vectors.select(F.col("id").alias(n), "term", *(F.col(c).alias(p + c) for c in ("w", "n", "norm"))) for n, p in (("earlier", "e_"), ("later", "l_")))
-    sums = pairs.join(e, "earlier").join(l, ["later", "term"]).groupBy("earlier", "later", "rank").agg(
-        F.sum(F.col("e_w") * F.col("l_w")).alias("dot"), F.count("*").alias("c"), F.max(F.col("e_norm") * F.col("l_norm")).alias("norm"),
-        F.max("e_n").alias("e"), F.max("l_n").alias("l")
-    ).join(nodes.select(F.col("id").alias("later"), "bar"), "later")
-    cosine = F.round(F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0), DIGITS)
-    jaccard = F.round(F.col("c") / (F.col("e") + F.col("l") - F.col("c")), DIGITS)
-    sims = sums.withColumn("s", F.when((cosine < F.round("bar", DIGITS)) & (F.col("l") < SHORT), F.greatest(cosine, jaccard)).otherwise(cosine))
-    own = sims.where(F.col("s") >= F.round("bar", DIGITS)).groupBy("later").agg(
-        F.min(F.struct((-F.col("s")).alias("s"), "rank", "earlier")).alias("x")
+    vectors = cut(blocks.packed(both, idf(both.select(F.explode("words").alias("term")), session, saved)), "vectors")
+    least = nodes.agg(F.min("bar")).first()[0] or 1.0
+    found = blocks.similar(vectors, blocks.signatures(both), least, (1.0, 1.0), SHORT, True, part, True)
+    own = scored(found, SHORT).groupBy("later").agg(
+        F.min(F.struct((-F.col("similarity")).alias("s"), F.when(F.col("known"), 0).otherwise(1).alias("rank"), "earlier")).alias("x")
     ).select(F.col("later").alias("first"), "x")
     # a copy takes its first, unless what the first took is as like
     members = named.join(firsts, "node", "left").join(own, "first", "left")

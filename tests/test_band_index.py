@@ -1,6 +1,7 @@
 """The stored band index: what a run finds of runs before it, what is kept, what is shuffled."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,23 @@ def test_saved_frequencies_and_fallbacks(spark):
     found = {r.term: round(r.idf, 9) for r in band_index.idf(asked, session, saved).collect()}
     assert found == {"a": round(math.log(2 / 2), 9), "b": round(math.log(4 / 3), 9), "x": round(math.log(2 / 3), 9), "never": round(math.log(2), 9)}
     assert {r.term: round(r.idf, 9) for r in band_index.idf(asked.where("term = 'b'"), session, None).collect()} == {"b": round(math.log(2), 9)}
+
+
+def test_matching_a_run_writes_no_candidates(spark, tmp_path, monkeypatch):
+    draw, written, cut = random.Random(3), {}, band_index.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = out.count()
+        return out
+
+    rows = [(i, " ".join(draw.sample([f"word{k}" for k in range(40)], 12)), f"k{i}", "2024-01-09 00:00:00") for i in range(300)]
+    items = spark.createDataFrame(rows, "id bigint, title string, title_key string, t string").select("id", "title", "title_key", F.col("t").cast("timestamp_ntz").alias("first_seen"))
+    index = band_index.BandIndex(spark, f"file://{tmp_path}/index")
+    monkeypatch.setattr(band_index, "cut", counted)
+    try:
+        found = band_index.matched(index, items, "2024-01-08 00:00:00", F.lit(0.95), None)
+        assert {r.status for r in found.collect()} == {"new"}
+    finally:
+        index.close()
+    assert max(written.values()) <= 300  # pairs that shared a band were a table
