@@ -17,7 +17,9 @@ sets are one node; the join runs over nodes.
    |x & z|) + min(|m - x|, |z - x|) - accepts or drops the pair without looking at its sets, and
    pairs that are connected already are not formed. Groups of thousands of near copies so cost a
    pass, not a square.
-5. What is left is counted per pair over all lists, bounded by the last common position and by
+5. Of what the leaders leave apart, a task's long lists first give a forest of the likeliest links by bitmaps, fewer than
+   nodes, and these are verified: a node that its leader does not link need not meet every member of its group.
+6. What is left is counted per pair over all lists, bounded by the last common position and by
    parity bitmaps (two sets differ in at least as many shingles as their bitmaps differ in bits),
    and verified on the sets. Long lists are dealt by their smallest node, so the lists of one group
    of documents meet in one task and give a pair once, however many shingles it shares; the lists of
@@ -427,6 +429,65 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str) ->
     return out
 
 
+def _unlike_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each list whose nodes are not all connected."""
+    for c in _runs(batches):
+        s = c["shingle"]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[first, s.size])
+        c["maps"] = np.frombuffer(b"".join(c.pop("small")), np.uint64).reshape(s.size, SMALL_BITS // 64)
+        for lo, k in zip(first, size, strict=True):
+            part = {x: v[lo : lo + k] for x, v in c.items()}
+            if not (part["label"] == part["label"][0]).all():
+                yield part
+
+
+TREE = "a bigint, b bigint, na int, nb int"
+
+
+def heaviest(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The edges (a, b, na, nb, weight, label of a, label of b) of a forest of labels, the heaviest first at each of them."""
+    order = np.lexsort((rows[1], rows[0], -rows[4]))
+    rows = tuple(x[order] for x in rows)
+    ends = np.unique(np.concatenate(rows[5:]), return_inverse=True)[1].reshape(2, -1)
+    top, kept = np.arange(int(ends.max()) + 1 if ends.size else 0), np.zeros(order.size, bool)
+    while True:
+        x, y = top[ends[0]], top[ends[1]]
+        live = np.flatnonzero(x != y)
+        if not live.size:
+            return tuple(v[kept] for v in rows)
+        # edges stand by weight: the first of each label is its best
+        label, at = np.unique(np.stack([x[live], y[live]], 1).ravel(), return_index=True)
+        best = live[at // 2]
+        kept[best] = True
+        to = np.arange(top.size)
+        to[label] = np.where(x[best] == label, y[best], x[best])
+        both = to[to] == np.arange(to.size)
+        to[both] = np.minimum(to, np.arange(to.size))[both]
+        while (to[to] != to).any():
+            to = to[to]
+        top = to[top]
+
+
+@lean
+def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of a task's long lists that are not connected yet a forest of likely links: fewer than nodes, whatever the pairs."""
+    out: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    for part in _unlike_lists(batches):
+        for pairs in _long_pairs(part, True):
+            out.append(pairs)
+            held += pairs[0].size
+            if held > HELD // 8:
+                out = [heaviest(tuple(np.concatenate(x) for x in zip(*out, strict=True)))]
+                held = 0
+    if out:
+        a, b, na, nb, *_ = heaviest(tuple(np.concatenate(x) for x in zip(*out, strict=True)))
+        swap = a > b
+        columns = (np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "na", "nb"])
+
+
 @lean
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of long lists that are not connected yet, after index and answer skipping.
@@ -436,28 +497,16 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     out: list[tuple[np.ndarray, ...]] = []
     held = 0
-    for c in _runs(batches):
-        s = c["shingle"]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        size = np.diff(np.r_[first, s.size])
-        c["maps"] = np.frombuffer(b"".join(c.pop("small")), np.uint64).reshape(s.size, SMALL_BITS // 64)
-        found = []
-        for lo, k in zip(first, size, strict=True):
-            part = {x: v[lo : lo + k] for x, v in c.items()}
-            if (part["label"] == part["label"][0]).all():
-                continue
-            for pairs in _long_pairs(part):
-                found.append(pairs)
-                if sum(x[0].size for x in found) > HELD // 8:
-                    found = [_summed(found)]
-        out += found
-        held += sum(x[0].size for x in found)
-        if held > HELD // 8:
-            out = [_summed(out)]
-            held = out[0][0].size
-            if held > HELD // 16:
-                yield _pair_batch(out[0])
-                out, held = [], 0
+    for part in _unlike_lists(batches):
+        for pairs in _long_pairs(part):
+            out.append(pairs)
+            held += pairs[0].size
+            if held > HELD // 8:
+                out = [_summed(out)]
+                held = out[0][0].size
+                if held > HELD // 16:
+                    yield _pair_batch(out[0])
+                    out, held = [], 0
     if out:
         yield _pair_batch(_summed(out))
 
@@ -482,8 +531,11 @@ def _pair_batch(row: tuple[np.ndarray, ...], flag: str = "sure") -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["a", "b", "na", "nb", "pa", "pb", "c", flag])
 
 
-def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """What is left of the entry pairs (a, b) of one list each: none or one tuple of columns."""
+def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, weighed: bool = False) -> list[tuple[np.ndarray, ...]]:
+    """What is left of the entry pairs (a, b) of one list each: none or one tuple of columns.
+
+    weighed gives (a, b, na, nb, weight, label of a, label of b), the weight being the share of the largest overlap that bitmaps and leaders allow.
+    """
     ok = c["label"][a] != c["label"][b]
     a, b = a[ok], b[ok]
     n, pos = c["n"], c["pos"]
@@ -506,12 +558,19 @@ def _pairs(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple
     ok &= ~led | (np.minimum(va, vb) + np.minimum(na - va, nb - vb) >= want)
     if not ok.any():
         return []
+    if weighed:
+        most = np.minimum(na, nb)
+        most[i] = np.where(both_small, np.minimum(most[i], (na[i] + nb[i] - apart) // 2), most[i])
+        most = np.where(led, np.minimum(most, np.minimum(va, vb) + np.minimum(na - va, nb - vb)), most)
+        weight = np.where(sure, 2.0, most / (na + nb - most))[ok]
+        a, b = a[ok], b[ok]
+        return [(c["node"][a], c["node"][b], n[a], n[b], weight, c["label"][a], c["label"][b])]
     swap = c["node"][a] > c["node"][b]
     a, b, sure = np.where(swap, b, a)[ok], np.where(swap, a, b)[ok], sure[ok]
     return [(c["node"][a], c["node"][b], n[a], n[b], pos[a], pos[b], np.ones(a.size, np.int32), sure)]
 
 
-def _long_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+def _long_pairs(c: dict[str, np.ndarray], weighed: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of a long list, by blocks of neighbours in size and position."""
     order = np.lexsort((c["pos"], c["n"]))
     c = {k: v[order] for k, v in c.items()}
@@ -529,7 +588,7 @@ def _long_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
                 continue
             i, j = np.arange(lo, min(lo + BLOCK, n.size)), np.arange(starts[y], min(starts[y] + BLOCK, n.size))
             a, b = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
-            yield from _pairs(c, a[a < b], b[a < b])
+            yield from _pairs(c, a[a < b], b[a < b], weighed)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -564,14 +623,23 @@ def labelled(docs: DataFrame) -> DataFrame:
     )
     long = lists.where(f"size >= {LONG}").drop("size", "rare")
     deals = long.groupBy("first").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("deals")).where("deals > 1")
-    told = long.join(stats, "node").join(nodes.select("node", "small"), "node").join(roots, "node", "left").join(known_of, "node", "left").join(small(deals), "first", "left").select(
-        "shingle", "node", "n", "pos", F.coalesce("root", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"), "m", F.coalesce("prefix_map", "small").alias("small"),
-        F.xxhash64("first", F.pmod("shingle", F.coalesce("deals", F.lit(1)))).alias("deal"))
-    rest = told.repartition("deal").sortWithinPartitions("deal", "shingle").drop("deal").mapInArrow(_rest, SUMMED)
+
+    def dealt(roots: DataFrame) -> DataFrame:
+        told = long.join(stats, "node").join(nodes.select("node", "small"), "node").join(roots, "node", "left").join(known_of, "node", "left").join(small(deals), "first", "left").select(
+            "shingle", "node", "n", "pos", F.coalesce("root", "node").alias("label"), F.coalesce("leader", F.lit(0).cast("bigint")).alias("leader"), F.coalesce("leader_n", F.lit(0)).alias("leader_n"), F.coalesce("overlap", F.lit(-1)).alias("overlap"), "m", F.coalesce("prefix_map", "small").alias("small"),
+            F.xxhash64("first", F.pmod("shingle", F.coalesce("deals", F.lit(1)))).alias("deal"))
+        return told.repartition("deal").sortWithinPartitions("deal", "shingle").drop("deal")
+
+    # the likeliest links of what the stars left apart, so that a group that its leader does not reach is not compared with all of it
+    tree = cut(dealt(roots).mapInArrow(_tree, TREE).dropDuplicates(["a", "b"]), "tree")
+    if tree.limit(1).count():
+        grown = verified(tree, docs, nodes, "grown")
+        roots = components(star.union(grown).where(good).select("a", "b"))
+    rest = dealt(roots).mapInArrow(_rest, SUMMED)
     rest = counted(rest.union(first.where("short").withColumn("short", F.lit(False))), "sure").where(f"sure or bound >= {NEED}")
     for side in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(tree.select("a", "b")).distinct()
     rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").join(tried, ["a", "b"], "left_anti")
     rest = cut(rest.select("a", "b", "na", "nb", "sure", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")), "rest")
     free(first, lists, stars, star, sweep=True)

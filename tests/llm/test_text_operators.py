@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,32 @@ def test_jaccard_large_group(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()) == Counter(groups(made))
 
 
+def test_jaccard_group_beside_its_leader(spark, monkeypatch):
+    """Two families too far apart to link: the members of the one whose leader the lists do not have must not all meet."""
+    one = [f"w{i}" for i in range(120)]
+    two = [f"x{i}" if i in (30, 60, 90) else w for i, w in enumerate(one)]
+    made = [(100 * f + i, " ".join([*words[:-1], f"end{f}y{i}"])) for f, words in enumerate((one, two)) for i in range(80)]
+    written, cut = {}, jaccard.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    found = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert found == {(i, i // 100 * 100) for i, _ in made}
+    assert written["rest"] < len(made)
+
+
+def test_jaccard_forest_keeps_the_heaviest():
+    a, b = np.array([1, 1, 2, 3, 5]), np.array([2, 3, 3, 4, 6])
+    ones, weight = np.ones(5, np.int64), np.array([0.9, 0.5, 0.8, 0.7, 0.1])
+    kept = jaccard.heaviest((a, b, ones, ones, weight, a, b))
+    assert set(zip(kept[0].tolist(), kept[1].tolist(), strict=True)) == {(1, 2), (2, 3), (3, 4), (5, 6)}
+    assert not jaccard.heaviest(tuple(x[:0] for x in (a, b, ones, ones, weight, a, b)))[0].size
+
+
 def test_jaccard_large_sets(spark):
     """Long texts: near copies, copies just below the threshold, and texts that share only some passages."""
     import random
