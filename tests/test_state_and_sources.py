@@ -2,8 +2,10 @@
 
 import json
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from newsloom.sources import plugins
@@ -49,6 +51,55 @@ def test_cache_survives_a_restart(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
 
 
+class Held:
+    """A value or map of the state in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def __getattribute__(self, name):
+        if name not in ("value", "map", "calls"):
+            object.__setattr__(self, "calls", object.__getattribute__(self, "calls") + 1)
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.map
+
+    def getValue(self, key):  # noqa: N802
+        return self.map[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+
+def test_cache_calls_the_state_per_key_not_per_row():
+    entry, counts, timers = Held(), Held(), []
+    handle = SimpleNamespace(getValueState=lambda *a: entry, getMapState=lambda *a: counts, registerTimer=timers.append)
+    cached = cache.CacheProcessor()
+    cached.init(handle)
+    rows = [
+        Row(at=START + timedelta(minutes=i), seq=i, kind="set" if i % 5 == 1 else "get", content="" if i % 10 == 1 else "x", relevant=True)
+        for i in range(1000)
+    ]
+    out = [r for half in (rows[:500], rows[500:]) for r in cached.handleInputRows(("k",), iter(half[::-1]), None)]
+    assert [r.outcome for r in out[:9]] == ["miss", "poor", "miss", "miss", "miss", "hit", "hit", "hit", "hit"]
+    assert (len(out), out[-1].hits, out[-1].misses) == (800, 399, 401)
+    assert entry.value == (cache._micros(START + timedelta(minutes=996)), True)
+    assert entry.calls + counts.calls + len(timers) < 20
+
+
 RSS = "<rss><channel><item><title>{0}</title><link>http://m/{0}#x</link><description>&lt;b&gt;bold&lt;/b&gt;  text</description><pubDate>Mon, 01 Jan 2024 0{1}:00:00 GMT</pubDate></item></channel></rss>"
 
 
