@@ -23,3 +23,11 @@ def test_partitions_grow_with_the_lineitems(spark, monkeypatch, name):
     n = tables.table(spark, DATA, "lineitem").count()
     monkeypatch.setattr(views, "spread", partial(tables.spread, most=500))
     assert partitions(plans.queries()[name](spark, DATA)) == {-(-n // 500)}
+
+
+def test_one_shuffle_serves_places_and_roles(spark, monkeypatch):
+    n = tables.table(spark, DATA, "lineitem").count()
+    monkeypatch.setattr(views, "spread", partial(tables.spread, most=500))
+    plan = plans.queries()["event_roles"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(([a-z_]+)#\d+L?, (\d+)\)", plan) == [("l_orderkey", str(-(-n // 500)))]
+    assert plan.count("Exchange ") == 1
