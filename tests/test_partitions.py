@@ -6,7 +6,7 @@ from functools import partial
 import pytest
 
 from newsloom import plans
-from newsloom.plans import views
+from newsloom.plans import reports, views
 from newsloom.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -31,3 +31,10 @@ def test_one_shuffle_serves_places_and_roles(spark, monkeypatch):
     plan = plans.queries()["event_roles"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"Exchange hashpartitioning\(([a-z_]+)#\d+L?, (\d+)\)", plan) == [("l_orderkey", str(-(-n // 500)))]
     assert plan.count("Exchange ") == 1
+
+
+def test_partitions_of_insert_ignore_grow_with_the_lineitems(spark, monkeypatch):
+    n = tables.table(spark, DATA, "lineitem").count()
+    monkeypatch.setattr(reports, "spread", partial(tables.spread, most=500))
+    plan = plans.queries()["insert_ignore"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert {int(k) for k in re.findall(r"Exchange hashpartitioning\([^()]*, (\d+)\)", plan)} == {-(-n // 500)}
