@@ -13,21 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.entities import small
-from newsloom.sources.tables import cut, free, shared_dir, table
+from newsloom.sources.tables import BATCH_ROWS, cut, free, shared_dir, small_batches, table
 
 __all__ = ["arrow_rows", "bloom", "crc_mod", "cut", "free", "in_bloom", "lean", "shared_dir", "small", "small_batches", "table"]
 
-#: Rows of an Arrow batch: ten thousand long documents, Spark's default, are tens of megabytes on either side.
-BATCH_ROWS = 2000
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """From now on Arrow batches of this session have at most `rows` rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Within it Arrow batches have at most `rows` rows; for steps that end in an action there."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import HASHES, PRIME, SEED, all_tokens, tokens
 from newsloom.operators.parts import in_parts
+from newsloom.sources.tables import small_batches
 
 #: the value of each hash in the signature of a text without a token
 NO_TOKEN = 0xFFFFFFFF
@@ -157,6 +158,7 @@ def best_earlier(pairs: DataFrame, threshold: Column | float) -> DataFrame:
 
 def document_frequency(items: DataFrame, key: str, text: str) -> DataFrame:
     """(term, df) over all items."""
+    small_batches(items.sparkSession)  # of long texts that leave the JVM to be normalised
     return items.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 

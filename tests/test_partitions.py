@@ -6,6 +6,7 @@ from functools import partial
 import pytest
 
 from newsloom import plans
+from newsloom.operators import dedup
 from newsloom.plans import reports, views
 from newsloom.sources import tables
 
@@ -38,3 +39,15 @@ def test_partitions_of_insert_ignore_grow_with_the_lineitems(spark, monkeypatch)
     monkeypatch.setattr(reports, "spread", partial(tables.spread, most=500))
     plan = plans.queries()["insert_ignore"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert {int(k) for k in re.findall(r"Exchange hashpartitioning\([^()]*, (\d+)\)", plan)} == {-(-n // 500)}
+
+
+def test_texts_leave_the_jvm_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        found = dedup.idf(spark.createDataFrame([(1, "caf\u00e9 noir"), (2, "cafe\u0301")], "id bigint, text string"), "id", "text")
+        assert int(spark.conf.get(name)) <= tables.BATCH_ROWS
+        assert {r.term: r.df for r in found.collect()} == {"caf\u00e9": 2, "noir": 1}
+    finally:
+        spark.conf.set(name, before)
