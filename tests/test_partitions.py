@@ -51,3 +51,10 @@ def test_texts_leave_the_jvm_in_small_batches(spark):
         assert {r.term: r.df for r in found.collect()} == {"caf\u00e9": 2, "noir": 1}
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("name", ["signal_match"])
+def test_result_reads_no_text_again(spark, name):
+    """What a query cut to keys is read from there; the documents' texts are no part of its last plan."""
+    plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
