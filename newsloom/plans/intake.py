@@ -10,7 +10,7 @@ from newsloom.operators import cosine, dedup, entities, filters
 from newsloom.plans import similarity
 from newsloom.plans.registry import query
 from newsloom.plans.views import ARTICLES, AS_OF, ENTITIES, TAGGED, articles, registry
-from newsloom.sources.tables import table
+from newsloom.sources.tables import cut, table
 
 LEAD, DIGEST = "^(the|la|der) (and|que|die)", "(weekly|digest|license)"
 KEYWORDS, CHINESE = "(tionhe|ungen|cióncon|eaude)", "(模型|芯片|ñosque)"
@@ -67,9 +67,10 @@ f AS (SELECT day, 0::BIGINT AS n, NULL::BIGINT AS id, FALSE AS ok, [{", ".join("
  counts, protected OR len(list_filter(counts, lambda c, i: flags[i] AND c >= 5)) = 0 AS ok FROM f JOIN r ON r.day = f.day AND r.n = f.n + 1))
 SELECT id, len(entities)::BIGINT AS n_entities FROM g WHERE len(entities) = 0 OR id IN (SELECT id FROM f WHERE ok)""")
 def entity_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = entities.tag(articles(spark, sf_dir), ENTITIES).select(
+    tagged = entities.tag(articles(spark, sf_dir), ENTITIES).select(
         "id", "entities", "protected", F.date_trunc("day", F.col("collected_at").cast("timestamp")).cast("date").alias("day")
     )
+    items = cut(tagged, "tagged")  # read for the rounds and twice for their result, without the texts
     return filters.entity_rate_limit(items, 5, "id").select("id", F.size("entities").cast("bigint").alias("n_entities"))
 
 

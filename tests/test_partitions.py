@@ -53,7 +53,7 @@ def test_texts_leave_the_jvm_in_small_batches(spark):
         spark.conf.set(name, before)
 
 
-@pytest.mark.parametrize("name", ["signal_match"])
+@pytest.mark.parametrize("name", ["signal_match", "entity_rate_limit"])
 def test_result_reads_no_text_again(spark, name):
     """What a query cut to keys is read from there; the documents' texts are no part of its last plan."""
     plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
