@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.entities import small
-from newsloom.sources.tables import BATCH_ROWS, cut, free, shared_dir, small_batches, table
+from newsloom.sources.tables import BATCH_ROWS, cut, free, shared_dir, small_batches, sweep_shuffles, table
 
-__all__ = ["arrow_rows", "bloom", "crc_mod", "cut", "free", "in_bloom", "lean", "shared_dir", "small", "small_batches", "table"]
+__all__ = ["arrow_rows", "bloom", "crc_mod", "cut", "free", "in_bloom", "lean", "shared_dir", "small", "small_batches", "sweep_shuffles", "table"]
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
