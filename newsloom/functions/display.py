@@ -127,10 +127,11 @@ def closed_json(text: Column, tries: int = 4) -> Column:
     return F.flatten(F.transform(quoted, lambda w: F.array(close(w), close(F.regexp_replace(w, r',\s*"[^"]*"\s*:?\s*$', "")))))
 
 
-def tolerant_json(text: Column, schema: str) -> Column:
+def tolerant_json(text: Column, schema: str, tries: int = 4) -> Column:
     """The object in a text by schema: without fences, with line ends in strings escaped, from brace to brace, or repaired where it breaks off.
 
-    The first reading counts that has any field; null if none does.
+    The first reading counts that has any field; null if none does. Later readings are not tried then: each costs a parse, and a failed one
+    an exception. Who takes several fields should select the object first, or each field reads it again.
     """
     names = [f.strip().split()[0] for f in schema.split(",")]
 
@@ -139,8 +140,8 @@ def tolerant_json(text: Column, schema: str) -> Column:
         return F.when(F.try_parse_json(form).isNotNull(), bound(F.from_json(form, schema, {"mode": "PERMISSIVE"}), some))
 
     def repaired(escaped: Column) -> Column:
-        forms = F.concat(F.array(F.regexp_extract(escaped, r"(?s)(\{.*\})", 1)), closed_json(escaped))
-        return F.get(F.filter(F.transform(forms, read), lambda x: x.isNotNull()), F.lit(0))
+        whole = bound(F.regexp_extract(escaped, r"(?s)(\{.*\})", 1), read)
+        return F.coalesce(whole, bound(closed_json(escaped, tries), lambda forms: F.coalesce(*(bound(F.get(forms, F.lit(i)), read) for i in range(2 * tries)))))
 
     bare = F.trim(F.regexp_replace(text, r"```(?:json)?", ""))
     first = bound(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), read)

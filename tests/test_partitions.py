@@ -7,7 +7,7 @@ import pytest
 
 from newsloom import plans
 from newsloom.operators import dedup
-from newsloom.plans import reports, views
+from newsloom.plans import articles, reports, views
 from newsloom.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -58,3 +58,11 @@ def test_result_reads_no_text_again(spark, name):
     """What a query cut to keys is read from there; the documents' texts are no part of its last plan."""
     plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan
+
+
+def test_broken_json_reads_an_answer_once(spark, monkeypatch):
+    n = tables.table(spark, DATA, "events").count()
+    monkeypatch.setattr(articles, "spread", partial(tables.spread, most=100))
+    plan = plans.queries()["broken_json"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    assert re.findall(r"Exchange hashpartitioning\(event_id#\d+L?, (\d+)\)", plan) == [str(-(-n // 100))]
