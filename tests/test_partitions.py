@@ -66,3 +66,15 @@ def test_broken_json_reads_an_answer_once(spark, monkeypatch):
     plan = plans.queries()["broken_json"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") == 1
     assert re.findall(r"Exchange hashpartitioning\(event_id#\d+L?, (\d+)\)", plan) == [str(-(-n // 100))]
+
+
+def test_spread_tables_are_read_in_small_splits(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("128m", str(tables.SPLIT_BYTES)), ("134217728b", str(tables.SPLIT_BYTES)), ("1m", "1m"), ("4096", "4096")):
+            spark.conf.set(name, given)
+            plans.queries()["event_roles"](spark, DATA)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
