@@ -388,14 +388,15 @@ def roots(links: DataFrame) -> DataFrame:
     """(word, root) of links (word, form), each followed to its end by doubling; a form is commoner than its word, so chains end.
 
     The looked-up links are broadcast where they are few, else copied SALTS times, so that a form
-    that very many words have is not one task's work.
+    that very many words have is not one task's work. The hint keeps Spark from broadcasting the copies, which it takes to
+    be as small as the file of the links.
     """
     now = cut(links.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "links")
     while now.where("moved").limit(1).count():
         then = now.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
         dim = small(then)
         if dim is then:
-            salted = then.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = then.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
             rows = now.withColumn("_s", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int"))
             joined = rows.join(salted, (rows["root"] == salted["_word"]) & (rows["_s"] == salted["_salt"]), "left")
         else:
@@ -412,10 +413,10 @@ def variants(docs: DataFrame, factor: int = FACTOR, size: int = SHARD) -> DataFr
         words = cut(vocabulary(docs), "words")
         found = nearest(words, size)
         common = F.col("best_n") >= factor * F.col("n")
-        formed = cut(words.join(found, "word", "left").select(
+        formed = cut(words.join(found.hint("merge"), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(common, F.col("best")).alias("form"),
             F.when(common, F.col("best_n")).alias("form_n")
         ), "forms")
     free(words)
     ends = roots(formed.where("form is not null"))
-    return formed.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

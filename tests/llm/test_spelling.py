@@ -146,6 +146,21 @@ def test_roots_follow_long_chains_and_hot_forms(spark, monkeypatch):
     assert spelling.roots(table.limit(0)).count() == 0
 
 
+def test_copied_links_are_not_broadcast(spark, monkeypatch):
+    plans, cut = [], spelling.cut
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(spelling, "cut", seen)
+    monkeypatch.setattr(spelling, "small", lambda d: d)
+    links = cut(spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(9)], "word string, form string"), "few")
+    assert spelling.roots(links).count() == 9
+    # Spark takes the copies for as small as their file
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_very_long_words(spark):
     base = "ab" * 2000
     words = {base: 9, base[:1500] + "x" + base[1501:]: 5, base + "c": 7, base[:-1]: 6}
