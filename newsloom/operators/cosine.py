@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import all_tokens
 from newsloom.operators import blocks
-from newsloom.sources.tables import cut
+from newsloom.sources.tables import cut, sweep_shuffles
 
 #: fixed value: with fewer distinct terms a title is short, and its Jaccard similarity counts too
 SHORT = 10
@@ -53,6 +53,7 @@ def pairs(
     not its node's first has one row, with that first; nodes are compared by their first texts. Texts
     without a word are in no pair. part: nodes of a group; best: only what best_earlier() can choose is sure to be given.
     """
+    given = cut(given, "texts")
     total = given.count() if total is None else total
     same = F.xxhash64(F.array_sort("words"), "bar", "tags", "new")
     named = given.where(F.size("words") > 0).withColumn("node", same)
@@ -63,6 +64,7 @@ def pairs(
     if df is None:
         df = nodes.select("copies", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.sum("copies").alias("df"))
     vectors = cut(blocks.packed(nodes, df.select("term", F.log(F.lit(total) / (1 + F.col("df"))).alias("idf"))), "vectors")
+    sweep_shuffles(given.sparkSession)
     signed = blocks.signatures(nodes) if minhash else None
     found = blocks.similar(vectors, signed, least, factors, short, False, part, best)
     near = scored(found, short).select("earlier", "later", "similarity", "bar")

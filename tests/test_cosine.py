@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import cosine, dedup, events, parts
+from newsloom.operators import blocks, cosine, dedup, events, parts
 
 PRIME = (1 << 61) - 1
 
@@ -126,6 +126,39 @@ def test_best_pairs_give_the_same_choice(spark):
     assert sorted(cosine.best_earlier(every).collect()) == sorted(cosine.best_earlier(best).collect())
 
 
+@pytest.mark.parametrize("groups", [1, 2, 7, 8, 9, 20, 41])
+def test_rounds_meet_every_two_groups_once_by_few_copies(groups):
+    met = Counter()
+    for steps in blocks._rounds(groups):
+        assert len(steps) <= blocks.COPIES + 1
+        met.update({frozenset({g, (g + s) % groups}) for g in range(groups) for s in steps})
+    assert met == Counter({frozenset({a, b}) for a in range(groups) for b in range(groups)})
+
+
+def test_disk_does_not_grow_with_groups(spark, monkeypatch):
+    sent, cut = [], blocks.cut
+
+    def seen(df, name):
+        if name == "found":
+            sent.append(df._jdf.queryExecution().analyzed().toString().count("FlatMapGroupsInArrow"))
+        return cut(df, name)
+
+    monkeypatch.setattr(blocks, "cut", seen)
+    monkeypatch.setattr(blocks, "sweep_shuffles", lambda s: sent.append("swept"))
+    found = cosine.pairs(given(spark, some_texts(4)), 0.4, part=5)
+    assert sent[:2] == [1, "swept"] and len(sent) >= 4  # a round's blocks, and its shuffle gone, before the next
+    whole = cosine.pairs(given(spark, some_texts(4)), 0.4)
+    assert sorted(found.collect()) == sorted(whole.collect())
+
+
+def test_a_later_text_leaves_a_block_with_its_best_only(spark):
+    found = cosine.pairs(given(spark, some_texts(9, 120)), 0.4, (0.7, 0.65), None, True, best=True)
+    by_later = {}
+    for r in found.collect():
+        by_later.setdefault(r.later, set()).add(r.similarity)
+    assert by_later and max(max(s) - min(s) for s in by_later.values()) <= 1e-8
+
+
 def test_continued_hands_events_along_chains(spark):
     articles = spark.createDataFrame(
         [(1, "x"), (2, "x"), (3, "x"), (4, "OpenAI launch nova"), (5, "x"), (6, "openai unveil nova two"), (7, "x"), (8, "x"), (9, "Zeta hire Bob"), (10, "zeta join Eve")],
