@@ -186,7 +186,8 @@ def earlier_frequency(items: DataFrame, key: str, text: str, width: int = 100_00
 
 def tfidf_cosine(items: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """(earlier, later, cosine) of the given pairs with global document frequencies."""
-    words = items.select(key, F.explode(all_tokens(F.col(text))).alias("term"))
+    asked = pairs.select(F.col("earlier").alias(key)).union(pairs.select("later")).distinct()
+    words = items.join(asked, key, "left_semi").select(key, F.explode(all_tokens(F.col(text))).alias("term"))
     counts = words.groupBy(key, "term").agg(F.count("*").alias("c"))
     totals = counts.groupBy(key).agg(F.sum("c").alias("len"))
     weights = counts.join(totals, key).join(idf(items, key, text), "term").select(key, "term", (F.col("c") / F.col("len") * F.col("idf")).alias("w"))

@@ -271,6 +271,7 @@ def two_layer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P10", f"""WITH {BEST} SELECT earlier, later, round(cosine, 6) AS cosine FROM best""")
 def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, pairs = nearest_titles(spark, sf_dir)
+    pairs = cut(pairs, "pairs")
     return dedup.tfidf_cosine(first, pairs, "id", "title").select("earlier", "later", F.round("cosine", 6).alias("cosine"))
 
 

@@ -174,3 +174,10 @@ def test_continued_hands_events_along_chains(spark):
         4: ("E1", None), 5: ("E1", None), 6: ("E1", None),  # 4 has its key's event, which goes on to what matches it
         7: (None, 7), 8: (None, 7), 9: (None, 9), 10: (None, 9)
     }
+
+
+def test_only_titles_of_pairs_are_weighed(spark):
+    titles = spark.createDataFrame([(i, f"alpha beta word{i} other{i % 3}") for i in range(9)], "id bigint, title string")
+    found = dedup.tfidf_cosine(titles, spark.createDataFrame([(0, 3)], "earlier bigint, later bigint"), "id", "title")
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 1
