@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import blocks, cosine, dedup, events, parts
+from newsloom.plans import intake
 
 PRIME = (1 << 61) - 1
 
@@ -181,3 +182,8 @@ def test_only_titles_of_pairs_are_weighed(spark):
     found = dedup.tfidf_cosine(titles, spark.createDataFrame([(0, 3)], "earlier bigint, later bigint"), "id", "title")
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 1
+
+
+def test_titles_are_deduplicated_without_their_texts(spark):
+    first = intake.distinct_titles(spark, "/root/testdata/sf0.001")
+    assert first.selectExpr("max(length(summary))").first()[0] == 1
