@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import blocks, cosine, dedup, events, parts
-from newsloom.plans import intake
+from newsloom.plans import intake, reports
 
 PRIME = (1 << 61) - 1
 
@@ -187,3 +187,9 @@ def test_only_titles_of_pairs_are_weighed(spark):
 def test_titles_are_deduplicated_without_their_texts(spark):
     first = intake.distinct_titles(spark, "/root/testdata/sf0.001")
     assert first.selectExpr("max(length(summary))").first()[0] == 1
+
+
+def test_texts_of_events_are_read_once(spark):
+    tagged = reports._tagged(spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in "".join(tagged.inputFiles())  # a written table
+    assert tagged.selectExpr("max(length(summary))").first()[0] == 200
